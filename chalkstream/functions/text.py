@@ -40,8 +40,15 @@ def matches_any(c: Column, patterns: list[str], flags: str = "") -> Column:
     return c.rlike(prefix + "|".join(f"(?:{p})" for p in patterns))
 
 
+def constant_list(items: list[str]) -> Column:
+    """Array literal: the planner folds the split into one constant, however long the list."""
+    return F.split(F.lit("\u0001".join(items)), "\u0001")
+
+
 def contains_any(c: Column, phrases: list[str]) -> Column:
-    return any_of([c.contains(p) for p in phrases])
+    if len(phrases) <= 32:
+        return any_of([c.contains(p) for p in phrases])
+    return F.exists(constant_list(phrases), lambda p: c.contains(p))
 
 
 def count_class(c: Column, chars: str) -> Column:
@@ -57,15 +64,9 @@ def words(c: Column, separators: str = r"\s+") -> Column:
     return F.filter(F.split(c, separators), lambda w: w != "")
 
 
-def same_run(tokens: Column, n: int) -> Column:
-    """True if ``n`` equal tokens stand in a row."""
-    size = F.size(tokens)
-    at = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-    equal = F.exists(
-        at,
-        lambda i: all_of([F.get(tokens, i - 1) == F.get(tokens, i - 1 + k) for k in range(1, n)]),
-    )
-    return (size >= n) & F.coalesce(equal, F.lit(False))
+def same_run(c: Column, n: int) -> Column:
+    """True if ``n`` equal words stand in a row."""
+    return c.rlike(rf"(?<!\S)(\S+)(?:\s+\1){{{n - 1}}}(?!\S)")
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:

@@ -75,7 +75,9 @@ def gate_utterances(
     repetitive = (F.size(words) >= min_words) & (
         F.size(F.array_distinct(words)) / F.size(words) < min_unique
     )
-    cleaned = without_terms(text) if without_terms else text
+    # Only texts that reach the ASCII rule pay for the dictionary.
+    df = df.withColumn("_cleaned", F.when(F.length(text) <= max_chars, without_terms(text)) if without_terms else text)
+    cleaned = F.col("_cleaned")
     ascii_share = T.count_class(cleaned, r"\x00-\x7f") / F.length(cleaned)
     return gate(
         df,
@@ -89,7 +91,7 @@ def gate_utterances(
             ("stock_phrase", T.matches_any(text, stock_phrases, "i")),
             ("courtesy", text.rlike(lone_courtesy)),
         ],
-    )
+    ).drop("_cleaned")
 
 
 def gate_audio_chunks(df: DataFrame, min_seconds: float = 0.3, min_rms: float = 0.005) -> DataFrame:
@@ -120,18 +122,19 @@ def gate_mt_output(
     df: DataFrame,
     terms: list[str] | None = None,
     script: str = P.HANGUL,
+    target: str = "A-Za-z",
     stock_phrases: list[str] = P.MT_STOCK_PHRASES,
 ) -> DataFrame:
     """Reject looping, untranslated and stock output. Text that is mostly source script is accepted
     outright when it holds a dictionary term."""
     text = F.col("text")
     source = T.count_class(text, script)
-    untranslated = (source > 0) & (source >= T.count_class(text, "A-Za-z"))
+    untranslated = (source > 0) & (source >= T.count_class(text, target))
     protected = T.contains_any(text, terms) if terms else F.lit(False)
     return gate(
         df,
         [
-            ("loop", T.same_run(T.words(text), 4)),
+            ("loop", T.same_run(text, 4)),
             ("untranslated", untranslated & ~protected),
             ("stock_phrase", ~untranslated & T.matches_any(text, stock_phrases)),
         ],
@@ -415,12 +418,15 @@ def search(df: DataFrame, cols: list[str], q: str, category: str | None = None)
     return df.where(T.any_of([F.lower(F.col(c)).contains(q) for c in cols])) if q else df
 
 
+def _in(names: list[str]):
+    return lambda k, v: k.isin(names)
+
+
 def project_events(df: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     """Per type, keep a whitelist of payload fields; the sender's clock only where present."""
     keep = None
     for kind, names in fields.items():
-        allowed = F.array(*[F.lit(n) for n in names])
-        picked = F.map_filter("payload", lambda k, v, a=allowed: F.array_contains(a, k))
+        picked = F.map_filter("payload", _in(names))
         keep = F.when(F.col("type") == kind, picked) if keep is None else keep.when(F.col("type") == kind, picked)
     stamped = F.when(
         F.col("sender_ts").isNotNull(),

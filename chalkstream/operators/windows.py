@@ -39,11 +39,12 @@ def delay_target(
     out = with_scans(df, [key], order, {"_w": Tail(F.col(needed).cast("double"), window)})
     n = F.size("_w")
     p90 = F.element_at(F.sort_array("_w"), (F.floor((n - 1) * 0.9) + 1).cast("int"))
-    mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / n
+    out = out.withColumn("_mean", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / n)
+    mean = F.col("_mean")
     var = F.aggregate(F.transform("_w", lambda x: F.pow(x - mean, 2)), F.lit(0.0), lambda a, x: a + x) / n
     target = p90 + F.greatest(F.lit(min_margin), F.sqrt(var) * stddev_share)
     clamped = F.greatest(F.lit(lo), F.least(F.lit(hi), target))
-    return out.withColumn("target_ms", F.when(n >= 3, clamped)).drop("_w")
+    return out.withColumn("target_ms", F.when(n >= 3, clamped)).drop("_w", "_mean")
 
 
 def adaptive_delay(
