@@ -23,7 +23,7 @@ def union_pages(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def missing_ids(requests: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
     """1..n of each request minus the ids parsed, one row per missing id."""
     wanted = requests.where("total_lines > 0").select(
-        key, F.explode(F.sequence(F.lit(1), F.col("total_lines").cast("int"))).cast("long").alias("line_no")
+        key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("total_lines").cast("long"))).alias("line_no")
     )
     return wanted.join(parsed.select(key, "line_no"), [key, "line_no"], "left_anti")
 

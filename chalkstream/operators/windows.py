@@ -172,10 +172,10 @@ def segment_chunks(
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Number of leading elements two arrays share."""
-    n = F.least(F.size(a), F.size(b))
+    n = F.when(a.isNull() | b.isNull(), 0).otherwise(F.least(F.size(a), F.size(b)))
     at = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.get(a, i) == F.get(b, i))
     miss = F.array_position(at, F.lit(False))
-    return F.when(F.coalesce(n, F.lit(0)) <= 0, 0).when(miss == 0, n).otherwise(miss - 1).cast("long")
+    return F.when(n <= 0, 0).when(miss == 0, n).otherwise(miss - 1).cast("long")
 
 
 def stable_commits(df: DataFrame, key: str = "utt_id", order: str = "pass_no") -> DataFrame:

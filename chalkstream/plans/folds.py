@@ -239,3 +239,28 @@ def ordered_fold(
     )
     placed = split.join(F.broadcast(later), on, "left").select(*df.columns, _BLOCK, "_enter")
     return placed.sortWithinPartitions(*keys, *order).mapInPandas(_walk(keys, fold, True), schema)
+
+
+def per_small_group(
+    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], rows_of: Callable, schema: T.StructType
+) -> DataFrame:
+    """``rows_of(key, rows) -> rows`` for groups that are small by what they are (one page). Partitions
+    are sorted once and streamed; one group is held at a time, and many groups share a batch."""
+
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, []
+        for pdf in batches:
+            out: list[tuple] = []
+            for key, row in zip(zip(*[pdf[k].tolist() for k in keys]), zip(*[pdf[c].tolist() for c in inputs])):
+                if key != current:
+                    if held:
+                        out += rows_of(current, held)
+                    current, held = key, []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(rows_of(current, held), columns=names)
+
+    return df.select(*dict.fromkeys([*keys, *order, *inputs])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
