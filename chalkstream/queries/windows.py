@@ -395,18 +395,22 @@ def _(spark, sf):
     return Wn.sequence_gaps(B.ev(spark, sf), "session_id", ORDER, "k").select("event_id", "missing", "duplicate")
 
 
+def presence_from(events):
+    return events.withColumns(
+        {
+            "page": F.when(F.col("event_type") == "view", F.col("k")), "last_type": F.col("event_type"),
+            "slide": F.when(F.col("event_type") == "signup", F.concat(F.lit("s"), (F.col("k") % 5).cast("string"))),
+        }
+    )
+
+
 @query(
     "latest_per_key",
     with_ctes(B.EV, body="""SELECT session_id, max_by(k, (ts_ms, event_id)) FILTER (event_type = 'view') AS page,
   max_by(event_type, (ts_ms, event_id)) AS last_type, max_by('s' || (k % 5), (ts_ms, event_id)) FILTER (event_type = 'signup') AS slide FROM ev GROUP BY session_id"""),
 )
 def _(spark, sf):
-    e = B.ev(spark, sf).withColumns(
-        {
-            "page": F.when(F.col("event_type") == "view", F.col("k")), "last_type": F.col("event_type"),
-            "slide": F.when(F.col("event_type") == "signup", F.concat(F.lit("s"), (F.col("k") % 5).cast("string"))),
-        }
-    )
+    e = presence_from(B.ev(spark, sf))
     return Wn.latest_per_key(e, ["session_id"], ["page", "last_type", "slide"], ORDER)
 
 
@@ -428,8 +432,12 @@ DRAW = """dr AS (SELECT event_id AS seq, session_id % 30 AS slide, k % 3 AS page
 
 
 def _draws(spark, sf):
+    return draws_from(B.ev(spark, sf))
+
+
+def draws_from(events):
     k, t = F.col("k"), F.col("event_type")
-    return B.ev(spark, sf).select(
+    return events.select(
         F.col("event_id").alias("seq"), (F.col("session_id") % 30).alias("slide"), (k % 3).alias("page"),
         F.when(t == "signup", F.when(k % 9 == 0, "lecture_start").otherwise("draw_begin"))
         .when(t == "purchase", F.when(k % 6 == 0, "draw_clear").otherwise("draw_end"))
@@ -568,13 +576,16 @@ f AS (SELECT session_id, stage, event_id, rn, total, k, 0.5::DOUBLE * CASE stage
   UNION ALL SELECT p.session_id, p.stage, p.event_id, p.rn, p.total, p.k, 0.75::DOUBLE * f.a + 0.25::DOUBLE * p.d FROM f JOIN pn p ON p.session_id = f.session_id AND p.stage = f.stage AND p.rn = f.rn + 1)"""
 
 
-def _ema(spark, sf):
+def pages_from(events):
     t = F.col("event_type")
-    e = B.ev(spark, sf).select(
+    return events.select(
         "session_id", "event_id", F.col("value").alias("seconds"), "k",
         F.when(t.isin("view", "click"), "ocr").when(t == "error", "translate").otherwise("bundling").alias("stage"),
     )
-    return Wn.page_ema(e, ["session_id", "stage"], ["event_id"])
+
+
+def _ema(spark, sf):
+    return Wn.page_ema(pages_from(B.ev(spark, sf)), ["session_id", "stage"], ["event_id"])
 
 
 @query("page_ema", recursive(B.EV + ",\n" + EMA, " SELECT event_id, round(a + 1e-9::DOUBLE, 6) AS avg_seconds FROM f"))
