@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import text as T
+from ..functions.strict_json import is_json
 from .aggregates import repeated_words
 from .gates import gate_translations, kept_rows
 from .joins import known_responses
@@ -179,7 +180,7 @@ def extract_json_payload(df: DataFrame, col: str = "response") -> DataFrame:
         T.strip(F.regexp_extract(c, r"```(?:json)?\s*([\s\S]*?)```", 1)),
         _balanced(c),
     ]
-    valid = [F.when((a != "") & F.try_parse_json(a).isNotNull(), a) for a in attempts]
+    valid = [F.when((a != "") & is_json(a), a) for a in attempts]
     out = df.withColumn("payload", F.coalesce(*valid))
     item = "struct<idx:long,on_image:boolean,expand_ok:boolean,merge_with:array<long>,keep_prefix:boolean>"
     as_list = F.from_json("payload", f"array<{item}>")

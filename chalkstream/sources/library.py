@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import text as T
+from ..functions.strict_json import is_json
 
 LIBRARY_META = (
     "slide_id string, filename string, uploaded_at string, total_pages long, status string, "
@@ -111,8 +112,7 @@ def normalize_pages(blocks: DataFrame) -> DataFrame:
 def parse_events(raw: DataFrame, col: str = "value", schema: str = EVENT) -> DataFrame:
     """Messages as typed rows, in batch or stream; unparsable ones dropped, new types kept as unknown."""
     row = F.from_json(col, schema)
-    ok = F.try_parse_json(F.col(col)).isNotNull()
-    out = raw.where(ok).withColumn("_r", row).where(F.col("_r.type").isNotNull())
+    out = raw.where(is_json(F.col(col))).withColumn("_r", row).where(F.col("_r.type").isNotNull())
     return out.select(
         *[c for c in raw.columns if c != col], "_r.*", F.col("_r.type").isin(*KNOWN_EVENTS).alias("known")
     )

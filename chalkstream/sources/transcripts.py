@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions import text as T
+from ..functions.strict_json import is_json
 from ..operators.windows import cue_times
 from ..plans.scans import RowNumber, Total, with_scans
 
@@ -20,7 +21,7 @@ _CORRUPT = "_corrupt"
 def parse_segments(lines: DataFrame, key: str = "session_id", col: str = "value") -> DataFrame:
     """Good lines of a session log; blank and broken lines are skipped."""
     row = F.from_json(col, f"{SEGMENT}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    rows = lines.where(T.strip(F.col(col)) != "").withColumn("_r", row)
+    rows = lines.where((T.strip(F.col(col)) != "") & is_json(F.col(col))).withColumn("_r", row)
     good = rows.where(F.col(f"_r.{_CORRUPT}").isNull() & F.col("_r").isNotNull())
     return good.select(key, "_r.*").drop(_CORRUPT)
 
@@ -86,5 +87,5 @@ def list_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 def sessions_from(raw: DataFrame, col: str = "value") -> DataFrame:
     row = F.from_json(col, f"{META}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    rows = raw.withColumn("_r", row).where(F.col(f"_r.{_CORRUPT}").isNull() & F.col("_r.session_id").isNotNull())
+    rows = raw.where(is_json(F.col(col))).withColumn("_r", row).where(F.col(f"_r.{_CORRUPT}").isNull() & F.col("_r.session_id").isNotNull())
     return rows.select("_r.*").drop(_CORRUPT).orderBy(F.desc("started_at"), "session_id")
