@@ -13,6 +13,7 @@ from .. import params as P
 from ..functions import audio, boxes
 from ..functions import text as T
 from ..plans.scans import Lag, with_scans
+from .terms import holds_any
 
 
 def gate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -130,7 +131,7 @@ def gate_mt_output(
     text = F.col("text")
     source = T.count_class(text, script)
     untranslated = (source > 0) & (source >= T.count_class(text, target))
-    protected = T.contains_any(text, terms) if terms else F.lit(False)
+    protected = holds_any(text, terms) if terms else F.lit(False)
     return gate(
         df,
         [

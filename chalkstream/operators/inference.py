@@ -30,15 +30,19 @@ def infer(df: DataFrame, load: Model, batch: int = 32, output: str = "result") -
         for pdf in parts:
             if call is None:
                 call = load()
+            results, states = [], []
             for at in range(0, len(pdf), batch):
                 rows = pdf.iloc[at : at + batch]
                 try:
-                    results, status = list(call(rows)), "ok"
-                    if len(results) != len(rows):
+                    answer = list(call(rows))
+                    if len(answer) != len(rows):
                         raise ValueError("model returned another number of rows")
+                    results += answer
+                    states += ["ok"] * len(rows)
                 except Exception:  # the failure belongs to these rows only
-                    results, status = [None] * len(rows), "failed"
-                yield rows.assign(**{output: results, "status": status})
+                    results += [None] * len(rows)
+                    states += ["failed"] * len(rows)
+            yield pdf.assign(**{output: pd.Series(results, dtype=object).values, "status": states})
 
     return df.mapInPandas(run, schema)
 

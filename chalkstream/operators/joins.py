@@ -229,131 +229,132 @@ def align_words(
     )
 
 
-def _cells(df: DataFrame, page: list[str], cell: float, suffix: str) -> DataFrame:
-    cols = [F.col(c).alias(c + suffix) for c in ("x0", "y0", "x1", "y1", "_cx", "_cy")]
-    return df.select(*page, F.col("_gx").alias("_px"), F.col("_gy").alias("_py"), *cols)
+def _near_cells(df: DataFrame, a: Column, b: Column, la: Column, lb: Column) -> DataFrame:
+    """Cells twice as wide as the limits: what lies within a limit is in the own cell or the one on the
+    nearer side, four cells in all."""
 
+    def two(c: Column, limit: Column) -> Column:
+        cell = F.floor(c / (limit * 2))
+        side = F.when(c / (limit * 2) - cell < 0.5, -1).otherwise(1)
+        return F.array(cell, cell + side)
 
-def _distinct_boxes(df: DataFrame, page: list[str], cell: float) -> DataFrame:
-    """Distinct boxes with centre and grid cell; equal boxes never count as neighbours, so copies
-    need to be met only once."""
-    return (
-        df.select(*page, "x0", "y0", "x1", "y1").distinct()
-        .withColumn("_cx", boxes.center_x()).withColumn("_cy", boxes.center_y())
-        .withColumn("_gx", F.floor(F.col("_cx") / cell)).withColumn("_gy", F.floor(F.col("_cy") / cell))
-    )
+    return df.withColumn("_px", F.explode(two(a, la))).withColumn("_py", F.explode(two(b, lb)))
 
 
-def _around(df: DataFrame) -> DataFrame:
-    """The nine cells a near box can lie in."""
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    return df.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).withColumns(
-        {"_px": F.col("_gx") + F.col("_dx"), "_py": F.col("_gy") + F.col("_dy")}
-    )
+def _differs() -> Column:
+    return T.any_of([F.col(c) != F.col(f"{c}_o") for c in boxes.BOX])
 
 
-def near_boxes(df: DataFrame, page: list[str], distance: float) -> DataFrame:
-    """Distinct boxes that have another, different box with its centre nearer than ``distance``.
+def near_boxes(df: DataFrame, page: list[str], distance: float, asked: DataFrame | None = None) -> DataFrame:
+    """Distinct boxes (of ``asked``, else all) that have another, different box with its centre nearer
+    than ``distance``. Equal boxes never count, so copies are met once.
 
-    Cells have a diagonal of ``distance``, so a cell with three or more distinct boxes settles all of
-    them by a count. Other cells are met through the cells around them, each of which stands for at
-    most its extreme boxes when crowded: the check against crowded cells uses the cell's boxes only
-    for the few boxes still open.
+    In a cell with a diagonal below the distance two boxes are near for sure: a count settles them.
+    Only boxes alone in such a cell meet others, and few of those fit into the reach of one box.
     """
-    grid = _distinct_boxes(df, page, distance)
-    here = [*page, "x0", "y0", "x1", "y1"]
-    # Boxes alone in their fine cell are the only ones in doubt.
+    here = [*page, *boxes.BOX]
     fine = distance / 1.5
-    grid = grid.withColumns(
-        {"_fx": F.floor(F.col("_cx") / fine), "_fy": F.floor(F.col("_cy") / fine)}
-    )
+
+    def placed(d: DataFrame) -> DataFrame:
+        return d.select(*here).distinct().withColumns({"_cx": boxes.center_x(), "_cy": boxes.center_y()}).withColumns(
+            {"_fx": F.floor(F.col("_cx") / fine), "_fy": F.floor(F.col("_cy") / fine)}
+        )
+
+    grid = placed(df)
     crowd = grid.groupBy(*page, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_crowd"))
-    marked = grid.join(crowd, [*page, "_fx", "_fy"])
-    # Within a fine cell the distance is below 0.95 * distance: two boxes there are near.
+    marked = (grid if asked is None else placed(asked)).join(crowd, [*page, "_fx", "_fy"])
     settled = marked.where("_crowd > 1").select(*here)
-    open_boxes = _around(marked.where("_crowd = 1"))
-    others = _cells(grid, page, distance, "_o")
-    gap = F.sqrt(F.pow(F.col("_cx") - F.col("_cx_o"), 2) + F.pow(F.col("_cy") - F.col("_cy_o"), 2))
-    differs = T.any_of([F.col(c) != F.col(f"{c}_o") for c in boxes.BOX])
-    found = (
-        open_boxes.join(others, [*page, "_px", "_py"])
-        .where(differs & (gap < distance))
-        .select(*here)
+    single = _near_cells(marked.where("_crowd = 1"), F.col("_cx"), F.col("_cy"), F.lit(distance), F.lit(distance))
+    others = grid.select(
+        *page, F.floor(F.col("_cx") / (2 * distance)).alias("_px"), F.floor(F.col("_cy") / (2 * distance)).alias("_py"),
+        *[F.col(c).alias(f"{c}_o") for c in (*boxes.BOX, "_cx", "_cy")],
     )
-    return settled.unionByName(found).distinct().withColumn("near", F.lit(True))
+    gap = F.sqrt(F.pow(F.col("_cx") - F.col("_cx_o"), 2) + F.pow(F.col("_cy") - F.col("_cy_o"), 2))
+    found = single.join(others, [*page, "_px", "_py"]).where(_differs() & (gap < distance)).select(*here)
+    return settled.unionByName(found).distinct()
 
 
 def isolated_regions(
     df: DataFrame, page: list[str], distance: float = 50.0, max_area: float = 3000.0, max_chars: int = 5
 ) -> DataFrame:
     """Isolated, small and short regions are literal labels; the rest is read in context."""
-    near = near_boxes(df, page, distance)
-    out = df.join(near, [*page, *boxes.BOX], "left").withColumn("isolated", F.col("near").isNull()).drop("near")
+    near = near_boxes(df, page, distance).withColumn("_near", F.lit(True))
+    out = df.join(near, [*page, *boxes.BOX], "left").withColumn("isolated", F.col("_near").isNull()).drop("_near")
     chars = F.length(T.without_space(F.coalesce(F.col("text"), F.lit(""))))
     literal = F.col("isolated") & (boxes.area() < max_area) & (chars < max_chars)
     return out.withColumn("text_class", F.when(literal, "STRICT_LITERAL").otherwise("CONTEXT_AWARE"))
 
 
-def aligned_boxes(df: DataFrame, page: list[str], t: float) -> DataFrame:
-    """Distinct boxes aligned with another, different box of the page.
+def aligned_boxes(df: DataFrame, page: list[str], t: float, asked: DataFrame | None = None) -> DataFrame:
+    """Distinct boxes (of ``asked``, else all) aligned with another, different box of the page.
 
-    Each of the six conditions bounds two coordinate differences, so each is an equality join on a
-    two-dimensional grid: (edge, edge) of one box against (edge, edge) of the other.
+    Each of six tests bounds two differences between an edge of one box and an edge of the other. A box
+    is one row per test, and all tests are one equality join on the test and a two-dimensional grid.
     """
-    base = df.select(*page, *boxes.BOX).distinct()
+    here = [*page, *boxes.BOX]
     # (own edge a, other's edge a, limit a, own edge b, other's edge b, limit b)
     tests = [
         (y, y, t, own, other, t * 2) for y in ("y0", "y1") for own, other in (("x1", "x0"), ("x0", "x1"))
     ] + [("x0", "x0", t, own, other, t * 3) for own, other in (("y1", "y0"), ("y0", "y1"))]
-    found = None
-    for a, oa, la, b, ob, lb in tests:
-        left = base.withColumns({"_gx": F.floor(F.col(a) / la), "_gy": F.floor(F.col(b) / lb)})
-        right = base.select(
-            *page, F.floor(F.col(oa) / la).alias("_px"), F.floor(F.col(ob) / lb).alias("_py"),
-            *[F.col(c).alias(f"{c}_o") for c in boxes.BOX],
-        )
-        # One cell is as wide as the limits, so two boxes of the other side in the own cell settle
-        # the test by a count. Only the boxes still open meet others one by one.
-        crowd = right.groupBy(*page, "_px", "_py").agg(F.count(F.lit(1)).alias("_crowd"))
-        counted = left.join(
-            crowd.withColumnsRenamed({"_px": "_gx", "_py": "_gy"}), [*page, "_gx", "_gy"], "left"
-        )
-        settled = counted.where("_crowd > 1").select(*page, *boxes.BOX)
-        pending = counted.where("coalesce(_crowd, 0) < 2").drop("_crowd")
-        differs = T.any_of([F.col(c) != F.col(f"{c}_o") for c in boxes.BOX])
-        close = (F.abs(F.col(a) - F.col(f"{oa}_o")) < la) & (F.abs(F.col(b) - F.col(f"{ob}_o")) < lb)
-        met = _around(pending).join(right, [*page, "_px", "_py"]).where(differs & close)
-        hit = settled.unionByName(met.select(*page, *boxes.BOX))
-        found = hit if found is None else found.unionByName(hit)
-    return found.distinct().withColumn("aligned", F.lit(True))
+
+    def rows(d: DataFrame, mine: bool) -> DataFrame:
+        per_test = [
+            F.struct(
+                F.lit(i).alias("test"), F.col(a if mine else oa).alias("a"), F.col(b if mine else ob).alias("b"),
+                F.lit(float(la)).alias("la"), F.lit(float(lb)).alias("lb"),
+            )
+            for i, (a, oa, la, b, ob, lb) in enumerate(tests)
+        ]
+        out = d.withColumn("_t", F.explode(F.array(*per_test))).select(*here, "_t.*")
+        return out.withColumns({"_fx": F.floor(F.col("a") / F.col("la")), "_fy": F.floor(F.col("b") / F.col("lb"))})
+
+    every = df.select(*here).distinct()
+    mine = rows(every if asked is None else asked.select(*here).distinct(), True)
+    other = rows(every, False)
+    # Inside one cell as wide as the limits any two edges are close: two boxes of the other side in the
+    # own cell settle a test by a count. Only the rows still open meet others one by one.
+    cell = [*page, "test", "_fx", "_fy"]
+    crowd = other.groupBy(*cell).agg(F.count(F.lit(1)).alias("_crowd")).where("_crowd > 1")
+    counted = mine.join(crowd, cell, "left")
+    settled = counted.where("_crowd is not null").select(*here)
+    single = _near_cells(counted.where("_crowd is null"), F.col("a"), F.col("b"), F.col("la"), F.col("lb"))
+    others = other.select(
+        *page, "test", F.floor(F.col("a") / (F.col("la") * 2)).alias("_px"), F.floor(F.col("b") / (F.col("lb") * 2)).alias("_py"),
+        F.col("a").alias("_oa"), F.col("b").alias("_ob"), *[F.col(c).alias(f"{c}_o") for c in boxes.BOX],
+    )
+    close = (F.abs(F.col("a") - F.col("_oa")) < F.col("la")) & (F.abs(F.col("b") - F.col("_ob")) < F.col("lb"))
+    met = single.join(others, [*page, "test", "_px", "_py"]).where(_differs() & close).select(*here)
+    return settled.unionByName(met).distinct()
 
 
 def classify_constraint(
     df: DataFrame, page: list[str], nearby: float = 80.0, alignment: float = 25.0,
     area_ratio: float = 0.015, max_label: int = 15, aspect: float = 3.0, aspect_per_char: float = 0.5,
 ) -> DataFrame:
-    """The richer label rule: isolation, alignment, area share, aspect by length, punctuation."""
-    key = [*page, *boxes.BOX]
-    out = (
-        df.join(near_boxes(df, page, nearby), key, "left")
-        .join(aligned_boxes(df, page, alignment), key, "left")
-        .withColumns({"isolated": F.col("near").isNull(), "aligned": F.col("aligned").isNotNull()})
-        .drop("near")
-    )
+    """The richer label rule: isolation, alignment, area share, aspect by length, punctuation.
+
+    What a row can tell by itself comes first; only the rows left ask for neighbours, and only those
+    without neighbours ask for alignment.
+    """
+    here = [*page, *boxes.BOX]
     image = F.col("page_width") * F.col("page_height")
     share = F.when(image > 0, boxes.area() / image).otherwise(0.0)
     shape = F.when(boxes.height() > 0, boxes.width() / boxes.height()).otherwise(1.0)
     size = F.length("text")
-    literal = (
-        F.col("isolated")
-        & (share < area_ratio)
+    label = (
+        (share < area_ratio)
         & (shape < size * aspect_per_char + aspect)
         & (size < max_label)
         & ~F.col("text").rlike(r"[\.,;:!\?]")
         & ~F.col("text").rlike("^[\\-•·ㆍ●]")
-        & ~F.col("aligned")
     )
-    return out.withColumn("constraint", F.when(literal, "STRICT_LITERAL").otherwise("CONTEXT_AWARE"))
+    marked = df.withColumn("_label", label)
+    labels = marked.where("_label").select(*here).distinct()
+    alone = labels.join(near_boxes(df, page, nearby, labels), here, "left_anti")
+    literal = alone.join(aligned_boxes(df, page, alignment, alone), here, "left_anti").withColumn("_literal", F.lit(True))
+    out = marked.join(literal, here, "left")
+    strict = F.col("_label") & F.coalesce("_literal", F.lit(False))
+    return out.withColumn("constraint", F.when(strict, "STRICT_LITERAL").otherwise("CONTEXT_AWARE")).drop("_label", "_literal")
 
 
 def attach_bullets(lines: DataFrame, bullets: DataFrame, page: list[str], pos: str = "pos", reach: float = 0.8) -> DataFrame:

@@ -178,19 +178,21 @@ def split_sentences(df: DataFrame, col: str = "text") -> DataFrame:
 
 def phrases(c: Column, max_words: int = 4) -> Column:
     """Parts between punctuation, each cut into runs of at most ``max_words`` words."""
-    parts = F.filter(F.split(c, r"(?<=[,;.!?])\s+"), lambda p: p != "")
+    parts = F.transform(F.split(c, r"(?<=[,;.!?])\s+"), lambda p: T.words(p))
 
-    def runs(part: Column) -> Column:
-        w = T.words(T.strip(part))
+    def runs(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(max_words))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(max_words)), " "))
 
-    cut = F.filter(F.flatten(F.transform(parts, runs)), lambda p: p != "")
-    return F.when(F.size(cut) > 0, cut).otherwise(F.array(c))
+    return F.filter(F.flatten(F.transform(parts, runs)), lambda p: p != "")
 
 
 def split_phrases(df: DataFrame, col: str = "text", max_words: int = 4) -> DataFrame:
-    return df.select("*", F.posexplode(phrases(F.col(col), max_words)).alias("phrase_no", "phrase"))
+    """One row per phrase; a text without any stays whole."""
+    out = df.select("*", F.posexplode_outer(phrases(F.col(col), max_words)).alias("phrase_no", "phrase"))
+    return out.withColumns(
+        {"phrase_no": F.coalesce("phrase_no", F.lit(0)), "phrase": F.coalesce("phrase", F.col(col))}
+    )
 
 
 def quoted_strings(df: DataFrame, col: str = "text", script: str = P.HANGUL) -> DataFrame:
@@ -263,26 +265,39 @@ def fit_audit(
     ).otherwise(steps)
     base = base.withColumn("_sizes", sizes)
 
-    def candidates(no: int, x1: Column, y1: Column) -> Column:
-        return F.transform(
+    def spare(x1: Column, y1: Column, size: Column) -> Column:
+        lines = _wrapped_lines(F.col("_lens"), size * char_width, x1 - F.col("x0"))
+        return (y1 - F.col("y0")) - lines * size * line_height
+
+    def first_fit(no: int, x1: Column, y1: Column) -> Column:
+        tried = F.transform(
             "_sizes",
-            lambda s: F.struct(F.lit(no).alias("box_no"), x1.alias("x1"), y1.alias("y1"), s.cast("double").alias("size")),
+            lambda s: F.struct(
+                F.lit(no).alias("box_no"), x1.alias("x1"), y1.alias("y1"), s.cast("double").alias("size"),
+                spare(x1, y1, s).alias("spare"),
+            ),
         )
-
-    own = candidates(0, F.col("x1"), F.col("y1"))
-    grown = F.concat(own, candidates(1, F.col("_r"), F.col("y1")), candidates(2, F.col("_r"), F.col("_d")))
-    tried = F.transform(
-        F.when(F.col("expand_allowed"), grown).otherwise(own),
-        lambda c: F.struct(
-            *[c[n].alias(n) for n in ("box_no", "x1", "y1", "size")],
-            (
-                (c["y1"] - F.col("y0"))
-                - _wrapped_lines(F.col("_lens"), c["size"] * char_width, c["x1"] - F.col("x0")) * c["size"] * line_height
-            ).alias("spare"),
+        return F.get(F.filter(tried, lambda c: c["spare"] >= 0), F.lit(0))
+
+    # A later box is tried only where the earlier ones failed, and the smaller sizes of the own box only
+    # where the original size did not fit.
+    base = base.withColumn("_asis", spare(F.col("x1"), F.col("y1"), F.col("size")))
+    as_is = F.when(
+        (F.col("_asis") >= 0) & (F.col("size") >= F.col("_min")),
+        F.struct(
+            F.lit(0).alias("box_no"), F.col("x1").alias("x1"), F.col("y1").alias("y1"),
+            F.col("size").cast("double").alias("size"), F.col("_asis").alias("spare"),
+        ),
+    )
+    base = base.withColumn(
+        "_fit",
+        F.coalesce(
+            as_is,
+            first_fit(0, F.col("x1"), F.col("y1")),
+            F.when(F.col("expand_allowed"), first_fit(1, F.col("_r"), F.col("y1"))),
+            F.when(F.col("expand_allowed"), first_fit(2, F.col("_r"), F.col("_d"))),
         ),
     )
-    first = F.get(F.filter(tried, lambda c: c["spare"] >= 0), F.lit(0))
-    base = base.withColumn("_fit", first)
     grow = F.col("expand_allowed")
     return base.withColumns(
         {
@@ -293,4 +308,4 @@ def fit_audit(
             "fit_size": F.coalesce("_fit.size", F.col("_min")),
             "fit_spare": F.coalesce("_fit.spare", F.lit(-1.0)),
         }
-    ).drop("_lens", "_min", "_r", "_d", "_sizes", "_fit")
+    ).drop("_lens", "_min", "_r", "_d", "_sizes", "_asis", "_fit")

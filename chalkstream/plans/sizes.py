@@ -51,3 +51,10 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast hint behind a size check; a larger table is left to a shuffled join."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of fewer splits than cores (one small file) work for all cores, by key. A table with
+    at least as many splits is returned as it is, so a large one is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..plans.sizes import spread
 from ..plans.scans import RowNumber, RunSum, with_scans
 from ..session import table
 
@@ -32,6 +33,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def documents(spark, sf) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
+def pages(spark, sf) -> DataFrame:
+    return spread(table(spark, sf, "pages"), "page_id")
+
+
 # --- segments: one per conversation turn ---------------------------------------------------------
 SEGMENTS = """segments AS (
   SELECT conv_id AS session_id, turn AS seq, role, text AS original, 'EN: ' || text AS translated,
@@ -58,7 +67,7 @@ LINES = """lines AS (
 
 
 def lines(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     out = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return out.withColumn("line_no", F.col("line_no").cast("long"))
 

@@ -179,7 +179,7 @@ def _(spark, sf):
     "SELECT doc_id, contains(lower(text), '%%%') OR contains(lower(text), 'token') OR contains(lower(text), 'the the') AS leaked FROM documents",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     return G.flag_prompt_leaks(d, "text", ["%%%", "token", "the the"]).select("doc_id", "leaked")
 
 
@@ -232,7 +232,7 @@ def _(spark, sf):
 
 @query("filter_script", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '[{ACCENTS}]')")
 def _(spark, sf):
-    return G.filter_script(table(spark, sf, "documents"), script=ACCENTS).select("doc_id")
+    return G.filter_script(B.documents(spark, sf), script=ACCENTS).select("doc_id")
 
 
 @query(

@@ -95,7 +95,7 @@ SELECT doc_id, sha256(text) AS content_hash, existing_id, existing_id IS NOT NUL
 FROM documents LEFT JOIN done ON sha256(text) = h""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     lib = d.select(
         F.col("doc_id").alias("slide_id"), F.col("doc_id").alias("uploaded_at"), F.sha2("text", 256).alias("content_hash"),
         F.when(F.col("lang") != "de", "completed").otherwise("failed").alias("status"), (F.col("n_chars") % 2 == 0).alias("file_exists"),
@@ -296,8 +296,7 @@ def _(spark, sf):
   AND (a.x0 <> b.x0 OR a.y0 <> b.y0 OR a.x1 <> b.x1 OR a.y1 <> b.y1)
   AND (((abs(a.y0 - b.y0) < 25 OR abs(a.y1 - b.y1) < 25) AND (abs(a.x1 - b.x0) < 50 OR abs(b.x1 - a.x0) < 50))
     OR (abs(a.x0 - b.x0) < 25 AND (abs(a.y1 - b.y0) < 75 OR abs(b.y1 - a.y0) < 75)))))""",
-        body=r"""SELECT page, pos, n.pos IS NULL AS isolated, g.pos IS NOT NULL AS aligned,
-  CASE WHEN n.pos IS NULL AND g.pos IS NULL AND (x1 - x0) * (y1 - y0) / (page_width * page_height) < 0.015::DOUBLE
+        body=r"""SELECT page, pos, CASE WHEN n.pos IS NULL AND g.pos IS NULL AND (x1 - x0) * (y1 - y0) / (page_width * page_height) < 0.015::DOUBLE
     AND (x1 - x0) / (y1 - y0) < length(text) * 0.5::DOUBLE + 3 AND length(text) < 15
     AND NOT regexp_matches(text, '[\.,;:!\?]') AND NOT regexp_matches(text, '^[\-•·ㆍ●]') THEN 'STRICT_LITERAL' ELSE 'CONTEXT_AWARE' END AS "constraint"
 FROM regions LEFT JOIN near n USING (page, pos) LEFT JOIN aligned g USING (page, pos)""",
@@ -305,7 +304,7 @@ FROM regions LEFT JOIN near n USING (page, pos) LEFT JOIN aligned g USING (page,
 )
 def _(spark, sf):
     out = J.classify_constraint(B.regions(spark, sf), ["page"])
-    return out.select("page", "pos", "isolated", "aligned", "constraint")
+    return out.select("page", "pos", "constraint")
 
 
 @query(
@@ -386,7 +385,7 @@ def _(spark, sf):
 FROM documents, terms WHERE contains(text, term)"""),
 )
 def _(spark, sf):
-    return TM.match_terms(table(spark, sf, "documents").select("doc_id", "text"), B.terms(spark, sf)).select(
+    return TM.match_terms(B.documents(spark, sf).select("doc_id", "text"), B.terms(spark, sf)).select(
         "doc_id", "term", "value", "occurrences"
     )
 
@@ -399,7 +398,7 @@ def _(spark, sf):
               body="""SELECT page, rank, term, value FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY inside DESC, length(term) DESC, term) AS rank FROM r) WHERE rank <= 25"""),
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), "text")
+    d = B.documents(spark, sf).select(F.col("doc_id").alias("page"), "text")
     c = table(spark, sf, "conversations").select((F.col("conv_id") + 1000000).alias("page"), "text")
     pages = d.unionByName(c).withColumn("pos", F.col("text"))
     return TM.select_terms(pages, B.terms(spark, sf), ["page"])

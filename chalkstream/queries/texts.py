@@ -34,7 +34,7 @@ def _angle(spark, sf):
               body="SELECT doc_id, replaced, length(replaced) - length(replace(replaced, '<', '')) AS replacements FROM r"),
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = B.documents(spark, sf).select("doc_id", "text")
     return TM.replace_terms(d, _angle(spark, sf)).drop("text")
 
 
@@ -44,7 +44,7 @@ def _(spark, sf):
               body=rf"""SELECT doc_id, {SQ.format("list_reduce(list_prepend({'k': '', 'v': text}, ts), lambda a, t: {'k': '', 'v': replace(a.v, t.k, t.v)}).v")} AS replaced FROM documents, tm"""),
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = B.documents(spark, sf).select("doc_id", "text")
     return TM.replace_terms_chained(d, B.terms(spark, sf)).drop("text")
 
 
@@ -88,7 +88,7 @@ TAGS = r"regexp_replace(regexp_replace(regexp_replace({0}, '</?(?:mark|b|i|em|st
 
 @query("strip_markup", f"SELECT page_id, {SQ.format(TAGS.format('html'))} AS plain FROM pages")
 def _(spark, sf):
-    return X.strip_markup(table(spark, sf, "pages"), "html").select("page_id", "plain")
+    return X.strip_markup(B.pages(spark, sf), "html").select("page_id", "plain")
 
 
 @query(
@@ -99,7 +99,7 @@ a AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<math>.*?</math>', '
 SELECT page_id, trim(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '(?:→\s*)+', '→ ', 'g')) AS plain FROM a""",
 )
 def _(spark, sf):
-    p = table(spark, sf, "pages").withColumn(
+    p = B.pages(spark, sf).withColumn(
         "html", F.replace(F.replace("html", F.lit("<p>"), F.lit("<math>")), F.lit("</p>"), F.lit("</math>"))
     )
     return X.strip_markup(p, "html", math=True).select("page_id", "plain")
@@ -110,7 +110,7 @@ def _(spark, sf):
     """SELECT doc_id, replace(replace(replace(translate(text, 'éèêñ', '"''-='), '!', '...'), '%', '->'), '*', '<->') AS normalized FROM documents""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     fancy = d.select("doc_id", F.translate("text", "éèêñ!%*", "“’—＝…⇒↔").alias("text"))
     return X.normalize_unicode(fancy).select("doc_id", "normalized")
 
@@ -221,7 +221,7 @@ bl AS (SELECT doc_id, generate_subscripts(f, 1) - 1 AS line_no, unnest(f) AS lin
 
 
 def _breaks(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("<br>")).alias("text"))
+    d = B.documents(spark, sf).select("doc_id", F.replace("text", F.lit(". "), F.lit("<br>")).alias("text"))
     return X.split_breaks(d).select("doc_id", "line_no", "line")
 
 
@@ -241,7 +241,7 @@ def _(spark, sf):
   regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([\.!\?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents)""",
 )
 def _(spark, sf):
-    return X.split_sentences(table(spark, sf, "documents")).select("doc_id", "sentence_no", "sentence")
+    return X.split_sentences(B.documents(spark, sf)).select("doc_id", "sentence_no", "sentence")
 
 
 @query(
@@ -252,7 +252,7 @@ r AS (SELECT doc_id, flatten(list_transform(ws, lambda v: list_transform(range(1
 SELECT doc_id, CAST(generate_subscripts(ph, 1) - 1 AS INTEGER) AS phrase_no, unnest(ph) AS phrase FROM r""",
 )
 def _(spark, sf):
-    return X.split_phrases(table(spark, sf, "documents")).select("doc_id", "phrase_no", "phrase")
+    return X.split_phrases(B.documents(spark, sf)).select("doc_id", "phrase_no", "phrase")
 
 
 @query(
@@ -260,7 +260,7 @@ def _(spark, sf):
     r"""SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS quote_no, unnest(l) AS quoted FROM (SELECT doc_id, regexp_extract_all(translate(text, '%', '"'), '["'']([^"'']*?[a-z]+[^"'']*?)["'']', 1) AS l FROM documents)""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.translate("text", "%", '"').alias("text"))
+    d = B.documents(spark, sf).select("doc_id", F.translate("text", "%", '"').alias("text"))
     return X.quoted_strings(d, script="a-z").select("doc_id", "quote_no", "quoted")
 
 
@@ -443,13 +443,13 @@ UP = "upper(replace(text, 'ß', 'SS'))"
 
 @query("infer", f"SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN {UP} END AS result, CASE WHEN doc_id % 10 <> 0 THEN 'ok' ELSE 'failed' END AS status FROM documents")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = B.documents(spark, sf).select("doc_id", "text")
     return I.infer(d, _flaky, batch=1).select("doc_id", "result", "status")
 
 
 @query("retry_failed", "SELECT doc_id, 'T:' || text AS result, 0 AS attempt FROM documents WHERE n_chars % 5 <> 0")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    d = B.documents(spark, sf).select("doc_id", "n_chars", "text")
     return I.retry_failed(d, _stubborn, rounds=1).select("doc_id", "result", "attempt")
 
 
@@ -466,6 +466,6 @@ def _(spark, sf):
     f"SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR contains(lower(text), '%%%') THEN text ELSE {UP} END AS final FROM documents",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = B.documents(spark, sf).select("doc_id", "text")
     out = G.flag_prompt_leaks(I.infer(d, _flaky, batch=1), "result", ["%%%"])
     return I.fallback_text(out).select("doc_id", "final")

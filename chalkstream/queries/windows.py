@@ -89,7 +89,7 @@ c AS (SELECT doc_id, word, count(*) AS n, min(i) AS f FROM w GROUP BY ALL HAVING
 SELECT doc_id, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS rank FROM c) WHERE rank <= 20""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("pos"))
+    d = B.documents(spark, sf).select("doc_id", "text", F.lit(0).alias("pos"))
     return A.repeated_words(d, "doc_id", pattern="[a-z]{3,}")
 
 
@@ -687,7 +687,7 @@ h AS (SELECT doc_id, string_agg(t, ', ' ORDER BY n) AS hint FROM r WHERE n <= 32
 SELECT doc_id, CASE WHEN length(hint) > 280 THEN trim(regexp_replace(substr(hint, 1, 280), '^(.*),.*$', '\1')) ELSE hint END AS hint FROM h""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(
+    d = B.documents(spark, sf).select(
         "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([a-z]{7,})"), F.lit(1))).alias("pos", "term")
     )
     return TM.hint_terms(d, ["doc_id"], "pos")
