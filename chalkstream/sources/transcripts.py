@@ -81,7 +81,7 @@ def write_export(cues: DataFrame, path: str, key: str, order: str, col: str) ->
 
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Meta files below ``path``, unreadable ones skipped, newest first."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.meta.json").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.meta.json").text(path, wholetext=True)
     return sessions_from(raw)
 
 
