@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import audio, boxes
 from ..functions import text as T
 from .. import params as P
+from ..plans.scans import RowNumber, with_scans
 
 
 def category_counts(glossary: DataFrame) -> DataFrame:
@@ -89,8 +90,11 @@ def repeated_words(
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(pos), F.col("_i"))).alias("_first"))
         .where(F.col("n") >= min_count)
     )
+    if limit is None:
+        return with_scans(counted, [key], ["_first"], {"rank": RowNumber()}).drop("_first")
+    # A limited rank keeps at most ``limit`` words per key and task before the shuffle.
     ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("_first")).cast("long"))
-    return (ranked.where(F.col("rank") <= limit) if limit else ranked).drop("_first")
+    return ranked.where(F.col("rank") <= limit).drop("_first")
 
 
 def outcome_counts(outcomes: DataFrame, *by: str) -> DataFrame:
@@ -181,7 +185,5 @@ def layout_summary(blocks: DataFrame, *by: str) -> DataFrame:
 def collect_corpus(regions: DataFrame, doc: str, order: list[str], col: str = "text") -> DataFrame:
     """Non-empty texts of a document numbered in order, one row each: a document of any size is
     spread over tasks. Page context is the rows numbered up to 20."""
-    from ..plans.scans import RowNumber, with_scans
-
     filled = regions.where(F.coalesce(F.col(col), F.lit("")) != "")
     return with_scans(filled, [doc], order, {"corpus_no": RowNumber()})

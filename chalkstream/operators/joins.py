@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions import text as T
-from ..plans.scans import LastSeen, RowNumber, RunSum, with_scans
+from ..plans.scans import Lag, LastSeen, RowNumber, RunMax, RunSum, with_scans
 
 
 def attach_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
@@ -361,29 +361,35 @@ def attach_bullets(lines: DataFrame, bullets: DataFrame, page: list[str], pos: s
     """A bullet-only line met earlier on the page, left of the line and within 0.8 line heights,
     makes the line a bullet.
 
-    Both sides get a cell of their vertical centre. Line heights differ, so lines are grouped by the
-    power of two above their reach and meet the bullets of the three cells of that size.
+    Line heights differ, so lines are grouped by the power of two above their reach. In a strip of half
+    that height every bullet is near enough: a running minimum of bullet places along the page settles
+    its lines. Only lines still open meet the bullets of the strips around them.
     """
     mid = boxes.center_y()
     band = F.ceil(F.log2(F.greatest(boxes.height() * reach, F.lit(1e-3)))).cast("int")
-    left = lines.withColumn("_band", band).withColumn("_cell", F.floor(mid / F.pow(F.lit(2.0), F.col("_band"))))
+    strip = F.pow(F.lit(2.0), F.col("_band") - 1)
+    left = lines.select(*page, pos, "x0", mid.alias("_mid"), (boxes.height() * reach).alias("_reach"), band.alias("_band"))
     # Bands are few: the number of powers of two between the lowest and the highest line.
     bands = [r[0] for r in left.select("_band").distinct().collect()]
-    b = bullets.select(
-        *page, F.col(pos).alias("_bpos"), F.col("x0").alias("_bx"), mid.alias("_by"),
-        F.explode(F.array(*[F.lit(x) for x in bands])).alias("_band"),
-    ).withColumn("_bc", F.floor(F.col("_by") / F.pow(F.lit(2.0), F.col("_band"))))
-    # Of all bullets in a cell and order, only distinct places matter.
-    b = b.withColumn("_cell", F.explode(F.array(F.col("_bc") - 1, F.col("_bc"), F.col("_bc") + 1))).drop("_bc")
-    hit = (
-        left.withColumn("_mid", mid).join(b, [*page, "_band", "_cell"])
-        .where(
-            (F.col("_bpos") < F.col(pos))
-            & (F.col("_bx") < F.col("x0"))
-            & (F.abs(F.col("_mid") - F.col("_by")) < boxes.height() * reach)
-        )
-        .select(*page, pos).distinct().withColumn("_bullet", F.lit(True))
+    marks = bullets.select(
+        *page, F.col(pos), F.col("x0"), mid.alias("_mid"), F.explode(F.array(*[F.lit(x) for x in bands])).alias("_band")
+    )
+    here = [*page, "_band", "_strip"]
+    both = left.withColumn("_left", F.lit(None).cast("double")).withColumn("_side", F.lit(1)).unionByName(
+        marks.withColumns({"_left": -F.col("x0"), "_reach": F.lit(0.0), "_side": F.lit(2)})
+    ).withColumn("_strip", F.floor(F.col("_mid") / strip))
+    seen = with_scans(both, here, [pos, "_side", "x0"], {"_nearest": RunMax(F.col("_left"))}).where("_side = 1")
+    sure = F.coalesce(-F.col("_nearest") < F.col("x0"), F.lit(False))
+    settled = seen.where(sure).select(*page, pos)
+    # Reach is at most two strips, so it ends within the two strips on either side.
+    around = marks.select(
+        *page, "_band", F.col(pos).alias("_bpos"), F.col("x0").alias("_bx"), F.col("_mid").alias("_by"),
+        F.explode(F.transform(F.array(*[F.lit(i) for i in (-2, -1, 1, 2)]), lambda d: F.floor(F.col("_mid") / strip) + d)).alias("_strip"),
     )
+    met = seen.where(~sure).join(around, here).where(
+        (F.col("_bpos") < F.col(pos)) & (F.col("_bx") < F.col("x0")) & (F.abs(F.col("_mid") - F.col("_by")) < F.col("_reach"))
+    )
+    hit = settled.unionByName(met.select(*page, pos)).distinct().withColumn("_bullet", F.lit(True))
     return (
         lines.join(hit, [*page, pos], "left")
         .withColumn("has_bullet", F.col("has_bullet") | F.coalesce("_bullet", F.lit(False)))
@@ -414,8 +420,6 @@ def match_cancel_tokens(tokens: DataFrame, uploads: DataFrame, ttl_ms: int = 300
     parked = tokens.select("token", "ts_ms", "event_id", F.lit(0).alias("_side"))
     sent = uploads.select("token", "ts_ms", "event_id", F.lit(1).alias("_side"))
     last = F.struct(F.col("ts_ms").alias("at"), F.col("_side").alias("side"))
-    from ..plans.scans import Lag
-
     seen = with_scans(
         parked.unionByName(sent), ["token"], ["ts_ms", "_side", "event_id"], {"_prev": Lag(last)}
     )

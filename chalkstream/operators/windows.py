@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..plans.folds import Affine, Automaton, Sequential, ordered_fold
+from ..plans.sizes import group_sizes
 from ..plans.scans import (
     Lag, LastSeen, Lead, RowNumber, RunMax, RunSum, Tail, with_scans,
 )
@@ -33,10 +34,11 @@ def cue_times(
 def delay_target(
     df: DataFrame, key: str, order: list[str], needed: str = "needed_ms", window: int = 20,
     min_margin: float = 300.0, stddev_share: float = 1.5, lo: float = 1000.0, hi: float = 20000.0,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Target delay over the last ``window`` needed delays: the value at index floor((n-1)*0.9) plus
     the larger of the margin and 1.5 population deviations; null before three values."""
-    out = with_scans(df, [key], order, {"_w": Tail(F.col(needed).cast("double"), window)})
+    out = with_scans(df, [key], order, {"_w": Tail(F.col(needed).cast("double"), window)}, sizes=sizes)
     n = F.size("_w")
     p90 = F.element_at(F.sort_array("_w"), (F.floor((n - 1) * 0.9) + 1).cast("int"))
     out = out.withColumn("_mean", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / n)
@@ -49,7 +51,7 @@ def delay_target(
 
 def adaptive_delay(
     df: DataFrame, key: str, order: list[str], target: str = "target_ms", initial: float = 2000.0,
-    fall: float = 0.25, lo: float = 1000.0, hi: float = 20000.0,
+    fall: float = 0.25, lo: float = 1000.0, hi: float = 20000.0, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Delay that rises to the target at once and falls by a share of the difference.
 
@@ -65,7 +67,7 @@ def adaptive_delay(
             "_hi": F.when(none, INF).otherwise(hi),
         }
     )
-    return ordered_fold(coef, [key], order, Affine(("_a", "_b", "_lo", "_hi"), "delay_ms", initial)).drop(
+    return ordered_fold(coef, [key], order, Affine(("_a", "_b", "_lo", "_hi"), "delay_ms", initial), sizes=sizes).drop(
         "_a", "_b", "_lo", "_hi"
     )
 
@@ -77,10 +79,11 @@ def clock_offset(
     """Moving average of receive minus send. The first sample sets it, samples 2 to 5 weigh 0.4,
     later ones 0.1; outliers do not count."""
     good = df.where(F.abs(F.col(observed)) <= outlier)
-    n = with_scans(good, [key], order, {"_n": RowNumber()})
+    sizes = group_sizes(good, [key])
+    n = with_scans(good, [key], order, {"_n": RowNumber()}, sizes=sizes)
     w = F.when(F.col("_n") == 1, 1.0).when(F.col("_n") <= early_samples, early).otherwise(late)
     coef = n.withColumns({"_a": 1.0 - w, "_b": F.col(observed) * w, "_lo": F.lit(-INF), "_hi": F.lit(INF)})
-    return ordered_fold(coef, [key], order, Affine(("_a", "_b", "_lo", "_hi"), "offset_ms")).drop(
+    return ordered_fold(coef, [key], order, Affine(("_a", "_b", "_lo", "_hi"), "offset_ms"), sizes=sizes).drop(
         "_a", "_b", "_lo", "_hi", "_n"
     )
 
@@ -94,14 +97,15 @@ def schedule_visual(
 
     With G the running sum of kept gaps, show - G is a running maximum of due - G: two scans.
     """
-    lagged = with_scans(df, [key], order, {"_before": Lag(F.col(ts))})
+    sizes = group_sizes(df, [key])
+    lagged = with_scans(df, [key], order, {"_before": Lag(F.col(ts))}, sizes=sizes)
     gap = F.when(F.col("_before") > 0, F.greatest(F.col(ts) - F.col("_before"), F.lit(0))).otherwise(F.lit(0))
     keep = (gap > 0) & (gap < catch_up)
     gaps = lagged.withColumns({"_keep": keep, "_gap": F.when(keep, gap).otherwise(F.lit(0)).cast("long")})
-    summed = with_scans(gaps, [key], order, {"_sum": RunSum(F.col("_gap"))})
+    summed = with_scans(gaps, [key], order, {"_sum": RunSum(F.col("_gap"))}, sizes=sizes)
     due = F.greatest(F.col(ts) + F.col(offset) + F.col(delay), F.lit(0.0))
     base = summed.withColumn("_due", F.when(~F.col("_keep"), due - F.col("_sum")))
-    out = with_scans(base, [key], order, {"_top": RunMax(F.col("_due"))})
+    out = with_scans(base, [key], order, {"_top": RunMax(F.col("_due"))}, sizes=sizes)
     shown = F.coalesce(F.col("_top"), F.lit(0.0)) + F.col("_sum")
     return out.withColumn("show_ms", shown).drop("_before", "_keep", "_gap", "_sum", "_due", "_top")
 
@@ -136,9 +140,10 @@ def activity_segments(
     the first loud frame.
     """
     loud = F.col(level) > threshold
+    sizes = group_sizes(frames, [key])
     a = with_scans(
         frames.withColumn("_loud", loud), [key], order,
-        {"_was": Lag(F.col("_loud")), "_next": Lead(F.col("_loud")), "_no": RowNumber()},
+        {"_was": Lag(F.col("_loud")), "_next": Lead(F.col("_loud")), "_no": RowNumber()}, sizes=sizes,
     )
     was = F.coalesce("_was", F.lit(False))
     starts = F.col("_loud") & ~was
@@ -146,7 +151,7 @@ def activity_segments(
     lead_in = ~F.col("_loud") & F.coalesce("_next", F.lit(False))
     # A quiet frame between two segments ends the first and is pre-rolled into the second.
     b = a.withColumns({"_start": starts.cast("int"), "_first_no": F.when(starts, F.col("_no"))})
-    b = with_scans(b, [key], order, {"_seg": RunSum(F.col("_start")), "_from": LastSeen(F.col("_first_no"))})
+    b = with_scans(b, [key], order, {"_seg": RunSum(F.col("_start")), "_from": LastSeen(F.col("_first_no"))}, sizes=sizes)
     elapsed = (F.col("_no") - F.col("_from")) * frame_ms
     own = F.struct(F.col("_seg").alias("segment"), F.floor(elapsed / split_ms).alias("part"))
     ahead = F.struct((F.col("_seg") + 1).alias("segment"), F.lit(0).cast("long").alias("part"))
@@ -181,11 +186,12 @@ def common_prefix(a: Column, b: Column) -> Column:
 def stable_commits(df: DataFrame, key: str = "utt_id", order: str = "pass_no") -> DataFrame:
     """Sentences committed by each hypothesis: those in the common prefix of two hypotheses in a row;
     the final pass commits the rest. Rejected hypotheses must be removed before."""
-    lagged = with_scans(df, [key], [order], {"_prev": Lag(F.col("sentences"))})
+    sizes = group_sizes(df, [key])
+    lagged = with_scans(df, [key], [order], {"_prev": Lag(F.col("sentences"))}, sizes=sizes)
     stable = F.coalesce(common_prefix(F.col("_prev"), F.col("sentences")), F.lit(0))
     reach = F.when(F.col("is_final"), F.size("sentences").cast("long")).otherwise(stable)
     got = with_scans(
-        lagged.withColumn("_reach", reach), [key], [order], {"_done": RunMax(F.col("_reach"), inclusive=False)}
+        lagged.withColumn("_reach", reach), [key], [order], {"_done": RunMax(F.col("_reach"), inclusive=False)}, sizes=sizes
     )
     before = F.coalesce("_done", F.lit(0)).cast("int")
     new = F.when(
@@ -315,11 +321,12 @@ def assemble_strokes(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def stroke_points(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The points of each open stroke in order, one row per point, for drawing."""
+    sizes = group_sizes(df, keys)
     marks = with_scans(
-        df, keys, order, {"stroke_no": RunSum(F.col("type").isin("draw_begin", "draw_clear").cast("long"))}
+        df, keys, order, {"stroke_no": RunSum(F.col("type").isin("draw_begin", "draw_clear").cast("long"))}, sizes=sizes
     )
     points = marks.where(F.col("type") == "draw_point")
-    return with_scans(points, [*keys, "stroke_no"], order, {"point_no": RowNumber()})
+    return with_scans(points, [*keys, "stroke_no"], order, {"point_no": RowNumber()}, sizes=sizes)
 
 
 def lecture_sessions(
@@ -330,19 +337,20 @@ def lecture_sessions(
     A session ends at its end event, at a new start (stale), or 30 s after a disconnect that no
     other event follows in time. Only marks that open or close are aggregated per session.
     """
-    a = with_scans(df, [key], order, {"_next_ts": Lead(F.col(ts))})
+    sizes = group_sizes(df, [key])
+    a = with_scans(df, [key], order, {"_next_ts": Lead(F.col(ts))}, sizes=sizes)
     # Any later event within the grace period (a return, an end, a new start) stops the timer.
     alone = F.coalesce(F.col("_next_ts") - F.col(ts) > grace_ms, F.lit(True))
     lost = (F.col("type") == "disconnect") & alone
     closes = F.when(F.col("type") == "end", F.col(ts)).when(lost, F.col(ts) + grace_ms)
     b = a.withColumns({"_starts": (F.col("type") == "start").cast("long"), "_close": closes})
-    c = with_scans(b, [key], order, {"session_no": RunSum(F.col("_starts"))}).where("session_no > 0")
+    c = with_scans(b, [key], order, {"session_no": RunSum(F.col("_starts"))}, sizes=sizes).where("session_no > 0")
     how = F.when(F.col("type") == "end", "end").when(F.col("_close").isNotNull(), "timeout")
     spans = c.groupBy(key, "session_no").agg(
         F.min(F.when(F.col("type") == "start", F.col(ts))).alias("start_ms"),
         F.min_by(F.struct(F.col("_close").alias("at"), how.alias("how")), F.when(F.col("_close").isNotNull(), F.struct("_close", *order))).alias("_end"),
     )
-    following = with_scans(spans, [key], ["session_no"], {"_stale": Lead(F.col("start_ms"))})
+    following = with_scans(spans, [key], ["session_no"], {"_stale": Lead(F.col("start_ms"))}, sizes=sizes)
     return following.select(
         key, "session_no", "start_ms",
         F.coalesce(F.col("_end.at"), F.col("_stale")).alias("end_ms"),
@@ -375,9 +383,10 @@ def suppress_repeats(
     """
     short = (F.length(col) < max_chars) & F.col(col).rlike(courtesy)
     said = df.where(short)
-    lagged = with_scans(said, [key], order, {"_pt": Lag(F.col(col)), "_pts": Lag(F.col(ts))})
+    sizes = group_sizes(said, [key])
+    lagged = with_scans(said, [key], order, {"_pt": Lag(F.col(col)), "_pts": Lag(F.col(ts))}, sizes=sizes)
     fresh = ~F.coalesce((F.col("_pt") == F.col(col)) & (F.col(ts) - F.col("_pts") < window_ms), F.lit(False))
-    runs = with_scans(lagged.withColumn("_new", fresh.cast("long")), [key], order, {"_run": RunSum(F.col("_new"))})
+    runs = with_scans(lagged.withColumn("_new", fresh.cast("long")), [key], order, {"_run": RunSum(F.col("_new"))}, sizes=sizes)
 
     def first():
         return None
@@ -428,7 +437,8 @@ def page_ema(
 ) -> DataFrame:
     """Average page time of a stage: the first page is half baseline and half measured, then
     0.75 * previous + 0.25 * measured. An average of exactly 0 counts as not started."""
-    n = with_scans(df, keys, order, {"_n": RowNumber()})
+    sizes = group_sizes(df, keys)
+    n = with_scans(df, keys, order, {"_n": RowNumber()}, sizes=sizes)
     d = F.greatest(F.col(duration), F.lit(0.0))
     base = F.when(F.col(stage).isin(*baselines), stage_baseline(F.col(stage), baselines)).otherwise(d)
     first = F.col("_n") == 1
@@ -440,7 +450,7 @@ def page_ema(
             "_hi": F.lit(INF),
         }
     )
-    return ordered_fold(coef, keys, order, Affine(("_a", "_b", "_lo", "_hi"), "avg_seconds")).drop(
+    return ordered_fold(coef, keys, order, Affine(("_a", "_b", "_lo", "_hi"), "avg_seconds"), sizes=sizes).drop(
         "_a", "_b", "_lo", "_hi", "_n"
     )
 

@@ -192,13 +192,14 @@ def _entering(keys: list[str], fold):
 
 
 def ordered_fold(
-    df: DataFrame, keys: list[str], order: list[str], fold, limit: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], fold, limit: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Add the fold's outputs to every row."""
+    """Add the fold's outputs to every row. ``sizes``: see ``scans.with_scans``."""
     schema = T.StructType([*df.schema.fields, *fold.out_fields])
     limit = rows_per_task(df.sparkSession) if limit is None else limit
     splittable = not isinstance(fold, Sequential)
-    top, rows = group_sizes(df, keys) if splittable else (0, 0)
+    top, rows = (sizes or group_sizes(df, keys)) if splittable else (0, 0)
     if top <= limit:
         placed = df.repartition(*keys) if keys else df.repartition(1)
         return placed.sortWithinPartitions(*keys, *order).mapInPandas(_walk(keys, fold, False), schema)

@@ -197,10 +197,15 @@ def with_scans(
     order: list[str],
     scans: dict[str, Scan],
     limit: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Add one column per scan. ``order`` must be a total order within the key (ascending)."""
+    """Add one column per scan. ``order`` must be a total order within the key (ascending).
+
+    ``sizes`` is what ``group_sizes`` found for these keys (or coarser ones, an upper bound); an operator
+    of several scans counts its input once and passes it on.
+    """
     limit = rows_per_task(df.sparkSession) if limit is None else limit
-    top, rows = group_sizes(df, keys)
+    top, rows = sizes or group_sizes(df, keys)
     if top <= limit:
         part = W.partitionBy(*keys)
         return df.withColumns({n: _unwrap(s, _local(s, part, order)) for n, s in scans.items()})

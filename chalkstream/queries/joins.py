@@ -371,7 +371,7 @@ def _(spark, sf):
 @query("merge_groups")
 def _(spark, sf):
     li = B.regions(spark, sf).select(
-        F.lit("deck").alias("doc"), "page", "pos",
+        F.floor((F.col("pos") - 1) / 64).alias("doc"), "page", "pos",
         F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), F.col("pos").cast("string")).alias("block_id"),
         F.when(F.col("color") == 1, F.array(F.col("pos") + 1, F.col("pos") + 2)).otherwise(F.array().cast("array<bigint>")).alias("merge_with"),
     )
@@ -392,13 +392,14 @@ def _(spark, sf):
 
 @query(
     "select_terms",
-    with_ctes(B.TERMS, """d AS (SELECT doc_id AS page, text FROM documents UNION ALL SELECT conv_id + 1000000, text FROM conversations)""",
+    with_ctes(B.TERMS, """d AS (SELECT doc_id AS page, text FROM documents UNION ALL SELECT 1000000000000 + conv_id * 1000 + turn // 50, text FROM conversations)""",
               "j AS (SELECT page, string_agg(text, ' ' ORDER BY text) AS whole FROM d GROUP BY page)",
               """r AS (SELECT page, term, value, EXISTS (SELECT 1 FROM d WHERE d.page = j.page AND contains(d.text, term)) AS inside FROM j, terms WHERE contains(whole, term))""",
               body="""SELECT page, rank, term, value FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY inside DESC, length(term) DESC, term) AS rank FROM r) WHERE rank <= 25"""),
 )
 def _(spark, sf):
     d = B.documents(spark, sf).select(F.col("doc_id").alias("page"), "text")
-    c = table(spark, sf, "conversations").select((F.col("conv_id") + 1000000).alias("page"), "text")
+    part = F.col("conv_id") * 1000 + F.floor(F.col("turn") / 50)
+    c = table(spark, sf, "conversations").select((part + 1000000000000).alias("page"), "text")
     pages = d.unionByName(c).withColumn("pos", F.col("text"))
     return TM.select_terms(pages, B.terms(spark, sf), ["page"])

@@ -125,14 +125,14 @@ TIMEOUTS = with_ctes(
 
 @query("session_timeouts", TIMEOUTS.format(""))
 def _(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return J.session_timeouts(e, "session_id", grace="6 hours")
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return J.session_timeouts(e, "session_id", ["ts", "event_id"], grace_ms=21_600_000)
 
 
 @query("session_timeouts_stream", TIMEOUTS.format(" WHERE e // 1000 <= (SELECT max(t) // 1000 FROM us) - 60000"))
 def _(spark, sf):
     # A stream emits the stretches its watermark has closed.
-    return J.run_to_table(J.session_timeouts(_ev(spark, sf).select("session_id", "ts"), "session_id", grace="6 hours"))
+    return J.run_to_table(J.session_timeouts_stream(_ev(spark, sf).select("session_id", "ts"), "session_id", grace="6 hours"))
 
 
 @query(

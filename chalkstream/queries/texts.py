@@ -301,12 +301,12 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------------------------ prompts and answers
-TURNS = """tn AS (SELECT conv_id, turn, 'p' || conv_id || '_b' || turn AS block_id, role, text, CASE WHEN length(text) % 2 = 0 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM conversations)"""
+TURNS = """tn AS (SELECT conv_id, turn // 50 AS part, turn, 'p' || conv_id || '_b' || turn AS block_id, role, text, CASE WHEN length(text) % 2 = 0 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM conversations)"""
 
 
 def _turns(spark, sf):
     return table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("_b"), F.col("turn").cast("string")).alias("block_id"),
+        "conv_id", F.floor(F.col("turn") / 50).alias("part"), "turn", F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("_b"), F.col("turn").cast("string")).alias("block_id"),
         "role", "text", F.when(F.length("text") % 2 == 0, 0.5).otherwise(0.9).alias("confidence"),
     )
 
@@ -315,35 +315,35 @@ def _turns(spark, sf):
     "build_prompts",
     with_ctes(
         TURNS, B.TERMS,
-        r"""bd AS (SELECT conv_id, string_agg('[' || block_id || '] (' || upper(role) || CASE WHEN confidence < 0.8::DOUBLE THEN ' [LOW_CONFIDENCE_OCR]' ELSE '' END || '): ' || text, chr(10) ORDER BY turn) AS body FROM tn GROUP BY conv_id)""",
-        r"""wd AS (SELECT conv_id, turn, generate_subscripts(l, 1) AS i, unnest(l) AS word FROM (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]{4,}') AS l FROM tn)),
-wc AS (SELECT conv_id, word, min(turn * 1000000 + i) AS f FROM wd GROUP BY ALL HAVING count(*) >= 2),
-wr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY f) AS r FROM wc),
-ww AS (SELECT conv_id, string_agg(word, ', ' ORDER BY r) AS words FROM wr WHERE r <= 20 GROUP BY conv_id)""",
-        """tt AS (SELECT conv_id, string_agg('  ' || term || ' = ' || value, chr(10) ORDER BY length(term) DESC, term) AS terms FROM
-  (SELECT DISTINCT conv_id, term, value FROM tn, terms WHERE contains(text, term)) GROUP BY conv_id)""",
-        body=r"""SELECT conv_id, 'Translate the following texts to EN.' || chr(10) || chr(10)
+        r"""bd AS (SELECT conv_id, part, string_agg('[' || block_id || '] (' || upper(role) || CASE WHEN confidence < 0.8::DOUBLE THEN ' [LOW_CONFIDENCE_OCR]' ELSE '' END || '): ' || text, chr(10) ORDER BY turn) AS body FROM tn GROUP BY conv_id, part)""",
+        r"""wd AS (SELECT conv_id, part, turn, generate_subscripts(l, 1) AS i, unnest(l) AS word FROM (SELECT conv_id, part, turn, regexp_extract_all(text, '[a-z]{4,}') AS l FROM tn)),
+wc AS (SELECT conv_id, part, word, min(turn * 1000000 + i) AS f FROM wd GROUP BY ALL HAVING count(*) >= 2),
+wr AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY f) AS r FROM wc),
+ww AS (SELECT conv_id, part, string_agg(word, ', ' ORDER BY r) AS words FROM wr WHERE r <= 20 GROUP BY conv_id, part)""",
+        """tt AS (SELECT conv_id, part, string_agg('  ' || term || ' = ' || value, chr(10) ORDER BY length(term) DESC, term) AS terms FROM
+  (SELECT DISTINCT conv_id, part, term, value FROM tn, terms WHERE contains(text, term)) GROUP BY conv_id, part)""",
+        body=r"""SELECT conv_id, part, 'Translate the following texts to EN.' || chr(10) || chr(10)
   || CASE WHEN terms IS NULL THEN '' ELSE 'Terms:' || chr(10) || terms || chr(10) || chr(10) END
   || CASE WHEN words IS NULL THEN '' ELSE 'Use one term for each of: ' || words || chr(10) || chr(10) END
   || 'Rules:' || chr(10) || '1. Keep numbers.' || chr(10) || chr(10) || 'Texts:' || chr(10) || body AS prompt
-FROM bd LEFT JOIN ww USING (conv_id) LEFT JOIN tt USING (conv_id)""",
+FROM bd LEFT JOIN ww USING (conv_id, part) LEFT JOIN tt USING (conv_id, part)""",
     ),
 )
 def _(spark, sf):
     t = _turns(spark, sf)
-    used = TM.match_terms(t.select("conv_id", "text"), B.terms(spark, sf)).select("conv_id", "term", "value").distinct()
-    out = Rs.build_prompts(t, ["conv_id"], "turn", used, rules=["Keep numbers."], word_pattern="[a-z]{4,}")
-    return out.select("conv_id", "prompt")
+    used = TM.match_terms(t.select("conv_id", "part", "text"), B.terms(spark, sf)).select("conv_id", "part", "term", "value").distinct()
+    out = Rs.build_prompts(t, ["conv_id", "part"], "turn", used, rules=["Keep numbers."], word_pattern="[a-z]{4,}")
+    return out.select("conv_id", "part", "prompt")
 
 
 @query(
     "build_page_prompts",
-    r"""WITH n AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text <> ''),
-g AS (SELECT conv_id, count(*) AS total_lines, string_agg(text, ', ' ORDER BY n) FILTER (n <= 20) AS context, string_agg(n || '. ' || text, chr(10) ORDER BY n) AS b FROM n GROUP BY conv_id)
-SELECT conv_id, total_lines, context, 'Page: ' || context || chr(10) || 'Texts:' || chr(10) || b || chr(10) || 'Answer with ' || total_lines || ' lines of the form: number. translation' AS prompt FROM g""",
+    r"""WITH n AS (SELECT conv_id, turn // 50 AS part, text, row_number() OVER (PARTITION BY conv_id, turn // 50 ORDER BY turn) AS n FROM conversations WHERE text <> ''),
+g AS (SELECT conv_id, part, count(*) AS total_lines, string_agg(text, ', ' ORDER BY n) FILTER (n <= 20) AS context, string_agg(n || '. ' || text, chr(10) ORDER BY n) AS b FROM n GROUP BY conv_id, part)
+SELECT conv_id, part, total_lines, context, 'Page: ' || context || chr(10) || 'Texts:' || chr(10) || b || chr(10) || 'Answer with ' || total_lines || ' lines of the form: number. translation' AS prompt FROM g""",
 )
 def _(spark, sf):
-    return Rs.build_page_prompts(_turns(spark, sf), ["conv_id"], "turn")
+    return Rs.build_page_prompts(_turns(spark, sf), ["conv_id", "part"], "turn")
 
 
 @query(
@@ -369,7 +369,9 @@ def _(spark, sf):
     return Rs.parse_tagged_responses(answers, asked, ["doc_id"], ACCENTS)
 
 
-NUMBERED = """an AS (SELECT session_id, event_id, event_type, k, 20 + session_id % 60 AS n, session_id % 5 = 0 AS plain, count(*) OVER (PARTITION BY session_id) AS c FROM ev)"""
+# One answer holds the events of a session among 2000 event numbers in a row.
+NUMBERED = """an AS (SELECT session_id * 1000000 + event_id // 2000 AS chunk, session_id, event_id, event_type, k, 20 + session_id % 60 AS n, session_id % 5 = 0 AS plain,
+  count(*) OVER (PARTITION BY session_id, event_id // 2000) AS c FROM ev)"""
 
 
 def _answers(spark, sf):
@@ -378,7 +380,8 @@ def _answers(spark, sf):
         F.concat(F.col("k").cast("string"), F.lit(") \""), "event_type", F.lit('"'))
     )
     rows = F.sort_array(F.collect_list(F.struct("event_id", text.alias("s"))))
-    out = e.groupBy("session_id").agg(
+    chunk = F.col("session_id") * 1000000 + F.floor(F.col("event_id") / 2000)
+    out = e.groupBy("session_id", chunk.alias("chunk")).agg(
         F.array_join(F.transform(rows, lambda r: r["s"]), "\n").alias("response"), F.count(F.lit(1)).alias("c")
     )
     plain = F.col("session_id") % 10 == 0
@@ -387,11 +390,11 @@ def _answers(spark, sf):
 
 @query(
     "parse_numbered_responses",
-    with_ctes(B.EV, NUMBERED, body="""SELECT session_id, k AS line_no, max_by(event_type, event_id) AS translated FROM an WHERE NOT plain AND k BETWEEN 1 AND n GROUP BY ALL
-UNION ALL SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id), event_type FROM an WHERE plain AND (session_id % 10 = 0 OR c = n)"""),
+    with_ctes(B.EV, NUMBERED, body="""SELECT chunk, k AS line_no, max_by(event_type, event_id) AS translated FROM an WHERE NOT plain AND k BETWEEN 1 AND n GROUP BY ALL
+UNION ALL SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY event_id), event_type FROM an WHERE plain AND (session_id % 10 = 0 OR c = n)"""),
 )
 def _(spark, sf):
-    return Rs.parse_numbered_responses(_answers(spark, sf), "session_id")
+    return Rs.parse_numbered_responses(_answers(spark, sf), "chunk")
 
 
 @query(
@@ -408,7 +411,8 @@ def _(spark, sf):
     )
     item = F.when(F.col("conv_id") % 4 == 1, short).otherwise(full)
     rows = F.sort_array(F.collect_list(F.struct("turn", item.alias("s"))))
-    listed = c.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["s"]), ", ").alias("l"))
+    # One answer per 50 turns.
+    listed = c.groupBy("conv_id", F.floor(F.col("turn") / 50).alias("part")).agg(F.array_join(F.transform(rows, lambda r: r["s"]), ", ").alias("l"))
     k = F.col("conv_id") % 4
     response = (
         F.when(k == 0, F.concat(F.lit('Sure: {"blocks": ['), "l", F.lit("]} done")))
@@ -416,8 +420,8 @@ def _(spark, sf):
         .when(k == 2, F.concat(F.lit('{"note": {"a": 1}, "blocks": ['), "l", F.lit("]} {x")))
         .otherwise(F.concat(F.lit('{"blocks": ['), "l"))
     )
-    out = Rs.layout_rows(Rs.extract_json_payload(listed.select("conv_id", response.alias("response"))), ["conv_id"])
-    return out.drop("merge_with")
+    out = Rs.layout_rows(Rs.extract_json_payload(listed.select("conv_id", "part", response.alias("response"))), ["conv_id", "part"])
+    return out.drop("merge_with", "part")
 
 
 # ------------------------------------------------------------------------------ inference plumbing

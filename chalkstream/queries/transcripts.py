@@ -154,7 +154,7 @@ def _(spark, sf):
 
 
 def _nested(spark, sf):
-    """Page documents: one per order, a block per region, a line and two spans inside."""
+    """Page documents of up to 64 regions of an order, each a block with a line and three spans."""
     r = B.regions(spark, sf)
     box = F.array("x0", "y0", "x1", "y1")
     span = F.struct(F.col("text").alias("text"), F.lit("sans").alias("font"), "size", "color", F.lit(0).alias("flags"), box.alias("bbox"))
@@ -165,15 +165,15 @@ def _nested(spark, sf):
     )
     line = F.struct(box.alias("bbox"), F.array(mark, blank, span).alias("spans"))
     block = F.struct("pos", F.when(F.col("color") == 2, 1).otherwise(0).alias("type"), F.array(line).alias("lines"))
-    page = r.groupBy("page").agg(F.sort_array(F.collect_list(block)).alias("_b"))
+    page = r.groupBy("page", F.floor((F.col("pos") - 1) / 64).alias("_part")).agg(F.sort_array(F.collect_list(block)).alias("_b"))
     blocks = F.transform("_b", lambda b: F.struct(b["type"].alias("type"), b["lines"].alias("lines")))
-    return page.select(F.col("page").alias("doc_id"), F.array(F.struct(blocks.alias("blocks"))).alias("pages"))
+    return page.select((F.col("page") * 1000 + F.col("_part")).alias("doc_id"), F.array(F.struct(blocks.alias("blocks"))).alias("pages"))
 
 
 @query(
     "read_spans",
-    with_ctes(B.REGIONS, body="""SELECT page AS doc_id, CAST(pos - 1 AS INTEGER) AS block_idx, 0 AS span_idx, CASE WHEN has_bullet THEN '•' ELSE '~' END AS text, x0 FROM regions WHERE color <> 2
-UNION ALL SELECT page, CAST(pos - 1 AS INTEGER), 2, text, x0 FROM regions WHERE color <> 2"""),
+    with_ctes(B.REGIONS, body="""SELECT page * 1000 + (pos - 1) // 64 AS doc_id, CAST((pos - 1) % 64 AS INTEGER) AS block_idx, 0 AS span_idx, CASE WHEN has_bullet THEN '•' ELSE '~' END AS text, x0 FROM regions WHERE color <> 2
+UNION ALL SELECT page * 1000 + (pos - 1) // 64, CAST((pos - 1) % 64 AS INTEGER), 2, text, x0 FROM regions WHERE color <> 2"""),
 )
 def _(spark, sf):
     s = SL.read_spans(_nested(spark, sf))
@@ -182,7 +182,7 @@ def _(spark, sf):
 
 @query(
     "lines_from_spans",
-    with_ctes(B.REGIONS, body="""SELECT page AS doc_id, CAST(pos - 1 AS INTEGER) AS block_idx, CASE WHEN has_bullet THEN text ELSE '~' || text END AS text,
+    with_ctes(B.REGIONS, body="""SELECT page * 1000 + (pos - 1) // 64 AS doc_id, CAST((pos - 1) % 64 AS INTEGER) AS block_idx, CASE WHEN has_bullet THEN text ELSE '~' || text END AS text,
   CASE WHEN has_bullet THEN x0 + 5 ELSE x0 END AS x0, x1, has_bullet FROM regions WHERE color <> 2"""),
 )
 def _(spark, sf):

@@ -14,7 +14,9 @@ from ..operators import gates as G
 from ..operators import inference as I
 from ..operators import transforms as X
 from ..operators import windows as Wn
-from ..plans.folds import Sequential
+from ..plans.folds import Affine, Sequential, ordered_fold
+from ..plans.scans import Lag, Lead, RunSum, with_scans
+from ..plans.sizes import group_sizes
 from ..session import checkpoint_dir
 from .stateful import stateful_fold
 
@@ -135,9 +137,6 @@ def adaptive_delay_stream(stream: DataFrame, keys: list[str], order: list[str],
 
 def listener_delay(df: DataFrame, key: str, order: list[str], tts_start: float = 600.0, alpha: float = 0.2) -> DataFrame:
     """Batch twin of the delay stream, from scans and affine folds."""
-    from ..plans.folds import Affine, ordered_fold
-    from ..plans.scans import Lag, with_scans
-
     heard = F.coalesce(F.col("tts_ms") >= 0, F.lit(False))
     coef = df.withColumns(
         {
@@ -145,11 +144,13 @@ def listener_delay(df: DataFrame, key: str, order: list[str], tts_start: float =
             "_lo": F.lit(-Wn.INF), "_hi": F.lit(Wn.INF),
         }
     )
-    ewma = ordered_fold(coef, [key], order, Affine(("_a", "_b", "_lo", "_hi"), "_tts", tts_start))
-    before = with_scans(ewma, [key], order, {"_was": Lag(F.col("_tts"))})
+    sizes = group_sizes(df, [key])
+    ewma = ordered_fold(coef, [key], order, Affine(("_a", "_b", "_lo", "_hi"), "_tts", tts_start), sizes=sizes)
+    before = with_scans(ewma, [key], order, {"_was": Lag(F.col("_tts"))}, sizes=sizes)
     needed = F.greatest(F.col("lag_ms") + F.coalesce("_was", F.lit(tts_start)), F.lit(0.0))
     rows = before.withColumn("needed_ms", needed).drop("_a", "_b", "_lo", "_hi", "_tts", "_was")
-    return Wn.adaptive_delay(Wn.delay_target(rows, key, order), key, order).drop("target_ms")
+    targets = Wn.delay_target(rows, key, order, sizes=sizes)
+    return Wn.adaptive_delay(targets, key, order, sizes=sizes).drop("target_ms")
 
 
 def repeat_step(window_ms: int = 30_000, max_chars: int = 15) -> Sequential:
@@ -179,23 +180,31 @@ def suppress_repeats_stream(
     return stateful_fold(marked, keys, order, repeat_step(window_ms, max_chars), event_time, window_ms).drop("short")
 
 
-def session_timeouts(df: DataFrame, key: str, ts: str = "ts", grace: str = "30 seconds", late: str = "1 minute") -> DataFrame:
+def session_timeouts_stream(df: DataFrame, key: str, ts: str = "ts", grace: str = "30 seconds", late: str = "1 minute") -> DataFrame:
     """Stretches of life signs with no silence of the grace period; each ends one grace period after
-    its last sign. One function for batch and stream."""
-    watermarked = df.withWatermark(ts, late) if df.isStreaming else df
+    its last sign and is emitted once the watermark has passed that. Twin: ``session_timeouts``."""
     return (
-        watermarked.groupBy(key, F.session_window(ts, grace).alias("_w"))
+        df.withWatermark(ts, late).groupBy(key, F.session_window(ts, grace).alias("_w"))
         .agg(F.count(F.lit(1)).alias("signs"))
-        .select(
-            key, F.unix_millis("_w.start").alias("start_ms"), F.unix_millis("_w.end").alias("end_ms"), "signs"
-        )
+        .select(key, F.unix_millis("_w.start").alias("start_ms"), F.unix_millis("_w.end").alias("end_ms"), "signs")
     )
 
 
+def session_timeouts(df: DataFrame, key: str, order: list[str], ts: str = "ts", grace_ms: int = 30_000) -> DataFrame:
+    """The batch form, from scans, so that a session of any length is cut over tasks."""
+    sizes = group_sizes(df, [key])
+    micros = df.withColumn("_us", F.unix_micros(F.col(ts)))
+    a = with_scans(micros, [key], order, {"_was": Lag(F.col("_us"))}, sizes=sizes)
+    new = F.coalesce(F.col("_us") - F.col("_was") >= grace_ms * 1000, F.lit(True)).cast("long")
+    b = with_scans(a.withColumn("_new", new), [key], order, {"_n": RunSum(F.col("_new"))}, sizes=sizes)
+    return b.groupBy(key, "_n").agg(
+        F.floor(F.min("_us") / 1000).alias("start_ms"), F.floor((F.max("_us") + grace_ms * 1000) / 1000).alias("end_ms"),
+        F.count(F.lit(1)).alias("signs"),
+    ).drop("_n")
+
+
 def missed_pongs(df: DataFrame, key: str, order: list[str], ts: str = "ts_ms", wait_ms: int = 10_000) -> DataFrame:
     """Pings with no pong within the wait: the connection is dead."""
-    from ..plans.scans import Lead, with_scans
-
     out = with_scans(df, [key], order, {"_t": Lead(F.col("type")), "_at": Lead(F.col(ts))})
     answered = (F.col("_t") == "pong") & (F.col("_at") - F.col(ts) <= wait_ms)
     return out.where(F.col("type") == "ping").withColumn("missed", ~F.coalesce(answered, F.lit(False))).drop("_t", "_at")
