@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio, boxes
 from ..functions import text as T
+from ..functions.generate import rows_of
 from .. import params as P
 from ..plans.scans import RowNumber, with_scans
 
@@ -82,9 +83,8 @@ def repeated_words(
     min_count: int = 2, limit: int | None = 20,
 ) -> DataFrame:
     """Script words that occur at least twice, in first-seen order; ``limit=None`` keeps all."""
-    found = df.select(
-        key, F.col(pos), F.posexplode(F.regexp_extract_all(F.col(col), F.lit(f"({pattern})"), F.lit(1))).alias("_i", "word")
-    )
+    matches = F.regexp_extract_all(F.col(col), F.lit(f"({pattern})"), F.lit(1))
+    found = rows_of(df, matches, "_i", "word", [key, pos])
     counted = (
         found.groupBy(key, "word")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(pos), F.col("_i"))).alias("_first"))

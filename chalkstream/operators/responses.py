@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import text as T
 from ..functions.strict_json import is_json
+from ..functions.generate import rows_of
 from .aggregates import repeated_words
 from .gates import gate_translations, kept_rows
 from .joins import known_responses
@@ -109,7 +110,7 @@ def tagged_pairs(responses: DataFrame, col: str = "response") -> DataFrame:
     )
     kind = "array<struct<id:string,text:string>>"
     pairs = F.when(F.size(ids) > 0, blocks.cast(kind)).otherwise(by_line.cast(kind))
-    out = responses.select("*", F.posexplode(pairs).alias("pos", "_p"))
+    out = rows_of(responses, pairs, "pos", "_p")
     return out.withColumns(
         {"block_id": T.strip(F.col("_p.id")), "translated": cleaned_answer(F.col("_p.text"))}
     ).drop("_p")
@@ -128,7 +129,7 @@ def parse_numbered_responses(
     """``n. text`` lines as rows with n in 1..N, the last of equal numbers. Plain lines are used by
     order only if no line in range is numbered and there are exactly N of them."""
     lines = F.filter(F.transform(F.split(F.col(col), "\n"), lambda x: T.strip(x)), lambda x: x != "")
-    rows = responses.select(key, total, F.posexplode(lines).alias("pos", "line"))
+    rows = rows_of(responses, lines, "pos", "line", [key, total])
     form = r"^(\d+)\s*[\.:\)\-]\s*(.+)$"
     unquote = lambda c: F.regexp_replace(T.strip(c), "^[\"']+|[\"']+$", "")
     num = F.regexp_extract("line", form, 1)
@@ -193,7 +194,7 @@ def extract_json_payload(df: DataFrame, col: str = "response") -> DataFrame:
 
 def layout_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per layout entry; of entries with one index the last counts."""
-    rows = df.select(*keys, F.posexplode("payload_blocks").alias("_pos", "_b")).where("_b.idx is not null")
+    rows = rows_of(df, F.col("payload_blocks"), "_pos", "_b", keys).where("_b.idx is not null")
     last = rows.groupBy(*keys, F.col("_b.idx").alias("idx")).agg(F.max_by("_b", "_pos").alias("_b"))
     return last.select(
         *keys, "idx",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import boxes, clock
 from ..functions import text as T
+from ..functions.generate import rows_of
 
 _INLINE = "mark|b|i|em|strong|u|s|sub|sup|span|div|font"
 _SYMBOL_CHAR = r"[\p{So}\p{Sm}\p{Sk}\x{2600}-\x{27BF}\x{1F300}-\x{1F9FF}]"
@@ -108,20 +109,25 @@ def separate_prefix(df: DataFrame, col: str = "text") -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, pieces: Column, flag: Column | None = None) -> DataFrame:
+def _spread(df: DataFrame, pieces: Column) -> DataFrame:
     """Explode text pieces that cover a text end to end, each with its share of the box."""
-    lens = F.transform("_pieces", lambda p: F.length(p))
-    total = F.aggregate("_lens", F.lit(0), lambda a, x: a + x)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, p: Column) -> Column:
+        return F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts"))
+
     out = (
-        df.withColumn("_pieces", pieces).withColumn("_lens", lens).withColumn("_total", total)
-        .select("*", F.posexplode("_pieces").alias("piece_no", "piece"))
-        .withColumn("_before", F.aggregate(F.slice("_lens", 1, F.col("piece_no")), F.lit(0), lambda a, x: a + x))
+        df.withColumn("_pieces", pieces).withColumn("_run", F.aggregate("_pieces", none, step))
+        .withColumn("_z", F.arrays_zip(F.col("_pieces").alias("piece"), F.col("_run.starts").alias("at")))
+        .withColumn("_total", F.col("_run.at"))
     )
-    step = boxes.width() / F.col("_total")
-    x0 = F.col("x0")
+    out = rows_of(out, F.col("_z"), "piece_no", "_z1", [*df.columns, "_total"]).withColumns(
+        {"piece": F.col("_z1.piece"), "_at": F.col("_z1.at")}
+    )
+    step_width, x0 = boxes.width() / F.col("_total"), F.col("x0")
     return out.withColumns(
-        {"piece_x0": x0 + F.col("_before") * step, "piece_x1": x0 + (F.col("_before") + F.length("piece")) * step}
-    ).drop("_pieces", "_lens", "_total", "_before")
+        {"piece_x0": x0 + F.col("_at") * step_width, "piece_x1": x0 + (F.col("_at") + F.length("piece")) * step_width}
+    ).drop("_z1", "_at", "_total")
 
 
 def split_wide_gaps(df: DataFrame, col: str = "text", gap: int = 8) -> DataFrame:
@@ -157,7 +163,7 @@ def split_breaks(df: DataFrame, col: str = "text") -> DataFrame:
     c = F.col(col)
     parts = F.filter(F.transform(F.split(c, r"(?i)<br\s*/?>"), lambda p: T.strip(p)), lambda p: p != "")
     lines = F.when(F.lower(c).contains("<br>"), parts).otherwise(F.array(c))
-    return df.select("*", F.posexplode(lines).alias("line_no", "line"))
+    return rows_of(df, lines, "line_no", "line")
 
 
 def join_breaks(df: DataFrame, keys: list[str], line: str = "line", pos: str = "line_no") -> DataFrame:
@@ -173,7 +179,7 @@ def sentences(c: Column) -> Column:
 
 
 def split_sentences(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.select("*", F.posexplode(sentences(F.col(col))).alias("sentence_no", "sentence"))
+    return rows_of(df, sentences(F.col(col)), "sentence_no", "sentence")
 
 
 def phrases(c: Column, max_words: int = 4) -> Column:
@@ -198,9 +204,7 @@ def split_phrases(df: DataFrame, col: str = "text", max_words: int = 4) -> DataF
 def quoted_strings(df: DataFrame, col: str = "text", script: str = P.HANGUL) -> DataFrame:
     """Quoted strings that hold the source script."""
     pattern = f"[\"']([^\"']*?[{script}]+[^\"']*?)[\"']"
-    return df.select(
-        "*", F.posexplode(F.regexp_extract_all(F.col(col), F.lit(pattern), F.lit(1))).alias("quote_no", "quoted")
-    )
+    return rows_of(df, F.regexp_extract_all(F.col(col), F.lit(pattern), F.lit(1)), "quote_no", "quoted")
 
 
 def time_format(df: DataFrame, col: str = "t_offset") -> DataFrame:
@@ -258,7 +262,10 @@ def fit_audit(
             "_d": F.least(F.col("y1") + boxes.height() * down, F.col("page_height") - margin),
         }
     )
-    powers = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda k: F.col("size") * F.pow(F.lit(shrink), k))
+    # No more steps than the way from the size down to the minimum takes.
+    n = F.ceil(F.log(F.col("_min") / F.col("size")) / F.log(F.lit(shrink))).cast("int")
+    at = F.sequence(F.lit(0), F.greatest(n, F.lit(0)))
+    powers = F.transform(at, lambda k: F.col("size") * F.pow(F.lit(shrink), k))
     steps = F.filter(powers, lambda s: s >= F.col("_min"))
     sizes = F.when(
         (F.size(steps) == 0) | (F.element_at(steps, -1) > F.col("_min")), F.concat(steps, F.array(F.col("_min")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..functions.generate import rows_of
 from ..plans.sizes import spread
 from ..plans.scans import RowNumber, RunSum, with_scans
 from ..session import table
@@ -68,7 +69,7 @@ LINES = """lines AS (
 
 def lines(spark, sf) -> DataFrame:
     docs = documents(spark, sf)
-    out = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    out = rows_of(docs, F.split("text", "\n"), "line_no", "line", ["doc_id", "lang"]).withColumnRenamed("line", "text")
     return out.withColumn("line_no", F.col("line_no").cast("long"))
 
 
@@ -79,10 +80,9 @@ TERMS = """terms AS (
 
 
 def terms(spark, sf) -> DataFrame:
-    words = table(spark, sf, "benchmark").select(
-        F.explode(F.regexp_extract_all("text", F.lit("([a-z]{6,})"), F.lit(1))).alias("term")
-    )
-    return words.distinct().withColumn("value", F.upper("term"))
+    found = F.regexp_extract_all("text", F.lit("([a-z]{6,})"), F.lit(1))
+    words = rows_of(table(spark, sf, "benchmark"), found, "_no", "term", [])
+    return words.select("term").distinct().withColumn("value", F.upper("term"))
 
 
 # --- events: session per user, milliseconds, number from props ------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.generate import rows_of
 from ..operators import aggregates as A
 from ..operators import gates as G
 from ..operators import ranking as R
@@ -687,9 +688,8 @@ h AS (SELECT doc_id, string_agg(t, ', ' ORDER BY n) AS hint FROM r WHERE n <= 32
 SELECT doc_id, CASE WHEN length(hint) > 280 THEN trim(regexp_replace(substr(hint, 1, 280), '^(.*),.*$', '\1')) ELSE hint END AS hint FROM h""",
 )
 def _(spark, sf):
-    d = B.documents(spark, sf).select(
-        "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([a-z]{7,})"), F.lit(1))).alias("pos", "term")
-    )
+    found = F.regexp_extract_all("text", F.lit("([a-z]{7,})"), F.lit(1))
+    d = rows_of(B.documents(spark, sf), found, "pos", "term", ["doc_id"])
     return TM.hint_terms(d, ["doc_id"], "pos")
 
 
