@@ -245,6 +245,21 @@ def _differs() -> Column:
     return T.any_of([F.col(c) != F.col(f"{c}_o") for c in boxes.BOX])
 
 
+PAGE_PAIRS = 64  # pages with at most this many distinct boxes are compared box by box
+
+
+def _with_neighbours(every: DataFrame, asked: DataFrame, page: list[str], test: Column, grid) -> DataFrame:
+    """Boxes of ``asked`` for which another box of the page passes ``test``. On pages of ordinary size a
+    box meets at most ``PAGE_PAIRS`` others; larger pages go through ``grid(every, asked)``."""
+    here = [*page, *boxes.BOX]
+    size = every.groupBy(*page).agg(F.count(F.lit(1)).alias("_n"))
+    small, large = size.where(F.col("_n").between(2, PAGE_PAIRS)), size.where(F.col("_n") > PAGE_PAIRS)
+    others = every.join(small.select(*page), page, "left_semi").select(*page, *[F.col(c).alias(f"{c}_o") for c in boxes.BOX])
+    direct = asked.join(others, page).where(_differs() & test).select(*here)
+    crowded = grid(every.join(large.select(*page), page, "left_semi"), asked.join(large.select(*page), page, "left_semi"))
+    return direct.unionByName(crowded).distinct()
+
+
 def near_boxes(df: DataFrame, page: list[str], distance: float, asked: DataFrame | None = None) -> DataFrame:
     """Distinct boxes (of ``asked``, else all) that have another, different box with its centre nearer
     than ``distance``. Equal boxes never count, so copies are met once.
@@ -254,24 +269,32 @@ def near_boxes(df: DataFrame, page: list[str], distance: float, asked: DataFrame
     """
     here = [*page, *boxes.BOX]
     fine = distance / 1.5
+    every = df.select(*here).distinct()
+    center = {"_cx": boxes.center_x(), "_cy": boxes.center_y()}
+
+    def distance_to(ox: Column, oy: Column) -> Column:
+        return F.sqrt(F.pow(boxes.center_x() - ox, 2) + F.pow(boxes.center_y() - oy, 2))
 
     def placed(d: DataFrame) -> DataFrame:
-        return d.select(*here).distinct().withColumns({"_cx": boxes.center_x(), "_cy": boxes.center_y()}).withColumns(
+        return d.withColumns(center).withColumns(
             {"_fx": F.floor(F.col("_cx") / fine), "_fy": F.floor(F.col("_cy") / fine)}
         )
 
-    grid = placed(df)
-    crowd = grid.groupBy(*page, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_crowd"))
-    marked = (grid if asked is None else placed(asked)).join(crowd, [*page, "_fx", "_fy"])
-    settled = marked.where("_crowd > 1").select(*here)
-    single = _near_cells(marked.where("_crowd = 1"), F.col("_cx"), F.col("_cy"), F.lit(distance), F.lit(distance))
-    others = grid.select(
-        *page, F.floor(F.col("_cx") / (2 * distance)).alias("_px"), F.floor(F.col("_cy") / (2 * distance)).alias("_py"),
-        *[F.col(c).alias(f"{c}_o") for c in (*boxes.BOX, "_cx", "_cy")],
-    )
-    gap = F.sqrt(F.pow(F.col("_cx") - F.col("_cx_o"), 2) + F.pow(F.col("_cy") - F.col("_cy_o"), 2))
-    found = single.join(others, [*page, "_px", "_py"]).where(_differs() & (gap < distance)).select(*here)
-    return settled.unionByName(found).distinct()
+    def grid(every: DataFrame, asked: DataFrame) -> DataFrame:
+        all_boxes = placed(every)
+        crowd = all_boxes.groupBy(*page, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_crowd"))
+        marked = placed(asked).join(crowd, [*page, "_fx", "_fy"])
+        settled = marked.where("_crowd > 1").select(*here)
+        single = _near_cells(marked.where("_crowd = 1"), F.col("_cx"), F.col("_cy"), F.lit(distance), F.lit(distance))
+        others = all_boxes.select(
+            *page, F.floor(F.col("_cx") / (2 * distance)).alias("_px"), F.floor(F.col("_cy") / (2 * distance)).alias("_py"),
+            *[F.col(c).alias(f"{c}_o") for c in (*boxes.BOX, "_cx", "_cy")],
+        )
+        close = distance_to(F.col("_cx_o"), F.col("_cy_o")) < distance
+        return settled.unionByName(single.join(others, [*page, "_px", "_py"]).where(_differs() & close).select(*here))
+
+    test = distance_to((F.col("x0_o") + F.col("x1_o")) / 2, (F.col("y0_o") + F.col("y1_o")) / 2) < distance
+    return _with_neighbours(every, every if asked is None else asked.select(*here).distinct(), page, test, grid)
 
 
 def isolated_regions(
@@ -308,9 +331,18 @@ def aligned_boxes(df: DataFrame, page: list[str], t: float, asked: DataFrame | N
         out = d.withColumn("_t", F.explode(F.array(*per_test))).select(*here, "_t.*")
         return out.withColumns({"_fx": F.floor(F.col("a") / F.col("la")), "_fy": F.floor(F.col("b") / F.col("lb"))})
 
+    def grid(every: DataFrame, asked: DataFrame) -> DataFrame:
+        return _aligned_on_grid(rows(every, False), rows(asked, True), page)
+
     every = df.select(*here).distinct()
-    mine = rows(every if asked is None else asked.select(*here).distinct(), True)
-    other = rows(every, False)
+    test = T.any_of(
+        [(F.abs(F.col(a) - F.col(f"{oa}_o")) < la) & (F.abs(F.col(b) - F.col(f"{ob}_o")) < lb) for a, oa, la, b, ob, lb in tests]
+    )
+    return _with_neighbours(every, every if asked is None else asked.select(*here).distinct(), page, test, grid)
+
+
+def _aligned_on_grid(other: DataFrame, mine: DataFrame, page: list[str]) -> DataFrame:
+    here = [*page, *boxes.BOX]
     # Inside one cell as wide as the limits any two edges are close: two boxes of the other side in the
     # own cell settle a test by a count. Only the rows still open meet others one by one.
     cell = [*page, "test", "_fx", "_fy"]
@@ -324,7 +356,7 @@ def aligned_boxes(df: DataFrame, page: list[str], t: float, asked: DataFrame | N
     )
     close = (F.abs(F.col("a") - F.col("_oa")) < F.col("la")) & (F.abs(F.col("b") - F.col("_ob")) < F.col("lb"))
     met = single.join(others, [*page, "test", "_px", "_py"]).where(_differs() & close).select(*here)
-    return settled.unionByName(met).distinct()
+    return settled.unionByName(met)
 
 
 def classify_constraint(

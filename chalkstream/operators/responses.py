@@ -95,7 +95,8 @@ def cleaned_answer(c: Column) -> Column:
 def tagged_pairs(responses: DataFrame, col: str = "response") -> DataFrame:
     """(block_id, translated) pairs of an answer, by blocks; by lines where no block is found."""
     c = F.col(col)
-    pattern = F.lit(r"(?s)\[([^\]]+)\](?:\s*\([^)]+\))?:\s*(.+?)(?=\n\[|\z)")
+    # A block runs to the next line that opens with a bracket; possessive, so long answers need no stack.
+    pattern = F.lit(r"\[([^\]]+)\](?:\s*\([^)]+\))?:\s*([^\n]+(?:\n(?!\[)[^\n]*)*+)")
     ids, texts = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
     blocks = F.arrays_zip(ids.alias("id"), texts.alias("text"))
     lines = F.filter(

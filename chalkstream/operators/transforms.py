@@ -284,7 +284,8 @@ def fit_audit(
                 spare(x1, y1, s).alias("spare"),
             ),
         )
-        return F.get(F.filter(tried, lambda c: c["spare"] >= 0), F.lit(0))
+        # Smaller text never needs more room: where the smallest size fails, no size fits.
+        return F.when(spare(x1, y1, F.col("_min")) >= 0, F.get(F.filter(tried, lambda c: c["spare"] >= 0), F.lit(0)))
 
     # A later box is tried only where the earlier ones failed, and the smaller sizes of the own box only
     # where the original size did not fit.
