@@ -264,7 +264,35 @@ def _(spark, sf):
     return X.quoted_strings(d, script="a-z").select("doc_id", "quote_no", "quoted")
 
 
-@query("fit_audit")
+ROLE = """CASE WHEN has_bullet THEN 'bullet' WHEN y0 / page_height < 0.15::DOUBLE AND size >= 20 THEN 'title'
+    WHEN size >= 16 AND abs((x0 + x1) / 2 - page_width / 2) < page_width * 0.15::DOUBLE THEN 'heading'
+    WHEN y0 / page_height > 0.85::DOUBLE AND size <= 10 THEN 'footer' WHEN y0 / page_height > 0.85::DOUBLE THEN 'source'
+    WHEN size <= 10 THEN 'caption' ELSE 'body' END"""
+
+
+@query(
+    "fit_audit",
+    with_ctes(
+        B.REGIONS, f"""r AS (SELECT *, text || ' ' || text AS t, {ROLE} AS role, color <> 0 AS ex FROM regions),
+p AS (SELECT *, CASE role WHEN 'title' THEN 10.0::DOUBLE WHEN 'heading' THEN 8 WHEN 'body' THEN 6 WHEN 'bullet' THEN 6 ELSE 5 END AS mn,
+  CASE role WHEN 'title' THEN 0.5::DOUBLE WHEN 'heading' THEN 0.6::DOUBLE WHEN 'body' THEN 0.8::DOUBLE WHEN 'bullet' THEN 0.8::DOUBLE WHEN 'caption' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS rr,
+  CASE role WHEN 'title' THEN 0.3::DOUBLE WHEN 'heading' THEN 0.4::DOUBLE WHEN 'body' THEN 0.8::DOUBLE WHEN 'bullet' THEN 0.6::DOUBLE WHEN 'caption' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS dr FROM r),
+q AS (SELECT *, least(x1 + (x1 - x0) * rr, page_width - 10) AS mr, least(y1 + (y1 - y0) * dr, page_height - 10) AS mb, list_transform(string_split(t, ' '), lambda w: length(w)) AS ws,
+  list_filter(list_transform(range(0, 30), lambda k: size * pow(0.9::DOUBLE, k)), lambda s: s >= mn) AS ss FROM p),
+q2 AS (SELECT *, CASE WHEN len(ss) = 0 OR ss[-1] > mn THEN list_append(ss, mn) ELSE ss END AS sizes FROM q),
+c AS (SELECT page, pos, box, x0, y0, ws, CASE box WHEN 0 THEN x1 ELSE mr END AS bx, CASE box WHEN 2 THEN mb ELSE y1 END AS bot, generate_subscripts(sizes, 1) AS k, unnest(sizes) AS s
+  FROM q2, (SELECT unnest([0, 1, 2]) AS box) WHERE ex OR box = 0),
+d AS (SELECT *, list_reduce(list_prepend({{'cur': 0::BIGINT, 'n': 0::BIGINT}}, list_transform(ws, lambda w: {{'cur': w, 'n': 0::BIGINT}})), lambda a, w:
+    CASE WHEN (a.cur + CASE WHEN a.cur > 0 THEN 1 ELSE 0 END + w.cur) * (s * 0.65::DOUBLE) <= bx - x0 THEN {{'cur': a.cur + CASE WHEN a.cur > 0 THEN 1 ELSE 0 END + w.cur, 'n': a.n}}
+         WHEN w.cur * (s * 0.65::DOUBLE) > bx - x0 THEN {{'cur': 0::BIGINT, 'n': a.n + CASE WHEN a.cur > 0 THEN 1 ELSE 0 END + 1}}
+         ELSE {{'cur': w.cur, 'n': a.n + CASE WHEN a.cur > 0 THEN 1 ELSE 0 END}} END) AS st FROM c),
+e AS (SELECT *, (bot - y0) - (st.n + CASE WHEN st.cur > 0 THEN 1 ELSE 0 END) * s * 1.3::DOUBLE AS spare FROM d),
+g AS (SELECT page, pos, arg_min({{'b': box, 'x': bx, 'y': bot, 's': s, 'f': spare}}, (box, k)) AS v FROM e WHERE spare >= 0 GROUP BY page, pos)""",
+        body="""SELECT page, pos, v IS NOT NULL AS fits, CAST(coalesce(v.b, CASE WHEN ex THEN 2 ELSE 0 END) AS INTEGER) AS fit_box, round(coalesce(v.x, CASE WHEN ex THEN mr ELSE x1 END), 4) AS fit_x1,
+  round(coalesce(v.y, CASE WHEN ex THEN mb ELSE y1 END), 4) AS fit_y1, round(coalesce(v.s, mn), 4) AS fit_size, round(coalesce(v.f, -1), 4) AS fit_spare
+FROM q2 LEFT JOIN g USING (page, pos)""",
+    ),
+)
 def _(spark, sf):
     r = G.infer_roles(B.regions(spark, sf)).withColumn("expand_allowed", F.col("color") != 0)
     out = X.fit_audit(r.withColumn("text", F.concat_ws(" ", "text", "text")))
@@ -278,20 +306,60 @@ def _rules():
     return {"principle": r"^(?:red|blue)\s[a-m]", "option": "^[a-d][a-z]+ [a-f]", "section": "ring|bolt"}
 
 
-@query("group_lines")
+# Lines of the order's regions, drawn together so that they follow each other.
+GROUPED = rf"""rg AS (SELECT * REPLACE (y0 / 6 AS y0, y0 / 6 + 12 AS y1) FROM regions),
+ro AS (SELECT *, {ROLE} AS role FROM rg),
+fl AS (SELECT *, length(trim(text)) <= 20 AND size <= 14 AND role IN ('body', 'caption') AND y0 / page_height >= 0.15::DOUBLE AND y0 / page_height <= 0.85::DOUBLE AS dia,
+   regexp_matches(text, '^(red|blue)\s[a-m]') AS pri, regexp_matches(text, '^[a-d][a-z]+ [a-f]') AS opt,
+   (regexp_matches(text, 'ring|bolt') AND length(trim(regexp_extract(text, '^.*?(?:ring|bolt)(.*)$', 1))) >= 5 AND NOT regexp_matches(text, '^(red|blue)\s[a-m]'))
+     OR (text LIKE '%?' AND length(text) < 50) AS sec,
+   regexp_matches(text, '[\.!\?]$') AS fin, regexp_matches(text, '^[a-z]') AS cont FROM ro),
+lg AS (SELECT *, row_number() OVER w AS rn, lag(y1) OVER w AS py1, lag(x0) OVER w AS px0, lag(size) OVER w AS psize, lag(color) OVER w AS pcolor,
+   lag(block_idx) OVER w AS pblock, lag(dia) OVER w AS pdia, lag(fin) OVER w AS pfin FROM fl WINDOW w AS (PARTITION BY page ORDER BY y0, x0, pos)),
+cd AS (SELECT *, y0 - py1 > -5 AND y0 - py1 < psize * 1.2::DOUBLE * 1.8::DOUBLE AS cl, abs(x0 - px0) < 30 AS sim, x0 - px0 > 0 AND x0 - px0 < 100 AS ind,
+   abs(size - psize) < 2 AS sz, color = pcolor AS col FROM lg),
+st AS (SELECT page, pos, rn, opt AS ho, has_bullet AS hb, 1::BIGINT AS group_no FROM cd WHERE rn = 1
+  UNION ALL SELECT page, pos, rn, CASE WHEN new THEN opt ELSE ho END, CASE WHEN new THEN has_bullet ELSE hb END, g + CASE WHEN new THEN 1 ELSE 0 END FROM (
+    SELECT c.page, c.pos, c.rn, c.opt, c.has_bullet, s.ho, s.hb, s.group_no AS g,
+      CASE WHEN c.dia OR c.pdia OR c.pri OR c.opt THEN TRUE WHEN c.sec THEN NOT c.cont
+        WHEN s.ho AND NOT c.pfin AND c.cl THEN FALSE
+        WHEN c.role IN ('title', 'heading') THEN NOT (NOT c.pfin AND c.cl AND c.sz)
+        WHEN c.has_bullet THEN TRUE WHEN s.hb AND NOT c.pfin AND c.cl AND c.sz THEN FALSE
+        WHEN c.block_idx = c.pblock AND c.cl AND (c.sim OR c.ind) THEN NOT (c.sz AND c.col AND (NOT c.pfin OR c.cont))
+        WHEN c.cl AND c.ind AND NOT c.pfin THEN NOT (c.sz AND c.col) ELSE TRUE END AS new
+    FROM st s JOIN cd c ON c.page = s.page AND c.rn = s.rn + 1))"""
+
+
+@query("group_lines", "WITH RECURSIVE " + B.REGIONS + ",\n" + GROUPED + """
+SELECT page, pos, group_no, FALSE AS is_symbol, has_bullet AS is_bullet FROM st JOIN fl USING (page, pos)""")
 def _(spark, sf):
-    r = G.line_role(B.regions(spark, sf).withColumn("y0", F.col("y0") / 4).withColumn("y1", F.col("y0") + 12))
+    r = G.line_role(B.regions(spark, sf).withColumn("y0", F.col("y0") / 6).withColumn("y1", F.col("y0") + 12))
     return L.group_lines(r, ["page"], ["pos"], **_rules()).select("page", "pos", "group_no", "is_symbol", "is_bullet")
 
 
-@query("paragraphs")
+@query("paragraphs", "WITH RECURSIVE " + B.REGIONS + ",\n" + GROUPED + """
+SELECT page, group_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines, string_agg(text, ' ' ORDER BY y0, x0, pos) AS text,
+  CASE WHEN count(*) > 1 THEN CASE WHEN arg_min(has_bullet, (y0, x0, pos)) THEN 'bullet' ELSE 'body' END ELSE min(role) END AS role, count(DISTINCT color) > 1 AS has_multi_color
+FROM st JOIN fl USING (page, pos) GROUP BY page, group_no""")
 def _(spark, sf):
-    r = B.regions(spark, sf).withColumn("y0", F.col("y0") / 4).withColumn("y1", F.col("y0") + 12).withColumn("font", F.lit("sans"))
+    r = B.regions(spark, sf).withColumn("y0", F.col("y0") / 6).withColumn("y1", F.col("y0") + 12).withColumn("font", F.lit("sans"))
     out = L.paragraphs(G.line_role(r), ["page"], ["pos"], **_rules())
     return out.select("page", "group_no", "x0", "y0", "x1", "y1", "n_lines", "text", "role", "has_multi_color")
 
 
-@query("merge_adjacent")
+@query(
+    "merge_adjacent",
+    "WITH RECURSIVE " + B.REGIONS + r""", mg AS (SELECT page, pos, text, x0 / 8 AS x0, y0 / 20 AS y0, x1, y0 / 20 + 12 AS y1, confidence, confidence < 0.1::DOUBLE AS skip,
+   row_number() OVER (PARTITION BY page ORDER BY y0 / 20, x0 / 8, pos) AS rn FROM regions),
+f AS (SELECT page, pos, rn, 1::BIGINT AS merge_no, rtrim(text) AS t, x0 AS left0, y1, skip FROM mg WHERE rn = 1
+  UNION ALL SELECT page, pos, rn, n + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN rtrim(t) || ' ' || ltrim(text) ELSE text END,
+    CASE WHEN joins THEN least(left0, x0) ELSE x0 END, y1, CASE WHEN joins THEN FALSE ELSE skip END FROM (
+    SELECT m.*, f.merge_no AS n, f.t, f.left0, m.y0 - f.y1 BETWEEN 0 AND 20 AND abs(m.x0 - f.left0) < 50 AND NOT f.skip AND NOT m.skip
+      AND regexp_matches(rtrim(f.t), '[a-z]$') AND NOT regexp_matches(rtrim(f.t), '(?:t|r)$') AS joins
+    FROM f JOIN mg m ON m.page = f.page AND m.rn = f.rn + 1))
+SELECT page, merge_no, arg_max(f.t, f.rn) AS text, count(*) AS n_regions, min(mg.x0) AS x0, arg_min(mg.y0, f.rn) AS y0, max(mg.x1) AS x1, arg_max(mg.y1, f.rn) AS y1, min(confidence) AS confidence
+FROM f JOIN mg USING (page, pos) GROUP BY page, merge_no""",
+)
 def _(spark, sf):
     r = B.regions(spark, sf).withColumns(
         {"x0": F.col("x0") / 8, "y0": F.col("y0") / 20, "skip_translate": F.col("confidence") < 0.1}

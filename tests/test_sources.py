@@ -169,3 +169,14 @@ def test_splits(spark):
     assert X.strip_markup(m, math=True).first().plain == "x → y"
     n = spark.createDataFrame([(1, "“a” – b… ⇒ ⇔：")], "id int, text string")
     assert X.normalize_unicode(n).first().normalized == '"a" - b... -> <->:'
+
+
+def test_sort_library(spark):
+    from chalkstream.operators.ranking import sort_library
+
+    df = spark.createDataFrame(
+        [("1", "나.pdf", "2024-01-02", 5), ("2", "가.pdf", "2024-01-03", 9), ("3", "B.pdf", "2024-01-01", 1)],
+        "slide_id string, filename string, uploaded_at string, file_size int")
+    ids = lambda *a: [r.slide_id for r in sort_library(df, *a).collect()]
+    assert ids() == ["2", "1", "3"] and ids("size") == ["2", "1", "3"] and ids("name") == ["3", "2", "1"]
+    assert ids("name", "ko")[-2:] == ["2", "1"] or ids("name", "ko")[:2] == ["2", "1"]
