@@ -8,12 +8,12 @@ and survive hot keys (see ``plans.scans``).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions import text as T
 from ..plans.scans import Lag, LastSeen, RowNumber, RunMax, RunSum, with_scans
+from ..session import cut_lineage
 
 
 def attach_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
@@ -267,9 +267,18 @@ def near_boxes(df: DataFrame, page: list[str], distance: float, asked: DataFrame
     In a cell with a diagonal below the distance two boxes are near for sure: a count settles them.
     Only boxes alone in such a cell meet others, and few of those fit into the reach of one box.
     """
+    every = _distinct_boxes(df, page)
+    return _near(every, every if asked is None else _distinct_boxes(asked, page), page, distance)
+
+
+def _distinct_boxes(df: DataFrame, page: list[str]) -> DataFrame:
+    """Distinct boxes, written once: the steps below read them several times."""
+    return cut_lineage(df.select(*page, *boxes.BOX).distinct())
+
+
+def _near(every: DataFrame, asked: DataFrame, page: list[str], distance: float) -> DataFrame:
     here = [*page, *boxes.BOX]
     fine = distance / 1.5
-    every = df.select(*here).distinct()
     center = {"_cx": boxes.center_x(), "_cy": boxes.center_y()}
 
     def distance_to(ox: Column, oy: Column) -> Column:
@@ -294,7 +303,7 @@ def near_boxes(df: DataFrame, page: list[str], distance: float, asked: DataFrame
         return settled.unionByName(single.join(others, [*page, "_px", "_py"]).where(_differs() & close).select(*here))
 
     test = distance_to((F.col("x0_o") + F.col("x1_o")) / 2, (F.col("y0_o") + F.col("y1_o")) / 2) < distance
-    return _with_neighbours(every, every if asked is None else asked.select(*here).distinct(), page, test, grid)
+    return _with_neighbours(every, asked, page, test, grid)
 
 
 def isolated_regions(
@@ -314,6 +323,11 @@ def aligned_boxes(df: DataFrame, page: list[str], t: float, asked: DataFrame | N
     Each of six tests bounds two differences between an edge of one box and an edge of the other. A box
     is one row per test, and all tests are one equality join on the test and a two-dimensional grid.
     """
+    every = _distinct_boxes(df, page)
+    return _aligned(every, every if asked is None else _distinct_boxes(asked, page), page, t)
+
+
+def _aligned(every: DataFrame, asked: DataFrame, page: list[str], t: float) -> DataFrame:
     here = [*page, *boxes.BOX]
     # (own edge a, other's edge a, limit a, own edge b, other's edge b, limit b)
     tests = [
@@ -334,11 +348,10 @@ def aligned_boxes(df: DataFrame, page: list[str], t: float, asked: DataFrame | N
     def grid(every: DataFrame, asked: DataFrame) -> DataFrame:
         return _aligned_on_grid(rows(every, False), rows(asked, True), page)
 
-    every = df.select(*here).distinct()
     test = T.any_of(
         [(F.abs(F.col(a) - F.col(f"{oa}_o")) < la) & (F.abs(F.col(b) - F.col(f"{ob}_o")) < lb) for a, oa, la, b, ob, lb in tests]
     )
-    return _with_neighbours(every, every if asked is None else asked.select(*here).distinct(), page, test, grid)
+    return _with_neighbours(every, asked, page, test, grid)
 
 
 def _aligned_on_grid(other: DataFrame, mine: DataFrame, page: list[str]) -> DataFrame:
@@ -381,9 +394,10 @@ def classify_constraint(
         & ~F.col("text").rlike("^[\\-•·ㆍ●]")
     )
     marked = df.withColumn("_label", label)
-    labels = marked.where("_label").select(*here).distinct()
-    alone = labels.join(near_boxes(df, page, nearby, labels), here, "left_anti")
-    literal = alone.join(aligned_boxes(df, page, alignment, alone), here, "left_anti").withColumn("_literal", F.lit(True))
+    every = _distinct_boxes(df, page)
+    labels = _distinct_boxes(marked.where("_label"), page)
+    alone = cut_lineage(labels.join(_near(every, labels, page, nearby), here, "left_anti"))
+    literal = alone.join(_aligned(every, alone, page, alignment), here, "left_anti").withColumn("_literal", F.lit(True))
     out = marked.join(literal, here, "left")
     strict = F.col("_label") & F.coalesce("_literal", F.lit(False))
     return out.withColumn("constraint", F.when(strict, "STRICT_LITERAL").otherwise("CONTEXT_AWARE")).drop("_label", "_literal")

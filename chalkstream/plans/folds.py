@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scans import _BLOCK, split_blocks
+from .scans import _BLOCK, block_count, split_blocks
 from .sizes import group_sizes, rows_per_task
 
 INF = float("inf")
@@ -204,7 +204,7 @@ def ordered_fold(
         placed = df.repartition(*keys) if keys else df.repartition(1)
         return placed.sortWithinPartitions(*keys, *order).mapInPandas(_walk(keys, fold, False), schema)
 
-    split = split_blocks(df, keys, order, max(2, -(-rows // limit)))
+    split = split_blocks(df, keys, order, block_count(rows, limit))
     within = split.sortWithinPartitions(*keys, *order)
     key_fields = [f for f in df.schema.fields if f.name in keys]
     key_fields.sort(key=lambda f: keys.index(f.name))

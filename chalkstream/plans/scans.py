@@ -185,6 +185,13 @@ def _merge(scan: Scan, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+MAX_BLOCKS = 50_000  # beyond this many tasks blocks grow instead; windows and folds inside stream
+
+
+def block_count(rows: int, limit: int) -> int:
+    return min(MAX_BLOCKS, max(2, -(-rows // limit)))
+
+
 def split_blocks(df: DataFrame, keys: list[str], order: list[str], blocks: int) -> DataFrame:
     """Rows range-partitioned on (keys, order) with the block number, written once."""
     ranged = df.repartitionByRange(blocks, *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
@@ -210,8 +217,7 @@ def with_scans(
         part = W.partitionBy(*keys)
         return df.withColumns({n: _unwrap(s, _local(s, part, order)) for n, s in scans.items()})
 
-    blocks = max(2, -(-rows // limit))
-    split = split_blocks(df, keys, order, blocks)
+    split = split_blocks(df, keys, order, block_count(rows, limit))
     by = [*keys, _BLOCK]
     plain = {n: s for n, s in scans.items() if not isinstance(s, Tail)}
     partials = split.groupBy(*by).agg(

@@ -77,7 +77,32 @@ def _(spark, sf):
     return TM.check_amounts(_amounts(spark, sf)).drop("source", "target")
 
 
-@query("fix_amounts")
+SPOKEN = """CASE WHEN {0} < 1000000 THEN format('{{:,}} won', {0}) WHEN {0} % 1000000 = 0 THEN ({0} // 1000000) || ' million won'
+  ELSE printf('%.1f million won', {0} / 1000000.0::DOUBLE) END"""
+
+
+def _fix_step(name: str, before: str, match: str, won: str) -> str:
+    """One stated amount checked against one source amount, on the text rewritten so far."""
+    wrong = f"coalesce({won} > 0 AND abs(CAST(trunc({match}::DOUBLE * 1000000) AS BIGINT) - {won}) > {won} * 0.1::DOUBLE, FALSE)"
+    pattern = rf"replace({match}, '.', '\.') || '\s*million\s*won'"
+    return f"""{name} AS (SELECT * REPLACE (CASE WHEN {wrong} THEN regexp_replace(t, {pattern}, {SPOKEN.format(won)}, 'i') ELSE t END AS t,
+  n + CASE WHEN {wrong} THEN 1 ELSE 0 END AS n) FROM {before})"""
+
+
+STATED = r"regexp_extract_all(t, '(\d+(?:\.\d+)?)\s*million\s*won', 1, 'i')"
+
+
+@query(
+    "fix_amounts",
+    with_ctes(
+        B.EV, AMOUNTS,
+        f"f0 AS (SELECT event_id, source, target, target AS t, 0::BIGINT AS n, k * 10000 AS w1, (k % 7) * 10000 + 5000 AS w2, {STATED} AS m FROM (SELECT am.*, k, target AS t FROM am JOIN ev USING (event_id)))",
+        _fix_step("f1", "f0", "m[1]", "w1"), _fix_step("f2", "f1", "m[2]", "w1"),
+        f"f3 AS (SELECT * REPLACE ({STATED} AS m) FROM f2)",
+        _fix_step("f4", "f3", "m[1]", "w2"), _fix_step("f5", "f4", "m[2]", "w2"),
+        body="SELECT event_id, source, target, t AS fixed, n AS fixes FROM f5",
+    ),
+)
 def _(spark, sf):
     return TM.fix_amounts(_amounts(spark, sf)).select("event_id", "source", "target", "fixed", "fixes")
 

@@ -135,7 +135,7 @@ def test_paragraphs(spark):
 
 def test_merge_adjacent(spark):
     rng = random.Random(3)
-    texts = ["이것은 매우", "긴 문장으로", "끝났습니다.", "항목입니다", "• 새 항목", "2. 번호", "GIST", "Q1 질문", "계속되는", "짧은 (설명)"]
+    texts = ["이것은 매우", "긴 문장으로", "끝났습니다.", "항목입니다", "• 새 항목", "2. 번호", "NASA", "Q1 질문", "계속되는", "짧은 (설명)"]
     rows = []
     for page in range(40):
         y = 0.0
