@@ -11,3 +11,11 @@ LENGTH_WIDTH = 60
 SYMBOL_WIDTH = 50
 DUP_LINE_WIDTH = 15
 REPEAT_WIDTH = 100
+
+# MinHash near duplicates (3).
+SHINGLE_WORDS = 5
+SIMILARITY_PERCENT = 75
+HALVES = 16  # hash collections per side; a pair at 0.75 is missed with a chance of 4e-6
+HALF_ROWS = 2  # minima joined in one half key
+PIVOTS = 3  # links tried first; the prefix search settles what they leave open
+BROADCAST_IDS = 1_000_000

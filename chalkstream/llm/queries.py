@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import params, quality_rules
+from . import minhash, params, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,28 @@ FROM rated r LEFT JOIN limits t ON r.lang IS NOT DISTINCT FROM t.lang AND r.sour
 )
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(
+    "op3_minhash_near_dedup",
+    rf"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{WORD}') AS ws
+      FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []
+        ELSE list_transform(range(greatest(len(ws) - {params.SHINGLE_WORDS - 1}, 1)),
+                            lambda i: list_aggregate(ws[i + 1:i + {params.SHINGLE_WORDS}], 'string_agg', ' ')) END) AS x
+      FROM w),
+n AS (SELECT doc_id, count(x) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+c AS (SELECT p.doc_id AS u, q.doc_id AS v, count(*) AS i FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v
+      WHERE 100 * i >= {params.SIMILARITY_PERCENT} * (a.n + b.n - i)),
+ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, v FROM reach JOIN ways ON b = u)
+SELECT doc_id, n AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM n JOIN reach ON a = doc_id GROUP BY doc_id, n""",
+)
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
