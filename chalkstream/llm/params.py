@@ -19,3 +19,15 @@ HALVES = 16  # hash collections per side; a pair at 0.75 is missed with a chance
 HALF_ROWS = 2  # minima joined in one half key
 PIVOTS = 3  # links tried first; the prefix search settles what they leave open
 BROADCAST_IDS = 1_000_000
+
+# Benchmark decontamination (7).
+TEMPLATE_WINDOW = 8  # words in a template window
+MIN_ITEM_WORDS = 5  # shorter items name nothing in particular and match nothing
+LEAK_WORDS = 13  # covered words that make a leak; shorter items must be covered whole
+MIN_LITERALS = 0.5  # share of a window's words that must not be placeholders
+# Units of measure, fixed values.
+UNITS = (
+    "kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mile", "miles", "ft", "feet", "inch", "inches",
+    "l", "ml", "liters", "litres", "gallons", "s", "sec", "seconds", "min", "minutes", "h", "hr", "hours", "days",
+    "weeks", "months", "years", "percent", "dollars", "cents", "euros", "mph", "kmh", "hz", "kw", "watts", "degrees",
+)

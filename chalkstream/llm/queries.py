@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import minhash, params, quality_rules
+from . import decontaminate, minhash, params, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,55 @@ FROM n JOIN reach ON a = doc_id GROUP BY doc_id, n""",
 )
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
+
+
+_P = f"[{decontaminate.NAME}-{decontaminate.UNIT}]"
+_CAPITAL = r"([^.!?\x20\x09-\x0D]) (\p{Lu})"
+
+
+def _words_sql(cleaned: str) -> str:
+    return f"regexp_extract_all(regexp_replace(lower({cleaned}), '{decontaminate.DROPPED}', '', 'g'), '{WORD}')"
+
+
+def _template_sql(t: str) -> str:
+    """Capitals are marked first, twice because matches may touch."""
+    mark = "\ue003"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '{_CAPITAL}', '\1 {mark}\2', 'g')"
+    t = rf"regexp_replace({t}, '{mark}\p{{Lu}}[\p{{L}}''’-]*', '{decontaminate.NAME}', 'g')"
+    t = f"regexp_replace({t}, '{decontaminate.NUMBERS}', '{decontaminate.NUMBER}', 'g')"
+    return _words_sql(rf"regexp_replace({t}, '{decontaminate.UNITS}', '{decontaminate.NUMBER}\1{decontaminate.UNIT}', 'g')")
+
+
+_T = params.TEMPLATE_WINDOW
+
+
+@query(
+    "op7_benchmark_decontamination",
+    f"""WITH
+it AS (SELECT item_id, {_template_sql("coalesce(text, '')")} AS ws, {_words_sql("coalesce(text, '')")} AS vs FROM benchmark),
+items AS (SELECT *, least(len(ws), {_T}) AS n FROM it WHERE len(ws) >= {params.MIN_ITEM_WORDS}),
+iw AS (SELECT item_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS win FROM (
+         SELECT *, unnest(range(len(ws) - n + 1)) AS i FROM items)
+       WHERE len(list_filter(ws[i + 1:i + n], lambda x: NOT regexp_matches(x, '{_P}'))) >= {params.MIN_LITERALS} * n),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_template_sql("coalesce(text, '')")} AS ws,
+             {_words_sql("coalesce(text, '')")} AS vs FROM documents),
+dw AS (SELECT rid, n, i, array_to_string(ws[i + 1:i + n], ' ') AS win FROM (
+         SELECT rid, n, ws, unnest(range(len(ws) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM items) WHERE len(ws) >= n)),
+cov AS (SELECT DISTINCT rid, item_id, shift, unnest(range(i, i + n)) AS p FROM (
+          SELECT rid, item_id, dw.i - iw.i AS shift, iw.i AS i, n FROM dw JOIN iw USING (n, win))),
+w AS (SELECT cov.*, d.doc_id, len(items.ws) AS item_words, items.vs[p + 1] AS iv, d.vs[p + shift + 1] AS dv,
+             regexp_matches(items.ws[p + 1], '{_P}') AS slot
+      FROM cov JOIN items USING (item_id) JOIN d USING (rid)),
+v AS (SELECT rid, item_id, shift, iv, min(dv) <> max(dv) AS bad, count(*) AS n, count(*) FILTER (dv <> iv) AS changed
+      FROM w WHERE slot GROUP BY ALL),
+a AS (SELECT rid, item_id, shift, bool_or(bad) AS bad, sum(n) AS n_slots, sum(changed) AS n_changed FROM v GROUP BY ALL),
+g AS (SELECT rid, doc_id, item_id, max(item_words) AS item_words, count(DISTINCT p) AS covered_words,
+             coalesce(max(n_slots), 0) AS n_slots, coalesce(max(n_changed), 0) AS n_changed
+      FROM w LEFT JOIN a USING (rid, item_id, shift) WHERE NOT coalesce(bad, false) GROUP BY rid, doc_id, item_id)
+SELECT doc_id, item_id, max(item_words)::BIGINT AS item_words, max(covered_words)::BIGINT AS covered_words,
+       max(n_slots)::BIGINT AS n_slots, max(n_changed)::BIGINT AS n_changed
+FROM g WHERE covered_words >= least({params.LEAK_WORDS}, item_words) GROUP BY doc_id, item_id""",
+)
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
