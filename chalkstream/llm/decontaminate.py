@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import params
+from .lookups import counted
 from .staging import stage
 
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
@@ -60,11 +61,6 @@ def _windows(rows: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Sent to every task if a count shows it to be small; joined by shuffle otherwise."""
-    return F.broadcast(df) if df.count() <= params.BROADCAST_IDS else df
-
-
 def _item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("_text"))
     words = items.select("item_id", template_words(F.col("_text")).alias("_words"), value_words(F.col("_text")).alias("_values"))
@@ -85,7 +81,7 @@ def _covered(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Words of items met by windows of documents: key, alignment and item position, each once."""
     lengths = sorted(r[0] for r in items.select(F.least(F.size("_words"), F.lit(params.TEMPLATE_WINDOW))).distinct().collect())
     lengths = lengths or [params.TEMPLATE_WINDOW]
-    wanted = _small(_item_windows(items, lengths))
+    wanted = counted(_item_windows(items, lengths))
     words = docs.select("doc_id", "mark", template_words(F.col("_text")).alias("_words"))
     windows = reduce(DataFrame.union, [_windows(words, n) for n in lengths])
     met = windows.join(wanted, ["hash", "size"]).select(
@@ -111,11 +107,11 @@ def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         "item_id", "item_words", "item_pos", F.col("_w._values").alias("item_value"),
         F.col("_w._words").rlike(f"[{NAME}-{UNIT}]").alias("slot"),
     )
-    words = stage(covered.join(_small(item_word), ["item_id", "item_pos"]), "covered-words")
+    words = stage(covered.join(counted(item_word), ["item_id", "item_pos"]), "covered-words")
     at = ["doc_id", "mark", "item_id", "shift"]
     slots = words.filter("slot")
     holders = slots.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
-    texts = docs.join(_small(holders), docs.doc_id.eqNullSafe(F.col("_d")) & (docs.mark == F.col("_m")), "left_semi")
+    texts = docs.join(counted(holders), docs.doc_id.eqNullSafe(F.col("_d")) & (docs.mark == F.col("_m")), "left_semi")
     values = texts.dropDuplicates(["doc_id", "mark"]).select(
         F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), value_words(F.col("_text")).alias("_values")
     )
@@ -159,5 +155,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     at = dict(zip(docs.columns, given, strict=True))
     rows = docs.toDF(*given)
     same = rows[at[doc_id]].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(rows[at[text]]) == F.col("_m"))
-    left = rows.join(_small(gone), same, "left_anti")
+    left = rows.join(counted(gone), same, "left_anti")
     return left.select(*[F.col(g).alias(c) for c, g in zip(docs.columns, given, strict=True)])

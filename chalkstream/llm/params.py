@@ -31,3 +31,9 @@ UNITS = (
     "l", "ml", "liters", "litres", "gallons", "s", "sec", "seconds", "min", "minutes", "h", "hr", "hours", "days",
     "weeks", "months", "years", "percent", "dollars", "cents", "euros", "mph", "kmh", "hz", "kw", "watts", "degrees",
 )
+
+# Mixing (6).
+MIX_WEIGHTS = (5, 2, 1)  # of the sources in order of their names, repeating
+MIX_SHARE = 1.5  # words of the mix for each word of the input
+MIX_MOST = 2  # times its own words that a source can give
+MIX_SEED = "mix-0"

@@ -23,13 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import params, wordhash
+from .lookups import lookup
 from .staging import stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
-_BROADCAST_ROWS = 100_000
-_SALTS = 64
 
 
 def _per_text(n: int, text: np.ndarray) -> np.ndarray:
@@ -184,24 +183,6 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     )
 
 
-def _with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """Join by language and source. Few limits are counted and sent to every task; otherwise a group is dealt
-    over ``_SALTS`` parts, with a copy of its limits in each, so that one large source fills no single task."""
-    same = limits.columns[2:]
-    if limits.count() <= _BROADCAST_ROWS:
-        right = F.broadcast(limits.select(F.col("lang").alias("_qlang"), F.col("source").alias("_qsource"), *same))
-        on = F.col("lang").eqNullSafe(F.col("_qlang")) & F.col("source").eqNullSafe(F.col("_qsource"))
-        return rows.join(right, on, "left")
-    left = rows.withColumn("_qsalt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "_qrow"), F.lit(_SALTS)))
-    right = limits.select(
-        F.col("lang").alias("_qlang"), F.col("source").alias("_qsource"), *same,
-        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long").alias("_qs"),
-    )
-    on = (F.col("lang").eqNullSafe(F.col("_qlang")) & F.col("source").eqNullSafe(F.col("_qsource"))
-          & (F.col("_qsalt") == F.col("_qs")))
-    return left.join(right, on, "left")
-
-
 def verdict() -> Column:
     inside = [v <= F.col(f"{m}_max") for m, v in ratios().items()]
     ok = inside[0] & (ratios()["length"] >= F.col("length_min"))
@@ -215,7 +196,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Counts, ``base_failed`` and ``kept`` of every row, with the limits of its group."""
     counts = stage(count(docs, {"doc_id": doc_id, "lang": lang, "source": source}, text), "quality-counts")
     limits = stage(thresholds(sketches(counts)), "quality-limits")
-    rows = _with_limits(counts.withColumn("_qrow", F.col("doc_id")), limits)
+    rows = lookup(counts, limits, {"lang": "lang", "source": "source"}, F.col("doc_id"))
     return rows.select("doc_id", *COUNTS, base_failed().alias("base_failed"), verdict().alias("kept"),
                        *[c for c in limits.columns if c not in ("lang", "source")])
 
@@ -228,5 +209,5 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     rows = docs.toDF(*given)
     at = dict(zip(docs.columns, given, strict=True))
     counted = count(rows, {**{g: g for g in given}, "lang": at[lang], "source": at[source]}, at[text])
-    good = _with_limits(counted.withColumn("_qrow", F.col(at[lang])), limits).filter(verdict())
+    good = lookup(counted, limits, {"lang": "lang", "source": "source"}, F.col("n_words")).filter(verdict())
     return good.select(*[F.col(g).alias(c) for c, g in zip(docs.columns, given, strict=True)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, minhash, params, quality_rules
+from . import decontaminate, minhash, mixing, params, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,29 @@ FROM g WHERE covered_words >= least({params.LEAK_WORDS}, item_words) GROUP BY do
 )
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_W = len(params.MIX_WEIGHTS)
+
+
+@query(
+    "op6_mixing",
+    f"""WITH
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, {params.MIX_MOST} * sum(size)::BIGINT AS cap,
+             ({list(params.MIX_WEIGHTS)})[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {_W} + 1)::INT] AS weight
+      FROM d GROUP BY source),
+o AS (SELECT *, ({params.MIX_SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
+                / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+      FROM s WINDOW before AS (ORDER BY cap::DOUBLE / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap::DOUBLE,
+        (SELECT min_by(level, cap::DOUBLE / weight) FROM o WHERE cap > level * weight) * weight) AS target FROM s),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target,
+       size * (floor(rate)::BIGINT + CASE WHEN
+         ('0x' || md5('{params.MIX_SEED}:' || coalesce(doc_id::VARCHAR, ''))[:13])::BIGINT::DOUBLE / {1 << 52}::DOUBLE
+           < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
