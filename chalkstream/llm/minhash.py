@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 
 from . import params, wordhash
 from .components import components
+from .lookups import counted
 from .staging import stage
 
 _rng = np.random.default_rng(75)
@@ -163,30 +164,31 @@ def _prefix_pairs(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
     ).filter("c0 < c1").select("s", "docs")
     mine = W.partitionBy("node", "n")
     rank = F.row_number().over(mine.orderBy("docs", "s"))
-    own_first = F.col("n") - F.count(F.lit(1)).over(mine)
     prefix = F.expr(f"n - (n * {params.SIMILARITY_PERCENT} + 99) div 100 + 1")
+    # ``can``: shingles of the document that another component holds too, so the most it can have in common.
     postings = stage(
-        rows.join(across, "s").select("*", rank.alias("rank"), own_first.alias("own"))
-        .filter(F.col("own") + F.col("rank") <= prefix).select("s", "node", "n", "comp"),
+        rows.join(across, "s").select("*", rank.alias("rank"), F.count(F.lit(1)).over(mine).alias("can"))
+        .filter(F.col("n") - F.col("can") + F.col("rank") <= prefix).select("s", "node", "n", "comp", "can"),
         "postings",
     )
-    main = postings.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")
-    ).filter("comps > 1").select("s", "main")
+    main = postings.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).groupBy("s").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.min("n").alias("least")
+    ).filter("comps > 1").select("s", "main", "least")
+    # With as much in common as it can have, the document must reach the smallest set of the list.
+    t = params.SIMILARITY_PERCENT
+    able = postings.join(main, "s").filter(f"(100 + {t}) * can >= {t} * (n + least)")
     # All pairs across components hold a row outside the largest component of the shingle.
-    strays = postings.join(main, "s").filter("comp <> main").select(
-        "s", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu")
+    strays = able.filter("comp <> main").select(
+        "s", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), F.col("can").alias("canu")
     )
-    pairs = strays.join(postings, "s").filter(f"comp <> cu and {_close('n', 'nu')}")
+    reaches = f"(100 + {t}) * least(can, canu) >= {t} * (n + nu)"
+    pairs = strays.join(able, "s").filter(f"comp <> cu and {_close('n', 'nu')} and {reaches}")
     return pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
     """Rows whose id is (not) in ``ids``. Few ids are counted and sent to every task; more are joined by shuffle."""
-    right = ids.select(F.col(ids.columns[0]).alias("_only"))
-    if ids.count() <= params.BROADCAST_IDS:
-        right = F.broadcast(right)
-    return docs.join(right, docs[name] == right["_only"], how)
+    return docs.join(counted(ids.select(F.col(ids.columns[0]).alias("_only"))), docs[name] == F.col("_only"), how)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
