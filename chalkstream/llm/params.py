@@ -37,3 +37,13 @@ MIX_WEIGHTS = (5, 2, 1)  # of the sources in order of their names, repeating
 MIX_SHARE = 1.5  # words of the mix for each word of the input
 MIX_MOST = 2  # times its own words that a source can give
 MIX_SEED = "mix-0"
+
+# Tokenizer of the token operators (1, 2), a file of the public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
+# Token files (1).
+END_ID = 0  # appended to every document
+BLOCK_TOKENS = 1 << 19  # a block is closed at this many tokens; a longer document is a block of its own
+CHECKPOINT_STEPS = 256  # steps of all lanes between two checkpoints
+MOST_LANES = 512
+FREQUENCY_BITS = 20  # frequencies of the shared table add up to 2 ** 20

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import worker
+
 BATCH_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -24,21 +26,21 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
+    """Powers of the base and of its inverse, kept in the worker."""
+    kept = worker.store()
+    if "powers" not in kept or len(kept["powers"][0]) < n:
         n = max(n, BATCH_BYTES + 1024)
+        tables = []
         with np.errstate(over="ignore"):
-            tables = []
             for base in (_BASE, _INVERSE):
                 t = np.full(n, base, np.uint64)
                 t[0] = 1
                 tables.append(np.cumprod(t))
-        _powers = tables[0], tables[1]
-    return _powers
+        kept["powers"] = tables
+    return kept["powers"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
