@@ -47,3 +47,8 @@ BLOCK_TOKENS = 1 << 19  # a block is closed at this many tokens; a longer docume
 CHECKPOINT_STEPS = 256  # steps of all lanes between two checkpoints
 MOST_LANES = 512
 FREQUENCY_BITS = 20  # frequencies of the shared table add up to 2 ** 20
+
+# Token counts (2).
+TOKEN_LIMIT = 1024
+FREQUENT_CUTS = 32_768  # entries of the table sent to every task
+MERGED_AT_ONCE = 32  # summaries of frequent cuts that one task merges
