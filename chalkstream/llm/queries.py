@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, minhash, mixing, params, quality_rules, token_counts, token_files
+from . import decontaminate, html_text, minhash, mixing, params, quality_rules, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_html_extraction",
+    r"""WITH
+a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, unnest(string_split_regex(regexp_replace(h, '<br>', ' ', 'g'), '</?(?:p|h1)>')) AS x,
+             unnest(range(len(string_split_regex(regexp_replace(h, '<br>', ' ', 'g'), '</?(?:p|h1)>')))) AS i FROM a),
+c AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+               '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS x FROM b),
+t AS (SELECT page_id, string_agg(x, chr(10) || chr(10) ORDER BY i) AS text FROM c WHERE x <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM a LEFT JOIN t USING (page_id)""",
+)
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
