@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, html_text, minhash, mixing, params, quality_rules, token_counts, token_files
+from . import chat, decontaminate, html_text, minhash, mixing, params, quality_model, quality_rules, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +211,34 @@ SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIG
 )
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op8_chat_formatting",
+    f"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{chat.HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{chat.HOSTILE}'),
+e AS (SELECT *, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS et,
+             replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), chr(92) || 'n') AS er
+      FROM t),
+l AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
+      FROM e GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       any_value(length(loss))::BIGINT AS loss_chars, any_value(sha256(loss)) AS loss_sha256,
+       sum(12 + length(er) + 1 + length(et) + 10 + 1)::BIGINT AS formatted_chars
+FROM e JOIN l USING (conv_id) GROUP BY conv_id""",
+)
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_hostile(spark, table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_conversations(rows))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

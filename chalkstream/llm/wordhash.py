@@ -24,6 +24,9 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Also turns ASCII punctuation into spaces, so that "word," and "word" are one word.
+_PLAIN = _FOLD.copy()
+_PLAIN[[b for b in range(128) if not chr(b).isalnum() and not 9 <= b <= 13]] = 0x20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -106,8 +109,8 @@ def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(texts: pa.Array, lo: int, hi: int, fold_case: bool) -> Words:
-    """Words of texts[lo:hi]; ``fold_case`` lower-cases A-Z only."""
+def words(texts: pa.Array, lo: int, hi: int, fold_case: bool, plain: bool = False) -> Words:
+    """Words of texts[lo:hi]; ``fold_case`` lower-cases A-Z only, ``plain`` drops ASCII punctuation as well."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset + lo : texts.offset + hi + 1]
     raw = texts.buffers()[2]
     raw = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
@@ -115,7 +118,7 @@ def words(texts: pa.Array, lo: int, hi: int, fold_case: bool) -> Words:
     data = np.full(len(raw) + hi - lo, 10, np.uint8)
     gaps = np.ones(len(data), bool)
     gaps[at[1:] - 1] = False
-    data[gaps] = _FOLD[raw] if fold_case else raw
+    data[gaps] = _PLAIN[raw] if plain else _FOLD[raw] if fold_case else raw
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     start, end = edge[0::2], edge[1::2]
