@@ -39,6 +39,7 @@ _MULTIPLY = _rng.integers(1, 1 << 63, _N_MIN, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(1, 1 << 63, _N_MIN, dtype=np.uint64)
 _MARK = _rng.integers(1, 1 << 63, 2, dtype=np.uint64)
 _SHORT = np.uint64(0x5851F42D4C957F2D)
+_BITMAP = 1024
 
 
 def _shingle_sets(texts: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +107,27 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             )
 
 
+def _bitmaps(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """1024 bits per text, one set for each shingle by its lowest bits, as rows of 16 words."""
+    out = np.zeros((len(begin) - 1, _BITMAP // 64), np.uint64)
+    for lo in range(0, len(out), 4096):
+        hi = min(lo + 4096, len(out))
+        text = np.repeat(np.arange(hi - lo), np.diff(begin[lo : hi + 1]))
+        bits = np.zeros((hi - lo) * _BITMAP, bool)
+        bits[text * _BITMAP + (shingles[begin[lo] : begin[hi]] % np.uint64(_BITMAP)).astype(np.int64)] = True
+        out[lo:hi] = np.packbits(bits, bitorder="little").view(np.uint64).reshape(hi - lo, -1)
+    return out
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = wordhash.texts_of(batch.column(1))
         for lo, hi in wordhash.runs(texts):
             shingles, begin = _shingle_sets(texts, lo, hi)
+            bitmap = _lists(_bitmaps(shingles, begin).ravel(), np.arange(hi - lo + 1) * (_BITMAP // 64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(begin)), _lists(shingles, begin)],
-                ["node", "n", "shingles"],
+                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(begin)), _lists(shingles, begin), bitmap],
+                ["node", "n", "shingles", "bits"],
             )
 
 
@@ -162,28 +176,33 @@ def _prefix_pairs(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
     across = rows.groupBy("s").agg(
         F.count(F.lit(1)).alias("docs"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
     ).filter("c0 < c1").select("s", "docs")
+    t = params.SIMILARITY_PERCENT
     mine = W.partitionBy("node", "n")
-    rank = F.row_number().over(mine.orderBy("docs", "s"))
-    prefix = F.expr(f"n - (n * {params.SIMILARITY_PERCENT} + 99) div 100 + 1")
-    # ``can``: shingles of the document that another component holds too, so the most it can have in common.
-    postings = stage(
-        rows.join(across, "s").select("*", rank.alias("rank"), F.count(F.lit(1)).over(mine).alias("can"))
-        .filter(F.col("n") - F.col("can") + F.col("rank") <= prefix).select("s", "node", "n", "comp", "can"),
-        "postings",
-    )
+    # ``can``: shingles that another component holds too, so the most a document can have in common. ``pos``: place
+    # in the order, the other shingles first.
+    placed = rows.join(across, "s").select("*", F.count(F.lit(1)).over(mine).alias("can"), F.row_number().over(mine.orderBy("docs", "s")).alias("rank"))
+    placed = placed.select("s", "node", "n", "comp", "can", (F.col("n") - F.col("can") + F.col("rank")).alias("pos"))
+    postings = stage(placed.filter(F.expr(f"pos <= n - (n * {t} + 99) div 100 + 1")), "postings")
     main = postings.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).groupBy("s").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.min("n").alias("least")
     ).filter("comps > 1").select("s", "main", "least")
     # With as much in common as it can have, the document must reach the smallest set of the list.
-    t = params.SIMILARITY_PERCENT
     able = postings.join(main, "s").filter(f"(100 + {t}) * can >= {t} * (n + least)")
+    able = able.join(sets.select("node", "n", "bits"), ["node", "n"])
     # All pairs across components hold a row outside the largest component of the shingle.
-    strays = able.filter("comp <> main").select(
-        "s", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), F.col("can").alias("canu")
+    strays = able.filter("comp <> main").select("s", *[F.col(c).alias(f"{c}_u") for c in ("node", "n", "comp", "can", "pos", "bits")])
+    # The least two sets of these sizes must have in common; both must hold the shingle early enough for that, and a bit
+    # set in one bitmap only stands for a shingle of its own.
+    need = f"({t} * (n + n_u) + {99 + t}) div {100 + t}"
+    words = range(_BITMAP // 64)
+    alone = " + ".join(f"bit_count(bits[{i}] & ~bits_u[{i}])" for i in words)
+    alone_u = " + ".join(f"bit_count(bits_u[{i}] & ~bits[{i}])" for i in words)
+    pairs = strays.join(able, "s").filter(
+        f"comp <> comp_u and {_close('n', 'n_u')} and least(can, can_u) >= {need}"
+        f" and pos <= n - {need} + 1 and pos_u <= n_u - {need} + 1"
+        f" and n - ({alone}) >= {need} and n_u - ({alone_u}) >= {need}"
     )
-    reaches = f"(100 + {t}) * least(can, canu) >= {t} * (n + nu)"
-    pairs = strays.join(able, "s").filter(f"comp <> cu and {_close('n', 'nu')} and {reaches}")
-    return pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    return pairs.select(F.least("node_u", "node").alias("u"), F.greatest("node_u", "node").alias("v")).distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
@@ -207,7 +226,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     met = stage(pivots.select(F.col("x").alias("node")).union(pivots.select("p")).distinct(), "met")
     sets = stage(
         _only(texts, met, "doc_id")
-        .mapInArrow(_set_batches, "node long, n long, shingles array<long>"),
+        .mapInArrow(_set_batches, "node long, n long, shingles array<long>, bits array<long>"),
         "sets",
     )
     best = W.partitionBy("x").orderBy(F.desc("shared"), "p")
