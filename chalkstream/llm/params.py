@@ -55,8 +55,8 @@ MERGED_AT_ONCE = 32  # summaries of frequent cuts that one task merges
 
 # Quality classifier (9) and toxicity (10). Bounds of the samples that models are fitted on.
 TRAIN_DOCS = 4096
-TRAIN_CHARS = 100_000  # longer texts are scored like all others, but not trained on
+TRAIN_CHARS = 30_000  # longer texts are scored like all others, but not trained on
 PASSAGE_WORDS = 64
-TOXIC_POSITIVES = 4096
-TOXIC_UNLABELLED = 8192
+TOXIC_POSITIVES = 2048
+TOXIC_UNLABELLED = 4096
 TOXIC_FEATURES = 512

@@ -6,9 +6,9 @@ Only some toxic documents are known; all other text is unlabelled and holds toxi
     prior E_P l(g) + max(0, E_U l(-g) - prior E_P l(-g))
 
 whose second term stands for the clean documents. Where it falls below zero the model has begun to
-learn the positives by heart, and the step goes the other way. g is linear in the presence of words:
-the hashed words whose share differs most between the positives and the unlabelled sample. The prior is the toxic share of
-the labels outside the held-out fold.
+learn the positives by heart, and the step goes the other way. g is linear in the rates of words and of
+beginnings of words (languages that inflect and compound): the hashed ones whose rates differ most between the
+positives and the unlabelled sample. The prior is the toxic share of the labels outside the held-out fold.
 
 The model is fitted in one task on bounded samples (``TOXIC_POSITIVES``, ``TOXIC_UNLABELLED`` documents of at most
 ``TRAIN_CHARS``), none from the held-out fold; all documents are scored on all their words.
@@ -29,12 +29,33 @@ from pyspark.sql import functions as F
 from . import params, training, wordhash
 from .lookups import counted
 
+_BEGINNINGS = (5, 6, 7, 8)  # bytes
+
+
+def _keys(texts: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts[lo:hi] and of the beginnings of longer words, the text of each, and words per text."""
+    w = wordhash.words(texts, lo, hi, fold_case=True, plain=True)
+    text = w.text_of_word()
+    keys, where = [w.hashes()], [text]
+    for n in _BEGINNINGS:
+        longer = np.flatnonzero(w.end - w.start > n)
+        begin = w.start[longer]
+        keys.append(w.range_hash(begin, begin + n) ^ np.uint64(n))
+        where.append(text[longer])
+    return np.concatenate(keys), np.concatenate(where), np.diff(w.first)
 
-def _word_rows(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per run of texts: its range, and word hashes with the text each is in."""
-    for lo, hi in wordhash.runs(texts):
-        w = wordhash.words(texts, lo, hi, fold_case=True, plain=True)
-        yield lo, hi, w.hashes(), w.text_of_word()
+
+def _rates(keys: np.ndarray, text: np.ndarray, n_words: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in ``words`` (sorted) and rate of every word of ``words`` that a text holds. The rate is per hundred
+    words, as if each text had 64 more, so that one word makes no short text toxic, and 4 at most."""
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(words & np.uint64(0xFFFF)).astype(np.int64)] = True
+    hit = np.flatnonzero(maybe[(keys & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(words, keys[hit]), len(words) - 1)
+    right = words[at] == keys[hit]
+    pair, count = np.unique(text[hit][right] * len(words) + at[right], return_counts=True)
+    of, at = pair // len(words), pair % len(words)
+    return of, at, np.minimum(100 * count / (n_words[of] + 64), 4.0)
 
 
 class Model:
@@ -43,32 +64,36 @@ class Model:
     def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float):
         self.words, self.weights, self.bias = words, weights, bias
 
-    def presence(self, h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-        """1 where a text holds a word."""
-        x = np.zeros((n, len(self.words)), np.float32)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        hit = self.words[at] == h
-        x[text[hit], at[hit]] = 1
-        return x
-
-    def scores(self, h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-        return training.sigmoid(self.presence(h, text, n) @ self.weights + self.bias)
-
-
-def _chosen_words(h: np.ndarray, text: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """Words whose shares in positives and in unlabelled text are the most standard errors apart."""
-    order = np.lexsort((text, h))
-    h, text = h[order], text[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))
-    h, text = h[new], text[new]
-    words, at = np.unique(h, return_inverse=True)
-    p = np.bincount(at, positive[text], minlength=len(words))
-    u = np.bincount(at, ~positive[text], minlength=len(words))
-    n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
-    both = (p + u) / (n_p + n_u)
-    apart = (p / n_p - u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    apart[p + u < 3] = 0
-    return np.sort(words[np.argsort(-np.abs(apart), kind="stable")[: params.TOXIC_FEATURES]])
+    def scores(self, texts: pa.Array, lo: int, hi: int) -> np.ndarray:
+        of, at, rate = _rates(*_keys(texts, lo, hi), self.words)
+        return training.sigmoid(np.bincount(of, rate * self.weights[at], minlength=hi - lo) + self.bias)
+
+
+def _chosen_words(texts: pa.Array, positive: np.ndarray) -> np.ndarray:
+    """Words of at least three positives whose mean rates there and in unlabelled text are the most standard errors apart."""
+    seen = []
+    known = texts.filter(pa.array(positive))
+    for lo, hi in wordhash.runs(known):
+        keys, text, _ = _keys(known, lo, hi)
+        order = np.lexsort((text, keys))
+        keys, text = keys[order], text[order]
+        seen.append(keys[np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))] if len(keys) else keys)
+    words, docs = np.unique(np.concatenate(seen), return_counts=True)
+    words = words[docs >= 3]
+    if not len(words):
+        return words
+    sums = np.zeros((2, 2, len(words)))
+    for lo, hi in wordhash.runs(texts):
+        of, at, rate = _rates(*_keys(texts, lo, hi), words)
+        for side in (0, 1):
+            mine = positive[lo:hi][of] == bool(side)
+            for power in (1, 2):
+                sums[side, power - 1] += np.bincount(at[mine], rate[mine] ** power, minlength=len(words))
+    n = np.array([max((~positive).sum(), 1), max(positive.sum(), 1)])[:, None]
+    mean = sums[:, 0] / n
+    spread = (sums[:, 1] / n - mean**2) / n
+    apart = np.abs(mean[1] - mean[0]) / np.sqrt(spread.sum(0) + 1e-9)
+    return np.sort(words[np.argsort(-apart, kind="stable")[: params.TOXIC_FEATURES]])
 
 
 class _FitPU:
@@ -78,13 +103,13 @@ class _FitPU:
     def __call__(self, rows: pa.Table, epochs: int = 60, size: int = 512) -> dict | None:
         texts = wordhash.texts_of(rows.column("text"))
         positive = np.array(rows.column("positive").to_pylist(), bool)
-        parts = [(h, text + lo) for lo, _, h, text in _word_rows(texts)]
-        h, text = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        if not positive.any() or not len(h):
+        words = _chosen_words(texts, positive) if positive.any() else np.zeros(0, np.uint64)
+        if not len(words):
             return None
-        words = _chosen_words(h, text, positive)
-        model = Model(words, np.zeros(len(words)), 0.0)
-        x = model.presence(h, text, len(positive))
+        x = np.zeros((len(positive), len(words)), np.float32)
+        for lo, hi in wordhash.runs(texts):
+            of, at, rate = _rates(*_keys(texts, lo, hi), words)
+            x[lo + of, at] = rate
         known, rest = x[positive], x[~positive]
         if not len(rest):
             rest = known
@@ -114,8 +139,8 @@ class _Score:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = wordhash.texts_of(batch.column(2))
-            for lo, hi, h, text in _word_rows(texts):
-                score = self.model.scores(h, text, hi - lo) if self.model else np.zeros(hi - lo)
+            for lo, hi in wordhash.runs(texts):
+                score = self.model.scores(texts, lo, hi) if self.model else np.zeros(hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score.astype(np.float64)),
                      pa.array((score >= 0.5).astype(np.int32))],
