@@ -45,7 +45,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0  # appended to every document
 BLOCK_TOKENS = 1 << 19  # a block is closed at this many tokens; a longer document is a block of its own
 CHECKPOINT_STEPS = 256  # steps of all lanes between two checkpoints
-MOST_LANES = 512
+MOST_LANES = 1024
 FREQUENCY_BITS = 20  # frequencies of the shared table add up to 2 ** 20
 
 # Token counts (2).

@@ -66,7 +66,9 @@ def lanes_for(n: int) -> int:
 def encode(ids: np.ndarray, table: Table) -> bytes:
     """One block."""
     n, lanes = len(ids), lanes_for(len(ids))
-    place = np.searchsorted(table.ids, ids)
+    where = np.zeros(int(table.ids[-1]) + 1 if len(table.ids) else 1, np.int32)
+    where[table.ids] = np.arange(len(table.ids))
+    place = where[ids]
     steps = -(-n // lanes)
     # The last step may be short: lanes beyond it stay as they are.
     freq = np.ones(steps * lanes, np.uint64)

@@ -85,7 +85,8 @@ class _Count:
         cut = tokens.count_cutter(self.path, dict(zip(cuts.split(" ") if cuts else [], lengths, strict=True)))
         for batch in batches:
             texts = texts_of(batch.column(1))
-            found = pa.array([cut(t.as_py()) for t in texts], pa.int64())
+            some = tokens.batched(t.as_py() for t in texts)
+            found = pa.array([n for part in some for n in cut.of_texts(part)], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(texts).cast(pa.int64()), found, pc.greater(found, params.TOKEN_LIMIT)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -97,7 +98,7 @@ def count(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     path = tokenizer or public_tokenizers.path(params.TOKENIZER)
     lib, _ = tokens.tokenizer(path)
     frequent = frequent_cuts(docs, text)
-    known = [(c, n) for c in frequent if (n := tokens.count_of(lib, " " + c)) < 256]
+    known = [(c, n) for c in frequent if (n := len(lib.encode(tokens.text_of(c), add_special_tokens=False))) < 256]
     table = " ".join(c for c, _ in known), bytes(n for _, n in known)
     sent = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))

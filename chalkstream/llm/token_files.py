@@ -59,15 +59,16 @@ class _Chunks:
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                found = cut(text.as_py()) + end
-                ids.append(doc_id)
-                lengths.append(len(found) // 4)
-                parts.append(found)
-                size += lengths[-1]
-                if size >= params.BLOCK_TOKENS:
-                    yield chunk()
-                    before, size, ids, lengths, parts = before + size, 0, [], [], []
+            names = iter(batch.column(0).to_pylist())
+            for some in tokens.batched(t.as_py() for t in texts_of(batch.column(1))):
+                for found in cut.of_texts(some):
+                    ids.append(next(names))
+                    parts += (found, end)
+                    lengths.append(len(found) // 4 + 1)
+                    size += lengths[-1]
+                    if size >= params.BLOCK_TOKENS:
+                        yield chunk()
+                        before, size, ids, lengths, parts = before + size, 0, [], [], []
         if ids:
             yield chunk()
 

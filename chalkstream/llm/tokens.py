@@ -1,15 +1,17 @@
 """Token ids and counts by a public tokenizer, with what repeats looked up instead of encoded again.
 
-A text is cut before each single space that stands between two visible characters. The tokenizer's
-own rules begin a new piece at each of these spaces, so the ids of the text are those of the cuts in
-order. Cuts repeat much more than texts do; each worker remembers what it has encoded. Texts that
-hold white space in a row, or a special string of the tokenizer, go to the library as they are.
+A text is cut before each single space or newline that stands between two visible characters. The
+tokenizer's own rules begin a new piece there, so the ids of the text are those of the cuts in order.
+Cuts repeat much more than texts do; each worker remembers what it has encoded. Where a text holds white space in a
+row, that stays inside a cut; texts with a special string of the tokenizer go to the library as they are.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -18,68 +20,130 @@ from tokenizers import Tokenizer
 from . import worker
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
-_CACHED = 400_000
+_CACHED = 500_000
+#: Characters that are neither letters, numbers nor white space, and begin no contraction.
+_MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
 
 
 def tokenizer(path: str):
     """The tokenizer of a ``tokenizers`` file and its special strings, loaded once per worker."""
     loaded = worker.store().setdefault("tokenizers", {})
     if path not in loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         found = Tokenizer.from_file(path)
         loaded[path] = found, [t.content for t in found.get_added_tokens_decoder().values()]
     return loaded[path]
 
 
-class Memory(dict):
-    """What is known per cut; a missing one is encoded and kept. Emptied when full, so memory stays bounded."""
+class Memory:
+    """Values of later cuts, as a worker knows them: of their ids, what ``value`` makes.
 
-    def __init__(self, encode: Callable[[str], Any], lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
+    Two generations bound the memory: when the younger is full it becomes the older one, and what is
+    still asked for comes back from there."""
 
-    def __missing__(self, cut: str):
-        if len(self) >= _CACHED:
-            self.clear()
-        found = self[cut] = self.encode(self.lead + cut)
-        return found
+    def __init__(self, lib, value: Callable[[list[int]], Any]):
+        self.lib, self.value = lib, value
+        self.known: dict[str, Any] = {}
+        self.older: dict[str, Any] = {}
+        self.bare: dict[str, Any] = {}  # strings without anything before them: marks and first cuts
 
+    def of_text(self, text: str) -> Any:
+        return self.value(self.lib.encode(text, add_special_tokens=False).ids)
+
+    def of_bare(self, text: str) -> Any:
+        found = self.bare.get(text)
+        if found is None:
+            if len(self.bare) >= _CACHED // 10:
+                self.bare.clear()
+            found = self.bare[text] = self.of_text(text)
+        return found
 
-def memories(kind: str, path: str, encode: Callable[[str], Any]) -> tuple[Memory, Memory]:
-    """Memories of first and later cuts that the tasks of a worker share."""
+    def learn(self, cuts: set[str]) -> None:
+        """After this, ``known`` holds all of ``cuts``."""
+        missing = cuts.difference(self.known)
+        if len(self.known) + 2 * len(missing) > _CACHED:
+            self.older, self.known = self.known, {}
+            missing = cuts
+        known, older = self.known, self.older
+        split, words, others = [], set(), []
+        for cut in missing:
+            found = older.get(cut)
+            if found is not None:
+                known[cut] = found
+                continue
+            # Letters and the marks behind them are two pieces; words are encoded together, once each.
+            word = cut.rstrip(_MARKS)
+            letters = word[1:] if word.startswith("\n") else word
+            if letters.isalpha() and max(letters) < "\u0250":
+                split.append((cut, word))
+                if word not in known:
+                    words.add(word)
+            else:
+                others.append(cut)
+        for lead in (" ", "\n"):
+            self._learn_words([w for w in words if w.startswith("\n") == (lead == "\n")], lead)
+        for cut, word in split:
+            if cut != word:
+                known[cut] = known[word] + self.of_bare(cut[len(word) :])
+        encoded = self.lib.encode_batch_fast([text_of(c) for c in others], add_special_tokens=False)
+        known.update(zip(others, (self.value(e.ids) for e in encoded), strict=True))
+
+    def _learn_words(self, words: list[str], lead: str) -> None:
+        """Words of letters only, each one piece, or two with the newline it begins with."""
+        if not words:
+            return
+        per_word = 2 if lead == "\n" else 1
+        found = self.lib.encode("".join(words) if per_word == 2 else " " + " ".join(words), add_special_tokens=False)
+        ids, pieces = found.ids, np.array(found.word_ids)
+        end = np.searchsorted(pieces // per_word, np.arange(len(words)), "right").tolist()
+        begin = 0
+        for word, stop in zip(words, end, strict=True):
+            self.known[word] = self.value(ids[begin:stop])
+            begin = stop
+
+
+def memory(kind: str, path: str, value: Callable[[list[int]], Any]) -> Memory:
+    """The memory that the tasks of a worker share."""
     kept = worker.store().setdefault("memories", {})
     if (kind, path) not in kept:
-        kept[kind, path] = Memory(encode, ""), Memory(encode, " ")
+        kept[kind, path] = Memory(tokenizer(path)[0], value)
     return kept[kind, path]
 
 
-class Known(dict):
-    """A fixed table in front of a memory."""
+class Cutter:
+    """Looks texts up cut by cut. ``join`` puts the value of the first cut and those of the others together.
 
-    def __init__(self, table: dict[str, Any], rest: Memory):
-        super().__init__(table)
-        self.rest = rest
+    ``fixed`` is a table of cuts asked before the worker's memory."""
 
-    def __missing__(self, cut: str):
-        return self.rest[cut]
+    def __init__(self, kind: str, path: str, value: Callable[[list[int]], Any], join: Callable[[Any, Iterator[Any]], Any],
+                 fixed: dict[str, Any] | None = None):
+        self.special = tokenizer(path)[1]
+        self.memory, self.join, self.fixed = memory(kind, path, value), join, fixed
 
+    def of_texts(self, texts: list[str]) -> list[Any]:
+        """Values of some texts, best of about a megabyte together."""
+        whole = [any(s in t for s in self.special) for t in texts]
+        cuts = [[] if w else cuts_of(t) for w, t in zip(whole, texts, strict=True)]
+        wanted = set().union(*(c[1:] for c in cuts))
+        if self.fixed:
+            wanted = wanted.difference(self.fixed)
+        self.memory.learn(wanted)
+        look = _Tiers(self.fixed, self.memory.known).__getitem__ if self.fixed else self.memory.known.__getitem__
+        return [
+            self.memory.of_text(t) if w else self.join(self.memory.of_bare(c[0]), map(look, c[1:]))
+            for w, t, c in zip(whole, texts, cuts, strict=True)
+        ]
 
-class Cutter:
-    """Looks texts up cut by cut. ``of_text`` encodes, ``join`` puts the parts together in order."""
 
-    def __init__(self, kind: str, path: str, of_text: Callable[[Any, str], Any], join: Callable[[Any, Iterator[Any]], Any],
-                 known: dict[str, Any] | None = None):
-        lib, self.special = tokenizer(path)
-        self.whole = lambda text: of_text(lib, text)
-        self.join = join
-        self.begin, self.later = memories(kind, path, self.whole)
-        if known:
-            self.later = Known(known, self.later)
+class _Tiers(dict):
+    """A fixed table in front of a memory that knows the rest."""
 
-    def __call__(self, text: str):
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        cuts = cuts_of(text)
-        return self.join(self.begin[cuts[0]], map(self.later.__getitem__, cuts[1:]))
+    def __init__(self, fixed: dict[str, Any], known: dict[str, Any]):
+        super().__init__(fixed)
+        self.known = known
+
+    def __missing__(self, cut: str):
+        return self.known[cut]
 
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -90,23 +154,35 @@ def _safe_cuts(text: str) -> list[str]:
     return _SAFE.split(text)
 
 
-def ids_of(lib, text: str) -> bytes:
-    """Ids as little-endian 32-bit integers."""
-    return np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def cuts_of(text: str) -> list[str]:
+    """The cuts in order. All but the first have lost the space before them, unless they begin with a newline."""
+    if _ROW_OF_SPACE.search(text):
+        return _safe_cuts(text)
+    return text.replace("\n", " \n").split(" ")
 
 
-def cuts_of(text: str) -> list[str]:
-    """The cuts; all but the first have lost the space before them."""
-    return _safe_cuts(text) if _ROW_OF_SPACE.search(text) else text.split(" ")
+def text_of(cut: str) -> str:
+    """What a later cut stands for."""
+    return cut if cut.startswith("\n") else " " + cut
 
 
 def id_cutter(path: str) -> Cutter:
-    return Cutter("ids", path, ids_of, lambda first, rest: first + b"".join(rest))
+    """Ids as little-endian 32-bit integers."""
+    return Cutter("ids", path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), lambda first, rest: first + b"".join(rest))
 
 
-def count_of(lib, text: str) -> int:
-    return len(lib.encode(text, add_special_tokens=False).ids)
+def count_cutter(path: str, fixed: dict[str, int]) -> Cutter:
+    return Cutter("counts", path, len, lambda first, rest: first + sum(rest), fixed)
 
 
-def count_cutter(path: str, known: dict[str, int]) -> Cutter:
-    return Cutter("counts", path, count_of, lambda first, rest: first + sum(rest), known)
+def batched(texts: Iterable[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Consecutive texts of about ``chars`` together; a longer text is alone."""
+    batch, size = [], 0
+    for text in texts:
+        if batch and size + len(text) > chars:
+            yield batch
+            batch, size = [], 0
+        batch.append(text)
+        size += len(text)
+    if batch:
+        yield batch
