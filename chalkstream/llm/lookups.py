@@ -28,7 +28,7 @@ def lookup(rows: DataFrame, values: DataFrame, on: dict[str, str], salt: Column)
     if values.count() <= params.BROADCAST_IDS:
         joined = rows.join(F.broadcast(right), reduce(lambda a, b: a & b, same), "left")
         return joined.drop(*keys.values())
-    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long").alias("_lookup_salt"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("_lookup_salt"))
     left = rows.withColumn("_row_salt", F.pmod(F.xxhash64(salt), F.lit(_SALTS)))
     same.append(F.col("_row_salt") == F.col("_lookup_salt"))
     joined = left.join(right, reduce(lambda a, b: a & b, same), "left")

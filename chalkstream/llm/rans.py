@@ -137,6 +137,8 @@ def decode(block: bytes, table: Table, slots: np.ndarray, first: int = 0, last:
         ids = table.ids[places[:count]]
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError(f"checksum of segment {k} does not fit")
+        if k == marks - 1 and (state != _LOW).any():
+            raise ValueError("the lanes do not end where they began")
         parts.append(ids)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 

@@ -33,14 +33,15 @@ class _Fit:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
-        model = self.fit(pa.Table.from_batches(rows)) if rows else None
+        model = self.fit(pa.Table.from_batches(rows)) if any(map(len, rows)) else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def fitted(rows: DataFrame, fit: Callable[[pa.Table], object], order: list[str]):
     """What ``fit`` makes of all rows of a bounded sample, in the given order: plain values and arrays, or None."""
     one = rows.repartition(1).sortWithinPartitions(*order)
-    return pickle.loads(one.mapInArrow(_Fit(fit), "model binary").first()["model"])
+    made = one.mapInArrow(_Fit(fit), "model binary").first()
+    return pickle.loads(made["model"]) if made else None
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
