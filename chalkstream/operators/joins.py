@@ -16,9 +16,15 @@ from ..plans.scans import Lag, LastSeen, RowNumber, RunMax, RunSum, with_scans
 from ..session import cut_lineage
 
 
+def last_translations(translations: DataFrame) -> DataFrame:
+    """One translation per block: the last by ``pos`` where there is such a column, the greatest otherwise."""
+    last = F.max_by("translated", "pos") if "pos" in translations.columns else F.max("translated")
+    return translations.groupBy("block_id").agg(last.alias("translated"))
+
+
 def attach_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
     """Translation per block, or the source text where there is none."""
-    t = translations.select("block_id", T.blank_to_null(F.col("translated")).alias("_t"))
+    t = last_translations(translations).select("block_id", T.blank_to_null(F.col("translated")).alias("_t"))
     joined = blocks.join(t, "block_id", "left")
     return joined.withColumn("translated", F.coalesce("_t", "text")).drop("_t")
 

@@ -50,9 +50,13 @@ def glossary_insert(glossary: DataFrame, new: DataFrame) -> DataFrame:
 
 def glossary_update(glossary: DataFrame, changes: DataFrame) -> DataFrame:
     """Rewrite the first row of a key; the category only where one is given. ``changes`` has term,
-    new_term, new_value, new_category. Adds ``updated``."""
+    new_term, new_value, new_category; of several changes of a key the last by ``pos`` counts, or the
+    greatest where there is no such column. Adds ``updated``."""
     first = glossary.groupBy("term").agg(F.min("id").alias("id"))
-    hits = changes.join(first, "term").select(
+    change = F.struct("new_term", "new_value", "new_category")
+    last = F.max_by(change, "pos") if "pos" in changes.columns else F.max(change)
+    one = changes.groupBy("term").agg(last.alias("_change")).select("term", "_change.*")
+    hits = one.join(first, "term").select(
         "id", "new_term", "new_value", T.blank_to_null(F.col("new_category")).alias("_c")
     )
     joined = glossary.join(hits, "id", "left")

@@ -119,3 +119,11 @@ OTHER_STAGE_BASELINE = 30.0
 BUNDLING_SECONDS = 3.0
 STAGE_SANITY = {"ocr": (2.0, 60.0), "translate": (10.0, 180.0)}
 OTHER_STAGE_SANITY = (0.0, 600.0)
+
+# Merging neighbouring regions: fixed values.
+REGION_OPENERS = r"^(?:[•●▶☐◦○■□※★☆◆◇→⇒✓✔▼▲\-]|\d+[\.\)]\s+|[QA]\d+|\d{2}\s+[가-힣A-Z])"
+SENTENCE_CLOSERS = r"[.?!。)）\]】]$"
+ACRONYM_END = r"[A-Z]{2,}(\s*\([^)]+\))?\s*$"
+QUESTION_START = r"^[QA]\d+"
+LABEL_START = r"^\d+[\.\)]\s*"
+LABEL_CHARS = 15

@@ -370,22 +370,22 @@ def _(spark, sf):
 
 @query(
     "merge_groups",
-    "WITH RECURSIVE " + B.REGIONS + """, mb AS (SELECT (pos - 1) // 64 AS doc, page, pos, color = 1 AS asks, max(pos) OVER (PARTITION BY page, (pos - 1) // 64) AS last FROM regions),
-f AS (SELECT doc, page, pos, last, asks AND last > pos AS heads, asks AND pos + 1 <= last AS t1, asks AND pos + 2 <= last AS t2, FALSE AS mine FROM mb WHERE (pos - 1) % 64 = 0
-  UNION ALL SELECT b.doc, b.page, b.pos, b.last, b.asks AND NOT f.t1 AND ((b.pos + 1 <= b.last AND NOT f.t2) OR b.pos + 2 <= b.last),
+    "WITH RECURSIVE " + B.REGIONS + """, mb AS (SELECT page, pos, color = 1 AS asks, max(pos) OVER (PARTITION BY page) AS last FROM regions),
+f AS (SELECT page, pos, last, asks AND last > pos AS heads, asks AND pos + 1 <= last AS t1, asks AND pos + 2 <= last AS t2, FALSE AS mine FROM mb WHERE pos = 1
+  UNION ALL SELECT b.page, b.pos, b.last, b.asks AND NOT f.t1 AND ((b.pos + 1 <= b.last AND NOT f.t2) OR b.pos + 2 <= b.last),
     f.t2 OR (b.asks AND NOT f.t1 AND b.pos + 1 <= b.last), b.asks AND NOT f.t1 AND b.pos + 2 <= b.last, f.t1
-  FROM f JOIN mb b ON b.doc = f.doc AND b.page = f.page AND b.pos = f.pos + 1),
-h AS (SELECT *, lag(t2) OVER w AS taken1, row_number() OVER (PARTITION BY doc, page, heads ORDER BY pos) AS g FROM f WINDOW w AS (PARTITION BY doc, page ORDER BY pos)),
-m AS (SELECT doc, page, g, unnest(list_concat([pos], list_concat(CASE WHEN pos + 1 <= last AND NOT coalesce(taken1, FALSE) THEN [pos + 1] ELSE [] END, CASE WHEN pos + 2 <= last THEN [pos + 2] ELSE [] END))) AS p FROM h WHERE heads)
-SELECT doc, page, g AS group_no, row_number() OVER (PARTITION BY doc, page, g ORDER BY p) AS member_no, 'p' || page || '_b' || p AS block_id FROM m""",
+  FROM f JOIN mb b ON b.page = f.page AND b.pos = f.pos + 1),
+h AS (SELECT *, lag(t2) OVER w AS taken1, row_number() OVER (PARTITION BY page, heads ORDER BY pos) AS g FROM f WINDOW w AS (PARTITION BY page ORDER BY pos)),
+m AS (SELECT page, g, unnest(list_concat([pos], list_concat(CASE WHEN pos + 1 <= last AND NOT coalesce(taken1, FALSE) THEN [pos + 1] ELSE [] END, CASE WHEN pos + 2 <= last THEN [pos + 2] ELSE [] END))) AS p FROM h WHERE heads)
+SELECT page, g AS group_no, row_number() OVER (PARTITION BY page, g ORDER BY p) AS member_no, 'p' || page || '_b' || p AS block_id FROM m""",
 )
 def _(spark, sf):
     li = B.regions(spark, sf).select(
-        F.floor((F.col("pos") - 1) / 64).alias("doc"), "page", "pos",
+        "page", "pos",
         F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), F.col("pos").cast("string")).alias("block_id"),
         F.when(F.col("color") == 1, F.array(F.col("pos") + 1, F.col("pos") + 2)).otherwise(F.array().cast("array<bigint>")).alias("merge_with"),
     )
-    return L.merge_groups(li, ["doc", "page"])
+    return L.merge_groups(li, ["page"])
 
 
 # --- dictionary -------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import text as T
 from ..functions.strict_json import is_json
+from ..operators.joins import last_translations
 
 LIBRARY_META = (
     "slide_id string, filename string, uploaded_at string, total_pages long, status string, "
@@ -120,7 +121,7 @@ def parse_events(raw: DataFrame, col: str = "value", schema: str = EVENT) -> Dat
 
 def with_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
     """Block table plus translation column (null where there is none)."""
-    return blocks.join(translations.select("block_id", "translated"), "block_id", "left")
+    return blocks.join(last_translations(translations), "block_id", "left")
 
 
 def write_blocks(blocks: DataFrame, translations: DataFrame, path: str, partition: str = "source") -> None:

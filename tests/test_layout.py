@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from chalkstream import params as P
 from chalkstream.operators import gates as G
 from chalkstream.operators import joins as J
 from chalkstream.operators import layout as L
@@ -144,7 +145,13 @@ def test_merge_adjacent(spark):
             x = rng.choice([10.0, 40.0, 59.0, 70.0])
             rows.append((page, pos, rng.choice(texts), x, y, x + 100, y + 10, rng.random(), rng.random() < 0.1))
     df = spark.createDataFrame(rows, "page int, pos int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, skip_translate boolean")
-    unfinished = L.unfinished_text()
+
+    def unfinished(text):
+        """The rules written out on the whole text: what closes it, then what it is."""
+        text = text.strip()
+        closed = not text or text[-1] in ".?!。)）]】" or re.search(P.FINISHED_ENDINGS, text) or not re.search(f"[{P.HANGUL}]$", text)
+        return not (closed or re.match(r"[QA]\d", text) or re.fullmatch(r"\d+[.)]\s*.{1,15}", text))
+
     want = []
     for page in range(40):
         cur = None
@@ -170,6 +177,13 @@ def test_merge_groups(spark):
     assert got == [(1, 1, 1, "p1_b0"), (1, 1, 2, "p1_b1"), (1, 1, 3, "p1_b2"), (1, 2, 1, "p1_b3"), (1, 2, 2, "p1_b4")]
 
 
+def test_merge_groups_on_a_long_page(spark):
+    rows = [(1, i, f"p1_b{i}", [i + 1] if i % 2 == 0 else []) for i in range(66)] + [(1, 66, "x", [0, 0]), (2, 0, "p2_b0", [5])]
+    df = spark.createDataFrame(rows, "page int, pos int, block_id string, merge_with array<int>")
+    got = [(r.page, r.group_no, r.block_id) for r in L.merge_groups(df, ["page"]).orderBy("group_no", "member_no").collect()]
+    assert got == [(1, i // 2 + 1, f"p1_b{i}") for i in range(66)]
+
+
 def test_fit(spark):
     rng = random.Random(9)
     rows = []
