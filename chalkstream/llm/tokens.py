@@ -93,7 +93,8 @@ class Memory:
         if not words:
             return
         per_word = 2 if lead == "\n" else 1
-        found = self.lib.encode("".join(words) if per_word == 2 else " " + " ".join(words), add_special_tokens=False)
+        joined = "".join(words) if per_word == 2 else " " + " ".join(words)
+        found = self.lib.encode(joined, add_special_tokens=False)
         ids, pieces = found.ids, np.array(found.word_ids)
         end = np.searchsorted(pieces // per_word, np.arange(len(words)), "right").tolist()
         begin = 0
@@ -128,7 +129,10 @@ class Cutter:
         if self.fixed:
             wanted = wanted.difference(self.fixed)
         self.memory.learn(wanted)
-        look = _Tiers(self.fixed, self.memory.known).__getitem__ if self.fixed else self.memory.known.__getitem__
+        # Most cuts come several times in a batch: a table of its own stays close at hand.
+        known = self.memory.known
+        near = {c: known[c] for c in wanted}
+        look = _Tiers(self.fixed, near).__getitem__ if self.fixed else near.__getitem__
         return [
             self.memory.of_text(t) if w else self.join(self.memory.of_bare(c[0]), map(look, c[1:]))
             for w, t, c in zip(whole, texts, cuts, strict=True)
@@ -175,7 +179,7 @@ def count_cutter(path: str, fixed: dict[str, int]) -> Cutter:
     return Cutter("counts", path, len, lambda first, rest: first + sum(rest), fixed)
 
 
-def batched(texts: Iterable[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+def batched(texts: Iterable[str], chars: int = 4 << 20) -> Iterator[list[str]]:
     """Consecutive texts of about ``chars`` together; a longer text is alone."""
     batch, size = [], 0
     for text in texts:
