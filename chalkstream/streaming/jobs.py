@@ -27,12 +27,13 @@ def field(name: str, kind: T.DataType) -> T.StructField:
 
 # ------------------------------------------------------------------------------ running a stream
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A parquet table as a file stream."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    """A parquet table, a folder of files or a single one, as a file stream."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_to_table(stream: DataFrame, path: str | None = None) -> DataFrame:

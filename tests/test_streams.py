@@ -131,3 +131,39 @@ def test_session_log(spark, events, tmp_path):
     want = Wn.event_sequence(table.where("session_id < 3"), ORDER, ["session_id"])
     assert rows(got, F.col("session_id").cast("long"), F.col("seq").cast("long"), "original") == rows(
         want, "session_id", F.col("event_seq") - 1, "event_type")
+
+
+STREAMS = [
+    "append_segments", "caption_stream", "late_events", "adaptive_delay_stream", "suppress_repeats_stream", "session_timeouts_stream",
+    "stable_commits_stream", "board_state_stream", "presence_stream", "job_progress_stream", "cancel_match_stream", "activity_stream",
+]
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, tmp_path_factory):
+    """The tables with the streamed ones as folders of four files in time order."""
+    import shutil
+    from pathlib import Path
+
+    top = tmp_path_factory.mktemp("folders")
+    for file in Path(SF).glob("*.parquet"):
+        order = {"events": ["ts", "event_id"], "conversations": ["conv_id", "turn"]}.get(file.stem)
+        if order is None:
+            shutil.copy(file, top / file.name)
+            continue
+        rows = spark.read.parquet(str(file)).orderBy(*order).toPandas()
+        (top / file.name).mkdir()
+        for i in range(4):
+            part = rows.iloc[i * len(rows) // 4 : (i + 1) * len(rows) // 4]
+            spark.createDataFrame(part, spark.read.parquet(str(file)).schema).coalesce(1).write.mode("append").parquet(str(top / file.name))
+    return str(top)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_tables_of_several_files(spark, folder_tables, name):
+    from chalkstream.queries import registry
+
+    run = registry.QUERIES[name]
+    cols = sorted(run(spark, SF).columns)
+    one, many = ([tuple(map(str, r)) for r in run(spark, d).select(cols).collect()] for d in (SF, folder_tables))
+    assert one and sorted(many) == sorted(one)
