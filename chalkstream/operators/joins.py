@@ -481,11 +481,20 @@ def match_cancel_tokens(tokens: DataFrame, uploads: DataFrame, ttl_ms: int = 300
     )
 
 
-def participants(latest: DataFrame, connected: DataFrame, default_lang: str = "en") -> DataFrame:
-    """Registry rows still connected, with default language and numbered guest names."""
-    here = latest.join(connected.select("session_id", "user_id"), ["session_id", "user_id"], "left_semi")
-    numbered = with_scans(here, ["session_id"], ["joined_ms", "user_id"], {"_no": RowNumber()})
-    name = F.coalesce(T.blank_to_null(F.col("name")), F.concat(F.lit("Guest "), F.col("_no").cast("string")))
-    return numbered.withColumns(
-        {"name": name, "audio_lang": F.coalesce(T.blank_to_null(F.col("audio_lang")), F.lit(default_lang))}
-    ).drop("_no")
+def participants(moves: DataFrame, registry: DataFrame, default_lang: str = "en") -> DataFrame:
+    """Who is connected, with default language and guest names as given on joining.
+
+    ``moves`` has session_id, user_id, ts_ms and type (join or leave) from the start of each session. A guest's
+    number is that of the viewers connected with them just after they joined, and stays when others leave.
+    """
+    step = F.when(F.col("type") == "join", 1).otherwise(-1).cast("long")
+    counted = with_scans(moves, ["session_id"], ["ts_ms", "type", "user_id"], {"_viewers": RunSum(step)})
+    last = F.max_by(F.struct("type", "ts_ms", "_viewers"), F.struct("ts_ms", "type"))
+    here = counted.groupBy("session_id", "user_id").agg(last.alias("_m")).where("_m.type = 'join'").select(
+        "session_id", "user_id", F.col("_m.ts_ms").alias("joined_ms"), F.col("_m._viewers").alias("_no")
+    )
+    name = F.coalesce(T.blank_to_null(F.col("name")), F.concat(F.lit("Guest"), F.col("_no").cast("string")))
+    return here.join(registry.select("user_id", "name", "audio_lang"), "user_id").select(
+        "session_id", "user_id", "joined_ms", name.alias("name"),
+        F.coalesce(T.blank_to_null(F.col("audio_lang")), F.lit(default_lang)).alias("audio_lang"),
+    )

@@ -349,23 +349,26 @@ def _(spark, sf):
 
 @query(
     "participants",
-    with_ctes(B.EV, """j AS (SELECT session_id % 20 AS session_id, session_id AS user_id, min(ts_ms) AS joined_ms, max_by(event_type, ts_ms) AS last FROM ev GROUP BY ALL),
-n AS (SELECT j.session_id, user_id, joined_ms, CASE WHEN c_nationkey % 3 <> 0 THEN c_name END AS name, CASE WHEN c_nationkey % 2 = 0 THEN 'ko' END AS lang
-  FROM j JOIN customer ON c_custkey = user_id WHERE last <> 'error')""",
-              body="""SELECT session_id, user_id, joined_ms, coalesce(name, 'Guest ' || row_number() OVER (PARTITION BY session_id ORDER BY joined_ms, user_id)) AS name,
-  coalesce(lang, 'en') AS audio_lang FROM n"""),
+    with_ctes(B.EV, """j AS (SELECT session_id % 20 AS session_id, session_id AS user_id, min(ts_ms) AS joined_ms, max(ts_ms) AS left_ms,
+  max_by(event_type, ts_ms) AS last FROM ev GROUP BY ALL),
+m AS (SELECT session_id, user_id, joined_ms AS ts_ms, 'join' AS type, last FROM j
+  UNION ALL SELECT session_id, user_id, left_ms, 'leave', last FROM j WHERE last = 'error'),
+a AS (SELECT *, sum(CASE type WHEN 'join' THEN 1 ELSE -1 END) OVER (PARTITION BY session_id ORDER BY ts_ms, type, user_id)::BIGINT AS viewers FROM m)""",
+              body="""SELECT session_id, user_id, ts_ms AS joined_ms, coalesce(CASE WHEN c_nationkey % 3 <> 0 THEN c_name END, 'Guest' || viewers) AS name,
+  coalesce(CASE WHEN c_nationkey % 2 = 0 THEN 'ko' END, 'en') AS audio_lang FROM a JOIN customer ON c_custkey = user_id WHERE type = 'join' AND last <> 'error'"""),
 )
 def _(spark, sf):
     e = B.ev(spark, sf).withColumns({"user_id": F.col("session_id"), "session_id": F.col("session_id") % 20})
     seen = e.groupBy("session_id", "user_id").agg(
-        F.min("ts_ms").alias("joined_ms"), F.max_by("event_type", "ts_ms").alias("last")
+        F.min("ts_ms").alias("joined_ms"), F.max("ts_ms").alias("left_ms"), F.max_by("event_type", "ts_ms").alias("last")
     )
-    c = table(spark, sf, "customer").select(
+    joins = seen.select("session_id", "user_id", F.col("joined_ms").alias("ts_ms"), F.lit("join").alias("type"))
+    leaves = seen.where("last = 'error'").select("session_id", "user_id", F.col("left_ms").alias("ts_ms"), F.lit("leave").alias("type"))
+    registry = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_name")).alias("name"),
         F.when(F.col("c_nationkey") % 2 == 0, "ko").alias("audio_lang"),
     )
-    latest = seen.join(c, "user_id").select("session_id", "user_id", "joined_ms", "name", "audio_lang")
-    return J.participants(latest, seen.where("last <> 'error'"))
+    return J.participants(joins.unionByName(leaves), registry)
 
 
 @query(
@@ -402,14 +405,13 @@ def _(spark, sf):
 
 @query(
     "select_terms",
-    with_ctes(B.TERMS, """d AS (SELECT doc_id AS page, text FROM documents UNION ALL SELECT 1000000000000 + conv_id * 1000 + turn // 50, text FROM conversations)""",
+    with_ctes(B.TERMS, """d AS (SELECT doc_id AS page, text FROM documents UNION ALL SELECT 1000000000000 + conv_id, text FROM conversations)""",
               "j AS (SELECT page, string_agg(text, ' ' ORDER BY text) AS whole FROM d GROUP BY page)",
               """r AS (SELECT page, term, value, EXISTS (SELECT 1 FROM d WHERE d.page = j.page AND contains(d.text, term)) AS inside FROM j, terms WHERE contains(whole, term))""",
               body="""SELECT page, rank, term, value FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY inside DESC, length(term) DESC, term) AS rank FROM r) WHERE rank <= 25"""),
 )
 def _(spark, sf):
     d = B.documents(spark, sf).select(F.col("doc_id").alias("page"), "text")
-    part = F.col("conv_id") * 1000 + F.floor(F.col("turn") / 50)
-    c = table(spark, sf, "conversations").select((part + 1000000000000).alias("page"), "text")
+    c = table(spark, sf, "conversations").select((F.col("conv_id") + 1000000000000).alias("page"), "text")
     pages = d.unionByName(c).withColumn("pos", F.col("text"))
     return TM.select_terms(pages, B.terms(spark, sf), ["page"])

@@ -180,3 +180,26 @@ def test_sort_library(spark):
     ids = lambda *a: [r.slide_id for r in sort_library(df, *a).collect()]
     assert ids() == ["2", "1", "3"] and ids("size") == ["2", "1", "3"] and ids("name") == ["3", "2", "1"]
     assert ids("name", "ko")[-2:] == ["2", "1"] or ids("name", "ko")[:2] == ["2", "1"]
+
+
+def test_one_change_and_one_translation_per_key(spark):
+    from chalkstream.operators import joins as J
+    from chalkstream.sources import library as lib
+
+    g = spark.createDataFrame([(1, "a", "x", "c"), (2, "b", "y", "c")], "id long, term string, value string, category string")
+    ch = spark.createDataFrame([("a", "a1", "v1", "", 1), ("a", "a2", "v2", "d", 2)], "term string, new_term string, new_value string, new_category string, pos int")
+    assert sorted(tuple(r) for r in S.glossary_update(g, ch).collect()) == [(1, "a2", "v2", "d", True), (2, "b", "y", "c", False)]
+    blocks = spark.createDataFrame([("p1", "one"), ("p2", "two")], "block_id string, text string")
+    t = spark.createDataFrame([("p1", "old", 1), ("p1", "new", 2)], "block_id string, translated string, pos int")
+    assert sorted(tuple(r) for r in J.attach_translations(blocks, t).collect()) == [("p1", "one", "new"), ("p2", "two", "two")]
+    assert sorted(tuple(r) for r in lib.with_translations(blocks, t).collect()) == [("p1", "one", "new"), ("p2", "two", None)]
+
+
+def test_guests_keep_their_number(spark):
+    from chalkstream.operators import joins as J
+
+    moves = [(1, 7, 10, "join"), (1, 8, 20, "join"), (1, 7, 30, "leave"), (1, 9, 40, "join"), (1, 5, 50, "join")]
+    moves = spark.createDataFrame(moves, "session_id int, user_id int, ts_ms long, type string")
+    people = spark.createDataFrame([(5, "Kim", "ko"), (7, None, None), (8, " ", None), (9, None, "fr")], "user_id int, name string, audio_lang string")
+    got = sorted((r.user_id, r.name, r.audio_lang) for r in J.participants(moves, people).collect())
+    assert got == [(5, "Kim", "ko"), (8, "Guest2", "en"), (9, "Guest2", "fr")]
