@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -20,7 +19,7 @@ from tokenizers import Tokenizer
 from . import worker
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
-_CACHED = 500_000
+_CACHED = 600_000
 #: Characters that are neither letters, numbers nor white space, and begin no contraction.
 _MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
 
@@ -36,19 +35,21 @@ def tokenizer(path: str):
 
 
 class Memory:
-    """Values of later cuts, as a worker knows them: of their ids, what ``value`` makes.
+    """Values of later cuts, as a worker knows them: what ``values`` makes of the ids of several cuts in a row
+    and the place where each cut ends.
 
     Two generations bound the memory: when the younger is full it becomes the older one, and what is
     still asked for comes back from there."""
 
-    def __init__(self, lib, value: Callable[[list[int]], Any]):
-        self.lib, self.value = lib, value
+    def __init__(self, lib, values: Callable[[list[int], list[int]], list[Any]]):
+        self.lib, self.values = lib, values
         self.known: dict[str, Any] = {}
         self.older: dict[str, Any] = {}
         self.bare: dict[str, Any] = {}  # strings without anything before them: marks and first cuts
 
     def of_text(self, text: str) -> Any:
-        return self.value(self.lib.encode(text, add_special_tokens=False).ids)
+        ids = self.lib.encode(text, add_special_tokens=False).ids
+        return self.values(ids, [len(ids)])[0]
 
     def of_bare(self, text: str) -> Any:
         found = self.bare.get(text)
@@ -65,7 +66,7 @@ class Memory:
             self.older, self.known = self.known, {}
             missing = cuts
         known, older = self.known, self.older
-        split, words, others = [], set(), []
+        marked, plain, after_newline, others = [], set(), set(), []
         for cut in missing:
             found = older.get(cut)
             if found is not None:
@@ -73,41 +74,37 @@ class Memory:
                 continue
             # Letters and the marks behind them are two pieces; words are encoded together, once each.
             word = cut.rstrip(_MARKS)
-            letters = word[1:] if word.startswith("\n") else word
-            if letters.isalpha() and max(letters) < "\u0250":
-                split.append((cut, word))
+            newline = word[:1] == "\n"
+            letters = word[1:] if newline else word
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+                if cut != word:
+                    marked.append((cut, word))
                 if word not in known:
-                    words.add(word)
+                    (after_newline if newline else plain).add(word)
             else:
                 others.append(cut)
-        for lead in (" ", "\n"):
-            self._learn_words([w for w in words if w.startswith("\n") == (lead == "\n")], lead)
-        for cut, word in split:
-            if cut != word:
-                known[cut] = known[word] + self.of_bare(cut[len(word) :])
-        encoded = self.lib.encode_batch_fast([text_of(c) for c in others], add_special_tokens=False)
-        known.update(zip(others, (self.value(e.ids) for e in encoded), strict=True))
-
-    def _learn_words(self, words: list[str], lead: str) -> None:
-        """Words of letters only, each one piece, or two with the newline it begins with."""
+        self._learn_words(list(plain), " ", 1)
+        self._learn_words(list(after_newline), "", 2)
+        for cut, word in marked:
+            known[cut] = known[word] + self.of_bare(cut[len(word) :])
+        for cut, e in zip(others, self.lib.encode_batch_fast([text_of(c) for c in others], add_special_tokens=False), strict=True):
+            known[cut] = self.values(e.ids, [len(e.ids)])[0]
+
+    def _learn_words(self, words: list[str], lead: str, pieces: int) -> None:
+        """Words of letters only, each of one piece, or of two with the newline it begins with."""
         if not words:
             return
-        per_word = 2 if lead == "\n" else 1
-        joined = "".join(words) if per_word == 2 else " " + " ".join(words)
-        found = self.lib.encode(joined, add_special_tokens=False)
-        ids, pieces = found.ids, np.array(found.word_ids)
-        end = np.searchsorted(pieces // per_word, np.arange(len(words)), "right").tolist()
-        begin = 0
-        for word, stop in zip(words, end, strict=True):
-            self.known[word] = self.value(ids[begin:stop])
-            begin = stop
-
-
-def memory(kind: str, path: str, value: Callable[[list[int]], Any]) -> Memory:
+        found = self.lib.encode(lead + lead.join(words), add_special_tokens=False)
+        place = np.array(found.word_ids) // pieces
+        end = np.searchsorted(place, np.arange(len(words)), "right").tolist()
+        self.known.update(zip(words, self.values(found.ids, end), strict=True))
+
+
+def memory(kind: str, path: str, values: Callable[[list[int], list[int]], list[Any]]) -> Memory:
     """The memory that the tasks of a worker share."""
     kept = worker.store().setdefault("memories", {})
     if (kind, path) not in kept:
-        kept[kind, path] = Memory(tokenizer(path)[0], value)
+        kept[kind, path] = Memory(tokenizer(path)[0], values)
     return kept[kind, path]
 
 
@@ -116,10 +113,10 @@ class Cutter:
 
     ``fixed`` is a table of cuts asked before the worker's memory."""
 
-    def __init__(self, kind: str, path: str, value: Callable[[list[int]], Any], join: Callable[[Any, Iterator[Any]], Any],
+    def __init__(self, kind: str, path: str, values: Callable[[list[int], list[int]], list[Any]], join: Callable[[Any, Iterator[Any]], Any],
                  fixed: dict[str, Any] | None = None):
         self.special = tokenizer(path)[1]
-        self.memory, self.join, self.fixed = memory(kind, path, value), join, fixed
+        self.memory, self.join, self.fixed = memory(kind, path, values), join, fixed
 
     def of_texts(self, texts: list[str]) -> list[Any]:
         """Values of some texts, best of about a megabyte together."""
@@ -170,13 +167,22 @@ def text_of(cut: str) -> str:
     return cut if cut.startswith("\n") else " " + cut
 
 
+def _packed(ids: list[int], end: list[int]) -> list[bytes]:
+    data = np.array(ids, "<u4").tobytes()
+    return [data[4 * a : 4 * b] for a, b in zip([0, *end], end, strict=False)]
+
+
+def _lengths(ids: list[int], end: list[int]) -> list[int]:
+    return [b - a for a, b in zip([0, *end], end, strict=False)]
+
+
 def id_cutter(path: str) -> Cutter:
     """Ids as little-endian 32-bit integers."""
-    return Cutter("ids", path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), lambda first, rest: first + b"".join(rest))
+    return Cutter("ids", path, _packed, lambda first, rest: first + b"".join(rest))
 
 
 def count_cutter(path: str, fixed: dict[str, int]) -> Cutter:
-    return Cutter("counts", path, len, lambda first, rest: first + sum(rest), fixed)
+    return Cutter("counts", path, _lengths, lambda first, rest: first + sum(rest), fixed)
 
 
 def batched(texts: Iterable[str], chars: int = 4 << 20) -> Iterator[list[str]]:
