@@ -11,6 +11,16 @@ from ..session import checkpoint_dir
 _WRITTEN: list[str] = []
 
 
+_BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long rows: fewer of them at once between Spark and Python than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= _BATCH_ROWS:
+        spark.conf.set(key, str(_BATCH_ROWS))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below ``spark.checkpoint.dir`` that no other run uses."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"

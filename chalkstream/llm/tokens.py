@@ -19,14 +19,14 @@ from tokenizers import Tokenizer
 from . import worker
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
-_CACHED = 600_000
+_CACHED = 400_000
 #: Characters that are neither letters, numbers nor white space, and begin no contraction.
 _MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
 
 
 def tokenizer(path: str):
     """The tokenizer of a ``tokenizers`` file and its special strings, loaded once per worker."""
-    loaded = worker.store().setdefault("tokenizers", {})
+    loaded = worker.store("tokens").setdefault("tokenizers", {})
     if path not in loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         found = Tokenizer.from_file(path)
@@ -102,7 +102,7 @@ class Memory:
 
 def memory(kind: str, path: str, values: Callable[[list[int], list[int]], list[Any]]) -> Memory:
     """The memory that the tasks of a worker share."""
-    kept = worker.store().setdefault("memories", {})
+    kept = worker.store("tokens").setdefault("memories", {})
     if (kind, path) not in kept:
         kept[kind, path] = Memory(tokenizer(path)[0], values)
     return kept[kind, path]
@@ -185,7 +185,7 @@ def count_cutter(path: str, fixed: dict[str, int]) -> Cutter:
     return Cutter("counts", path, _lengths, lambda first, rest: first + sum(rest), fixed)
 
 
-def batched(texts: Iterable[str], chars: int = 4 << 20) -> Iterator[list[str]]:
+def batched(texts: Iterable[str], chars: int = 1 << 20) -> Iterator[list[str]]:
     """Consecutive texts of about ``chars`` together; a longer text is alone."""
     batch, size = [], 0
     for text in texts:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from . import worker
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
@@ -33,7 +33,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept in the worker."""
-    kept = worker.store()
+    kept = worker.store("words")
     if "powers" not in kept or len(kept["powers"][0]) < n:
         n = max(n, BATCH_BYTES + 1024)
         tables = []
@@ -93,6 +93,7 @@ class Words:
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_string array, nulls as empty texts."""
+    pa.default_memory_pool().release_unused()  # of the batches before
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.fill_null(column.cast(pa.large_string()), "")

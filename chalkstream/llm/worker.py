@@ -1,4 +1,7 @@
-"""A place in each Python worker that outlives a task. Code travels to workers by value, so its globals do not."""
+"""A place in each Python worker that outlives a task. Code travels to workers by value, so its globals do not.
+
+A worker serves one operator after the other, so what one kept is dropped when another asks.
+"""
 
 from __future__ import annotations
 
@@ -8,5 +11,8 @@ import types
 _NAME = "_chalkstream_worker"
 
 
-def store() -> dict:
-    return sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__
+def store(owner: str) -> dict:
+    kept = sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__.setdefault("kept", {})
+    for other in [o for o in kept if o != owner]:
+        del kept[other]
+    return kept.setdefault(owner, {})

@@ -12,15 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chalkstream.llm import decontaminate, minhash, mixing, quality_rules, token_files
-from chalkstream.llm.staging import stage
+from chalkstream.llm.staging import small_batches, stage
 from chalkstream.session import table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.keep_first(docs)
 
 
@@ -33,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_files.write_and_read(docs)
 
 
