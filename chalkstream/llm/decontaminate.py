@@ -7,6 +7,9 @@ alignment (word position in the document less that in the item). An alignment co
 item value meets a single document value on it. An item leaks into a document if consistent
 alignments cover at least 13 of its words, or all of a shorter item. Columns and joins only.
 
+Windows are taken in two forms. In one a capital inside a sentence makes a name; in the other every capitalised word
+is one and white space is all alike, so text before an item, names at sentence starts and new line ends change nothing.
+
 Defined results: null and empty texts and items match nothing, nor do items of fewer than five
 words; a null ``doc_id`` is reported as such; rows with one ``doc_id`` are matched each on its own text and
 reported once per item; repeated items are reported per ``item_id``; empty tables give an empty result.
@@ -28,8 +31,11 @@ _GAP = r"[\x20\x09-\x0D]+"
 _ENDS = " \t\n\x0b\x0c\r"
 #: A capital inside a sentence: one space before it and no full stop before that.
 _NAMES = r"(?<=[^.!?\x20\x09-\x0D] )\p{Lu}[\p{L}'’-]*"
+#: Any word with a capital, wherever it stands.
+_CAPITALS = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]*"
 NUMBERS = r"[$€£]?\d[\d.,:/]*"
 UNITS = rf"{NUMBER}( ?)(?:{'|'.join(params.UNITS)})\b"
+_UNITS_APART = rf"{NUMBER}([\x20\x09-\x0D]*)(?:{'|'.join(params.UNITS)})\b"
 DROPPED = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]"
 
 
@@ -45,11 +51,23 @@ def template_words(text: Column) -> Column:
     return _split(marked)
 
 
+def open_words(text: Column) -> Column:
+    """The same with every capitalised word as a name and any white space before a unit: a word's form does not
+    depend on where a sentence, line or text begins."""
+    marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _CAPITALS, NAME)
+    marked = F.regexp_replace(F.regexp_replace(marked, NUMBERS, NUMBER), _UNITS_APART, f"{NUMBER}$1{UNIT}")
+    return _split(marked)
+
+
 def value_words(text: Column) -> Column:
     """The words at the same positions, with their own values."""
     return _split(F.coalesce(text.cast("string"), F.lit("")))
 
 
+#: The forms in which documents and items are compared: windows of a form meet windows of the same form.
+_FORMS = {"_words": template_words, "_open": open_words}
+
+
 def _windows(rows: DataFrame, n: int) -> DataFrame:
     """One row per window of n words: the other columns, its position and hash."""
     places = F.sequence(F.lit(1), F.size("_words") - n + 1)
@@ -63,7 +81,10 @@ def _windows(rows: DataFrame, n: int) -> DataFrame:
 
 def _item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("_text"))
-    words = items.select("item_id", template_words(F.col("_text")).alias("_words"), value_words(F.col("_text")).alias("_values"))
+    words = items.select(
+        "item_id", template_words(F.col("_text")).alias("_words"), open_words(F.col("_text")).alias("_open"),
+        value_words(F.col("_text")).alias("_values"),
+    )
     return stage(words.filter(F.size("_words") >= params.MIN_ITEM_WORDS), "items")
 
 
@@ -71,53 +92,43 @@ def _item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     parts = []
     for n in lengths:
         of_size = items.filter(F.least(F.size("_words"), F.lit(params.TEMPLATE_WINDOW)) == n)
-        rows = _windows(of_size.select("item_id", "_words", F.col("_words").alias("words")), n)
-        literals = F.size(F.filter(F.slice("words", F.col("pos") + 1, n), lambda w: ~w.rlike(f"[{NAME}-{UNIT}]")))
-        parts.append(rows.filter(literals >= params.MIN_LITERALS * n).select("item_id", F.col("pos").alias("item_pos"), "size", "hash"))
+        for form in _FORMS:
+            rows = _windows(of_size.select("item_id", F.col(form).alias("_words"), F.col(form).alias("words")), n)
+            literals = F.size(F.filter(F.slice("words", F.col("pos") + 1, n), lambda w: ~w.rlike(f"[{NAME}-{UNIT}]")))
+            parts.append(rows.filter(literals >= params.MIN_LITERALS * n).select(
+                "item_id", F.col("pos").alias("item_pos"), "size", "hash", F.lit(form).alias("form")
+            ))
     return stage(reduce(DataFrame.union, parts), "item-windows")
 
 
 def _covered(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Words of items met by windows of documents: key, alignment and item position, each once."""
+    """Words of items met by windows of documents: key, alignment and item position, each once, and whether a
+    window of ``template_words`` met it."""
     lengths = sorted(r[0] for r in items.select(F.least(F.size("_words"), F.lit(params.TEMPLATE_WINDOW))).distinct().collect())
     lengths = lengths or [params.TEMPLATE_WINDOW]
     wanted = counted(_item_windows(items, lengths))
-    words = docs.select("doc_id", "mark", template_words(F.col("_text")).alias("_words"))
-    windows = reduce(DataFrame.union, [_windows(words, n) for n in lengths])
-    met = windows.join(wanted, ["hash", "size"]).select(
-        "doc_id", "mark", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size"
+    windows = reduce(DataFrame.union, [
+        _windows(docs.select("doc_id", "mark", words(F.col("_text")).alias("_words")), n).withColumn("form", F.lit(form))
+        for form, words in _FORMS.items() for n in lengths
+    ])
+    met = windows.join(wanted, ["hash", "size", "form"]).select(
+        "doc_id", "mark", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size", "form"
     )
     spans = met.select(
-        "doc_id", "mark", "item_id", "shift",
+        "doc_id", "mark", "item_id", "shift", "form",
         F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("item_pos"),
     )
-    return stage(spans.distinct(), "covered")
+    found = spans.groupBy("doc_id", "mark", "item_id", "shift", "item_pos").agg(F.max(F.col("form") == "_words").alias("plain"))
+    return stage(found, "covered")
 
 
 def _with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("_text"))
 
 
-def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Leaks of rows with ``doc_id``, ``mark`` (a hash of the text) and ``_text``."""
-    covered = _covered(docs, items)
-    item_word = items.select(
-        "item_id", F.size("_words").alias("item_words"), F.posexplode(F.arrays_zip("_words", "_values")).alias("item_pos", "_w")
-    ).select(
-        "item_id", "item_words", "item_pos", F.col("_w._values").alias("item_value"),
-        F.col("_w._words").rlike(f"[{NAME}-{UNIT}]").alias("slot"),
-    )
-    words = stage(covered.join(counted(item_word), ["item_id", "item_pos"]), "covered-words")
+def _accepted(words: DataFrame, filled: DataFrame) -> DataFrame:
+    """Items that consistent alignments cover; ``filled`` has the values of the slots among ``words``."""
     at = ["doc_id", "mark", "item_id", "shift"]
-    slots = words.filter("slot")
-    holders = slots.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
-    texts = docs.join(counted(holders), docs.doc_id.eqNullSafe(F.col("_d")) & (docs.mark == F.col("_m")), "left_semi")
-    values = texts.dropDuplicates(["doc_id", "mark"]).select(
-        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), value_words(F.col("_text")).alias("_values")
-    )
-    filled = slots.join(values, slots.doc_id.eqNullSafe(F.col("_d")) & (slots.mark == F.col("_m"))).select(
-        *at, "item_pos", "item_value", F.get("_values", F.col("item_pos") + F.col("shift")).alias("doc_value")
-    )
     per_value = filled.groupBy(*at, "item_value").agg(
         F.min("doc_value").alias("lo"), F.max("doc_value").alias("hi"), F.count(F.lit(1)).alias("n"),
         F.sum((F.col("doc_value") != F.col("item_value")).cast("long")).alias("changed"),
@@ -136,6 +147,38 @@ def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     ).filter(F.col("covered_words") >= F.least(F.lit(params.LEAK_WORDS), F.col("item_words")))
 
 
+def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks of rows with ``doc_id``, ``mark`` (a hash of the text) and ``_text``."""
+    covered = _covered(docs, items)
+    holds = lambda words: words.rlike(f"[{NAME}-{UNIT}]")
+    item_word = items.select(
+        "item_id", F.size("_words").alias("item_words"),
+        F.posexplode(F.arrays_zip("_words", "_open", "_values")).alias("item_pos", "_w"),
+    ).select(
+        "item_id", "item_words", "item_pos", F.col("_w._values").alias("item_value"),
+        holds(F.col("_w._words")).alias("slot"), holds(F.col("_w._open")).alias("open_slot"),
+    )
+    words = stage(covered.join(counted(item_word), ["item_id", "item_pos"]), "covered-words")
+    slots = words.filter("slot or open_slot")
+    holders = slots.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
+    texts = docs.join(counted(holders), docs.doc_id.eqNullSafe(F.col("_d")) & (docs.mark == F.col("_m")), "left_semi")
+    values = texts.dropDuplicates(["doc_id", "mark"]).select(
+        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), value_words(F.col("_text")).alias("_values")
+    )
+    filled = slots.join(values, slots.doc_id.eqNullSafe(F.col("_d")) & (slots.mark == F.col("_m"))).select(
+        "doc_id", "mark", "item_id", "shift", "plain", "slot", "item_value",
+        F.get("_values", F.col("item_pos") + F.col("shift")).alias("doc_value"),
+    )
+    filled = stage(filled, "filled")
+    # What windows of template_words show by themselves is reported as they show it; all windows together find the rest.
+    both = _accepted(words.filter("plain"), filled.filter("plain and slot")).withColumn("rank", F.lit(0)).union(
+        _accepted(words, filled).withColumn("rank", F.lit(1))
+    )
+    figures = ["item_words", "covered_words", "n_slots", "n_changed"]
+    first = both.groupBy("doc_id", "mark", "item_id").agg(F.min(F.struct("rank", *figures)).alias("_f"))
+    return first.select("doc_id", "mark", "item_id", *[F.col(f"_f.{c}") for c in figures])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that leaks into it: how many of its words are covered, how many values of

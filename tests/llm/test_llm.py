@@ -187,6 +187,29 @@ def test_leaks_odd(spark, odd, nothing, monkeypatch):
     assert [r.doc_id for r in decontaminate.leaks(more, benchmark).collect()] == [99]
 
 
+def leaking(spark, items, docs):
+    """Pairs (document, item) that leak, by their places in the lists."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), benchmark)
+    return {(r.doc_id, r.item_id) for r in found.collect()}
+
+
+def test_names_do_not_depend_on_their_place(spark):
+    short = "What is the largest city on this island?"
+    tom = "Tom has 3 apples. Tom buys 5 more. How many does Tom have?"
+    ride = "A train leaves the old harbour at noon and travels for 4 hours before it stops at Elmstead again"
+    docs = [
+        "Question: " + short,
+        "so " + short + " Nobody knows.",
+        tom.replace("Tom", "Ann").replace("3", "7").replace("5", "2"),
+        ride.replace(" ", "\n"),
+        ride.replace(" ", "  ").replace("4", "6"),
+        "Question: What was the largest city on that island?",
+        tom.replace("Tom buys", "Ann buys"),
+    ]
+    assert leaking(spark, [short, tom, ride], docs) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2)}
+
+
 # --- mixing ------------------------------------------------------------------------------------------
 def test_mix_reaches_targets(spark):
     rng = random.Random(3)
