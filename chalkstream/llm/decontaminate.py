@@ -9,6 +9,8 @@ alignments cover at least 13 of its words, or all of a shorter item. Columns and
 
 Windows are taken in two forms. In one a capital inside a sentence makes a name; in the other every capitalised word
 is one and white space is all alike, so text before an item, names at sentence starts and new line ends change nothing.
+Item windows with more placeholders than literal words are not compared as templates: they are met by the words
+as written, so a verbatim copy is found whatever the item is made of.
 
 Defined results: null and empty texts and items match nothing, nor do items of fewer than five
 words; a null ``doc_id`` is reported as such; rows with one ``doc_id`` are matched each on its own text and
@@ -31,16 +33,16 @@ _GAP = r"[\x20\x09-\x0D]+"
 _ENDS = " \t\n\x0b\x0c\r"
 #: A capital inside a sentence: one space before it and no full stop before that.
 _NAMES = r"(?<=[^.!?\x20\x09-\x0D] )\p{Lu}[\p{L}'’-]*"
-#: Any word with a capital, wherever it stands.
-_CAPITALS = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]*"
+#: Any capital and the letters behind it, wherever it stands.
+_CAPITALS = r"\p{Lu}[\p{L}'’-]*"
 NUMBERS = r"[$€£]?\d[\d.,:/]*"
 UNITS = rf"{NUMBER}( ?)(?:{'|'.join(params.UNITS)})\b"
 _UNITS_APART = rf"{NUMBER}([\x20\x09-\x0D]*)(?:{'|'.join(params.UNITS)})\b"
 DROPPED = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]"
 
 
-def _split(cleaned: Column) -> Column:
-    trimmed = F.btrim(F.regexp_replace(F.lower(cleaned), DROPPED, ""), F.lit(_ENDS))
+def _split(text: Column) -> Column:
+    trimmed = F.btrim(F.regexp_replace(text, DROPPED, ""), F.lit(_ENDS))
     return F.when(trimmed != "", F.split(trimmed, _GAP)).otherwise(F.array().cast("array<string>"))
 
 
@@ -48,7 +50,7 @@ def template_words(text: Column) -> Column:
     """The words in lower case without punctuation, with placeholders for names, numbers and units."""
     marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _NAMES, NAME)
     marked = F.regexp_replace(F.regexp_replace(marked, NUMBERS, NUMBER), UNITS, f"{NUMBER}$1{UNIT}")
-    return _split(marked)
+    return _split(F.lower(marked))
 
 
 def open_words(text: Column) -> Column:
@@ -56,16 +58,21 @@ def open_words(text: Column) -> Column:
     depend on where a sentence, line or text begins."""
     marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _CAPITALS, NAME)
     marked = F.regexp_replace(F.regexp_replace(marked, NUMBERS, NUMBER), _UNITS_APART, f"{NUMBER}$1{UNIT}")
-    return _split(marked)
+    return _split(F.lower(marked))
 
 
 def value_words(text: Column) -> Column:
     """The words at the same positions, with their own values."""
+    return _split(F.lower(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def exact_words(text: Column) -> Column:
+    """The words at the same positions as they are written, capitals included."""
     return _split(F.coalesce(text.cast("string"), F.lit("")))
 
 
 #: The forms in which documents and items are compared: windows of a form meet windows of the same form.
-_FORMS = {"_words": template_words, "_open": open_words}
+_FORMS = {"_words": template_words, "_open": open_words, "_exact": exact_words}
 
 
 def _windows(rows: DataFrame, n: int) -> DataFrame:
@@ -83,7 +90,7 @@ def _item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("_text"))
     words = items.select(
         "item_id", template_words(F.col("_text")).alias("_words"), open_words(F.col("_text")).alias("_open"),
-        value_words(F.col("_text")).alias("_values"),
+        exact_words(F.col("_text")).alias("_exact"), value_words(F.col("_text")).alias("_values"),
     )
     return stage(words.filter(F.size("_words") >= params.MIN_ITEM_WORDS), "items")
 
@@ -93,9 +100,12 @@ def _item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     for n in lengths:
         of_size = items.filter(F.least(F.size("_words"), F.lit(params.TEMPLATE_WINDOW)) == n)
         for form in _FORMS:
-            rows = _windows(of_size.select("item_id", F.col(form).alias("_words"), F.col(form).alias("words")), n)
+            # Windows that are placeholders for the most part say too little as templates and are met word for word.
+            by = "_open" if form == "_exact" else form
+            rows = _windows(of_size.select("item_id", F.col(form).alias("_words"), F.col(by).alias("words")), n)
             literals = F.size(F.filter(F.slice("words", F.col("pos") + 1, n), lambda w: ~w.rlike(f"[{NAME}-{UNIT}]")))
-            parts.append(rows.filter(literals >= params.MIN_LITERALS * n).select(
+            enough = literals >= params.MIN_LITERALS * n
+            parts.append(rows.filter(~enough if form == "_exact" else enough).select(
                 "item_id", F.col("pos").alias("item_pos"), "size", "hash", F.lit(form).alias("form")
             ))
     return stage(reduce(DataFrame.union, parts), "item-windows")
@@ -105,11 +115,12 @@ def _covered(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Words of items met by windows of documents: key, alignment and item position, each once, and whether a
     window of ``template_words`` met it."""
     lengths = sorted(r[0] for r in items.select(F.least(F.size("_words"), F.lit(params.TEMPLATE_WINDOW))).distinct().collect())
-    lengths = lengths or [params.TEMPLATE_WINDOW]
-    wanted = counted(_item_windows(items, lengths))
+    wanted = _item_windows(items, lengths or [params.TEMPLATE_WINDOW])
+    kinds = sorted(tuple(r) for r in wanted.select("form", "size").distinct().collect()) or [("_words", params.TEMPLATE_WINDOW)]
+    wanted = counted(wanted)
     windows = reduce(DataFrame.union, [
-        _windows(docs.select("doc_id", "mark", words(F.col("_text")).alias("_words")), n).withColumn("form", F.lit(form))
-        for form, words in _FORMS.items() for n in lengths
+        _windows(docs.select("doc_id", "mark", _FORMS[form](F.col("_text")).alias("_words")), n).withColumn("form", F.lit(form))
+        for form, n in kinds
     ])
     met = windows.join(wanted, ["hash", "size", "form"]).select(
         "doc_id", "mark", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size", "form"

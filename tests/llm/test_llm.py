@@ -210,6 +210,14 @@ def test_names_do_not_depend_on_their_place(spark):
     assert leaking(spark, [short, tom, ride], docs) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2)}
 
 
+def test_verbatim_copies_of_placeholders(spark):
+    items = ["12 + 30 = 42, 17 + 5 = 22", "Anna, Bert, Carl, Dora, Emil and Frida", "WHICH OF THESE PLANETS IS THE LARGEST?",
+             "The Old Man And The Sea By Ernest Hemingway Was Printed First In New York"]
+    docs = ["Compute: " + items[0], "They are Anna, Bert, Carl, Dora,\nEmil and Frida.", "1. " + items[2], "See " + items[3] + ".",
+            "Compute: 11 + 30 = 41, 17 + 9 = 26", "They are Otto, Bert, Carl, Dora, Emil and Frida.", "NONE OF THESE PLANETS IS THE LARGEST?"]
+    assert leaking(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
 # --- mixing ------------------------------------------------------------------------------------------
 def test_mix_reaches_targets(spark):
     rng = random.Random(3)
