@@ -5,7 +5,9 @@ scripts and reader comments are left out by tag, role, class and id. Every block
 earns points (one, one per comma, up to three for its length), lowered by the share of its
 text in links, and passes them up: all to its parent, half to the next ancestor, a third to the one
 after, and so on. The container with most points, again lowered by its link share, is the main one; the
-article or main element around it is taken whole, and otherwise siblings that are headings or score well are kept beside it.
+article or main element around it is taken whole. Otherwise siblings that are headings or score well are kept beside it, and
+so is every other block on the page, however short, that holds a sentence and is not mostly links. Lists of links inside the
+main container stay; elsewhere they count as menus.
 
 Blocks come in page order, white space inside a block is one space, character references are decoded, blocks are joined
 by an empty line. Everything is linear in the page.
@@ -16,6 +18,7 @@ closes where browsers close it; rows are taken one by one, whatever their ids; a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -54,17 +57,22 @@ _CLOSES = {
     "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
     "option": (frozenset(("option",)), frozenset(("select",))),
 }
+#: Class words beside "header" that tell the header of an article from that of the page.
+_OF_ARTICLE = frozenset("article content entry post story".split())
 _MENU_LINKS, _MENU_SHARE = 3, 0.8
+_TEXT_SHARE = 0.5  # of the letters of a block beside the main one may be in links
+_SENTENCE = re.compile(r"""\w[.!?…]+["'”’»)\]]*(?:\s|$)|[。！？]""")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "inside", "out", "points", "letters", "linked", "links")
+    __slots__ = ("tag", "parent", "inside", "out", "points", "letters", "linked", "links", "sentence")
 
     def __init__(self, tag: str, parent: _Element | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
         self.inside: list[_Element | str] = []
         self.points = 0.0
         self.letters = self.linked = self.links = 0
+        self.sentence = False
 
 
 def _left_out(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -79,7 +87,8 @@ def _left_out(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
             return True
         if name in ("class", "id") and tag not in WHOLE and tag not in ("body", "html"):
             words = value.lower().replace("-", " ").replace("_", " ").split()
-            if any(w in CLASS_WORDS for w in words):
+            own = in_article or any(w in _OF_ARTICLE for w in words)
+            if any(w in CLASS_WORDS and not (own and w == "header") for w in words):
                 return True
     return False
 
@@ -186,10 +195,11 @@ def _score(root: _Element) -> list[_Element]:
         points = (1 + text.count(",") + min(size / 100, 3)) * (1 - share)
         node = block if block.parent is None or block.tag in ("div", "section", "article", "main") else block.parent
         block.points += points if node is not block else 0
-        depth, up = 1, block
+        depth, up, sentence = 1, block, _SENTENCE.search(text) is not None
         while up is not None:
             up.letters += size
             up.linked += linked
+            up.sentence = up.sentence or sentence
             up = up.parent
         while node is not None:
             node.points += points / depth
@@ -215,6 +225,29 @@ def _is_menu(node: _Element) -> bool:
             and node.linked >= _MENU_SHARE * node.letters)
 
 
+def _with_text(root: _Element, best: _Element) -> list[_Element]:
+    """The main container and the blocks of text outside it, in page order."""
+    above, up = set(), best.parent
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    enough = 0.2 * _worth(best)
+    kept: list[_Element] = []
+    todo: list[_Element | str] = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x.out:
+            continue
+        near = x.parent is best.parent and (x.tag in HEADINGS or (x.tag in BLOCKS and x.letters and _worth(x) >= enough))
+        if x is best or (id(x) not in above and near):
+            kept.append(x)
+        elif id(x) not in above and x.tag in BLOCKS and x.sentence and not _is_menu(x) and x.linked <= _TEXT_SHARE * x.letters:
+            kept.append(x)
+        elif x.sentence or id(x) in above:
+            todo.extend(reversed(x.inside))
+    return kept
+
+
 def main_text(html: str) -> str:
     tree = _Tree()
     tree.feed(html)
@@ -232,13 +265,10 @@ def main_text(html: str) -> str:
     elif best.parent is None:
         kept = [best]
     else:
-        enough = 0.2 * _worth(best)
-        kept = [
-            x for x in best.parent.inside
-            if isinstance(x, _Element) and not x.out
-            and (x is best or x.tag in HEADINGS or (x.tag in BLOCKS and x.letters and _worth(x) >= enough))
-        ]
+        kept = _with_text(root, best)
     for node in kept:
+        if node is up or (node is best and best.parent is not None):
+            continue
         for enter, x in _walk(node):
             if enter and isinstance(x, _Element) and x is not node and _is_menu(x):
                 x.out = True

@@ -335,6 +335,23 @@ def test_main_text(html):
     assert html_text.main_text(html) == "\n\n".join(PAGES[html])
 
 
+def test_text_outside_the_best_container():
+    long = "".join(f"<p>{TEXT * 3}</p>" for _ in range(10))
+    menu = "<ul><li><a href=a>Home page</a><li><a href=b>All news</a><li><a href=c>Contact us.</a></ul>"
+    page = f"<div>{menu}<div><p>It began early.</p></div><div><div>{long}</div><div>Short end.</div><p>And a last word.</p></div></div>"
+    found = html_text.main_text(page).split("\n\n")
+    assert found == ["It began early.", *[(TEXT * 3).strip()] * 10, "Short end.", "And a last word."]
+
+
+def test_link_lists_and_headers_of_articles():
+    links = "<ul><li><a href=a>First source</a><li><a href=b>Second source</a><li><a href=c>Third source</a></ul>"
+    want = ["The title", TEXT.strip(), "First source", "Second source", "Third source"]
+    inside = f"<div class='article-header'><h1>The title</h1></div><p>{TEXT}</p>{links}<nav><a href=x>Next</a></nav>"
+    assert html_text.main_text(f"<article>{inside}</article>").split("\n\n") == want
+    assert html_text.main_text(f"<main>{inside.replace('article-header', 'header')}</main>").split("\n\n") == want
+    assert html_text.main_text(f"<div class='header'>Site</div><div>{inside}</div>").split("\n\n") == want
+
+
 def test_deep_and_broken_pages():
     deep = "<div>" * 20_000 + TEXT + "</div>" * 20_000
     assert html_text.main_text(deep) == TEXT.strip()
