@@ -60,3 +60,21 @@ PASSAGE_WORDS = 64
 TOXIC_POSITIVES = 2048
 TOXIC_UNLABELLED = 4096
 TOXIC_FEATURES = 512
+
+# Ranked lexical search (11).
+SEARCH_MOST = 20
+SEARCH_FIRST = 100  # documents rescored first for each query; their scores give its threshold
+SEARCH_ITEMS = 4096  # queries looked up together, and the bytes of their texts
+SEARCH_BYTES = 4 << 20
+
+# URL filters (12): host, path, verdict.
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+URL_DEFAULT = "allow"  # a page that no rule fits
+
+# Prefix trie (13).
+TRIE_COLUMNS = 8  # turns in a block of columns
+TRIE_GROUP = 5  # conversations that share heads in the query's corpus, and the bound of a head's turns
+TRIE_HEADS = 9

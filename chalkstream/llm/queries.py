@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontaminate, html_text, minhash, mixing, params, quality_model, quality_rules, token_counts, token_files, toxicity
+from . import (
+    chat, decontaminate, html_text, lexical, minhash, mixing, params, prefix_trie, quality_model, quality_rules, token_counts,
+    token_files, toxicity, url_filters,
+)
 from .staging import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,3 +250,87 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms_sql(table_name: str, key: str) -> str:
+    return (f"SELECT *, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}')) AS term "
+            f"FROM (SELECT row_number() OVER () AS {key}, * FROM {table_name})")
+
+
+@query(
+    "op11_lexical_search",
+    f"""WITH
+q AS (SELECT qid, item_id, term, count(*) AS repeats FROM ({_terms_sql("benchmark", "qid")}) GROUP BY ALL),
+t AS ({_terms_sql("documents", "rid")}),
+tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS (SELECT rid, sum(tf)::BIGINT AS n FROM tf GROUP BY rid),
+whole AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nl FROM len),
+m AS (SELECT rid, 75 + (25 * n * nd) // nl AS m FROM len, whole),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole
+      WHERE term IN (SELECT term FROM q) GROUP BY term, nd),
+s AS (SELECT qid, item_id, rid, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= {params.SEARCH_MOST}""",
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_url_filters",
+    rf"""WITH rules(h, p, v) AS (VALUES {", ".join(repr(r) for r in params.URL_RULES)}),
+u AS (SELECT row_number() OVER () AS rid, page_id,
+             CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+x AS (SELECT rid, page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), '{_UPPER}', '{_UPPER.lower()}') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+m AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+      FROM x JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, '{params.URL_DEFAULT}') AS verdict FROM x LEFT JOIN m USING (rid)""",
+)
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(params.URL_RULES), "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules, params.URL_DEFAULT)
+
+
+# Turns of rebuilt conversations; crc32 is folded over the digits of an id.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), "
+    "lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)))"
+)
+
+
+@query(
+    "op13_prefix_trie",
+    f"""WITH
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % {params.TRIE_GROUP} AS src, {_CRC.format(x="conv_id::VARCHAR")} % {params.TRIE_HEADS} AS h,
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = src AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+b AS (SELECT conv_id, row_number() OVER o AS d, strlen(text) AS size,
+             md5(role || chr(10) || text) AS tid FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY part, pos)),
+p AS (SELECT conv_id, d, size, string_agg(tid, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM b
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY d, path),
+e AS (SELECT d, path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+      FROM (SELECT conv_id, max(d) AS d, arg_max(path, d) AS path FROM p GROUP BY conv_id) GROUP BY d, path),
+k AS (SELECT n.conv_id, n.d, n.path, n.n_convs, (n.n_convs - 1) * n.size AS saved, u.conv_id AS parent_conv_id
+      FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.path = n.path[:32 * (n.d - 1)]),
+f AS (SELECT parent_conv_id, d - 1 AS d, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+g AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN f ON f.parent_conv_id = k.conv_id AND f.d = k.d),
+a AS (SELECT path, d, saved, n_children, unnest(range(d + 1)) AS top FROM g),
+s AS (SELECT top AS d, path[:32 * top] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM a GROUP BY ALL)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g JOIN s USING (d, path) LEFT JOIN e USING (d, path)""",
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(prefix_trie.share_heads(said, params.TRIE_GROUP, params.TRIE_HEADS))
