@@ -132,13 +132,13 @@ def _nodes(blocks: DataFrame) -> DataFrame:
     depth = F.col("block") * _B + F.col("level")
 
     def key(prior: str, which: int, level: Column) -> Column:
-        steps = [F.when(level >= k, _digest(which, F.col("block") * _B + k, F.col(t))).otherwise(F.lit(0)) for k, t in enumerate(_T, 1)]
-        return sum((s.cast(_KEY) for s in steps), F.col(prior)).cast(_KEY)
+        steps = F.array(*[_digest(which, F.col("block") * _B + k, F.col(t)) for k, t in enumerate(_T, 1)])
+        return F.aggregate(F.slice(steps, 1, level), F.col(prior), lambda a, x: (a + x).cast(_KEY))
 
     level = F.col("level")
     return rolled.select(
         depth.alias("depth"), "owner", "n_convs", key("pa", 1, level).alias("ka"), key("pb", 2, level).alias("kb"),
-        key("pa", 1, level - 1).alias("ua"), key("pb", 2, level - 1).alias("ub"),
+        key("pa", 1, F.greatest(level - 1, F.lit(0))).alias("ua"), key("pb", 2, F.greatest(level - 1, F.lit(0))).alias("ub"),
         F.expr(_by_level("said")).alias("said"), F.expr(_by_level("ends")).alias("n_ends"),
     )
 
