@@ -3,18 +3,19 @@ hash join, and the values behind the placeholders must correspond.
 
 A question asked again with other numbers keeps its template, and each old value turns into one
 new value everywhere; a chance match of placeholders does not. Windows of one document and item are grouped by
-alignment (word position in the document less that in the item). An alignment counts if every
-item value meets a single document value on it. An item leaks into a document if consistent
+alignment (word position in the document less that in the item). Where an alignment turns one item value into
+several, its changed words do not count. An item leaks into a document if consistent
 alignments cover at least 13 of its words, or all of a shorter item. Columns and joins only.
 
-Windows are taken in two forms. In one a capital inside a sentence makes a name; in the other every capitalised word
-is one and white space is all alike, so text before an item, names at sentence starts and new line ends change nothing.
-Item windows with more placeholders than literal words are not compared as templates: they are met by the words
-as written, so a verbatim copy is found whatever the item is made of.
+Windows are taken in two forms. As templates, every capitalised word is a name and white space is all alike, so text before
+an item, names at sentence starts and new line ends change nothing; item windows with more placeholders than
+literal words say too little and are left out. As plain words in lower case every window is taken, so a verbatim
+copy is found whatever it is made of and however it is capitalised. Items of fewer than five words are met
+as plain word runs only.
 
-Defined results: null and empty texts and items match nothing, nor do items of fewer than five
-words; a null ``doc_id`` is reported as such; rows with one ``doc_id`` are matched each on its own text and
-reported once per item; repeated items are reported per ``item_id``; empty tables give an empty result.
+Defined results: null and empty texts and items match nothing; a null ``doc_id`` is reported as such; rows with one
+``doc_id`` are matched each on its own text and reported once per item; repeated items are reported per ``item_id``;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _NAMES = r"(?<=[^.!?\x20\x09-\x0D] )\p{Lu}[\p{L}'’-]*"
 _CAPITALS = r"\p{Lu}[\p{L}'’-]*"
 NUMBERS = r"[$€£]?\d[\d.,:/]*"
 UNITS = rf"{NUMBER}( ?)(?:{'|'.join(params.UNITS)})\b"
-_UNITS_APART = rf"{NUMBER}([\x20\x09-\x0D]*)(?:{'|'.join(params.UNITS)})\b"
+UNITS_APART = rf"{NUMBER}([\x20\x09-\x0D]*)(?:{'|'.join(params.UNITS)})\b"
 DROPPED = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]"
 
 
@@ -57,7 +58,7 @@ def open_words(text: Column) -> Column:
     """The same with every capitalised word as a name and any white space before a unit: a word's form does not
     depend on where a sentence, line or text begins."""
     marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _CAPITALS, NAME)
-    marked = F.regexp_replace(F.regexp_replace(marked, NUMBERS, NUMBER), _UNITS_APART, f"{NUMBER}$1{UNIT}")
+    marked = F.regexp_replace(F.regexp_replace(marked, NUMBERS, NUMBER), UNITS_APART, f"{NUMBER}$1{UNIT}")
     return _split(F.lower(marked))
 
 
@@ -66,128 +67,106 @@ def value_words(text: Column) -> Column:
     return _split(F.lower(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def exact_words(text: Column) -> Column:
-    """The words at the same positions as they are written, capitals included."""
-    return _split(F.coalesce(text.cast("string"), F.lit("")))
-
-
-#: The forms in which documents and items are compared: windows of a form meet windows of the same form.
-_FORMS = {"_words": template_words, "_open": open_words, "_exact": exact_words}
-
-
-def _windows(rows: DataFrame, n: int) -> DataFrame:
-    """One row per window of n words: the other columns, its position and hash."""
-    places = F.sequence(F.lit(1), F.size("_words") - n + 1)
-    hashes = F.when(F.size("_words") >= n, F.transform(places, lambda i: F.xxhash64(F.slice("_words", i, n))))
-    keep = [c for c in rows.columns if c != "_words"]
-    # The outer form: for the other one Spark adds a filter on the array, which would build it, and the words, again.
-    return rows.select(*keep, hashes.alias("_hashes")).select(
-        *keep, F.posexplode_outer("_hashes").alias("pos", "hash"), F.lit(n).alias("size")
-    )
+_HOLDS = f"[{NAME}-{UNIT}]"
 
 
 def _item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("_text"))
     words = items.select(
         "item_id", template_words(F.col("_text")).alias("_words"), open_words(F.col("_text")).alias("_open"),
-        exact_words(F.col("_text")).alias("_exact"), value_words(F.col("_text")).alias("_values"),
+        value_words(F.col("_text")).alias("_values"),
     )
-    return stage(words.filter(F.size("_words") >= params.MIN_ITEM_WORDS), "items")
+    return stage(words.filter(F.size("_values") > 0), "items")
 
 
-def _item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
+def _runs(words: Column, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, n))
+
+
+def _literals(window: Column) -> Column:
+    """Words of a window that are no placeholders, with their lengths and places."""
+    marked = F.transform(window, lambda w, k: F.when(~w.rlike(_HOLDS), F.struct(F.length(w).alias("l"), w.alias("w"), k.alias("k"))))
+    return F.filter(marked, lambda x: x.isNotNull())
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """Windows of items in both forms: their hash, and the place in the window of the anchor, its longest literal word."""
     parts = []
-    for n in lengths:
-        of_size = items.filter(F.least(F.size("_words"), F.lit(params.TEMPLATE_WINDOW)) == n)
-        for form in _FORMS:
-            # Windows that are placeholders for the most part say too little as templates and are met word for word.
-            by = "_open" if form == "_exact" else form
-            rows = _windows(of_size.select("item_id", F.col(form).alias("_words"), F.col(by).alias("words")), n)
-            literals = F.size(F.filter(F.slice("words", F.col("pos") + 1, n), lambda w: ~w.rlike(f"[{NAME}-{UNIT}]")))
-            enough = literals >= params.MIN_LITERALS * n
-            parts.append(rows.filter(~enough if form == "_exact" else enough).select(
-                "item_id", F.col("pos").alias("item_pos"), "size", "hash", F.lit(form).alias("form")
-            ))
-    return stage(reduce(DataFrame.union, parts), "item-windows")
+    for form, by in (("open", "_open"), ("plain", "_values")):
+        n = F.least(F.size(by), F.lit(params.TEMPLATE_WINDOW))
+        windows = items.select(
+            "item_id", F.size(by).alias("item_words"), n.alias("size"),
+            F.posexplode(_runs(F.col(by), n)).alias("item_pos", "_w"),
+        )
+        windows = windows.withColumn("_l", _literals(F.col("_w")))
+        if form == "open":
+            windows = windows.filter((F.size("_l") >= params.MIN_LITERALS * F.col("size")) & (F.col("item_words") >= params.MIN_ITEM_WORDS))
+        anchor = F.array_max("_l")
+        parts.append(windows.select(
+            "item_id", "item_pos", "size", F.lit(form).alias("form"), F.xxhash64("_w").alias("hash"),
+            F.xxhash64(anchor["w"]).alias("anchor"), anchor["k"].alias("anchor_at"),
+        ))
+    return stage(parts[0].union(parts[1]), "item-windows")
 
 
 def _covered(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Words of items met by windows of documents: key, alignment and item position, each once, and whether a
-    window of ``template_words`` met it."""
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("_words"), F.lit(params.TEMPLATE_WINDOW))).distinct().collect())
-    wanted = _item_windows(items, lengths or [params.TEMPLATE_WINDOW])
-    kinds = sorted(tuple(r) for r in wanted.select("form", "size").distinct().collect()) or [("_words", params.TEMPLATE_WINDOW)]
-    wanted = counted(wanted)
-    windows = reduce(DataFrame.union, [
-        _windows(docs.select("doc_id", "mark", _FORMS[form](F.col("_text")).alias("_words")), n).withColumn("form", F.lit(form))
-        for form, n in kinds
-    ])
-    met = windows.join(wanted, ["hash", "size", "form"]).select(
-        "doc_id", "mark", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size", "form"
+    """Words of items met by windows of documents: key, alignment, item position and the document's word, each once.
+
+    A document is cut into words once, in both forms. Its words meet the anchors; only where one stands the window
+    around it is hashed and looked up."""
+    wanted = _item_windows(items)
+    anchors = counted(wanted.select("anchor", "anchor_at", "size", "form").distinct())
+    words = docs.select("doc_id", "mark", open_words(F.col("_text")).alias("_open"), value_words(F.col("_text")).alias("_values"))
+    # The outer form: for the other one Spark adds a filter on the array, which would build it, and the words, again.
+    each = words.select("doc_id", "mark", "_open", "_values", F.posexplode_outer("_values").alias("pos", "_w"))
+    found = each.withColumn("anchor", F.xxhash64("_w")).join(anchors, "anchor").withColumn("begin", F.col("pos") - F.col("anchor_at"))
+    found = found.filter((F.col("begin") >= 0) & (F.col("begin") + F.col("size") <= F.size("_values")))
+    at = F.greatest(F.col("begin"), F.lit(0)) + 1  # the filter may run after the slice
+    own = F.when(F.col("form") == "open", F.slice("_open", at, F.col("size"))).otherwise(
+        F.slice("_values", at, F.col("size"))
     )
-    spans = met.select(
-        "doc_id", "mark", "item_id", "shift", "form",
-        F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("item_pos"),
+    found = found.select("doc_id", "mark", "begin", "size", "form", "_values", F.xxhash64(own).alias("hash"))
+    met = found.join(counted(wanted.drop("anchor", "anchor_at")), ["hash", "size", "form"]).select(
+        "doc_id", "mark", "item_id", (F.col("begin") - F.col("item_pos")).alias("shift"), "item_pos",
+        F.slice("_values", at, F.col("size")).alias("_d"),
     )
-    found = spans.groupBy("doc_id", "mark", "item_id", "shift", "item_pos").agg(F.max(F.col("form") == "_words").alias("plain"))
-    return stage(found, "covered")
+    spans = met.select("doc_id", "mark", "item_id", "shift", F.col("item_pos").alias("_p"), F.posexplode("_d").alias("_k", "doc_value"))
+    by = ["doc_id", "mark", "item_id", "shift", (F.col("_p") + F.col("_k")).alias("item_pos")]
+    return stage(spans.groupBy(*by).agg(F.min("doc_value").alias("doc_value")), "covered")
 
 
 def _with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("_text"))
 
 
-def _accepted(words: DataFrame, filled: DataFrame) -> DataFrame:
-    """Items that consistent alignments cover; ``filled`` has the values of the slots among ``words``."""
-    at = ["doc_id", "mark", "item_id", "shift"]
-    per_value = filled.groupBy(*at, "item_value").agg(
-        F.min("doc_value").alias("lo"), F.max("doc_value").alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.sum((F.col("doc_value") != F.col("item_value")).cast("long")).alias("changed"),
-    )
-    # An alignment without slots has nothing to contradict it.
-    bad = per_value.groupBy(*at).agg(
-        F.max((F.col("lo") != F.col("hi")).cast("int")).alias("bad"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed")
-    ).select(*[F.col(c).alias(f"_{c}") for c in at], "bad", "n_slots", "n_changed")
-    same = reduce(lambda x, y: x & y, [words[c].eqNullSafe(bad[f"_{c}"]) for c in at])
-    good = words.join(bad, same, "left").filter(F.coalesce("bad", F.lit(0)) == 0)
-    return good.groupBy("doc_id", "mark", "item_id").agg(
-        F.max("item_words").cast("long").alias("item_words"),
-        F.count_distinct("item_pos").alias("covered_words"),
-        F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"),
-        F.coalesce(F.max("n_changed"), F.lit(0)).alias("n_changed"),
-    ).filter(F.col("covered_words") >= F.least(F.lit(params.LEAK_WORDS), F.col("item_words")))
-
-
 def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Leaks of rows with ``doc_id``, ``mark`` (a hash of the text) and ``_text``."""
     covered = _covered(docs, items)
-    holds = lambda words: words.rlike(f"[{NAME}-{UNIT}]")
     item_word = items.select(
-        "item_id", F.size("_words").alias("item_words"),
+        "item_id", F.size("_values").alias("item_words"),
         F.posexplode(F.arrays_zip("_words", "_open", "_values")).alias("item_pos", "_w"),
     ).select(
         "item_id", "item_words", "item_pos", F.col("_w._values").alias("item_value"),
-        holds(F.col("_w._words")).alias("slot"), holds(F.col("_w._open")).alias("open_slot"),
+        F.col("_w._words").rlike(_HOLDS).alias("slot"), F.col("_w._open").rlike(_HOLDS).alias("open_slot"),
     )
     words = stage(covered.join(counted(item_word), ["item_id", "item_pos"]), "covered-words")
-    slots = words.filter("slot or open_slot")
-    holders = slots.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
-    texts = docs.join(counted(holders), docs.doc_id.eqNullSafe(F.col("_d")) & (docs.mark == F.col("_m")), "left_semi")
-    values = texts.dropDuplicates(["doc_id", "mark"]).select(
-        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), value_words(F.col("_text")).alias("_values")
-    )
-    filled = slots.join(values, slots.doc_id.eqNullSafe(F.col("_d")) & (slots.mark == F.col("_m"))).select(
-        "doc_id", "mark", "item_id", "shift", "plain", "slot", "item_value",
-        F.get("_values", F.col("item_pos") + F.col("shift")).alias("doc_value"),
-    )
-    filled = stage(filled, "filled")
-    # What windows of template_words show by themselves is reported as they show it; all windows together find the rest.
-    both = _accepted(words.filter("plain"), filled.filter("plain and slot")).withColumn("rank", F.lit(0)).union(
-        _accepted(words, filled).withColumn("rank", F.lit(1))
+    at = ["doc_id", "mark", "item_id", "shift"]
+    # Values of an item that one alignment turns into several: where they are changed, the words do not count.
+    torn = words.filter("open_slot").groupBy(*at, "item_value").agg(
+        F.min("doc_value").alias("lo"), F.max("doc_value").alias("hi")
+    ).filter("lo <> hi").select(*[F.col(c).alias(f"_{c}") for c in (*at, "item_value")])
+    same = reduce(lambda x, y: x & y, [words[c].eqNullSafe(torn[f"_{c}"]) for c in (*at, "item_value")])
+    changed = F.col("doc_value") != F.col("item_value")
+    good = words.join(torn, same & words["open_slot"] & changed, "left_anti")
+    # Per alignment first, so that a document or item with many is summed up where it is read.
+    per = good.groupBy(*at).agg(
+        F.max("item_words").cast("long").alias("item_words"), F.collect_set("item_pos").alias("places"),
+        F.count_if("slot").alias("n_slots"), F.count_if(F.col("slot") & changed).alias("n_changed"),
     )
-    figures = ["item_words", "covered_words", "n_slots", "n_changed"]
-    first = both.groupBy("doc_id", "mark", "item_id").agg(F.min(F.struct("rank", *figures)).alias("_f"))
-    return first.select("doc_id", "mark", "item_id", *[F.col(f"_f.{c}") for c in figures])
+    return per.groupBy("doc_id", "mark", "item_id").agg(
+        F.max("item_words").alias("item_words"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("covered_words"),
+        F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"),
+    ).filter(F.col("covered_words") >= F.least(F.lit(params.LEAK_WORDS), F.col("item_words")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -22,14 +22,17 @@ BROADCAST_IDS = 1_000_000
 
 # Benchmark decontamination (7).
 TEMPLATE_WINDOW = 8  # words in a template window
-MIN_ITEM_WORDS = 5  # shorter items name nothing in particular and match nothing
+MIN_ITEM_WORDS = 5  # shorter items are no templates; they are met as plain word runs
 LEAK_WORDS = 13  # covered words that make a leak; shorter items must be covered whole
 MIN_LITERALS = 0.5  # share of a window's words that must not be placeholders
 # Units of measure, fixed values.
 UNITS = (
-    "kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mile", "miles", "ft", "feet", "inch", "inches",
-    "l", "ml", "liters", "litres", "gallons", "s", "sec", "seconds", "min", "minutes", "h", "hr", "hours", "days",
-    "weeks", "months", "years", "percent", "dollars", "cents", "euros", "mph", "kmh", "hz", "kw", "watts", "degrees",
+    "kg", "g", "mg", "kilogram", "kilograms", "gram", "grams", "milligrams", "tons", "tonnes", "lb", "lbs", "pound", "pounds",
+    "oz", "ounce", "ounces", "km", "m", "cm", "mm", "kilometer", "kilometers", "kilometre", "kilometres", "meter", "meters",
+    "metre", "metres", "centimeters", "centimetres", "millimeters", "millimetres", "mile", "miles", "yard", "yards", "ft",
+    "foot", "feet", "inch", "inches", "l", "ml", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second",
+    "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months",
+    "year", "years", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "mph", "kmh", "hz", "kw", "watts", "degrees",
 )
 
 # Mixing (6).

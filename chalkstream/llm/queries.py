@@ -136,32 +136,41 @@ def _template_sql(t: str) -> str:
     return _words_sql(rf"regexp_replace({t}, '{decontaminate.UNITS}', '{decontaminate.NUMBER}\1{decontaminate.UNIT}', 'g')")
 
 
+def _open_sql(t: str) -> str:
+    t = rf"regexp_replace({t}, '\p{{Lu}}[\p{{L}}''’-]*', '{decontaminate.NAME}', 'g')"
+    t = f"regexp_replace({t}, '{decontaminate.NUMBERS}', '{decontaminate.NUMBER}', 'g')"
+    return _words_sql(rf"regexp_replace({t}, '{decontaminate.UNITS_APART}', '{decontaminate.NUMBER}\1{decontaminate.UNIT}', 'g')")
+
+
 _T = params.TEMPLATE_WINDOW
 
 
 @query(
     "op7_benchmark_decontamination",
     f"""WITH
-it AS (SELECT item_id, {_template_sql("coalesce(text, '')")} AS ws, {_words_sql("coalesce(text, '')")} AS vs FROM benchmark),
-items AS (SELECT *, least(len(ws), {_T}) AS n FROM it WHERE len(ws) >= {params.MIN_ITEM_WORDS}),
-iw AS (SELECT item_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS win FROM (
-         SELECT *, unnest(range(len(ws) - n + 1)) AS i FROM items)
-       WHERE len(list_filter(ws[i + 1:i + n], lambda x: NOT regexp_matches(x, '{_P}'))) >= {params.MIN_LITERALS} * n),
-d AS (SELECT row_number() OVER () AS rid, doc_id, {_template_sql("coalesce(text, '')")} AS ws,
-             {_words_sql("coalesce(text, '')")} AS vs FROM documents),
-dw AS (SELECT rid, n, i, array_to_string(ws[i + 1:i + n], ' ') AS win FROM (
-         SELECT rid, n, ws, unnest(range(len(ws) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM items) WHERE len(ws) >= n)),
+it AS (SELECT item_id, {_template_sql("coalesce(text, '')")} AS ws, {_open_sql("coalesce(text, '')")} AS os,
+              {_words_sql("coalesce(text, '')")} AS vs FROM benchmark),
+items AS (SELECT *, least(len(vs), {_T}) AS n FROM it WHERE len(vs) > 0),
+iw AS (SELECT item_id, n, i, 'open' AS form, array_to_string(os[i + 1:i + n], ' ') AS win FROM (
+         SELECT *, unnest(range(len(os) - n + 1)) AS i FROM items WHERE len(os) >= {params.MIN_ITEM_WORDS})
+       WHERE len(list_filter(os[i + 1:i + n], lambda x: NOT regexp_matches(x, '{_P}'))) >= {params.MIN_LITERALS} * n
+       UNION ALL
+       SELECT item_id, n, i, 'plain', array_to_string(vs[i + 1:i + n], ' ') FROM (SELECT *, unnest(range(len(vs) - n + 1)) AS i FROM items)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_open_sql("coalesce(text, '')")} AS os, {_words_sql("coalesce(text, '')")} AS vs FROM documents),
+dw AS (SELECT rid, n, i, unnest(['open', 'plain']) AS form,
+              unnest([array_to_string(os[i + 1:i + n], ' '), array_to_string(vs[i + 1:i + n], ' ')]) AS win FROM (
+         SELECT rid, n, os, vs, unnest(range(len(vs) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM items) WHERE len(vs) >= n)),
 cov AS (SELECT DISTINCT rid, item_id, shift, unnest(range(i, i + n)) AS p FROM (
-          SELECT rid, item_id, dw.i - iw.i AS shift, iw.i AS i, n FROM dw JOIN iw USING (n, win))),
-w AS (SELECT cov.*, d.doc_id, len(items.ws) AS item_words, items.vs[p + 1] AS iv, d.vs[p + shift + 1] AS dv,
-             regexp_matches(items.ws[p + 1], '{_P}') AS slot
+          SELECT rid, item_id, dw.i - iw.i AS shift, iw.i AS i, n FROM dw JOIN iw USING (n, form, win))),
+w AS (SELECT cov.*, d.doc_id, len(items.vs) AS item_words, items.vs[p + 1] AS iv, d.vs[p + shift + 1] AS dv,
+             regexp_matches(items.ws[p + 1], '{_P}') AS slot, regexp_matches(items.os[p + 1], '{_P}') AS open_slot
       FROM cov JOIN items USING (item_id) JOIN d USING (rid)),
-v AS (SELECT rid, item_id, shift, iv, min(dv) <> max(dv) AS bad, count(*) AS n, count(*) FILTER (dv <> iv) AS changed
-      FROM w WHERE slot GROUP BY ALL),
-a AS (SELECT rid, item_id, shift, bool_or(bad) AS bad, sum(n) AS n_slots, sum(changed) AS n_changed FROM v GROUP BY ALL),
+v AS (SELECT rid, item_id, shift, iv, true AS torn FROM w WHERE open_slot GROUP BY ALL HAVING min(dv) <> max(dv)),
+k AS (SELECT w.* FROM w LEFT JOIN v USING (rid, item_id, shift, iv) WHERE NOT (open_slot AND dv <> iv AND coalesce(torn, false))),
+a AS (SELECT rid, item_id, shift, count(*) FILTER (slot) AS n_slots, count(*) FILTER (slot AND dv <> iv) AS n_changed FROM k GROUP BY ALL),
 g AS (SELECT rid, doc_id, item_id, max(item_words) AS item_words, count(DISTINCT p) AS covered_words,
-             coalesce(max(n_slots), 0) AS n_slots, coalesce(max(n_changed), 0) AS n_changed
-      FROM w LEFT JOIN a USING (rid, item_id, shift) WHERE NOT coalesce(bad, false) GROUP BY rid, doc_id, item_id)
+             max(n_slots) AS n_slots, max(n_changed) AS n_changed
+      FROM k JOIN a USING (rid, item_id, shift) GROUP BY rid, doc_id, item_id)
 SELECT doc_id, item_id, max(item_words)::BIGINT AS item_words, max(covered_words)::BIGINT AS covered_words,
        max(n_slots)::BIGINT AS n_slots, max(n_changed)::BIGINT AS n_changed
 FROM g WHERE covered_words >= least({params.LEAK_WORDS}, item_words) GROUP BY doc_id, item_id""",

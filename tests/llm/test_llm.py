@@ -170,10 +170,23 @@ def test_reparameterised_items(spark):
     lead = "Some quiet words before it stand here and there. "
     docs = [(1, lead + ITEM), (2, lead + other + " And more."), (3, torn), (4, lead * 5), (5, None), (6, ""), (None, ITEM), (8, ITEM.upper() + " too short")]
     found = {r.doc_id: r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
-    assert set(found) == {1, 2, None}
+    assert set(found) == {1, 2, 3, 8, None}  # one changed 12 of two costs one word of 25; case changes nothing
     assert found[1].n_changed == 0 and (found[2].n_changed, found[2].n_slots) == (5, 8)
+    assert (found[3].covered_words, found[3].n_changed) == (24, 0)
     kept = decontaminate.drop_leaking(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
-    assert {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 8}
+    assert {r.doc_id for r in kept.collect()} == {4, 5, 6}
+
+
+def test_copies_in_any_case_and_short_items(spark):
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()] + [
+        "Which planet has the most moons, Saturn or Jupiter?", "Bread and salt",
+        "Ann buys 2 apples and 2 pears at the market and pays 4 grams of silver for each of them today"]
+    cased = [f(x) for x in items for f in (str.lower, str.upper, str.title)]
+    n = len(items)
+    docs = cased + ["So. " + items[-1].replace("2 apples", "3 apples").replace("2 pears", "5 pears"), "bread, and", "they ate BREAD and salt."]
+    found = leaking(spark, items, docs)
+    assert {(3 * i + k, i) for i in range(n) for k in range(3)} <= found
+    assert {(3 * n, n - 1), (3 * n + 2, n - 2)} <= found and not any(d == 3 * n + 1 for d, _ in found)
 
 
 def test_leaks_odd(spark, odd, nothing, monkeypatch):
