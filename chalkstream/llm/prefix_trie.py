@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scans import KeyMax, KeySum, RowNumber, RunSum, with_scans
 from . import params
+from .lookups import lookup
 from .staging import stage
 
 _B = params.TRIE_COLUMNS
@@ -230,9 +231,10 @@ def nodes(said: DataFrame) -> DataFrame:
     ), "owners")
     summed = found.join(_owned(blocks, owners), (F.col("owner") == F.col("o_owner")) & (F.col("depth") == F.col("o_depth")))
     # Below its first own node a conversation owns the parents too; only first nodes look for theirs.
-    above = found.select((F.col("depth") + 1).alias("p_depth"), F.col("ka").alias("p_a"), F.col("kb").alias("p_b"), F.col("owner").alias("p_owner"))
+    # Such a parent has other members too, and may have any number of children: a salted lookup.
+    above = found.filter("n_convs > 1").select((F.col("depth") + 1).alias("p_depth"), F.col("ka").alias("p_a"), F.col("kb").alias("p_b"), F.col("owner").alias("p_owner"))
     top = found.join(owners, (F.col("owner") == F.col("conv_id")) & (F.col("depth") == F.col("first"))).filter("depth > 0")
-    parents = top.join(above, (F.col("depth") == F.col("p_depth")) & (F.col("ua") == F.col("p_a")) & (F.col("ub") == F.col("p_b")))
+    parents = lookup(top, above, {"depth": "p_depth", "ua": "p_a", "ub": "p_b"}, F.col("owner"))
     parents = parents.select(F.col("owner").alias("t_owner"), F.col("depth").alias("t_depth"), "p_owner")
     rows = summed.join(parents, (F.col("owner") == F.col("t_owner")) & (F.col("depth") == F.col("t_depth")), "left")
     rows = rows.join(_end_digests(blocks), (F.col("depth") == F.col("d")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b")), "left")

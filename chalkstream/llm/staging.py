@@ -12,6 +12,7 @@ _WRITTEN: list[str] = []
 
 
 _BATCH_ROWS = 2000
+_BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -19,6 +20,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= _BATCH_ROWS:
         spark.conf.set(key, str(_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -46,7 +46,7 @@ class _Chunks:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        cut = tokens.id_cutter(self.path)
+        cut = tokens.IdCutter(self.path)
         end = np.array([params.END_ID], "<u4").tobytes()
         before, ids, lengths, parts = 0, [], [], []
 
@@ -60,11 +60,11 @@ class _Chunks:
         size = 0
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for some in tokens.batched(t.as_py() for t in texts_of(batch.column(1))):
+            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), 4 << 20):
                 for found in cut.of_texts(some):
                     ids.append(next(names))
-                    parts += (found, end)
-                    lengths.append(len(found) // 4 + 1)
+                    parts += (found.tobytes(), end)
+                    lengths.append(len(found) + 1)
                     size += lengths[-1]
                     if size >= params.BLOCK_TOKENS:
                         yield chunk()

@@ -11,15 +11,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from . import worker
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
 _CACHED = 400_000
+_IDS_KNOWN = 150_000  # cuts whose ids a worker keeps; as many older ones besides
 #: Characters that are neither letters, numbers nor white space, and begin no contraction.
 _MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
 
@@ -167,18 +171,173 @@ def text_of(cut: str) -> str:
     return cut if cut.startswith("\n") else " " + cut
 
 
-def _packed(ids: list[int], end: list[int]) -> list[bytes]:
-    data = np.array(ids, "<u4").tobytes()
-    return [data[4 * a : 4 * b] for a, b in zip([0, *end], end, strict=False)]
-
-
 def _lengths(ids: list[int], end: list[int]) -> list[int]:
     return [b - a for a, b in zip([0, *end], end, strict=False)]
 
 
-def id_cutter(path: str) -> Cutter:
-    """Ids as little-endian 32-bit integers."""
-    return Cutter("ids", path, _packed, lambda first, rest: first + b"".join(rest))
+class _Known:
+    """Ids of strings, one after the other in one array, and the place of each string there."""
+
+    def __init__(self):
+        self.later: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.n, self.size = 0, 0
+        self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.uint32)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Place the ids of some strings; their numbers."""
+        n, size = self.n + len(lengths), self.size + len(ids)
+        if n > len(self.begin):
+            self.begin, self.length = (np.resize(x, max(n, 2 * len(x))) for x in (self.begin, self.length))
+        if size > len(self.ids):
+            self.ids = np.resize(self.ids, max(size, 2 * len(self.ids)))
+        self.begin[self.n : n] = self.size + np.cumsum(lengths) - lengths
+        self.length[self.n : n] = lengths
+        self.ids[self.size : size] = ids
+        added, self.n, self.size = range(self.n, n), n, size
+        return added
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings with these numbers, and how many each has."""
+        lengths = self.length[numbers]
+        shift = self.begin[numbers] - (np.cumsum(lengths) - lengths)
+        return self.ids[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
+
+
+#: Letters of up to U+024F, perhaps behind a newline.
+_WORD = "^\n?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+$"
+
+
+class IdCutter:
+    """Ids of texts, cut by cut. A batch's cuts are numbered by Arrow, so each distinct one is looked up once.
+
+    A worker's tasks share what it knows; when that is full it becomes the older half and gives back what is
+    asked for again."""
+
+    def __init__(self, path: str):
+        self.lib, self.special = tokenizer(path)
+        kept = worker.store("tokens").setdefault("ids", {})
+        if path not in kept:
+            vocabulary = self.lib.get_vocab()
+            size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                size[i] = len(token)  # byte-level tokens are written with one character a byte
+            kept[path] = [_Known(), _Known()], size
+        self.kept, self.bytes_of = kept[path]
+
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.kept[0].later) > _IDS_KNOWN:
+            self.kept[:] = [_Known(), self.kept[0]]
+        found: list[np.ndarray | None] = [None] * len(texts)
+        single, spaced = [], []
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                found[i] = self._encoded(t)
+            else:
+                (spaced if _ROW_OF_SPACE.search(t) else single).append(i)
+        split = [_safe_cuts(texts[i]) for i in spaced]
+        cuts = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in single], pa.string()), "\n", " \n"), " ")
+        counts = np.concatenate([pc.list_value_length(cuts).to_numpy(zero_copy_only=False), [len(c) for c in split]]).astype(np.int64)
+        flat = pa.concat_arrays([cuts.flatten(), pa.array([c for x in split for c in x], pa.string())])
+        if not len(flat):
+            return found
+        first = np.cumsum(counts) - counts
+        numbers = self._numbers(flat, first)
+        ids, lengths = self.kept[0].of(numbers)
+        end = np.cumsum(np.add.reduceat(lengths, first))
+        for i, a, b in zip(single + spaced, end - np.diff(end, prepend=0), end, strict=True):
+            found[i] = ids[a:b]
+        return found
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _numbers(self, flat: pa.Array, first: np.ndarray) -> np.ndarray:
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        later = np.ones(len(codes), bool)
+        later[first] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[codes[later]] = True
+        asked = coded.dictionary.filter(pa.array(used))
+        of_code = np.zeros(len(used), np.int64)
+        of_code[used] = self._later(asked)
+        numbers = of_code[codes]
+        numbers[first] = [self._bare(c) for c in flat.take(pa.array(first)).to_pylist()]
+        return numbers
+
+    def _later(self, cuts: pa.Array) -> np.ndarray:
+        """Numbers of distinct later cuts; those not known are learned."""
+        names = cuts.to_pylist()
+        numbers = self._known(names)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            numbers[missing] = self._learn(cuts.take(pa.array(missing)))
+            self.kept[0].later.update(zip([names[i] for i in missing.tolist()], numbers[missing].tolist(), strict=True))
+        return numbers
+
+    def _known(self, names: list[str]) -> np.ndarray:
+        """Numbers of cuts, -1 where neither half knows one; what the older half knows is taken over."""
+        known, older = self.kept
+        numbers = np.fromiter(map(known.later.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing) and older.later:
+            past = np.fromiter(map(older.later.get, map(names.__getitem__, missing.tolist()), repeat(-1)), np.int64, len(missing))
+            missing, past = missing[past >= 0], past[past >= 0]
+            numbers[missing] = known.add(*older.of(past))
+            known.later.update(zip([names[i] for i in missing.tolist()], numbers[missing].tolist(), strict=True))
+        return numbers
+
+    def _bare(self, text: str) -> int:
+        """Strings without anything before them: first cuts and marks."""
+        known = self.kept[0]
+        if text not in known.bare:
+            ids = self._encoded(text)
+            known.bare[text] = known.add(ids, np.array([len(ids)]))[0]
+        return known.bare[text]
+
+    def _learn(self, cuts: pa.Array) -> np.ndarray:
+        """Encode cuts; their new numbers."""
+        known = self.kept[0]
+        numbers = np.zeros(len(cuts), np.int64)
+        # Letters and the marks behind them are two pieces; words are encoded together, once each.
+        words = pc.utf8_rtrim(cuts, _MARKS)
+        simple = pc.match_substring_regex(words, _WORD)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        others = [text_of(c) for c in cuts.filter(pc.invert(simple)).to_pylist()]
+        if others:
+            found = [e.ids for e in self.lib.encode_batch_fast(others, add_special_tokens=False)]
+            numbers[~is_simple] = known.add(np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        coded = words.filter(simple).dictionary_encode()
+        distinct = coded.dictionary
+        names = distinct.to_pylist()
+        of_word = self._known(names)
+        newline = pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False)
+        for lead, rows in ((" ", np.flatnonzero((of_word < 0) & ~newline)), ("", np.flatnonzero((of_word < 0) & newline))):
+            if len(rows):
+                of_word[rows] = known.add(*self._words([names[i] for i in rows.tolist()], lead))
+        mine = of_word[coded.indices.to_numpy(zero_copy_only=False)]
+        trimmed = (pc.binary_length(cuts).to_numpy(zero_copy_only=False) - pc.binary_length(words).to_numpy(zero_copy_only=False))[is_simple]
+        marked = np.flatnonzero(trimmed)
+        if len(marked):
+            ends = [c[-n:] for c, n in zip(cuts.filter(simple).take(pa.array(marked)).to_pylist(), trimmed[marked].tolist(), strict=True)]
+            both = np.stack([mine[marked], [self._bare(m) for m in ends]], axis=1)
+            ids, lengths = known.of(both.ravel())
+            mine[marked] = known.add(ids, lengths[::2] + lengths[1::2])
+        numbers[is_simple] = mine
+        return numbers
+
+    def _words(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only, and how many each has: the ids of all in a row are dealt out by the bytes they
+        stand for, as no id reaches over a word's end."""
+        ids = np.array(self.lib.encode_batch_fast([lead + lead.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        reach = np.cumsum([len(w.encode()) + len(lead) for w in words])
+        upto = np.cumsum(self.bytes_of[ids]) if len(ids) else np.zeros(1, np.int64)
+        if upto[-1] != reach[-1]:
+            found = [e.ids for e in self.lib.encode_batch_fast([lead + w for w in words], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        return ids, np.bincount(np.searchsorted(reach, upto), minlength=len(words))
 
 
 def count_cutter(path: str, fixed: dict[str, int]) -> Cutter:
