@@ -21,6 +21,17 @@ def _ev(spark, sf):
     )
 
 
+#: Files of a table come in any order, so rows wait for the end of the source; a live source names its true lateness.
+LATE = "3650 days"
+HELD = {"stretch": "5 days", "idle": "3650 days"}
+
+
+def _held(spark, stream, job, **how):
+    """Rows of a stream job that takes the rows of all files in event-time order."""
+    ending = J.Ending(spark)
+    return J.run_to_table(job(ending.joined(stream, LATE), held_by="ts", held=HELD, **how), ending=ending)
+
+
 def shout():
     """Stand-in for a translation model."""
     return lambda rows: [t.upper() for t in rows["text"]]
@@ -65,9 +76,9 @@ def _(spark, sf):
     return J.run_to_table(J.late_events(e)).select("event_id", "late_ms", "runs_at_once", "dropped")
 
 
-def _listener(e):
+def _listener(e, held=False):
     return e.select(
-        "session_id", "event_id", "ts_ms", (F.col("value") * 100).alias("lag_ms"),
+        *[c for c in ("ts",) if held], "session_id", "event_id", "ts_ms", (F.col("value") * 100).alias("lag_ms"),
         F.when(F.col("k") % 2 == 0, F.col("k") * 10.0).alias("tts_ms"),
     )
 
@@ -90,7 +101,7 @@ SELECT event_id, round(needed, 4) AS needed_ms, round(d, 4) AS delay_ms FROM f W
 
 @query("adaptive_delay_stream", "WITH RECURSIVE " + TTS)
 def _(spark, sf):
-    out = J.run_to_table(J.adaptive_delay_stream(_listener(_ev(spark, sf)), ["session_id"], ORDER))
+    out = _held(spark, _listener(_ev(spark, sf), True), J.adaptive_delay_stream, keys=["session_id"], order=ORDER)
     return out.select("event_id", F.round("needed_ms", 4).alias("needed_ms"), F.round("delay_ms", 4).alias("delay_ms"))
 
 
@@ -107,10 +118,8 @@ def _(spark, sf):
         F.when(~F.col("event_type").isin("click", "view", "error"), "a long text that is no courtesy")
         .when(F.col("k") % 3 == 0, "bye.").otherwise("thanks"),
     )
-    out = J.suppress_repeats_stream(
-        e.drop("ts", "event_type"), ["session_id"], ORDER, courtesy=r"^(?:bye|thanks)[\s\.!]*$", window_ms=100_000_000
-    )
-    return J.run_to_table(out).select("event_id", "suppressed")
+    how = {"courtesy": r"^(?:bye|thanks)[\s\.!]*$", "window_ms": 100_000_000}
+    return _held(spark, e.drop("event_type"), J.suppress_repeats_stream, keys=["session_id"], order=ORDER, **how).select("event_id", "suppressed")
 
 
 TIMEOUTS = with_ctes(
@@ -129,10 +138,12 @@ def _(spark, sf):
     return J.session_timeouts(e, "session_id", ["ts", "event_id"], grace_ms=21_600_000)
 
 
-@query("session_timeouts_stream", TIMEOUTS.format(" WHERE e // 1000 <= (SELECT max(t) // 1000 FROM us) - 60000"))
+@query("session_timeouts_stream", TIMEOUTS.format(""))
 def _(spark, sf):
-    # A stream emits the stretches its watermark has closed.
-    return J.run_to_table(J.session_timeouts_stream(_ev(spark, sf).select("session_id", "ts"), "session_id", grace="6 hours"))
+    # A stream emits the stretches its watermark has closed; the ending closes all.
+    ending = J.Ending(spark)
+    signs = ending.joined(_ev(spark, sf).select("session_id", "ts"), LATE)
+    return J.run_to_table(J.session_timeouts_stream(signs, "session_id", grace="6 hours", late=None), ending=ending)
 
 
 @query(
@@ -169,14 +180,15 @@ def _(spark, sf):
     )
     h = c.select(
         F.col("conv_id").alias("utt_id"), n.alias("pass_no"), (F.col("role") == "system").alias("is_final"),
-        F.slice(text, F.lit(1), (n % 4 + 2).cast("int")).alias("sentences"),
+        F.slice(text, F.lit(1), (n % 4 + 2).cast("int")).alias("sentences"), F.timestamp_seconds(n + 1_000_000_000).alias("ts"),
     )
-    return J.run_to_table(J.stable_commits_stream(h)).select("utt_id", "pass_no", "committed_total", "committed")
+    return _held(spark, h, J.stable_commits_stream).select("utt_id", "pass_no", "committed_total", "committed")
 
 
 @query("board_state_stream", ORACLES["after_last_clear"])
 def _(spark, sf):
-    log = J.run_to_table(J.board_state_stream(QW.draws_from(_ev(spark, sf)).select("seq", "slide", "page", "type")))
+    draws = QW.draws_from(_ev(spark, sf)).select("seq", "slide", "page", "type", "ts")
+    log = _held(spark, draws, J.board_state_stream)
     return J.board_snapshot(log).select("seq", "slide", "page", "type")
 
 
@@ -189,17 +201,16 @@ def _(spark, sf):
 
 @query("job_progress_stream", ORACLES["page_ema"])
 def _(spark, sf):
-    out = J.run_to_table(J.job_progress_stream(QW.pages_from(_ev(spark, sf)), ["session_id", "stage"], ["event_id"]))
+    out = _held(spark, QW.pages_from(_ev(spark, sf)), J.job_progress_stream, keys=["session_id", "stage"], order=["event_id"])
     return out.select("event_id", F.round(F.col("avg_seconds") + 1e-9, 6).alias("avg_seconds"))
 
 
 @query("cancel_match_stream", ORACLES["match_cancel_tokens"])
 def _(spark, sf):
-    e = _ev(spark, sf).where(F.col("event_type").isin("error", "purchase"))
-    both = e.select(
-        "event_id", F.col("session_id").alias("token"), "ts_ms", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("side")
+    both = _ev(spark, sf).where(F.col("event_type").isin("error", "purchase")).select(
+        "ts", "event_id", F.col("session_id").alias("token"), "ts_ms", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("side")
     )
-    return J.run_to_table(J.cancel_match_stream(both, ttl_ms=21_600_000)).select("event_id", "token", "ts_ms", "cancelled")
+    return _held(spark, both, J.cancel_match_stream, ttl_ms=21_600_000).select("event_id", "token", "ts_ms", "cancelled")
 
 
 @query(
@@ -208,6 +219,6 @@ def _(spark, sf):
   (SELECT event_id, CAST(seg AS BIGINT) AS segment, (no - f) * 200 // 1500 AS part, loud, was FROM b WHERE loud OR was)"""),
 )
 def _(spark, sf):
-    e = _ev(spark, sf).select("session_id", "event_id", "ts_ms", F.col("value").alias("rms"))
-    out = J.run_to_table(J.activity_stream(e, ["session_id"], ORDER, threshold=20.0))
+    frames = _ev(spark, sf).select("session_id", "event_id", "ts_ms", F.col("value").alias("rms"), "ts")
+    out = _held(spark, frames, J.activity_stream, keys=["session_id"], order=ORDER, threshold=20.0)
     return out.where("segment is not null").select("event_id", "segment", "part", "takes_previous")

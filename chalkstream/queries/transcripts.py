@@ -296,10 +296,15 @@ def _(spark, sf):
 
     e = jobs.read_table_stream(spark, sf, "events").select(
         F.col("user_id").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id",
-        F.col("event_type").alias("original"), F.upper("event_type").alias("translated"),
+        F.col("event_type").alias("original"), F.upper("event_type").alias("translated"), F.col("ts").cast("timestamp").alias("ts"),
     )
     active = B.ev(spark, sf).where("session_id % 4 <> 0").groupBy("session_id").agg(F.min("ts_ms").alias("started_ms"))
     path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
-    jobs.append_segments(e, active, path, order=("ts_ms", "event_id")).awaitTermination()
+    ending = jobs.Ending(spark)
+    how = {"held_by": "ts", "held": {"stretch": "5 days", "idle": "3650 days"}, "ending": ending, "late": "3650 days"}
+    for last in (False, True):
+        jobs.append_segments(e, active, path, order=("ts_ms", "event_id"), **how).awaitTermination()
+        if not last:
+            ending.announce()
     logs = ST.read_segment_logs(spark, f"{path}/segments")
     return logs.select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "t_offset", "original")

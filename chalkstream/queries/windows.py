@@ -436,6 +436,11 @@ def _draws(spark, sf):
     return draws_from(B.ev(spark, sf))
 
 
+def _time_of(events):
+    """The event time of a stream."""
+    return [c for c in ("ts",) if events.isStreaming and c in events.columns]
+
+
 def draws_from(events):
     k, t = F.col("k"), F.col("event_type")
     return events.select(
@@ -444,7 +449,7 @@ def draws_from(events):
         .when(t == "purchase", F.when(k % 6 == 0, "draw_clear").otherwise("draw_end"))
         .when(t == "error", F.when(k % 4 == 0, "draw_erase").otherwise("draw_end")).otherwise("draw_point").alias("type"),
         F.concat(F.lit("i"), (k % 2).cast("string")).alias("id"), F.when(k % 5 == 0, "rect").otherwise("pencil").alias("tool"),
-        F.lit("#000").alias("color"), F.col("value").alias("x"), F.col("value").alias("y"),
+        F.lit("#000").alias("color"), F.col("value").alias("x"), F.col("value").alias("y"), *_time_of(events),
     )
 
 
@@ -581,7 +586,7 @@ def pages_from(events):
     t = F.col("event_type")
     return events.select(
         "session_id", "event_id", F.col("value").alias("seconds"), "k",
-        F.when(t.isin("view", "click"), "ocr").when(t == "error", "translate").otherwise("bundling").alias("stage"),
+        F.when(t.isin("view", "click"), "ocr").when(t == "error", "translate").otherwise("bundling").alias("stage"), *_time_of(events),
     )
 
 

@@ -18,6 +18,7 @@ from ..plans.folds import Affine, Sequential, ordered_fold
 from ..plans.scans import Lag, Lead, RunSum, with_scans
 from ..plans.sizes import group_sizes
 from ..session import checkpoint_dir
+from .held import Ending, held_fold, late_rows
 from .stateful import stateful_fold
 
 
@@ -36,16 +37,23 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_bat
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, path: str | None = None, ending: Ending | None = None) -> DataFrame:
     """Run an append stream over what its source holds now into a parquet table; exactly once, since
-    the file sink and the checkpoint share the folder."""
+    the file sink and the checkpoint share the folder. With ``ending`` the stream is then told that nothing more
+    comes, and goes on from its checkpoint until all held rows are out. Rows later than the watermark fail the run:
+    the lateness the stream was given is too short for its files."""
     spark = stream.sparkSession
     path = path or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = (
-        stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    for last in (False, True) if ending else (True,):
+        q = (
+            stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        if ending and late_rows(q):
+            raise ValueError(f"{late_rows(q)} rows came later than the watermark allows")
+        if not last:
+            ending.announce()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -100,6 +108,11 @@ def late_events(df: DataFrame, extra: float = 10_000.0) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ steps
+def _folded(stream: DataFrame, keys: list[str], order: list[str], fold, held_by: str | None, held: dict | None) -> DataFrame:
+    """In event-time order where ``held_by`` names a watermarked column, else in order of arrival."""
+    return held_fold(stream, keys, order, fold, held_by, **(held or {})) if held_by else stateful_fold(stream, keys, order, fold)
+
+
 def delay_step(
     window: int = 20, initial: float = 2000.0, tts_start: float = 600.0, alpha: float = 0.2, fall: float = 0.25,
     lo: float = 1000.0, hi: float = 20000.0, min_margin: float = 300.0, stddev_share: float = 1.5,
@@ -131,9 +144,11 @@ def delay_step(
     )
 
 
-def adaptive_delay_stream(stream: DataFrame, keys: list[str], order: list[str], **how) -> DataFrame:
+def adaptive_delay_stream(
+    stream: DataFrame, keys: list[str], order: list[str], held_by: str | None = None, held: dict | None = None, **how
+) -> DataFrame:
     """Keyed by listener and lecture, so a lecture start begins anew. Twin: ``listener_delay``."""
-    return stateful_fold(stream, keys, order, delay_step(**how))
+    return _folded(stream, keys, order, delay_step(**how), held_by, held)
 
 
 def listener_delay(df: DataFrame, key: str, order: list[str], tts_start: float = 600.0, alpha: float = 0.2) -> DataFrame:
@@ -173,19 +188,23 @@ def repeat_step(window_ms: int = 30_000, max_chars: int = 15) -> Sequential:
 
 def suppress_repeats_stream(
     stream: DataFrame, keys: list[str], order: list[str], courtesy: str = P.COURTESY, window_ms: int = 30_000,
-    max_chars: int = 15, event_time: str | None = None,
+    max_chars: int = 15, event_time: str | None = None, held_by: str | None = None, held: dict | None = None,
 ) -> DataFrame:
     """Twin: ``windows.suppress_repeats``. Silent keys are forgotten after the window."""
     short = (F.length("text") < max_chars) & F.col("text").rlike(courtesy)
     marked = stream.withColumn("short", short)
+    if held_by:
+        return held_fold(marked, keys, order, repeat_step(window_ms, max_chars), held_by, **(held or {})).drop("short")
     return stateful_fold(marked, keys, order, repeat_step(window_ms, max_chars), event_time, window_ms).drop("short")
 
 
-def session_timeouts_stream(df: DataFrame, key: str, ts: str = "ts", grace: str = "30 seconds", late: str = "1 minute") -> DataFrame:
+def session_timeouts_stream(df: DataFrame, key: str, ts: str = "ts", grace: str = "30 seconds", late: str | None = "1 minute") -> DataFrame:
     """Stretches of life signs with no silence of the grace period; each ends one grace period after
-    its last sign and is emitted once the watermark has passed that. Twin: ``session_timeouts``."""
+    its last sign and is emitted once the watermark has passed that; signs come ``late`` at most (None: the stream has its
+    watermark). Twin: ``session_timeouts``."""
+    marked = df if late is None else df.withWatermark(ts, late)
     return (
-        df.withWatermark(ts, late).groupBy(key, F.session_window(ts, grace).alias("_w"))
+        marked.groupBy(key, F.session_window(ts, grace).alias("_w"))
         .agg(F.count(F.lit(1)).alias("signs"))
         .select(key, F.unix_millis("_w.start").alias("start_ms"), F.unix_millis("_w.end").alias("end_ms"), "signs")
     )
@@ -228,13 +247,15 @@ def commit_step() -> Sequential:
         total = max(done, reach)
         return (None if final else (sentences, total)), ("|".join(new), total)
 
-    return Sequential(("_joined", "is_final"), [field("committed", T.StringType()), field("committed_total", T.LongType())], first, move)
+    return Sequential(("joined_sentences", "is_final"), [field("committed", T.StringType()), field("committed_total", T.LongType())], first, move)
 
 
-def stable_commits_stream(stream: DataFrame, key: str = "utt_id", order: str = "pass_no") -> DataFrame:
+def stable_commits_stream(
+    stream: DataFrame, key: str = "utt_id", order: str = "pass_no", held_by: str | None = None, held: dict | None = None
+) -> DataFrame:
     """Twin: ``windows.stable_commits``."""
-    joined = stream.withColumn("_joined", F.array_join("sentences", "\u0001")).drop("sentences")
-    return stateful_fold(joined, [key], [order], commit_step()).drop("_joined")
+    joined = stream.withColumn("joined_sentences", F.array_join("sentences", "\u0001")).drop("sentences")
+    return _folded(joined, [key], [order], commit_step(), held_by, held).drop("joined_sentences")
 
 
 def board_step() -> Sequential:
@@ -255,9 +276,9 @@ def board_step() -> Sequential:
     return Sequential(("type", "page", "seq"), [field("epoch", T.LongType())], first, move)
 
 
-def board_state_stream(stream: DataFrame, slide: str = "slide") -> DataFrame:
+def board_state_stream(stream: DataFrame, slide: str = "slide", held_by: str | None = None, held: dict | None = None) -> DataFrame:
     """Each event of a slide's boards with the reset it lives under."""
-    return stateful_fold(stream, [slide], ["seq"], board_step())
+    return _folded(stream, [slide], ["seq"], board_step(), held_by, held)
 
 
 def board_snapshot(log: DataFrame, slide: str = "slide") -> DataFrame:
@@ -293,9 +314,11 @@ def progress_step(baselines: dict[str, float] = P.STAGE_BASELINES) -> Sequential
     )
 
 
-def job_progress_stream(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def job_progress_stream(
+    stream: DataFrame, keys: list[str], order: list[str], held_by: str | None = None, held: dict | None = None
+) -> DataFrame:
     """Average page time and remaining seconds after each page. Twins: ``page_ema``, ``stage_eta``."""
-    out = stateful_fold(stream, keys, order, progress_step())
+    out = _folded(stream, keys, order, progress_step(), held_by, held)
     return Wn.stage_eta(out) if {"stage_total", "elapsed"} <= set(out.columns) else out
 
 
@@ -314,8 +337,13 @@ def token_step(ttl_ms: int = 300_000) -> Sequential:
     return Sequential(("side", "ts_ms"), [field("cancelled", T.BooleanType())], first, move)
 
 
-def cancel_match_stream(stream: DataFrame, ttl_ms: int = 300_000, event_time: str | None = None) -> DataFrame:
+def cancel_match_stream(
+    stream: DataFrame, ttl_ms: int = 300_000, event_time: str | None = None, held_by: str | None = None, held: dict | None = None
+) -> DataFrame:
     """Parked tokens (side 0) and uploads (side 1) on one stream. Twin: ``joins.match_cancel_tokens``."""
+    if held_by:
+        out = held_fold(stream, ["token"], ["ts_ms", "side", "event_id"], token_step(ttl_ms), held_by, **(held or {}))
+        return out.where("side = 1")
     out = stateful_fold(stream, ["token"], ["ts_ms", "side", "event_id"], token_step(ttl_ms), event_time, ttl_ms)
     return out.where("side = 1")
 
@@ -352,9 +380,11 @@ def activity_step(threshold: float = 0.01, frame_ms: int = 200, split_ms: int =
     )
 
 
-def activity_stream(stream: DataFrame, keys: list[str], order: list[str], **how) -> DataFrame:
+def activity_stream(
+    stream: DataFrame, keys: list[str], order: list[str], held_by: str | None = None, held: dict | None = None, **how
+) -> DataFrame:
     """Twin: ``windows.activity_segments``."""
-    return stateful_fold(stream, keys, order, activity_step(**how))
+    return _folded(stream, keys, order, activity_step(**how), held_by, held)
 
 
 # ------------------------------------------------------------------------------ session log sink
@@ -369,15 +399,19 @@ def sequence_step() -> Sequential:
 
 
 def append_segments(
-    stream: DataFrame, active: DataFrame, path: str, ts: str = "ts_ms", order: tuple[str, ...] = ("ts_ms",)
+    stream: DataFrame, active: DataFrame, path: str, ts: str = "ts_ms", order: tuple[str, ...] = ("ts_ms",),
+    held_by: str | None = None, held: dict | None = None, ending: Ending | None = None, late: str = "1 minute",
 ):
     """Start a stream that appends one JSON line per translated sentence below ``session_id=...``, with
     its number in the session and the offset from the session's start. Sentences of sessions not in
-    ``active`` (session_id, started_ms) are ignored. Returns the started query."""
+    ``active`` (session_id, started_ms) are ignored. Returns the started query. Where files may come out of order, name
+    the event time in ``held_by`` and how ``late`` it may be; start the stream once more after ``ending`` was announced."""
     known = stream.join(active.select("session_id", "started_ms"), "session_id")
     offset = F.bround((F.col(ts) - F.col("started_ms")) / 1000.0, 3)
     rows = known.withColumns({"t_offset": offset, "ts_utc": F.timestamp_millis(F.col(ts))}).drop("started_ms")
-    numbered = stateful_fold(rows, ["session_id"], list(order), sequence_step()).drop(ts)
+    if held_by:
+        rows = ending.joined(rows, late) if ending else rows.withWatermark(held_by, late)
+    numbered = _folded(rows, ["session_id"], list(order), sequence_step(), held_by, held).drop(ts, held_by or ts)
     return (
         numbered.writeStream.format("json").partitionBy("session_id").option("path", f"{path}/segments")
         .option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
