@@ -32,6 +32,7 @@ from . import params, wordhash
 from .components import components
 from .lookups import counted
 from .staging import stage
+from .worker import give_back
 
 _rng = np.random.default_rng(75)
 _N_MIN = 2 * params.HALVES * params.HALF_ROWS
@@ -105,6 +106,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                  pa.array(m2.view(np.int64)), *sides],
                 ["doc_id", "n", "m1", "m2", "a", "b"],
             )
+    give_back()
 
 
 def _bitmaps(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -129,6 +131,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(begin)), _lists(shingles, begin), bitmap],
                 ["node", "n", "shingles", "bits"],
             )
+    give_back()
 
 
 def _pivots(classes: DataFrame) -> DataFrame:

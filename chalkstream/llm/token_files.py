@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import params, rans, tokens
 from .staging import new_folder, stage
 from .wordhash import texts_of
+from .worker import give_back
 
 _CHUNK = "part int, before long, doc_ids array<long>, lengths array<int>, ids binary"
 _BLOCK = "part int, start long, doc_ids array<long>, lengths array<int>, block binary"
@@ -60,7 +61,7 @@ class _Chunks:
         size = 0
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), 4 << 20):
+            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), 2 << 20):
                 for found in cut.of_texts(some):
                     ids.append(next(names))
                     parts += (found.tobytes(), end)
@@ -71,6 +72,7 @@ class _Chunks:
                         before, size, ids, lengths, parts = before + size, 0, [], [], []
         if ids:
             yield chunk()
+        give_back()
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,8 @@ from . import worker
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
 _CACHED = 400_000
-_IDS_KNOWN = 150_000  # cuts whose ids a worker keeps; as many older ones besides
+_IDS_KNOWN = 100_000  # cuts whose ids a worker keeps; as many older ones besides
+_AT_ONCE = 8192  # words encoded in one call, whose result takes much more room than the ids
 #: Characters that are neither letters, numbers nor white space, and begin no contraction.
 _MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
 
@@ -307,7 +308,9 @@ class IdCutter:
         is_simple = simple.to_numpy(zero_copy_only=False)
         others = [text_of(c) for c in cuts.filter(pc.invert(simple)).to_pylist()]
         if others:
-            found = [e.ids for e in self.lib.encode_batch_fast(others, add_special_tokens=False)]
+            found = []
+            for lo in range(0, len(others), _AT_ONCE):
+                found += [e.ids for e in self.lib.encode_batch_fast(others[lo : lo + _AT_ONCE], add_special_tokens=False)]
             numbers[~is_simple] = known.add(np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
         coded = words.filter(simple).dictionary_encode()
         distinct = coded.dictionary
@@ -315,8 +318,8 @@ class IdCutter:
         of_word = self._known(names)
         newline = pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False)
         for lead, rows in ((" ", np.flatnonzero((of_word < 0) & ~newline)), ("", np.flatnonzero((of_word < 0) & newline))):
-            if len(rows):
-                of_word[rows] = known.add(*self._words([names[i] for i in rows.tolist()], lead))
+            for some in np.split(rows, range(_AT_ONCE, len(rows), _AT_ONCE)) if len(rows) else []:
+                of_word[some] = known.add(*self._words([names[i] for i in some.tolist()], lead))
         mine = of_word[coded.indices.to_numpy(zero_copy_only=False)]
         trimmed = (pc.binary_length(cuts).to_numpy(zero_copy_only=False) - pc.binary_length(words).to_numpy(zero_copy_only=False))[is_simple]
         marked = np.flatnonzero(trimmed)
