@@ -13,7 +13,7 @@ from .. import params as P
 from ..functions import audio, boxes
 from ..functions import text as T
 from ..plans.scans import Lag, with_scans
-from .terms import holds_any
+from .terms import holds_any, remove_terms, with_holds_any
 
 
 def gate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -67,9 +67,11 @@ def gate_utterances(
     min_words: int = 8,
     min_unique: float = 0.3,
     max_ascii: float = 0.6,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
-    """Reject noise among recognised utterances. ``without_terms`` removes dictionary terms from a
-    column before the ASCII share is measured (see ``terms.term_remover``)."""
+    """Reject noise among recognised utterances. Terms of a dictionary are removed before the ASCII share is
+    measured: ``terms`` is a table of any size, ``without_terms`` a function of a column for small ones
+    (see ``terms.term_remover``), which streams can use."""
     df = df.withColumn("text", T.strip(F.col("text")))
     text = F.col("text")
     words = T.words(text, r"[\s,]+")
@@ -77,7 +79,10 @@ def gate_utterances(
         F.size(F.array_distinct(words)) / F.size(words) < min_unique
     )
     # Only texts that reach the ASCII rule pay for the dictionary.
-    df = df.withColumn("_cleaned", F.when(F.length(text) <= max_chars, without_terms(text)) if without_terms else text)
+    if terms is not None:
+        df = remove_terms(df.withColumn("_short", F.when(F.length(text) <= max_chars, text)), terms, "_short", "_cleaned").drop("_short")
+    else:
+        df = df.withColumn("_cleaned", F.when(F.length(text) <= max_chars, without_terms(text)) if without_terms else text)
     cleaned = F.col("_cleaned")
     ascii_share = T.count_class(cleaned, r"\x00-\x7f") / F.length(cleaned)
     return gate(
@@ -121,17 +126,20 @@ def gate_mt_input(df: DataFrame, script: str = P.HANGUL, min_script: int = 2) ->
 
 def gate_mt_output(
     df: DataFrame,
-    terms: list[str] | None = None,
+    terms: list[str] | DataFrame | None = None,
     script: str = P.HANGUL,
     target: str = "A-Za-z",
     stock_phrases: list[str] = P.MT_STOCK_PHRASES,
 ) -> DataFrame:
     """Reject looping, untranslated and stock output. Text that is mostly source script is accepted
-    outright when it holds a dictionary term."""
+    outright when it holds a dictionary term: ``terms`` is a table of any size, or a short list."""
     text = F.col("text")
+    if isinstance(terms, DataFrame):
+        df, protected = with_holds_any(df, terms, "_protected"), F.col("_protected")
+    else:
+        protected = holds_any(text, terms) if terms else F.lit(False)
     source = T.count_class(text, script)
     untranslated = (source > 0) & (source >= T.count_class(text, target))
-    protected = holds_any(text, terms) if terms else F.lit(False)
     return gate(
         df,
         [
@@ -139,7 +147,7 @@ def gate_mt_output(
             ("untranslated", untranslated & ~protected),
             ("stock_phrase", ~untranslated & T.matches_any(text, stock_phrases)),
         ],
-    )
+    ).drop("_protected")
 
 
 def _placeholder(text: Column) -> list[tuple[str, Column]]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gates as G
-from ..operators import terms as TM
 from ..session import table
 from . import base as B
 from .base import query, with_ctes
@@ -95,9 +94,8 @@ WORDS = r"list_filter(regexp_split_to_array(t, '[\s,]+'), lambda w: w <> '')"
     ),
 )
 def _(spark, sf):
-    remove = TM.term_remover(B.terms(spark, sf))
     out = G.gate_utterances(
-        B.lines(spark, sf), remove, stock_phrases=STOCK, lone_courtesy=COURTESY, max_ascii=0.95
+        B.lines(spark, sf), stock_phrases=STOCK, lone_courtesy=COURTESY, max_ascii=0.95, terms=B.terms(spark, sf)
     )
     return out.select("doc_id", "line_no", "reason")
 
@@ -138,9 +136,8 @@ TOK = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
   WHEN NOT (s > 0 AND s >= l) AND regexp_matches(text, '%%%|\*\*\*|###') THEN 'stock_phrase' END AS reason FROM x"""),
 )
 def _(spark, sf):
-    words = [t for t, _ in TM.longest_first(B.terms(spark, sf))]
     out = G.gate_mt_output(
-        B.lines(spark, sf), words, script="aeiouéèêóíäöü", target="b-df-hj-np-tv-z", stock_phrases=STOCK
+        B.lines(spark, sf), B.terms(spark, sf), script="aeiouéèêóíäöü", target="b-df-hj-np-tv-z", stock_phrases=STOCK
     )
     return out.select("doc_id", "line_no", "reason")
 
