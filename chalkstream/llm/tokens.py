@@ -270,7 +270,7 @@ class IdCutter:
 
     def _later(self, cuts: pa.Array) -> np.ndarray:
         """Numbers of distinct later cuts; those not known are learned."""
-        names = cuts.to_pylist()
+        names = cuts.to_numpy(zero_copy_only=False).tolist()
         numbers = self._known(names)
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
@@ -314,7 +314,7 @@ class IdCutter:
             numbers[~is_simple] = known.add(np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
         coded = words.filter(simple).dictionary_encode()
         distinct = coded.dictionary
-        names = distinct.to_pylist()
+        names = distinct.to_numpy(zero_copy_only=False).tolist()
         of_word = self._known(names)
         newline = pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False)
         for lead, rows in ((" ", np.flatnonzero((of_word < 0) & ~newline)), ("", np.flatnonzero((of_word < 0) & newline))):
