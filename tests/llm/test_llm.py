@@ -365,6 +365,53 @@ def test_link_lists_and_headers_of_articles():
     assert html_text.main_text(f"<div class='header'>Site</div><div>{inside}</div>").split("\n\n") == want
 
 
+LONG = "".join(f"<p>{TEXT * 2}</p>" for _ in range(4))
+LONG_TEXT = [(TEXT * 2).strip()] * 4
+
+
+@pytest.mark.parametrize("extra", [
+    "<div class='msg'><p>We use cookies to improve this site. By continuing you accept them.</p></div>",
+    "<div class='cookieBanner'>Cookies make this site better. Fine?</div>",
+    "<p>Copyright 2021 The Paper. All rights reserved.</p>",
+    "<p>&copy; 2021 The Paper</p>",
+    "<div><b>Bob</b><p>I do not agree with the second part.</p><a href='#r'>Reply</a></div>",
+    "<div id='discussion'><p>Nice read, thanks a lot.</p></div>",
+    "<h3>3 Comments</h3><div><p>Nice read, thanks a lot.</p></div>",
+    "<div class='share-buttons'><p>Share this story with friends.</p></div>",
+])
+def test_what_must_go(extra):
+    for page in (f"<article>{LONG}{extra}</article>", f"<div><div>{LONG}</div>{extra}</div>", f"<div>{LONG}{extra}</div>"):
+        assert html_text.main_text(page).split("\n\n") == LONG_TEXT, page
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("<p>Hello <span class='share'>there</span>.</p>", "Hello there."),
+    ("<p class='related'>Related research shows more.</p>", "Related research shows more."),
+    ("<p class='social'>Social history is old.</p>", "Social history is old."),
+    ("<section id='comments-on-method'><p>The method is sound.</p></section>", "The method is sound."),
+    ("<p>Fill in <label>the name</label> first.</p>", "Fill in the name first."),
+    ("<section id='discussion'><p>The results are discussed.</p></section>", "The results are discussed."),
+    ("<ul><li>one point<li>another point</ul>", "one point\n\nanother point"),
+    ("<p>Cookies are baked, we use butter.</p>", "Cookies are baked, we use butter."),
+])
+def test_what_must_stay(inside, text):
+    for page in (f"<article>{LONG}{inside}</article>", f"<div><div>{LONG}</div>{inside}</div>", f"<div>{inside}{LONG}</div>",
+                 f"<div class='widget'><h1>T</h1>{inside}{LONG}</div>"):
+        found = html_text.main_text(page)
+        assert text in found and found.count("Some words") == 8, page
+
+
+def test_points_choose_among_articles_and_boxes():
+    short = "<article><p>The first of two stories.</p></article>"
+    assert html_text.main_text(f"<body>{short}<article>{LONG}</article>").split("\n\n") == ["The first of two stories.", *LONG_TEXT]
+    # An article element that is only a teaser does not win over the text beside it.
+    teaser = "<article><p>Read on, please.</p></article>"
+    assert html_text.main_text(f"<div>{teaser}</div><div>{LONG}</div>").split("\n\n")[-4:] == LONG_TEXT
+    # Outside an article only what scores a fifth of it counts.
+    beside = f"<div><article>{LONG}</article><div><p>One word more.</p></div><div>{LONG}</div></div>"
+    assert html_text.main_text(beside).split("\n\n") == LONG_TEXT * 2
+
+
 def test_deep_and_broken_pages():
     deep = "<div>" * 20_000 + TEXT + "</div>" * 20_000
     assert html_text.main_text(deep) == TEXT.strip()
