@@ -15,7 +15,8 @@ element counts half as much again. What is kept beside it:
   mostly links, however short; otherwise only blocks with a fifth of its points.
 
 Lists of links inside the main container stay; elsewhere they count as menus. Readers' answers below a heading of comments, or
-in a box with a link to answer them, go, and so do cookie notices in a box of their own and copyright lines at the end.
+in a box with a link to answer them, go, and so do cookie notices in a box of their own and copyright lines at
+the end, unless an article holds them.
 
 Blocks come in page order, white space inside a block is one space, character references are decoded, blocks are joined
 by an empty line.
@@ -376,6 +377,12 @@ def _chosen(root: _Element, best: _Element) -> list[_Element]:
     return kept
 
 
+def _in_article(node: _Element | None) -> bool:
+    while node is not None and node.tag not in WHOLE:
+        node = node.parent
+    return node is not None
+
+
 def main_text(html: str) -> str:
     tree = _Tree()
     tree.feed(html)
@@ -387,10 +394,10 @@ def main_text(html: str) -> str:
         return ""
     best = max(containers, key=_worth)  # the first of equals
     kept = [best] if best.parent is None else _chosen(root, best)
-    blocks = [text for node in kept for _, text, _ in _blocks(node)]
-    while len(blocks) > 1 and len(blocks[-1]) <= _NOTICE_CHARS and _COPYRIGHT.match(blocks[-1]):
+    blocks = [(block, text) for node in kept for block, text, _ in _blocks(node)]
+    while len(blocks) > 1 and len(blocks[-1][1]) <= _NOTICE_CHARS and _COPYRIGHT.match(blocks[-1][1]) and not _in_article(blocks[-1][0]):
         blocks.pop()
-    return "\n\n".join(blocks)
+    return "\n\n".join(text for _, text in blocks)
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -372,8 +372,6 @@ LONG_TEXT = [(TEXT * 2).strip()] * 4
 @pytest.mark.parametrize("extra", [
     "<div class='msg'><p>We use cookies to improve this site. By continuing you accept them.</p></div>",
     "<div class='cookieBanner'>Cookies make this site better. Fine?</div>",
-    "<p>Copyright 2021 The Paper. All rights reserved.</p>",
-    "<p>&copy; 2021 The Paper</p>",
     "<div><b>Bob</b><p>I do not agree with the second part.</p><a href='#r'>Reply</a></div>",
     "<div id='discussion'><p>Nice read, thanks a lot.</p></div>",
     "<h3>3 Comments</h3><div><p>Nice read, thanks a lot.</p></div>",
@@ -384,6 +382,14 @@ def test_what_must_go(extra):
         assert html_text.main_text(page).split("\n\n") == LONG_TEXT, page
 
 
+@pytest.mark.parametrize("line", ["Copyright 2021 The Paper. All rights reserved.", "&copy; 2021 The Paper", "All rights reserved."])
+def test_copyright_lines(line):
+    for page in (f"<article>{LONG}</article><p>{line}</p>", f"<div><div>{LONG}</div><p>{line}</p></div>", f"<div>{LONG}<p>{line}</p></div>"):
+        assert html_text.main_text(page).split("\n\n") == LONG_TEXT, page
+    inside = html_text.main_text(f"<article>{LONG}<p>{line}</p></article>").split("\n\n")
+    assert len(inside) == 5  # a line of the article itself
+
+
 @pytest.mark.parametrize("inside, text", [
     ("<p>Hello <span class='share'>there</span>.</p>", "Hello there."),
     ("<p class='related'>Related research shows more.</p>", "Related research shows more."),
