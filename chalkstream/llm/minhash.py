@@ -264,9 +264,25 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with the columns it came with."""
-    gone = stage(groups(docs, doc_id, text).filter("not kept").select("doc_id").distinct(), "gone")
+    """One document of each group, with the columns it came with.
+
+    Of rows that repeat an id and its text one stays; different texts of one id all stay if the id does. Rows without an id
+    are grouped like others, under ids made from their texts, above 2 ** 62; a document with an id is kept before them.
+    Rows with neither an id nor a word all stay."""
     given = [f"_in{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, given, strict=True))
-    left = _only(docs.toDF(*given), gone, at[doc_id], "left_anti")
-    return left.select(*[F.col(g).alias(c) for c, g in zip(docs.columns, given, strict=True)])
+    mark = F.xxhash64(F.coalesce(F.col(at[text]).cast("string"), F.lit("")))
+    made = mark.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    made = F.when(F.col(at[text]).cast("string").rlike(r"[^\x20\x09-\x0D]"), made)
+    rows = docs.toDF(*given).withColumn("_id", F.coalesce(F.col(at[doc_id]).cast("long"), made)).withColumn("_mark", mark)
+    found = groups(rows.select("_id", at[text]), "_id", at[text])
+    gone = stage(found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    left = _only(rows, gone, "_id", "left_anti")
+    back = [F.col(g).alias(c) for c, g in zip(docs.columns, given, strict=True)]
+    repeated = stage(left.filter("_id is not null").groupBy("_id", "_mark").count().filter("count > 1").select("_id").distinct(), "repeated")
+    if not repeated.limit(1).count():
+        return left.select(*back)
+    once = _only(left, repeated, "_id", "left_anti")
+    # The copies meet by id and text, each task's already reduced to one.
+    more = _only(left, repeated, "_id", "left_semi").dropDuplicates(["_id", "_mark"])
+    return once.union(more).select(*back)

@@ -62,7 +62,9 @@ def passages(texts: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]
     size = np.diff(at)
     of_byte = np.repeat(np.arange(total), size)
     kind = _KIND[w.data]
-    pairs = np.bincount(of_byte[1:] * _KINDS**2 + kind[:-1] * _KINDS + kind[1:], minlength=total * _KINDS**2)
+    # Every text ends with a newline here, and the first one has one before it like all others.
+    before = np.concatenate(([_KIND[10]], kind[:-1]))[: len(kind)]
+    pairs = np.bincount(of_byte * _KINDS**2 + before * _KINDS + kind, minlength=total * _KINDS**2)
     single = np.bincount(of_byte * _KINDS + kind, minlength=total * _KINDS)
     scale = 1 / np.maximum(size, 1)[:, None]
     words = np.bincount(of_word, minlength=total)
@@ -177,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = known.filter((training.fold_of(F.col("doc_id"), 3) != 1) & F.col("label").isNotNull()).distinct()
     chosen = training.sampled(known, params.TRAIN_DOCS)
     sample = rows.filter(training.trainable(F.col("text"))).join(counted(chosen), "doc_id")
-    made = training.fitted(sample, fit, ["doc_id", "label", "text"])
+    made = training.fitted(training.one_text(sample, "doc_id", "label"), fit, ["doc_id", "label", "text"])
     model = Model(**made) if made else None
     judged = rows.select("doc_id", (training.fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
     return judged.mapInArrow(_Score(model), "doc_id long, held_out boolean, score double, predicted int")

@@ -11,7 +11,10 @@ beginnings of words (languages that inflect and compound): the hashed ones whose
 positives and the unlabelled sample. The prior is the toxic share of the labels outside the held-out fold.
 
 The model is fitted in one task on bounded samples (``TOXIC_POSITIVES``, ``TOXIC_UNLABELLED`` documents of at most
-``TRAIN_CHARS``), none from the held-out fold; all documents are scored on all their words.
+``TRAIN_CHARS``), none from the held-out fold; the unlabelled sample is drawn from all documents, known positives too, as
+the risk presumes. All documents are scored on all their words. Only the ``TOXIC_FEATURES`` strongest words of the sample
+carry weight: with all words of three or more positives the model learns single documents by heart and finds 68 in place
+of 90 of the 97 toxic documents held out at sf0.1 (3000 words: 89).
 
 Defined results: null and empty texts hold no word; a null ``doc_id`` counts as an empty one for its fold; rows are scored
 one by one; null labels are unlabelled; without a toxic label every score is 0.
@@ -96,6 +99,20 @@ def _chosen_words(texts: pa.Array, positive: np.ndarray) -> np.ndarray:
     return np.sort(words[np.argsort(-apart, kind="stable")[: params.TOXIC_FEATURES]])
 
 
+def _risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: np.ndarray, prior: float) -> tuple[float, float, dict[str, np.ndarray]]:
+    """Both terms of the risk of a batch, the second one not yet held at zero, and the direction of the step: the gradient of
+    their sum, or where the second is below zero that of the second alone, turned round."""
+    s_p, s_u = (training.sigmoid(z @ w + b) for z in (p, u))
+    # l(g) = sigmoid(-g); its slope in g is -s (1 - s), that of l(-g) is s (1 - s).
+    known, clean = prior * (1 - s_p).mean(), s_u.mean() - prior * s_p.mean()
+    d_p, d_u = s_p * (1 - s_p) / len(p), s_u * (1 - s_u) / len(u)
+    if clean >= 0:
+        g_p, g_u = -2 * prior * d_p, d_u
+    else:
+        g_p, g_u = prior * d_p, -d_u
+    return known, clean, {"w": p.T @ g_p + u.T @ g_u, "b": np.array([g_p.sum() + g_u.sum()])}
+
+
 class _FitPU:
     def __init__(self, prior: float):
         self.prior = prior
@@ -120,15 +137,7 @@ class _FitPU:
         for _ in range(epochs):
             for _ in range(per_epoch):
                 p, u = known[rng.integers(0, len(known), size)], rest[rng.integers(0, len(rest), size)]
-                s_p, s_u = (training.sigmoid(z @ weights["w"] + weights["b"]) for z in (p, u))
-                # l(g) = sigmoid(-g); its slope in g is -s (1 - s), that of l(-g) is s (1 - s).
-                clean = s_u.mean() - self.prior * s_p.mean()
-                d_p, d_u = s_p * (1 - s_p) / len(p), s_u * (1 - s_u) / len(u)
-                if clean >= 0:
-                    g_p, g_u = -2 * self.prior * d_p, d_u
-                else:
-                    g_p, g_u = self.prior * d_p, -d_u
-                steps.step({"w": p.T @ g_p + u.T @ g_u, "b": np.array([g_p.sum() + g_u.sum()])})
+                steps.step(_risk(p, u, weights["w"], weights["b"], self.prior)[2])
         return {"words": words, "weights": weights["w"], "bias": float(weights["b"][0])}
 
 
@@ -156,12 +165,12 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     confirmed = known.filter("label = 1").select("doc_id").distinct()
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
     usable = rows.filter(training.trainable(F.col("text")) & (training.fold_of(F.col("doc_id"), 5) != 0))
-    unlabelled = training.sampled(usable.select("doc_id").join(confirmed, "doc_id", "left_anti").distinct(), params.TOXIC_UNLABELLED)
+    unlabelled = training.sampled(usable.select("doc_id").distinct(), params.TOXIC_UNLABELLED)
     chosen = training.sampled(confirmed, params.TOXIC_POSITIVES).withColumn("positive", F.lit(True)).union(
         unlabelled.withColumn("positive", F.lit(False))
     )
     sample = usable.join(counted(chosen), "doc_id").select("doc_id", "positive", "text")
-    made = training.fitted(sample, _FitPU(prior), ["doc_id", "text"])
+    made = training.fitted(training.one_text(sample, "doc_id", "positive"), _FitPU(prior), ["doc_id", "text"])
     model = Model(**made) if made else None
     judged = rows.select("doc_id", (training.fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return judged.mapInArrow(_Score(model), "doc_id long, held_out boolean, score double, predicted int")

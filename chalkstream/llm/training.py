@@ -27,6 +27,11 @@ def trainable(text: Column) -> Column:
     return F.length(F.coalesce(text, F.lit(""))) <= params.TRAIN_CHARS
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key: of several texts the one whose hash is least."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 class _Fit:
     def __init__(self, fit: Callable[[pa.Table], object]):
         self.fit = fit

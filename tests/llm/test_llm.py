@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +162,21 @@ def test_groups_odd(odd, nothing, monkeypatch):
     assert kept.columns == odd.columns and not {6, 7, 9, 50} & {r.doc_id for r in kept.collect()}
 
 
+def test_keep_first_leaves_one_row_of_a_group(spark, monkeypatch):
+    rng = random.Random(11)
+    one, two, alone, unlike = (words(rng, 100, 10**6) for _ in range(4))
+    rows = [(1, one), (1, one), (2, one), (None, one), (None, one + " more"), (None, two), (None, two), (7, alone), (7, unlike),
+            (8, None), (8, ""), (9, ""), (None, None), (None, " ")]
+    want = Counter([(1, one), (None, two), (7, alone), (7, unlike), (8, ""), (9, ""), (None, ""), (None, " ")])
+    for bound in (params.BROADCAST_IDS, 0):
+        monkeypatch.setattr(params, "BROADCAST_IDS", bound)
+        df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _mark string")
+        kept = minhash.keep_first(df)
+        assert kept.columns == df.columns
+        assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == want
+    assert minhash.keep_first(df.limit(0)).count() == 0
+
+
 # --- decontamination ---------------------------------------------------------------------------------
 ITEM = "A farmer has 12 cows and 30 sheep near Oakville and sells 12 of them after 4 weeks for 900 dollars each. How many remain?"
 
@@ -492,6 +510,141 @@ def test_classifiers_odd(spark, odd, nothing, model, column):
     assert model.score(nothing, labels).count() == 0
 
 
+def passages_by_hand(text):
+    """Features of the passages of one text, one byte and one word after the other."""
+    data = text.encode() + b"\n"  # and one before it
+    ws = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    kinds = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".", ",", "!", "#*$%&", "|<>",
+             "\"'()[]{}:;-_", "/\\@^~`+=", "?")
+
+    def kind(b):
+        if b >= 128:
+            return 15 if b < 192 else 13
+        return next((i for i, chars in enumerate(kinds) if chr(b) in chars), 14)
+
+    spelled = [data[a:b] for a, b in ws]
+    triples = Counter(zip(spelled, spelled[1:], spelled[2:], strict=False))
+    n, rows = params.PASSAGE_WORDS, []
+    for k in range(max(1, -(-len(ws) // n))):
+        if not ws:
+            return [[0.0] * quality_model.WIDTH]
+        mine = range(k * n, min(len(ws), (k + 1) * n))
+        lo = 0 if k == 0 else ws[mine[0]][0]
+        hi = ws[mine[-1] + 1][0] if mine[-1] + 1 < len(ws) else len(data)
+        pairs, single = [0.0] * 256, [0.0] * 16
+        for i in range(lo, hi):
+            single[kind(data[i])] += 1 / (hi - lo)
+            pairs[16 * kind(data[i - 1] if i else 10) + kind(data[i])] += 1 / (hi - lo)
+        again = sum(triples.get(tuple(spelled[i : i + 3]), 0) > 1 for i in mine if i + 2 < len(ws))
+        m = len(mine)
+        rows.append([*map(math.sqrt, pairs), *single, sum(len(spelled[i]) for i in mine) / m / 10, len({spelled[i] for i in mine}) / m,
+                     again / m, math.log1p(len(ws)) / 5, m / n])
+    return rows
+
+
+def attention_by_hand(bag, w):
+    """Logit of one bag of scaled passages, number by number."""
+    def product(v, m):
+        return [sum(v[i] * m[i][j] for i in range(len(v))) for j in range(len(m[0]))]
+
+    hs, raw = [], []
+    for x in bag:
+        h = [math.tanh(v + e) for v, e in zip(product(x, w["E"]), w["e"], strict=True)]
+        gate = [math.tanh(a) / (1 + math.exp(-b)) for a, b in zip(product(h, w["V"]), product(h, w["U"]), strict=True)]
+        hs.append(h)
+        raw.append(math.exp(sum(a * b for a, b in zip(gate, w["w"], strict=True))))
+    z = [sum(r * h[j] for r, h in zip(raw, hs, strict=True)) / sum(raw) for j in range(len(hs[0]))]
+    return sum(a * b for a, b in zip(z, w["c"], strict=True)) + w["d"][0]
+
+
+def test_quality_scores_match_brute_force():
+    rng = random.Random(3)
+    texts = [words(rng, 150, 40), "", "One, two. THREE!\n\n" * 30, "é ñ 字 | # 12/3" * 9, "x", " lead and trail ", words(rng, 64)]
+    x, per_text = quality_model.passages(pa.array(texts, pa.large_string()), 0, len(texts))
+    by_hand = [passages_by_hand(t) for t in texts]
+    assert per_text.tolist() == [len(b) for b in by_hand]
+    assert np.allclose(x, np.array([p for b in by_hand for p in b]), atol=1e-5)
+    draw = np.random.default_rng(1)
+    w = quality_model.Model.start(quality_model.WIDTH, draw)
+    w["e"], w["d"] = draw.normal(size=w["e"].shape), np.array([0.3])
+    model = quality_model.Model(np.full(quality_model.WIDTH, 0.1), np.full(quality_model.WIDTH, 0.7), w)
+    lists = {k: v.tolist() for k, v in w.items()}
+    want = [1 / (1 + math.exp(-attention_by_hand([[(v - 0.1) / 0.7 for v in p] for p in b], lists))) for b in by_hand]
+    assert np.allclose(model.scores(x, per_text), want, atol=1e-5)
+
+
+def slopes(f, at, eps=1e-5):
+    found = np.zeros_like(at)
+    for i in np.ndindex(at.shape):
+        kept = at[i]
+        at[i] = kept + eps
+        up = f()
+        at[i] = kept - eps
+        found[i] = (up - f()) / (2 * eps)
+        at[i] = kept
+    return found
+
+
+def test_quality_gradient():
+    draw = np.random.default_rng(2)
+    model = quality_model.Model(np.zeros(7), np.ones(7), quality_model.Model.start(7, draw))
+    x, begin, labels = draw.normal(size=(9, 7)), np.array([0, 1, 5]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        logit = model.forward(x, begin)[0]
+        return (np.logaddexp(0, logit) - labels * logit).sum()
+
+    logit, state = model.forward(x, begin)
+    found = model.gradient(x, state, 1 / (1 + np.exp(-logit)) - labels)
+    for name, weights in model.w.items():
+        assert np.allclose(found[name], slopes(loss, weights), atol=1e-6), name
+
+
+@pytest.mark.parametrize("prior, below", [(0.1, False), (0.9, True)])
+def test_toxic_risk(prior, below):
+    draw = np.random.default_rng(3)
+    p, u, w, b = draw.normal(size=(5, 4)) + below, draw.normal(size=(6, 4)) - below, draw.normal(size=4) * 0.1 + below, np.array([-0.2])
+
+    def by_hand():
+        g_p, g_u = ([sum(a * c for a, c in zip(row, w, strict=True)) + b[0] for row in rows] for rows in (p, u))
+        loss = lambda g: 1 / (1 + math.exp(g))
+        return prior * sum(map(loss, g_p)) / 5, sum(loss(-g) for g in g_u) / 6 - prior * sum(loss(-g) for g in g_p) / 5
+
+    known, clean, step = toxicity._risk(p, u, w, b, prior)
+    assert np.allclose((known, clean), by_hand()) and (clean < 0) == below
+    aim = (lambda: -by_hand()[1]) if below else (lambda: sum(by_hand()))
+    assert np.allclose(step["w"], slopes(aim, w), atol=1e-6) and np.allclose(step["b"], slopes(aim, b), atol=1e-6)
+
+
+def test_toxic_rates_and_scores_match_brute_force():
+    texts = ["bad words and badly meant bad things", "", "Nothing HERE", "bad " * 100]
+    keys = {}
+    for t in texts:
+        found, _, _ = toxicity._keys(pa.array([t], pa.large_string()), 0, 1)
+        names = t.lower().split()
+        names += [w[:n] + f"*{n}" for n in (5, 6, 7, 8) for w in t.lower().split() if len(w) > n]
+        keys.update(zip(names, found.tolist(), strict=True))
+    chosen = {"bad": 2.0, "things": -1.0, "nothi*5": 0.5, "here": 0.25}
+    order = sorted(chosen, key=keys.__getitem__)
+    model = toxicity.Model(np.array([keys[k] for k in order], np.uint64), np.array([chosen[k] for k in order]), -0.5)
+
+    def want(t):
+        ws = t.lower().split()
+        held = Counter(ws) + Counter(w[:n] + f"*{n}" for n in (5, 6, 7, 8) for w in ws if len(w) > n)
+        return 1 / (1 + math.exp(0.5 - sum(v * min(100 * held[k] / (len(ws) + 64), 4.0) for k, v in chosen.items())))
+
+    assert np.allclose(model.scores(pa.array(texts, pa.large_string()), 0, 4), [want(t) for t in texts])
+
+
+@pytest.mark.parametrize("model, column", [(quality_model, "quality"), (toxicity, "toxic")])
+def test_repeated_training_rows_change_nothing(spark, model, column):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    again = docs.union(docs.filter("doc_id < 40")).union(docs.filter("doc_id < 40"))
+    once = {r.doc_id: r.score for r in model.score(docs, labels).collect()}
+    assert all(abs(once[r.doc_id] - r.score) < 1e-9 for r in model.score(again, labels).collect())
+
+
 # --- pipeline ----------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, lib, nothing):
     import corpus_pipeline
