@@ -213,24 +213,20 @@ def time_format(df: DataFrame, col: str = "t_offset") -> DataFrame:
     )
 
 
-def _wrapped_lines(word_lengths: Column, per_char: Column, width: Column) -> Column:
-    """Lines a greedy wrap needs; a word wider than the box takes a line of its own."""
-
-    def put(state: Column, n: Column) -> Column:
-        cur, lines = state["cur"], state["lines"]
-        longer = cur + F.when(cur > 0, 1).otherwise(0) + n
-        fits = longer * per_char <= width
-        closed = lines + F.when(cur > 0, 1).otherwise(0)
-        wide = n * per_char > width
-        return F.struct(
-            F.when(fits, longer).when(wide, 0).otherwise(n).cast("int").alias("cur"),
-            F.when(fits, lines).when(wide, closed + 1).otherwise(closed).cast("int").alias("lines"),
-        )
-
-    start = F.struct(F.lit(0).cast("int").alias("cur"), F.lit(0).cast("int").alias("lines"))
-    return F.aggregate(
-        word_lengths, start, put, lambda s: s["lines"] + F.when(s["cur"] > 0, 1).otherwise(0)
+def _wrapped_lines(text: Column, per_char: Column, width: Column) -> Column:
+    """Lines a greedy wrap at spaces needs; a word wider than the box takes a line of its own.
+
+    A line is a match of a pattern: a word of more characters than the box holds, or as many characters as it holds, cut back
+    to the end of a word. ``text`` has words with one space between them."""
+    most = F.floor(F.try_divide(width, per_char))
+    # The division rounds: the characters that fit are those whose product does.
+    most = F.when((most + 1) * per_char <= width, most + 1).when(most * per_char > width, most - 1).otherwise(most)
+    n = F.least(F.greatest(most, F.lit(0)), F.length(text) + 1).cast("int")
+    line = F.concat(
+        F.lit("(?s)[^ ]{"), (n + 1).cast("string"), F.lit(",}|[^ ](?:.{0,"), F.greatest(n - 2, F.lit(0)).cast("string"),
+        F.lit("}[^ ])?(?![^ ])"),
     )
+    return F.regexp_count(text, F.when(n > 1, line).otherwise(F.lit("[^ ]+")))
 
 
 def fit_audit(
@@ -256,7 +252,7 @@ def fit_audit(
     down = by_role({k: v[1] for k, v in ratios.items()})
     base = df.withColumns(
         {
-            "_lens": F.transform(T.words(F.col("text")), lambda w: F.length(w)),
+            "_words": F.concat_ws(" ", T.words(F.col("text"))),
             "_min": smallest,
             "_r": F.least(F.col("x1") + boxes.width() * right, F.col("page_width") - margin),
             "_d": F.least(F.col("y1") + boxes.height() * down, F.col("page_height") - margin),
@@ -273,19 +269,26 @@ def fit_audit(
     base = base.withColumn("_sizes", sizes)
 
     def spare(x1: Column, y1: Column, size: Column) -> Column:
-        lines = _wrapped_lines(F.col("_lens"), size * char_width, x1 - F.col("x0"))
+        lines = _wrapped_lines(F.col("_words"), size * char_width, x1 - F.col("x0"))
         return (y1 - F.col("y0")) - lines * size * line_height
 
     def first_fit(no: int, x1: Column, y1: Column) -> Column:
-        tried = F.transform(
-            "_sizes",
-            lambda s: F.struct(
-                F.lit(no).alias("box_no"), x1.alias("x1"), y1.alias("y1"), s.cast("double").alias("size"),
-                spare(x1, y1, s).alias("spare"),
-            ),
-        )
-        # Smaller text never needs more room: where the smallest size fails, no size fits.
-        return F.when(spare(x1, y1, F.col("_min")) >= 0, F.get(F.filter(tried, lambda c: c["spare"] >= 0), F.lit(0)))
+        # Smaller text never needs more room: where the smallest size fails, no size fits, and the first that fits is found
+        # by halving.
+        halve = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+        def step(s: Column, _: Column) -> Column:
+            fits = spare(x1, y1, F.element_at("_sizes", halve(s))) >= 0
+            lower = F.struct(s["lo"].alias("lo"), halve(s).alias("hi"))
+            upper = F.struct((halve(s) + 1).alias("lo"), s["hi"].alias("hi"))
+            return F.when(s["lo"] == s["hi"], s).when(fits, lower).otherwise(upper)
+
+        n = F.size("_sizes")
+        start = F.struct(F.lit(1).alias("lo"), n.alias("hi"))
+        at = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(n)).cast("int") + 1), start, step)["lo"]
+        size = F.element_at("_sizes", at).cast("double")
+        found = F.struct(F.lit(no).alias("box_no"), x1.alias("x1"), y1.alias("y1"), size.alias("size"))
+        return F.when(spare(x1, y1, F.col("_min")) >= 0, found)
 
     # A later box is tried only where the earlier ones failed, and the smaller sizes of the own box only
     # where the original size did not fit.
@@ -294,7 +297,7 @@ def fit_audit(
         (F.col("_asis") >= 0) & (F.col("size") >= F.col("_min")),
         F.struct(
             F.lit(0).alias("box_no"), F.col("x1").alias("x1"), F.col("y1").alias("y1"),
-            F.col("size").cast("double").alias("size"), F.col("_asis").alias("spare"),
+            F.col("size").cast("double").alias("size"),
         ),
     )
     base = base.withColumn(
@@ -305,7 +308,7 @@ def fit_audit(
             F.when(F.col("expand_allowed"), first_fit(1, F.col("_r"), F.col("y1"))),
             F.when(F.col("expand_allowed"), first_fit(2, F.col("_r"), F.col("_d"))),
         ),
-    )
+    ).withColumn("_spare", spare(F.col("_fit.x1"), F.col("_fit.y1"), F.col("_fit.size")))
     grow = F.col("expand_allowed")
     return base.withColumns(
         {
@@ -314,6 +317,6 @@ def fit_audit(
             "fit_x1": F.coalesce("_fit.x1", F.when(grow, F.col("_r")).otherwise(F.col("x1"))),
             "fit_y1": F.coalesce("_fit.y1", F.when(grow, F.col("_d")).otherwise(F.col("y1"))),
             "fit_size": F.coalesce("_fit.size", F.col("_min")),
-            "fit_spare": F.coalesce("_fit.spare", F.lit(-1.0)),
+            "fit_spare": F.coalesce(F.when(F.col("_fit").isNotNull(), F.col("_spare")), F.lit(-1.0)),
         }
-    ).drop("_lens", "_min", "_r", "_d", "_sizes", "_asis", "_fit")
+    ).drop("_words", "_min", "_r", "_d", "_sizes", "_asis", "_fit", "_spare")
