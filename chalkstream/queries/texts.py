@@ -462,9 +462,9 @@ def _(spark, sf):
     return Rs.parse_tagged_responses(answers, asked, ["doc_id"], ACCENTS)
 
 
-# One answer holds the events of a session among 2000 event numbers in a row.
-NUMBERED = """an AS (SELECT session_id * 1000000 + event_id // 2000 AS chunk, session_id, event_id, event_type, k, 20 + session_id % 60 AS n, session_id % 5 = 0 AS plain,
-  count(*) OVER (PARTITION BY session_id, event_id // 2000) AS c FROM ev)"""
+# One answer holds the events of a session.
+NUMBERED = """an AS (SELECT session_id AS chunk, session_id, event_id, event_type, k, 20 + session_id % 60 AS n, session_id % 5 = 0 AS plain,
+  count(*) OVER (PARTITION BY session_id) AS c FROM ev)"""
 
 
 def _answers(spark, sf):
@@ -473,8 +473,7 @@ def _answers(spark, sf):
         F.concat(F.col("k").cast("string"), F.lit(") \""), "event_type", F.lit('"'))
     )
     rows = F.sort_array(F.collect_list(F.struct("event_id", text.alias("s"))))
-    chunk = F.col("session_id") * 1000000 + F.floor(F.col("event_id") / 2000)
-    out = e.groupBy("session_id", chunk.alias("chunk")).agg(
+    out = e.groupBy("session_id", F.col("session_id").alias("chunk")).agg(
         F.array_join(F.transform(rows, lambda r: r["s"]), "\n").alias("response"), F.count(F.lit(1)).alias("c")
     )
     plain = F.col("session_id") % 10 == 0

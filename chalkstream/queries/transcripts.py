@@ -105,17 +105,17 @@ def _log_lines(spark, sf):
 
 @query(
     "finalize_session",
-    with_ctes(B.SEGMENTS, """g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS n, count(*) OVER (PARTITION BY session_id) AS total_segments FROM segments WHERE seq % 7 NOT IN (3, 5))""",
-              body="""SELECT session_id, n // 4 AS part_no, total_segments, string_agg(seq::VARCHAR, ',' ORDER BY seq) AS seqs, string_agg(original, '|' ORDER BY seq) AS texts FROM g GROUP BY ALL"""),
+    with_ctes(B.SEGMENTS, """g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS position FROM segments WHERE seq % 7 NOT IN (3, 5))""",
+              body="""SELECT session_id, position, NULL AS total_segments, seq, original, translated FROM g
+UNION ALL SELECT s.session_id, 0, (SELECT count(*) FROM g WHERE g.session_id = s.session_id), NULL, NULL, NULL FROM (SELECT DISTINCT session_id FROM segments) s"""),
 )
 def _(spark, sf):
     good = ST.parse_segments(_log_lines(spark, sf))
     meta = B.segments(spark, sf).select("session_id").distinct()
-    out = ST.finalize_session(good, meta, rows_per_part=4)
+    out = ST.finalize_session(good, meta)
     return out.select(
-        "session_id", "part_no", "total_segments",
-        F.array_join(F.transform("segments", lambda s: s["seq"].cast("string")), ",").alias("seqs"),
-        F.array_join(F.transform("segments", lambda s: s["original"]), "|").alias("texts"),
+        "session_id", "position", "total_segments", F.col("segment.seq").alias("seq"), F.col("segment.original").alias("original"),
+        F.col("segment.translated").alias("translated"),
     )
 
 

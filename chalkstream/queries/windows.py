@@ -67,15 +67,15 @@ def _(spark, sf):
 
 @query(
     "paragraph_agg",
-    with_ctes(B.REGIONS, body="""SELECT page, (pos - 1) // 8 AS block, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines,
+    with_ctes(B.REGIONS, body="""SELECT page, block_idx AS block, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines,
   string_agg(text, ' ' ORDER BY y0, x0, pos) AS text, arg_min(size, (y0, x0, pos)) AS size,
   CASE WHEN count(*) > 1 THEN CASE WHEN arg_min(has_bullet, (y0, x0, pos)) THEN 'bullet' ELSE 'body' END ELSE 'line' END AS role,
   string_agg(color::VARCHAR, ',' ORDER BY y0, x0, pos) AS line_colors, count(DISTINCT color) > 1 AS has_multi_color
-FROM regions GROUP BY page, (pos - 1) // 8"""),
+FROM regions GROUP BY page, block_idx"""),
 )
 def _(spark, sf):
     r = B.regions(spark, sf).withColumns(
-        {"is_bullet": F.col("has_bullet"), "role": F.lit("line"), "font": F.lit("sans"), "block": F.floor((F.col("pos") - 1) / 8)}
+        {"is_bullet": F.col("has_bullet"), "role": F.lit("line"), "font": F.lit("sans"), "block": F.col("block_idx")}
     )
     out = A.paragraph_agg(r, ["page", "block"], ["y0", "x0", "pos"])
     return out.withColumn("line_colors", F.array_join(F.col("line_colors").cast("array<string>"), ",")).drop(

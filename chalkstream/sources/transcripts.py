@@ -9,7 +9,7 @@ from ..functions import clock
 from ..functions import text as T
 from ..functions.strict_json import is_json
 from ..operators.windows import cue_times
-from ..plans.scans import RowNumber, Total, with_scans
+from ..plans.scans import RowNumber, with_scans
 
 SEGMENT = (
     "seq int, t_offset double, ts_utc timestamp, original string, translated string, slide_id string, page int"
@@ -31,21 +31,29 @@ def read_segment_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_segments(spark.read.text(path))
 
 
-def finalize_session(segments: DataFrame, meta: DataFrame, rows_per_part: int = 10_000) -> DataFrame:
-    """Session documents: meta plus segments in order. A document is written in parts of at most
-    ``rows_per_part`` segments, so a session of any length stays in small rows; ``total_segments``
-    counts the whole session."""
-    numbered = with_scans(segments, ["session_id"], ["seq"], {"_n": RowNumber(), "_total": Total()})
-    cols = [c for c in segments.columns if c != "session_id"]
-    part = F.floor((F.col("_n") - 1) / rows_per_part).alias("part_no")
-    packed = numbered.groupBy("session_id", part).agg(
-        F.sort_array(F.collect_list(F.struct(*cols))).alias("segments"), F.max("_total").alias("_total")
+def finalize_session(segments: DataFrame, meta: DataFrame) -> DataFrame:
+    """Session documents as rows: one of ``position`` 0 with ``meta`` and ``total_segments``, then one with a ``segment``
+    for each segment in order. No row holds more than one segment, so a session may have any length. Sessions without
+    segments have a total of 0; segments of sessions without meta are left out."""
+    totals = segments.groupBy("session_id").agg(F.count(F.lit(1)).alias("_total"))
+    about = [c for c in meta.columns if c not in ("session_id", "total_segments")]
+    said = [c for c in segments.columns if c != "session_id"]
+    heads = meta.join(totals, "session_id", "left").select(
+        "session_id", F.lit(0).cast("long").alias("position"), F.coalesce("_total", F.lit(0)).cast("long").alias("total_segments"),
+        *([F.struct(*about).alias("meta")] if about else []),
     )
-    return (
-        meta.drop("total_segments").join(packed, "session_id", "left")
-        .withColumns({"total_segments": F.coalesce("_total", F.lit(0)), "part_no": F.coalesce("part_no", F.lit(0))})
-        .drop("_total")
+    known = segments.join(meta.select("session_id").distinct(), "session_id", "left_semi")
+    rows = with_scans(known, ["session_id"], ["seq"], {"_n": RowNumber()}).select(
+        "session_id", F.col("_n").cast("long").alias("position"), F.struct(*said).alias("segment")
     )
+    return heads.unionByName(rows, allowMissingColumns=True)
+
+
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """JSON lines below ``path``, each session in order: meta first, then its segments. Rows are range-partitioned, so files
+    follow each other in name order and no session needs one task."""
+    ranged = sessions.repartitionByRange("session_id", "position").sortWithinPartitions("session_id", "position")
+    ranged.write.mode("overwrite").json(path)
 
 
 def export_srt(segments: DataFrame, key: str = "session_id", seq: str = "seq") -> DataFrame:

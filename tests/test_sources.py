@@ -71,8 +71,18 @@ def test_finalize(spark, tmp_path):
     (d / "a.json").write_text("\n".join([good[0], "", "{broken", good[2], good[1] + "}", good[3], good[4]]) + "\n")
     seg = ST.read_segment_logs(spark, str(tmp_path / "logs"))
     meta = spark.createDataFrame([("s1", "2024-01-01"), ("s2", "2024-01-02")], "session_id string, started_at string")
-    got = {(r.session_id, r.part_no): (r.total_segments, [s.seq for s in r.segments or []]) for r in ST.finalize_session(seg, meta, 3).collect()}
-    assert got == {("s1", 0): (4, [0, 2, 3]), ("s1", 1): (4, [4]), ("s2", 0): (0, [])}
+    lost = spark.createDataFrame([("s9", 0)], "session_id string, seq int").withColumns(
+        {c: F.lit(None).cast(t) for c, t in seg.dtypes if c not in ("session_id", "seq")}
+    ).select(seg.columns)
+    out = ST.finalize_session(seg.union(lost), meta)
+    got = sorted((r.session_id, r.position, r.total_segments, r.meta and r.meta.started_at, r.segment and r.segment.seq) for r in out.collect())
+    assert got == [
+        ("s1", 0, 4, "2024-01-01", None), *[("s1", i + 1, None, None, n) for i, n in enumerate((0, 2, 3, 4))], ("s2", 0, 0, "2024-01-02", None),
+    ]
+    ST.write_sessions(out, str(tmp_path / "sessions"))
+    lines = [json.loads(x) for f in sorted(glob.glob(str(tmp_path / "sessions/*.json"))) for x in open(f)]
+    assert [(x["session_id"], x["position"]) for x in lines] == [r[:2] for r in got]
+    assert lines[1]["segment"]["original"] == "o0" and lines[0]["meta"]["started_at"] == "2024-01-01"
 
 
 def test_list_and_scan(spark, tmp_path):
