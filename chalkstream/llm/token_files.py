@@ -61,7 +61,7 @@ class _Chunks:
         size = 0
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), 2 << 20):
+            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), 1 << 19):
                 for found in cut.of_texts(some):
                     ids.append(next(names))
                     parts += (found.tobytes(), end)

@@ -23,8 +23,8 @@ from . import worker
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
 _CACHED = 400_000
-_IDS_KNOWN = 100_000  # cuts whose ids a worker keeps; as many older ones besides
-_AT_ONCE = 8192  # words encoded in one call, whose result takes much more room than the ids
+_IDS_KNOWN = 60_000  # cuts whose ids a worker keeps; as many older ones besides
+_AT_ONCE = 2048  # words encoded in one call, whose result takes much more room than the ids
 #: Characters that are neither letters, numbers nor white space, and begin no contraction.
 _MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
 
