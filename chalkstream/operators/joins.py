@@ -35,10 +35,11 @@ def missing_translations(blocks: DataFrame, translations: DataFrame) -> DataFram
 
 
 def known_responses(responses: DataFrame, requests: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """Responses whose id was requested; of duplicates the last one wins."""
+    """Responses whose id was requested; of duplicates the last one wins. Requests grow with the responses and are
+    often exploded from few rows, whose size Spark takes for theirs, so they are never broadcast."""
     value_cols = [c for c in responses.columns if c not in (*keys, pos)]
     last = responses.groupBy(*keys).agg(F.max_by(F.struct(*value_cols), F.col(pos)).alias("_v"))
-    return last.join(requests.select(*keys), keys, "left_semi").select(*keys, "_v.*")
+    return last.join(requests.select(*keys).hint("merge"), keys, "left_semi").select(*keys, "_v.*")
 
 
 def attach_layout(blocks: DataFrame, layout: DataFrame, page_keys: list[str]) -> DataFrame:
