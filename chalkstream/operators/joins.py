@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..functions import text as T
 from ..plans.scans import Lag, LastSeen, RowNumber, RunMax, RunSum, with_scans
+from ..plans.sizes import group_sizes
 from ..session import cut_lineage
 
 
@@ -410,10 +411,43 @@ def classify_constraint(
     return out.withColumn("constraint", F.when(strict, "STRICT_LITERAL").otherwise("CONTEXT_AWARE")).drop("_label", "_literal")
 
 
-def attach_bullets(lines: DataFrame, bullets: DataFrame, page: list[str], pos: str = "pos", reach: float = 0.8) -> DataFrame:
+def attach_bullets(
+    lines: DataFrame, bullets: DataFrame, page: list[str], pos: str = "pos", reach: float = 0.8, most: int | None = None
+) -> DataFrame:
     """A bullet-only line met earlier on the page, left of the line and within 0.8 line heights,
     makes the line a bullet.
 
+    The bullets of a page of ordinary size go to its lines as one array. Pages of more bullets take strips (see
+    ``_bullets_by_strip``). ``most`` is the largest number of bullets on a page, if the caller has counted them.
+    """
+    if most is None:
+        most = group_sizes(bullets, page)[0]
+    few, crowded = bullets, None
+    if most > PAGE_PAIRS:
+        lines, bullets = cut_lineage(lines), cut_lineage(bullets)
+        crowds = bullets.groupBy(*page).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PAGE_PAIRS).select(*page)
+        few = bullets.join(crowds, page, "left_anti")
+        crowded = _bullets_by_strip(
+            lines.join(crowds, page, "left_semi"), bullets.join(crowds, page, "left_semi"), page, pos, reach
+        )
+    mark = F.struct(F.col(pos).alias("pos"), F.col("x0").alias("x0"), boxes.center_y().alias("mid"))
+    marks = few.groupBy(*page).agg(F.collect_list(mark).alias("_marks"))
+    met = F.exists(
+        "_marks",
+        lambda b: (b["pos"] < F.col(pos)) & (b["x0"] < F.col("x0"))
+        & (F.abs(boxes.center_y() - b["mid"]) < boxes.height() * reach),
+    )
+    # Bullets are no fewer than their pages, so this side is never broadcast: both come by page.
+    out = lines.join(marks.hint("merge"), page, "left").withColumn("_bullet", F.coalesce(met, F.lit(False))).drop("_marks")
+    if crowded is not None:
+        hit = crowded.withColumn("_hit", F.lit(True))
+        out = out.join(hit, [*page, pos], "left").withColumn("_bullet", F.coalesce("_hit", "_bullet")).drop("_hit")
+    return out.withColumn("has_bullet", F.col("has_bullet") | F.col("_bullet")).select(*lines.columns)
+
+
+def _bullets_by_strip(lines: DataFrame, bullets: DataFrame, page: list[str], pos: str, reach: float) -> DataFrame:
+    """Page and place of the lines that a bullet makes a bullet, for pages of any size.
+
     Line heights differ, so lines are grouped by the power of two above their reach. In a strip of half
     that height every bullet is near enough: a running minimum of bullet places along the page settles
     its lines. Only lines still open meet the bullets of the strips around them.
@@ -442,12 +476,7 @@ def attach_bullets(lines: DataFrame, bullets: DataFrame, page: list[str], pos: s
     met = seen.where(~sure).join(around, here).where(
         (F.col("_bpos") < F.col(pos)) & (F.col("_bx") < F.col("x0")) & (F.abs(F.col("_mid") - F.col("_by")) < F.col("_reach"))
     )
-    hit = settled.unionByName(met.select(*page, pos)).distinct().withColumn("_bullet", F.lit(True))
-    return (
-        lines.join(hit, [*page, pos], "left")
-        .withColumn("has_bullet", F.col("has_bullet") | F.coalesce("_bullet", F.lit(False)))
-        .drop("_bullet")
-    )
+    return settled.unionByName(met.select(*page, pos)).distinct()
 
 
 def reconcile_delete(

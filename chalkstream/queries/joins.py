@@ -315,7 +315,8 @@ FROM regions a WHERE NOT has_bullet"""),
 )
 def _(spark, sf):
     r = B.regions(spark, sf)
-    out = J.attach_bullets(r.where("not has_bullet"), r.where("has_bullet"), ["page"], reach=8.0)
+    most = B.page_sizes(spark, sf, "l_returnflag = 'R'")[0]
+    out = J.attach_bullets(r.where("not has_bullet"), r.where("has_bullet"), ["page"], reach=8.0, most=most)
     return out.select("page", "pos", "has_bullet")
 
 
