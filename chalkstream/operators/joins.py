@@ -7,7 +7,10 @@ and survive hot keys (see ``plans.scans``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes
@@ -249,8 +252,33 @@ def _near_cells(df: DataFrame, a: Column, b: Column, la: Column, lb: Column) ->
     return df.withColumn("_px", F.explode(two(a, la))).withColumn("_py", F.explode(two(b, lb)))
 
 
-def _differs() -> Column:
-    return T.any_of([F.col(c) != F.col(f"{c}_o") for c in boxes.BOX])
+def _joined(c: str) -> Column:
+    return F.col(f"{c}_o")
+
+
+def _differs(other=_joined) -> Column:
+    return T.any_of([F.col(c) != other(c) for c in boxes.BOX])
+
+
+def _distance_to(ox: Column, oy: Column) -> Column:
+    return F.sqrt(F.pow(boxes.center_x() - ox, 2) + F.pow(boxes.center_y() - oy, 2))
+
+
+def _is_near(distance: float, other=_joined) -> Column:
+    return _distance_to((other("x0") + other("x1")) / 2, (other("y0") + other("y1")) / 2) < distance
+
+
+def _alignments(t: float) -> list[tuple]:
+    """Tests as (own edge a, other's edge a, limit a, own edge b, other's edge b, limit b)."""
+    return [
+        (y, y, t, own, other, t * 2) for y in ("y0", "y1") for own, other in (("x1", "x0"), ("x0", "x1"))
+    ] + [("x0", "x0", t, own, other, t * 3) for own, other in (("y1", "y0"), ("y0", "y1"))]
+
+
+def _is_aligned(t: float, other=_joined) -> Column:
+    return T.any_of(
+        [(F.abs(F.col(a) - other(oa)) < la) & (F.abs(F.col(b) - other(ob)) < lb) for a, oa, la, b, ob, lb in _alignments(t)]
+    )
 
 
 PAGE_PAIRS = 64  # pages with at most this many distinct boxes are compared box by box
@@ -289,9 +317,6 @@ def _near(every: DataFrame, asked: DataFrame, page: list[str], distance: float)
     fine = distance / 1.5
     center = {"_cx": boxes.center_x(), "_cy": boxes.center_y()}
 
-    def distance_to(ox: Column, oy: Column) -> Column:
-        return F.sqrt(F.pow(boxes.center_x() - ox, 2) + F.pow(boxes.center_y() - oy, 2))
-
     def placed(d: DataFrame) -> DataFrame:
         return d.withColumns(center).withColumns(
             {"_fx": F.floor(F.col("_cx") / fine), "_fy": F.floor(F.col("_cy") / fine)}
@@ -307,19 +332,49 @@ def _near(every: DataFrame, asked: DataFrame, page: list[str], distance: float)
             *page, F.floor(F.col("_cx") / (2 * distance)).alias("_px"), F.floor(F.col("_cy") / (2 * distance)).alias("_py"),
             *[F.col(c).alias(f"{c}_o") for c in (*boxes.BOX, "_cx", "_cy")],
         )
-        close = distance_to(F.col("_cx_o"), F.col("_cy_o")) < distance
+        close = _distance_to(F.col("_cx_o"), F.col("_cy_o")) < distance
         return settled.unionByName(single.join(others, [*page, "_px", "_py"]).where(_differs() & close).select(*here))
 
-    test = distance_to((F.col("x0_o") + F.col("x1_o")) / 2, (F.col("y0_o") + F.col("y1_o")) / 2) < distance
-    return _with_neighbours(every, asked, page, test, grid)
+    return _with_neighbours(every, asked, page, _is_near(distance), grid)
+
+
+def _alone(df: DataFrame, page: list[str], name: str, asked: Column, test, crowded, most: int | None) -> DataFrame:
+    """Adds ``name``: true for rows of ``asked`` without a different box on their page that passes ``test``.
+
+    On pages of at most ``PAGE_PAIRS`` rows, the boxes of the page stand beside each row as one array; rows that come by page
+    move nowhere. Rows of larger pages are written once and go through ``crowded``, which gives their boxes that stand
+    alone. ``most`` is the number of rows on the largest page, if the caller has counted them.
+    """
+    if most is None:
+        most = group_sizes(df, page)[0]
+    here = [*page, *boxes.BOX]
+    large = None
+    if most > PAGE_PAIRS:
+        df = cut_lineage(df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*page))))
+        large, df = df.where(F.col("_n") > PAGE_PAIRS).drop("_n"), df.where(F.col("_n") <= PAGE_PAIRS).drop("_n")
+    on_page = F.collect_list(F.struct(*boxes.BOX)).over(W.partitionBy(*page))
+    met = F.exists("_boxes", lambda o: _differs(o.getField) & test(o.getField))
+    # A page without a name is no page: its boxes have no neighbours.
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in page])
+    alone = F.when(asked, ~F.coalesce(known & met, F.lit(False))).otherwise(F.lit(False))
+    out = df.withColumn("_boxes", on_page).withColumn(name, alone).drop("_boxes")
+    if large is None:
+        return out
+    found = crowded(_distinct_boxes(large, page), _distinct_boxes(large.where(asked), page)).withColumn(name, F.lit(True))
+    rest = large.join(found, here, "left").withColumn(name, F.coalesce(asked & F.col(name), F.lit(False)))
+    return out.unionByName(rest.select(*out.columns))
 
 
 def isolated_regions(
-    df: DataFrame, page: list[str], distance: float = 50.0, max_area: float = 3000.0, max_chars: int = 5
+    df: DataFrame, page: list[str], distance: float = 50.0, max_area: float = 3000.0, max_chars: int = 5,
+    most: int | None = None,
 ) -> DataFrame:
     """Isolated, small and short regions are literal labels; the rest is read in context."""
-    near = near_boxes(df, page, distance).withColumn("_near", F.lit(True))
-    out = df.join(near, [*page, *boxes.BOX], "left").withColumn("isolated", F.col("_near").isNull()).drop("_near")
+    here = [*page, *boxes.BOX]
+    out = _alone(
+        df, page, "isolated", F.lit(True), lambda o: _is_near(distance, o),
+        lambda every, asked: asked.join(_near(every, asked, page, distance), here, "left_anti"), most,
+    )
     chars = F.length(T.without_space(F.coalesce(F.col("text"), F.lit(""))))
     literal = F.col("isolated") & (boxes.area() < max_area) & (chars < max_chars)
     return out.withColumn("text_class", F.when(literal, "STRICT_LITERAL").otherwise("CONTEXT_AWARE"))
@@ -337,10 +392,7 @@ def aligned_boxes(df: DataFrame, page: list[str], t: float, asked: DataFrame | N
 
 def _aligned(every: DataFrame, asked: DataFrame, page: list[str], t: float) -> DataFrame:
     here = [*page, *boxes.BOX]
-    # (own edge a, other's edge a, limit a, own edge b, other's edge b, limit b)
-    tests = [
-        (y, y, t, own, other, t * 2) for y in ("y0", "y1") for own, other in (("x1", "x0"), ("x0", "x1"))
-    ] + [("x0", "x0", t, own, other, t * 3) for own, other in (("y1", "y0"), ("y0", "y1"))]
+    tests = _alignments(t)
 
     def rows(d: DataFrame, mine: bool) -> DataFrame:
         per_test = [
@@ -356,10 +408,7 @@ def _aligned(every: DataFrame, asked: DataFrame, page: list[str], t: float) -> D
     def grid(every: DataFrame, asked: DataFrame) -> DataFrame:
         return _aligned_on_grid(rows(every, False), rows(asked, True), page)
 
-    test = T.any_of(
-        [(F.abs(F.col(a) - F.col(f"{oa}_o")) < la) & (F.abs(F.col(b) - F.col(f"{ob}_o")) < lb) for a, oa, la, b, ob, lb in tests]
-    )
-    return _with_neighbours(every, asked, page, test, grid)
+    return _with_neighbours(every, asked, page, _is_aligned(t), grid)
 
 
 def _aligned_on_grid(other: DataFrame, mine: DataFrame, page: list[str]) -> DataFrame:
@@ -382,12 +431,12 @@ def _aligned_on_grid(other: DataFrame, mine: DataFrame, page: list[str]) -> Data
 
 def classify_constraint(
     df: DataFrame, page: list[str], nearby: float = 80.0, alignment: float = 25.0,
-    area_ratio: float = 0.015, max_label: int = 15, aspect: float = 3.0, aspect_per_char: float = 0.5,
+    area_ratio: float = 0.015, max_label: int = 15, aspect: float = 3.0, aspect_per_char: float = 0.5, most: int | None = None,
 ) -> DataFrame:
     """The richer label rule: isolation, alignment, area share, aspect by length, punctuation.
 
-    What a row can tell by itself comes first; only the rows left ask for neighbours, and only those
-    without neighbours ask for alignment.
+    What a row can tell by itself comes first; only the rows left ask for neighbours, and on crowded pages only
+    those without neighbours ask for alignment.
     """
     here = [*page, *boxes.BOX]
     image = F.col("page_width") * F.col("page_height")
@@ -401,14 +450,16 @@ def classify_constraint(
         & ~F.col("text").rlike(r"[\.,;:!\?]")
         & ~F.col("text").rlike("^[\\-•·ㆍ●]")
     )
-    marked = df.withColumn("_label", label)
-    every = _distinct_boxes(df, page)
-    labels = _distinct_boxes(marked.where("_label"), page)
-    alone = cut_lineage(labels.join(_near(every, labels, page, nearby), here, "left_anti"))
-    literal = alone.join(_aligned(every, alone, page, alignment), here, "left_anti").withColumn("_literal", F.lit(True))
-    out = marked.join(literal, here, "left")
-    strict = F.col("_label") & F.coalesce("_literal", F.lit(False))
-    return out.withColumn("constraint", F.when(strict, "STRICT_LITERAL").otherwise("CONTEXT_AWARE")).drop("_label", "_literal")
+
+    def crowded(every: DataFrame, labels: DataFrame) -> DataFrame:
+        alone = cut_lineage(labels.join(_near(every, labels, page, nearby), here, "left_anti"))
+        return alone.join(_aligned(every, alone, page, alignment), here, "left_anti")
+
+    marked = df.withColumn("_label", F.coalesce(label, F.lit(False)))
+    out = _alone(
+        marked, page, "_literal", F.col("_label"), lambda o: _is_near(nearby, o) | _is_aligned(alignment, o), crowded, most
+    )
+    return out.withColumn("constraint", F.when(F.col("_literal"), "STRICT_LITERAL").otherwise("CONTEXT_AWARE")).drop("_label", "_literal")
 
 
 def attach_bullets(

@@ -284,7 +284,8 @@ NEAR = """SELECT a.page, a.pos FROM regions a WHERE EXISTS (SELECT 1 FROM region
 FROM regions LEFT JOIN near n USING (page, pos)"""),
 )
 def _(spark, sf):
-    out = J.isolated_regions(B.regions(spark, sf), ["page"], distance=150.0, max_chars=9)
+    sizes = B.page_sizes(spark, sf)
+    out = J.isolated_regions(B.regions(spark, sf, sizes), ["page"], distance=150.0, max_chars=9, most=sizes[0])
     return out.select("page", "pos", "isolated", "text_class")
 
 
@@ -303,7 +304,8 @@ FROM regions LEFT JOIN near n USING (page, pos) LEFT JOIN aligned g USING (page,
     ),
 )
 def _(spark, sf):
-    out = J.classify_constraint(B.regions(spark, sf), ["page"])
+    sizes = B.page_sizes(spark, sf)
+    out = J.classify_constraint(B.regions(spark, sf, sizes), ["page"], most=sizes[0])
     return out.select("page", "pos", "constraint")
 
 
