@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.generate import rows_of
 from .. import params as P
 from ..plans.scans import RowNumber, with_scans
+from ..plans.sizes import small_tasks
 
 
 def category_counts(glossary: DataFrame) -> DataFrame:
@@ -19,20 +20,35 @@ def category_counts(glossary: DataFrame) -> DataFrame:
     return per.withColumn("total", F.lit(glossary.count())).orderBy("first_id")
 
 
-def text_layer_stats(blocks: DataFrame, pages: DataFrame, doc: str = "doc_id", script: str = P.HANGUL) -> DataFrame:
-    """Text-layer coverage of documents and the way to read them. ``pages`` has one row per page;
-    ``blocks`` has the text blocks with ``page`` and ``text``."""
-    texts = blocks.groupBy(doc, "page").agg(
-        F.count(F.lit(1)).alias("_b"), F.count_if(T.has_class(F.col("text"), script)).alias("_s")
-    )
-    per = (
-        pages.select(doc, "page").join(texts, [doc, "page"], "left").groupBy(doc).agg(
-            F.count(F.lit(1)).alias("total_pages"),
-            F.count("_b").alias("pages_with_text"),
-            F.coalesce(F.sum("_b"), F.lit(0)).alias("text_blocks"),
-            F.coalesce(F.sum("_s"), F.lit(0)).alias("script_blocks"),
+def text_layer_stats(
+    blocks: DataFrame, pages: DataFrame, doc: str = "doc_id", script: str = P.HANGUL, rows: int | None = None
+) -> DataFrame:
+    """Text-layer coverage of documents and the way to read them. ``pages`` names the pages, each once or more;
+    ``blocks`` has the text blocks with ``page`` and ``text``.
+
+    Most pages hold few blocks, so a table of all pages of a split saves little and takes much of a task's memory: rows
+    go to their pages first, in tasks of at most about a million. ``rows`` is at least the number of rows of both, if
+    the caller knows it.
+    """
+    if rows is None:
+        rows = blocks.count() + pages.count()
+    has = F.coalesce(T.has_class(F.col("text"), script), F.lit(False))
+    kinds = pages.select(doc, "page", F.lit(0).cast("byte").alias("_kind")).unionByName(
+        # A block of no known page is on no page.
+        blocks.where(F.col(doc).isNotNull() & F.col("page").isNotNull()).select(
+            doc, "page", F.when(has, 2).otherwise(1).cast("byte").alias("_kind")
         )
     )
+    texts = kinds.repartition(small_tasks(kinds.sparkSession, rows), doc, "page").groupBy(doc, "page").agg(
+        F.count_if(F.col("_kind") == 0).alias("_p"), F.count_if(F.col("_kind") > 0).alias("_b"),
+        F.count_if(F.col("_kind") == 2).alias("_s"),
+    )
+    per = texts.where("_p > 0").groupBy(doc).agg(
+        F.count(F.lit(1)).alias("total_pages"),
+        F.count_if(F.col("_b") > 0).alias("pages_with_text"),
+        F.sum("_b").alias("text_blocks"),
+        F.sum("_s").alias("script_blocks"),
+    )
     cover = F.when(F.col("total_pages") > 0, F.col("pages_with_text") / F.col("total_pages")).otherwise(0.0)
     return per.withColumns(
         {
