@@ -42,12 +42,12 @@ def _int_lists(rows: list[list], kind: pa.DataType) -> pa.Array:
 class _Chunks:
     """Encodes texts in order and cuts the ids into chunks of whole documents."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, known: int):
+        self.path, self.known = path, known
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        cut = tokens.IdCutter(self.path)
+        cut = tokens.IdCutter(self.path, self.known)
         end = np.array([params.END_ID], "<u4").tobytes()
         before, ids, lengths, parts = 0, [], [], []
 
@@ -125,13 +125,16 @@ class _Digests:
                 )
 
 
-def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> None:
-    """Encode all texts and write the files below ``path``."""
+def write(
+    docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None,
+    known: int = tokens.IDS_KNOWN,
+) -> None:
+    """Encode all texts and write the files below ``path``. A worker remembers the ids of twice ``known`` cuts at most."""
     vocabulary = tokenizer or public_tokenizers.path(params.TOKENIZER)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc("_mark")]
     ordered = rows.withColumn("_mark", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    chunks = stage(ordered.select("doc_id", "text").mapInArrow(_Chunks(vocabulary), _CHUNK), "token-chunks")
+    chunks = stage(ordered.select("doc_id", "text").mapInArrow(_Chunks(vocabulary, known), _CHUNK), "token-chunks")
     counts = chunks.select("ids").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.orderBy("id").collect()  # one row per id of the vocabulary at most
     frequencies = rans.quantise(np.array([r["n"] for r in found], np.int64))
@@ -162,7 +165,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(_Digests(read_table(spark, path)), _DOC)
 
 
-def write_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = tokens.IDS_KNOWN) -> DataFrame:
     path = new_folder(docs.sparkSession, "token-files")
-    write(docs, path, doc_id, text)
+    write(docs, path, doc_id, text, known=known)
     return digests(docs.sparkSession, path)

@@ -8,6 +8,7 @@ row, that stays inside a cut; texts with a special string of the tokenizer go to
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -18,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
 from . import worker
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
 _CACHED = 400_000
-_IDS_KNOWN = 60_000  # cuts whose ids a worker keeps; as many older ones besides
+IDS_KNOWN = 60_000  # cuts whose ids a worker keeps, about 140 bytes each; as many older ones besides
 _AT_ONCE = 2048  # words encoded in one call, whose result takes much more room than the ids
 #: Characters that are neither letters, numbers nor white space, and begin no contraction.
 _MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
@@ -39,6 +42,32 @@ def tokenizer(path: str):
     return loaded[path]
 
 
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: Letters of a byte-level vocabulary: printable bytes stand for themselves, the others follow U+0100. Spaces stay.
+_LETTERS = "".join(
+    chr(b) if b in _PRINTED or b == 0x20 else chr(0x100 + sum(x not in _PRINTED for x in range(b))) for b in range(0x100)
+)
+_SPACE = chr(0x120)
+
+
+def word_tokenizer(lib: Tokenizer) -> Tokenizer | None:
+    """The same model for words that are one piece each, written in the letters of its vocabulary, so that no rule has to
+    look for pieces. None for tokenizers that are not byte-level."""
+    if not isinstance(lib.model, BPE) or not isinstance(lib.pre_tokenizer, ByteLevel) or lib.normalizer is not None:
+        return None
+    words = Tokenizer(lib.model)
+    words.pre_tokenizer = WhitespaceSplit()
+    return words
+
+
+def spelled(words: list[str]) -> str:
+    """Words with a space before each, in the letters of a byte-level vocabulary, apart."""
+    text = " ".join(words)
+    if not text.isascii():
+        text = codecs.charmap_decode(text.encode(), "strict", _LETTERS)[0]
+    return _SPACE + text.replace(" ", f" {_SPACE}")
+
+
 class Memory:
     """Values of later cuts, as a worker knows them: what ``values`` makes of the ids of several cuts in a row
     and the place where each cut ends.
@@ -216,8 +245,10 @@ class IdCutter:
     A worker's tasks share what it knows; when that is full it becomes the older half and gives back what is
     asked for again."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = IDS_KNOWN):
         self.lib, self.special = tokenizer(path)
+        self.most = known
+        self.words = word_tokenizer(self.lib)
         kept = worker.store("tokens").setdefault("ids", {})
         if path not in kept:
             vocabulary = self.lib.get_vocab()
@@ -228,7 +259,7 @@ class IdCutter:
         self.kept, self.bytes_of = kept[path]
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.kept[0].later) > _IDS_KNOWN:
+        if len(self.kept[0].later) > self.most:
             self.kept[:] = [_Known(), self.kept[0]]
         found: list[np.ndarray | None] = [None] * len(texts)
         single, spaced = [], []
@@ -313,16 +344,21 @@ class IdCutter:
                 found += [e.ids for e in self.lib.encode_batch_fast(others[lo : lo + _AT_ONCE], add_special_tokens=False)]
             numbers[~is_simple] = known.add(np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
         coded = words.filter(simple).dictionary_encode()
-        distinct = coded.dictionary
+        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         names = distinct.to_numpy(zero_copy_only=False).tolist()
-        of_word = self._known(names)
+        trimmed = (pc.binary_length(cuts).to_numpy(zero_copy_only=False) - pc.binary_length(words).to_numpy(zero_copy_only=False))[is_simple]
+        marked = np.flatnonzero(trimmed)
+        # A cut that is its own word is not known, or it would not be learned.
+        of_word, behind = np.full(len(names), -1, np.int64), np.ones(len(names), bool)
+        behind[codes[trimmed == 0]] = False
+        behind = np.flatnonzero(behind)
+        of_word[behind] = self._known([names[i] for i in behind.tolist()])
         newline = pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False)
+        size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
         for lead, rows in ((" ", np.flatnonzero((of_word < 0) & ~newline)), ("", np.flatnonzero((of_word < 0) & newline))):
             for some in np.split(rows, range(_AT_ONCE, len(rows), _AT_ONCE)) if len(rows) else []:
-                of_word[some] = known.add(*self._words([names[i] for i in some.tolist()], lead))
-        mine = of_word[coded.indices.to_numpy(zero_copy_only=False)]
-        trimmed = (pc.binary_length(cuts).to_numpy(zero_copy_only=False) - pc.binary_length(words).to_numpy(zero_copy_only=False))[is_simple]
-        marked = np.flatnonzero(trimmed)
+                of_word[some] = known.add(*self._words([names[i] for i in some.tolist()], size[some], lead))
+        mine = of_word[codes]
         if len(marked):
             ends = [c[-n:] for c, n in zip(cuts.filter(simple).take(pa.array(marked)).to_pylist(), trimmed[marked].tolist(), strict=True)]
             both = np.stack([mine[marked], [self._bare(m) for m in ends]], axis=1)
@@ -331,11 +367,12 @@ class IdCutter:
         numbers[is_simple] = mine
         return numbers
 
-    def _words(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of letters only, and how many each has: the ids of all in a row are dealt out by the bytes they
-        stand for, as no id reaches over a word's end."""
-        ids = np.array(self.lib.encode_batch_fast([lead + lead.join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        reach = np.cumsum([len(w.encode()) + len(lead) for w in words])
+    def _words(self, words: list[str], size: np.ndarray, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only, of ``size`` bytes, and how many each has: the ids of all in a row are dealt out by
+        the bytes they stand for, as no id reaches over a word's end."""
+        lib, text = (self.words, spelled(words)) if lead and self.words else (self.lib, lead + lead.join(words))
+        ids = np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        reach = np.cumsum(size + len(lead))
         upto = np.cumsum(self.bytes_of[ids]) if len(ids) else np.zeros(1, np.int64)
         if upto[-1] != reach[-1]:
             found = [e.ids for e in self.lib.encode_batch_fast([lead + w for w in words], add_special_tokens=False)]
