@@ -66,31 +66,22 @@ def lanes_for(n: int) -> int:
 def encode(ids: np.ndarray, table: Table) -> bytes:
     """One block."""
     n, lanes = len(ids), lanes_for(len(ids))
-    where = np.zeros(int(table.ids[-1]) + 1 if len(table.ids) else 1, np.int32)
+    where = np.zeros(int(table.ids[-1]) + 1 if len(table.ids) else 1, np.intp)
     where[table.ids] = np.arange(len(table.ids))
-    place = where[ids]
-    steps = -(-n // lanes)
-    # The last step may be short: lanes beyond it stay as they are.
-    freq = np.ones(steps * lanes, np.uint64)
-    begin = np.zeros(steps * lanes, np.uint64)
-    freq[:n], begin[:n] = table.freq[place], table.begin[place]
-    freq, begin = freq.reshape(steps, lanes), begin.reshape(steps, lanes)
-    most = freq << np.uint64(31 + 32 - params.FREQUENCY_BITS)
+    # What a lane holds is quotient * total + remainder + begin, that is state + quotient * (total - freq) + begin.
+    most, rest = table.freq << np.uint64(31 + 32 - params.FREQUENCY_BITS), np.uint64(_TOTAL) - table.freq
     state = np.full(lanes, _LOW, np.uint64)
     words: list[np.ndarray] = []
     marks, given = [], 0
-    for t in range(steps - 1, -1, -1):
-        if (k := n - t * lanes) < lanes:
-            f, b, top, x = freq[t, :k], begin[t, :k], most[t, :k], state[:k]
-        else:
-            f, b, top, x = freq[t], begin[t], most[t], state
-        over = x >= top
+    for t in range(-(-n // lanes) - 1, -1, -1):
+        place = where[ids[t * lanes : (t + 1) * lanes]]
+        x = state[: len(place)]  # the last step may be short: lanes beyond it stay as they are
+        over = x >= most[place]
         out = x[over]
         words.append(out.astype(np.uint32))
         given += len(out)
-        x = np.where(over, x >> _WORD, x)
-        quotient = x // f
-        state[: len(x)] = (quotient << _BITS) + (x - quotient * f) + b
+        np.right_shift(x, _WORD, out=x, where=over)
+        x += x // table.freq[place] * rest[place] + table.begin[place]
         if t % params.CHECKPOINT_STEPS == 0:
             marks.append((given, state.copy()))
     marks.reverse()
@@ -127,13 +118,18 @@ def decode(block: bytes, table: Table, slots: np.ndarray, first: int = 0, last:
         for lo in range(0, count, lanes):
             x = state[: min(lanes, count - lo)]
             low = x & mask
-            p = slots[low]
+            p = slots[low.view(np.int64)].astype(np.intp)
             places[lo : lo + len(x)] = p
-            x = table.freq[p] * (x >> _BITS) + low - table.begin[p]
-            need = np.flatnonzero(x < _LOW)
-            x[need] = (x[need] << _WORD) | stream[at : at + len(need)]
-            at += len(need)
-            state[: len(x)] = x
+            x >>= _BITS
+            x *= table.freq[p]
+            x += low
+            x -= table.begin[p]
+            need = x < _LOW
+            few = x[need]
+            few <<= _WORD
+            few |= stream[at : at + len(few)]
+            x[need] = few
+            at += len(few)
         ids = table.ids[places[:count]]
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError(f"checksum of segment {k} does not fit")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,10 @@ from .staging import new_folder, stage
 from .wordhash import texts_of
 from .worker import give_back
 
-_CHUNK = "part int, before long, doc_ids array<long>, lengths array<int>, ids binary"
+_CHUNK = "part int, before long, doc_ids array<long>, lengths array<int>, ids binary, seen array<int>, times array<long>"
 _BLOCK = "part int, start long, doc_ids array<long>, lengths array<int>, block binary"
 _DOC = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_CHARS = 1 << 21  # characters cut up at once
 
 
 def _int_lists(rows: list[list], kind: pa.DataType) -> pa.Array:
@@ -40,7 +42,8 @@ def _int_lists(rows: list[list], kind: pa.DataType) -> pa.Array:
 
 
 class _Chunks:
-    """Encodes texts in order and cuts the ids into chunks of whole documents."""
+    """Encodes texts in order and cuts the ids into chunks of whole documents. The last chunk of a part says how often
+    the part has each id."""
 
     def __init__(self, path: str, known: int):
         self.path, self.known = path, known
@@ -48,43 +51,44 @@ class _Chunks:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         cut = tokens.IdCutter(self.path, self.known)
-        end = np.array([params.END_ID], "<u4").tobytes()
+        end = np.array([params.END_ID], cut.kind).tobytes()
         before, ids, lengths, parts = 0, [], [], []
+        counts = np.zeros(0, np.int64)
 
-        def chunk() -> pa.RecordBatch:
+        def chunk(is_last: bool) -> pa.RecordBatch:
+            nonlocal counts
+            joined = b"".join(parts)
+            counts = _added(counts, np.bincount(np.frombuffer(joined, cut.kind)))
+            seen = np.flatnonzero(counts) if is_last else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([before]), _int_lists([ids], pa.int64()),
-                 _int_lists([lengths], pa.int32()), pa.array([b"".join(parts)], pa.binary())],
-                ["part", "before", "doc_ids", "lengths", "ids"],
+                 _int_lists([lengths], pa.int32()), pa.array([joined], pa.binary()),
+                 _int_lists([seen], pa.int32()), _int_lists([counts[seen]], pa.int64())],
+                ["part", "before", "doc_ids", "lengths", "ids", "seen", "times"],
             )
 
         size = 0
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), 1 << 19):
+            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), _CHARS):
                 for found in cut.of_texts(some):
+                    if size >= params.BLOCK_TOKENS:
+                        yield chunk(False)
+                        before, size, ids, lengths, parts = before + size, 0, [], [], []
                     ids.append(next(names))
                     parts += (found.tobytes(), end)
                     lengths.append(len(found) + 1)
                     size += lengths[-1]
-                    if size >= params.BLOCK_TOKENS:
-                        yield chunk()
-                        before, size, ids, lengths, parts = before + size, 0, [], [], []
         if ids:
-            yield chunk()
+            yield chunk(True)
         give_back()
 
 
-def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            more = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(more) > len(counts):
-                counts, more = more, counts
-            counts[: len(more)] += more
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["id", "n"])
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    a[: len(b)] += b
+    return a
 
 
 class _Encode:
@@ -96,7 +100,9 @@ class _Encode:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
                 part, before = row.column(0)[0].as_py(), row.column(1)[0].as_py()
-                ids = np.frombuffer(row.column(4)[0].as_buffer(), "<u4")
+                ids = row.column(4)[0].as_buffer()
+                width = ids.size // pc.sum(row.column(3)[0].values).as_py()  # every document has its end id
+                ids = np.frombuffer(ids, f"<u{width}")
                 yield pa.RecordBatch.from_arrays(
                     [row.column(0), pa.array([self.offsets[part] + before]), row.column(2), row.column(3),
                      pa.array([rans.encode(ids, self.table)], pa.binary())],
@@ -135,8 +141,8 @@ def write(
     order = [F.asc_nulls_first("doc_id"), F.asc("_mark")]
     ordered = rows.withColumn("_mark", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     chunks = stage(ordered.select("doc_id", "text").mapInArrow(_Chunks(vocabulary, known), _CHUNK), "token-chunks")
-    counts = chunks.select("ids").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    found = counts.orderBy("id").collect()  # one row per id of the vocabulary at most
+    counts = chunks.select(F.explode(F.arrays_zip("seen", "times")).alias("c")).groupBy(F.col("c.seen").cast("long").alias("id"))
+    found = counts.agg(F.sum("c.times").alias("n")).orderBy("id").collect()  # one row per id of the vocabulary at most
     frequencies = rans.quantise(np.array([r["n"] for r in found], np.int64))
     table = [(r["id"], int(f)) for r, f in zip(found, frequencies, strict=True)]
     spark = docs.sparkSession
@@ -147,7 +153,7 @@ def write(
     for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         offsets[r["part"]] = upto
         upto += r["n"]
-    blocks = chunks.mapInArrow(_Encode(_table(table), offsets), _BLOCK)
+    blocks = chunks.drop("seen", "times").mapInArrow(_Encode(_table(table), offsets), _BLOCK)
     blocks.write.option("compression", "none").partitionBy("part").parquet(f"{path}/blocks")
 
 

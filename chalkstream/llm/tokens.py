@@ -208,12 +208,12 @@ def _lengths(ids: list[int], end: list[int]) -> list[int]:
 class _Known:
     """Ids of strings, one after the other in one array, and the place of each string there."""
 
-    def __init__(self):
+    def __init__(self, kind: type | np.dtype = np.uint32):
         self.later: dict[str, int] = {}
         self.bare: dict[str, int] = {}
         self.n, self.size = 0, 0
         self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint32)
+        self.ids = np.zeros(1 << 14, kind)
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
         """Place the ids of some strings; their numbers."""
@@ -235,12 +235,15 @@ class _Known:
         return self.ids[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
 
 
+#: ``_ROW_OF_SPACE`` for Arrow, whose white space is that of ASCII alone.
+_ROW_OF_SPACE_ARROW = "[" + "".join(f"\\x{{{i:x}}}" for i in range(0x110000) if chr(i).isspace()) + "]{2}"
 #: Letters of up to U+024F, perhaps behind a newline.
 _WORD = "^\n?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+$"
 
 
 class IdCutter:
-    """Ids of texts, cut by cut. A batch's cuts are numbered by Arrow, so each distinct one is looked up once.
+    """Ids of texts, cut by cut, in the smallest type that has room for the vocabulary. A batch's cuts are numbered by
+    Arrow, so each distinct one is looked up once.
 
     A worker's tasks share what it knows; when that is full it becomes the older half and gives back what is
     asked for again."""
@@ -255,19 +258,22 @@ class IdCutter:
             size = np.zeros(max(vocabulary.values()) + 1, np.int64)
             for token, i in vocabulary.items():
                 size[i] = len(token)  # byte-level tokens are written with one character a byte
-            kept[path] = [_Known(), _Known()], size
+            kind = np.min_scalar_type(len(size))
+            kept[path] = [_Known(kind), _Known(kind)], size
         self.kept, self.bytes_of = kept[path]
+        self.kind = np.min_scalar_type(len(self.bytes_of))
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.kept[0].later) > self.most:
-            self.kept[:] = [_Known(), self.kept[0]]
+            self.kept[:] = [_Known(self.kind), self.kept[0]]
         found: list[np.ndarray | None] = [None] * len(texts)
         single, spaced = [], []
-        for i, t in enumerate(texts):
+        rows_of_space = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ROW_OF_SPACE_ARROW).to_pylist()
+        for i, (t, has_row) in enumerate(zip(texts, rows_of_space, strict=True)):
             if any(s in t for s in self.special):
                 found[i] = self._encoded(t)
             else:
-                (spaced if _ROW_OF_SPACE.search(t) else single).append(i)
+                (spaced if has_row else single).append(i)
         split = [_safe_cuts(texts[i]) for i in spaced]
         cuts = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in single], pa.string()), "\n", " \n"), " ")
         counts = np.concatenate([pc.list_value_length(cuts).to_numpy(zero_copy_only=False), [len(c) for c in split]]).astype(np.int64)
@@ -283,7 +289,7 @@ class IdCutter:
         return found
 
     def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _numbers(self, flat: pa.Array, first: np.ndarray) -> np.ndarray:
         coded = flat.dictionary_encode()
@@ -342,7 +348,7 @@ class IdCutter:
             found = []
             for lo in range(0, len(others), _AT_ONCE):
                 found += [e.ids for e in self.lib.encode_batch_fast(others[lo : lo + _AT_ONCE], add_special_tokens=False)]
-            numbers[~is_simple] = known.add(np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+            numbers[~is_simple] = known.add(np.array([i for x in found for i in x], self.kind), np.array([len(x) for x in found], np.int64))
         coded = words.filter(simple).dictionary_encode()
         distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         names = distinct.to_numpy(zero_copy_only=False).tolist()
@@ -361,7 +367,8 @@ class IdCutter:
         mine = of_word[codes]
         if len(marked):
             ends = [c[-n:] for c, n in zip(cuts.filter(simple).take(pa.array(marked)).to_pylist(), trimmed[marked].tolist(), strict=True)]
-            both = np.stack([mine[marked], [self._bare(m) for m in ends]], axis=1)
+            of_end = {m: self._bare(m) for m in set(ends)}
+            both = np.stack([mine[marked], [of_end[m] for m in ends]], axis=1)
             ids, lengths = known.of(both.ravel())
             mine[marked] = known.add(ids, lengths[::2] + lengths[1::2])
         numbers[is_simple] = mine
@@ -371,12 +378,12 @@ class IdCutter:
         """Ids of words of letters only, of ``size`` bytes, and how many each has: the ids of all in a row are dealt out by
         the bytes they stand for, as no id reaches over a word's end."""
         lib, text = (self.words, spelled(words)) if lead and self.words else (self.lib, lead + lead.join(words))
-        ids = np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
         reach = np.cumsum(size + len(lead))
         upto = np.cumsum(self.bytes_of[ids]) if len(ids) else np.zeros(1, np.int64)
         if upto[-1] != reach[-1]:
             found = [e.ids for e in self.lib.encode_batch_fast([lead + w for w in words], add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+            return np.array([i for x in found for i in x], self.kind), np.array([len(x) for x in found], np.int64)
         return ids, np.bincount(np.searchsorted(reach, upto), minlength=len(words))
 
 
