@@ -208,7 +208,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_token_files")
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Alone, workers have room for more cuts than as the last stage of the pipeline.
-    return token_files.write_and_read(table(spark, sf_dir, "documents"), known=600_000)
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), known=600_000, chars=1 << 21)
 
 
 @query("op2_token_counts")

@@ -18,6 +18,7 @@ from . import params
 
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
+_MOST = 31 + 32 - params.FREQUENCY_BITS  # a state is below frequency << _MOST when its id is coded
 _BITS = np.uint64(params.FREQUENCY_BITS)
 _TOTAL = 1 << params.FREQUENCY_BITS
 _HEAD = "<4sHHQI"  # magic, version, lanes, ids, segments
@@ -63,25 +64,42 @@ def lanes_for(n: int) -> int:
     return lanes
 
 
+def _lanes(n: int, *values) -> list[np.ndarray]:
+    """One array a value: numpy takes longer to widen a single number at each step."""
+    return [np.full(n, v, np.uint64) for v in values]
+
+
 def encode(ids: np.ndarray, table: Table) -> bytes:
     """One block."""
     n, lanes = len(ids), lanes_for(len(ids))
-    where = np.zeros(int(table.ids[-1]) + 1 if len(table.ids) else 1, np.intp)
-    where[table.ids] = np.arange(len(table.ids))
-    # What a lane holds is quotient * total + remainder + begin, that is state + quotient * (total - freq) + begin.
-    most, rest = table.freq << np.uint64(31 + 32 - params.FREQUENCY_BITS), np.uint64(_TOTAL) - table.freq
+    both = np.zeros(int(table.ids[-1]) + 1 if len(table.ids) else 1, np.uint64)
+    both[table.ids] = table.freq << _BITS | table.begin
     state = np.full(lanes, _LOW, np.uint64)
     words: list[np.ndarray] = []
     marks, given = [], 0
+    wide = ids.astype(np.intp)
+    begin, freq, most, bits, up, mask, total = _lanes(lanes, 0, 0, 0, _BITS, _MOST, _TOTAL - 1, _TOTAL)
     for t in range(-(-n // lanes) - 1, -1, -1):
-        place = where[ids[t * lanes : (t + 1) * lanes]]
-        x = state[: len(place)]  # the last step may be short: lanes beyond it stay as they are
-        over = x >= most[place]
+        at = wide[t * lanes : (t + 1) * lanes]
+        x = state[: len(at)]  # the last step may be short: lanes beyond it stay as they are
+        if len(begin) != len(at):
+            begin, freq, most, bits, up, mask, total = _lanes(len(at), 0, 0, 0, _BITS, _MOST, _TOTAL - 1, _TOTAL)
+        both.take(at, out=begin, mode="clip")
+        np.right_shift(begin, bits, out=freq)
+        begin &= mask
+        np.left_shift(freq, up, out=most)
+        over = (x >= most).nonzero()[0]
         out = x[over]
         words.append(out.astype(np.uint32))
         given += len(out)
-        np.right_shift(x, _WORD, out=x, where=over)
-        x += x // table.freq[place] * rest[place] + table.begin[place]
+        out >>= _WORD
+        x[over] = out
+        # A lane holds quotient * total + remainder + begin, that is state + quotient * (total - freq) + begin.
+        begin += x
+        x //= freq
+        np.subtract(total, freq, out=freq)
+        x *= freq
+        x += begin
         if t % params.CHECKPOINT_STEPS == 0:
             marks.append((given, state.copy()))
     marks.reverse()
@@ -109,28 +127,34 @@ def decode(block: bytes, table: Table, slots: np.ndarray, first: int = 0, last:
     stream = np.frombuffer(block, "<u4", offset=body).astype(np.uint64)
     size = params.CHECKPOINT_STEPS * lanes
     parts = []
-    mask = np.uint64(_TOTAL - 1)
+    both = table.freq << _BITS | table.begin
     for k in range(first, marks if last is None else last):
         at, crc = struct.unpack_from("<QI", block, struct.calcsize(_HEAD) + k * one)
         state = np.frombuffer(block, "<u8", lanes, struct.calcsize(_HEAD) + k * one + 12).astype(np.uint64)
         count = min(size, n - k * size)
-        places = np.empty(-(-count // lanes) * lanes, np.int64)
+        places = np.empty(count, np.intp)
+        begin, freq, bits, mask, least = _lanes(lanes, 0, 0, _BITS, _TOTAL - 1, _LOW)
         for lo in range(0, count, lanes):
-            x = state[: min(lanes, count - lo)]
+            x, p = state, places[lo : lo + lanes]
+            if len(p) < lanes:
+                x = state[: len(p)]
+                begin, freq, bits, mask, least = _lanes(len(p), 0, 0, _BITS, _TOTAL - 1, _LOW)
             low = x & mask
-            p = slots[low.view(np.int64)].astype(np.intp)
-            places[lo : lo + len(x)] = p
-            x >>= _BITS
-            x *= table.freq[p]
+            slots.take(low.view(np.intp), out=p, mode="clip")
+            both.take(p, out=begin, mode="clip")
+            x >>= bits
+            np.right_shift(begin, bits, out=freq)
+            x *= freq
+            begin &= mask
+            low -= begin
             x += low
-            x -= table.begin[p]
-            need = x < _LOW
+            need = (x < least).nonzero()[0]
             few = x[need]
             few <<= _WORD
             few |= stream[at : at + len(few)]
             x[need] = few
             at += len(few)
-        ids = table.ids[places[:count]]
+        ids = table.ids[places]
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError(f"checksum of segment {k} does not fit")
         if k == marks - 1 and (state != _LOW).any():
@@ -141,4 +165,4 @@ def decode(block: bytes, table: Table, slots: np.ndarray, first: int = 0, last:
 
 def slot_places(table: Table) -> np.ndarray:
     """For each slot of the table the place of its id."""
-    return np.repeat(np.arange(len(table.ids), dtype=np.int32), table.freq.astype(np.int64))
+    return np.repeat(np.arange(len(table.ids), dtype=np.intp), table.freq.astype(np.int64))

@@ -34,7 +34,7 @@ from .worker import give_back
 _CHUNK = "part int, before long, doc_ids array<long>, lengths array<int>, ids binary, seen array<int>, times array<long>"
 _BLOCK = "part int, start long, doc_ids array<long>, lengths array<int>, block binary"
 _DOC = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_CHARS = 1 << 21  # characters cut up at once
+CHARS = 1 << 20  # characters cut up at once
 
 
 def _int_lists(rows: list[list], kind: pa.DataType) -> pa.Array:
@@ -45,8 +45,8 @@ class _Chunks:
     """Encodes texts in order and cuts the ids into chunks of whole documents. The last chunk of a part says how often
     the part has each id."""
 
-    def __init__(self, path: str, known: int):
-        self.path, self.known = path, known
+    def __init__(self, path: str, known: int, chars: int = CHARS):
+        self.path, self.known, self.chars = path, known, chars
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -70,7 +70,7 @@ class _Chunks:
         size = 0
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), _CHARS):
+            for some in tokens.batched((t.as_py() for t in texts_of(batch.column(1))), self.chars):
                 for found in cut.of_texts(some):
                     if size >= params.BLOCK_TOKENS:
                         yield chunk(False)
@@ -133,14 +133,15 @@ class _Digests:
 
 def write(
     docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-    known: int = tokens.IDS_KNOWN,
+    known: int = tokens.IDS_KNOWN, chars: int = CHARS,
 ) -> None:
-    """Encode all texts and write the files below ``path``. A worker remembers the ids of twice ``known`` cuts at most."""
+    """Encode all texts and write the files below ``path``. A worker remembers the ids of twice ``known`` cuts at most and
+    cuts up about ``chars`` characters at once."""
     vocabulary = tokenizer or public_tokenizers.path(params.TOKENIZER)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc("_mark")]
     ordered = rows.withColumn("_mark", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    chunks = stage(ordered.select("doc_id", "text").mapInArrow(_Chunks(vocabulary, known), _CHUNK), "token-chunks")
+    chunks = stage(ordered.select("doc_id", "text").mapInArrow(_Chunks(vocabulary, known, chars), _CHUNK), "token-chunks")
     counts = chunks.select(F.explode(F.arrays_zip("seen", "times")).alias("c")).groupBy(F.col("c.seen").cast("long").alias("id"))
     found = counts.agg(F.sum("c.times").alias("n")).orderBy("id").collect()  # one row per id of the vocabulary at most
     frequencies = rans.quantise(np.array([r["n"] for r in found], np.int64))
@@ -171,7 +172,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(_Digests(read_table(spark, path)), _DOC)
 
 
-def write_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = tokens.IDS_KNOWN) -> DataFrame:
+def write_and_read(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = tokens.IDS_KNOWN, chars: int = CHARS
+) -> DataFrame:
     path = new_folder(docs.sparkSession, "token-files")
-    write(docs, path, doc_id, text, known=known)
+    write(docs, path, doc_id, text, known=known, chars=chars)
     return digests(docs.sparkSession, path)

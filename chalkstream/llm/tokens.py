@@ -23,11 +23,13 @@ from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
 from . import worker
+from .wordhash import mix
 
 _ROW_OF_SPACE = re.compile(r"\s\s")
 _CACHED = 400_000
-IDS_KNOWN = 60_000  # cuts whose ids a worker keeps, about 140 bytes each; as many older ones besides
+IDS_KNOWN = 150_000  # cuts whose ids a worker keeps, about 60 bytes each; as many older ones besides
 _AT_ONCE = 2048  # words encoded in one call, whose result takes much more room than the ids
+_IN_A_ROW = 64  # of them in one piece
 #: Characters that are neither letters, numbers nor white space, and begin no contraction.
 _MARKS = ".,;:!?#*$%&|()[]{}<>/-_=+\""
 
@@ -47,14 +49,16 @@ _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _LETTERS = "".join(
     chr(b) if b in _PRINTED or b == 0x20 else chr(0x100 + sum(x not in _PRINTED for x in range(b))) for b in range(0x100)
 )
-_SPACE = chr(0x120)
+_SPACE, _NEWLINE = chr(0x120), chr(0x10A)
 
 
 def word_tokenizer(lib: Tokenizer) -> Tokenizer | None:
     """The same model for words that are one piece each, written in the letters of its vocabulary, so that no rule has to
-    look for pieces. None for tokenizers that are not byte-level."""
+    look for pieces. None for tokenizers that are not byte-level, or whose words have more to them than merges."""
     if not isinstance(lib.model, BPE) or not isinstance(lib.pre_tokenizer, ByteLevel) or lib.normalizer is not None:
         return None
+    if lib.model.ignore_merges or lib.model.dropout or lib.model.continuing_subword_prefix or lib.model.end_of_word_suffix:
+        return None
     words = Tokenizer(lib.model)
     words.pre_tokenizer = WhitespaceSplit()
     return words
@@ -62,10 +66,14 @@ def word_tokenizer(lib: Tokenizer) -> Tokenizer | None:
 
 def spelled(words: list[str]) -> str:
     """Words with a space before each, in the letters of a byte-level vocabulary, apart."""
-    text = " ".join(words)
-    if not text.isascii():
-        text = codecs.charmap_decode(text.encode(), "strict", _LETTERS)[0]
-    return _SPACE + text.replace(" ", f" {_SPACE}")
+    return _SPACE + _lettered(" ".join(words)).replace(" ", f" {_SPACE}")
+
+
+def _lettered(text: str) -> str:
+    """Words in the letters of a byte-level vocabulary, spaces as they are."""
+    if text.isascii():
+        return text.replace("\n", _NEWLINE)
+    return codecs.charmap_decode(text.encode(), "strict", _LETTERS)[0]
 
 
 class Memory:
@@ -205,11 +213,87 @@ def _lengths(ids: list[int], end: list[int]) -> list[int]:
     return [b - a for a, b in zip([0, *end], end, strict=False)]
 
 
+_SHORT = 15
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class _Keys:
+    """Strings as numpy compares them: up to 15 bytes and their number make two whole numbers, ``mark`` is a digest of both.
+    Longer strings are kept as they are."""
+
+    def __init__(self, strings: pa.Array):
+        offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+        size = np.diff(offsets)
+        data = np.zeros(offsets[-1] - offsets[0] + 16, np.uint8)
+        if len(data) > 16:
+            data[:-16] = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        at = offsets[:-1] - offsets[0]
+        a = eight[at] & _MASKS[np.minimum(size, 8)]
+        b = eight[at + 8] & _MASKS[np.clip(size - 8, 0, 7)] | np.minimum(size, _SHORT + 1).astype(np.uint64) << np.uint64(56)
+        self.strings, self.long = strings, size > _SHORT
+        self.parts = mix(a ^ mix(b)), a, b
+
+    def take(self, rows: np.ndarray) -> _Keys:
+        some = object.__new__(_Keys)
+        some.strings, some.long = self.strings.take(pa.array(rows)), self.long[rows]
+        some.parts = tuple(x[rows] for x in self.parts)
+        return some
+
+
+class _Numbers:
+    """Numbers of strings: short ones in arrays sorted by ``mark``, compared in full when found there, long ones in a dict."""
+
+    def __init__(self):
+        self.parts = tuple(np.zeros(0, np.uint64) for _ in range(3))
+        self.number = np.zeros(0, np.int32)
+        self.long: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.number) + len(self.long)
+
+    def of(self, keys: _Keys) -> np.ndarray:
+        """The numbers of strings, -1 for those not known."""
+        numbers = np.full(len(keys.long), -1, np.int64)
+        if len(self.number):
+            order = np.argsort(keys.parts[0])  # neighbours are found near each other
+            place = np.empty_like(order)
+            place[order] = np.searchsorted(self.parts[0], keys.parts[0][order])
+            place[place == len(self.number)] = 0
+            same = ~keys.long
+            for mine, asked in zip(self.parts, keys.parts, strict=True):
+                same &= mine[place] == asked
+            numbers[same] = self.number[place[same]]
+        if keys.long.any():
+            long = np.flatnonzero(keys.long)
+            numbers[long] = [self.long.get(s, -1) for s in keys.strings.take(pa.array(long)).to_pylist()]
+        return numbers
+
+    def add(self, keys: _Keys, numbers: np.ndarray) -> None:
+        """Take over strings that are not known."""
+        if keys.long.any():
+            long = np.flatnonzero(keys.long)
+            self.long.update(zip(keys.strings.take(pa.array(long)).to_pylist(), numbers[long].tolist(), strict=True))
+        short = np.flatnonzero(~keys.long)
+        short = short[np.argsort(keys.parts[0][short])]
+        place = np.searchsorted(self.parts[0], keys.parts[0][short]) + np.arange(len(short))
+        old = np.ones(len(self.number) + len(short), bool)
+        old[place] = False
+
+        def merged(mine: np.ndarray, new: np.ndarray) -> np.ndarray:
+            both = np.empty(len(old), mine.dtype)
+            both[old], both[place] = mine, new[short]
+            return both
+
+        self.parts = tuple(map(merged, self.parts, keys.parts))
+        self.number = merged(self.number, numbers)
+
+
 class _Known:
     """Ids of strings, one after the other in one array, and the place of each string there."""
 
     def __init__(self, kind: type | np.dtype = np.uint32):
-        self.later: dict[str, int] = {}
+        self.later = _Numbers()
         self.bare: dict[str, int] = {}
         self.n, self.size = 0, 0
         self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
@@ -231,8 +315,9 @@ class _Known:
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the strings with these numbers, and how many each has."""
         lengths = self.length[numbers]
-        shift = self.begin[numbers] - (np.cumsum(lengths) - lengths)
-        return self.ids[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
+        place = np.repeat(self.begin[numbers] - (np.cumsum(lengths) - lengths), lengths)
+        place += np.arange(len(place))
+        return self.ids[place], lengths
 
 
 #: ``_ROW_OF_SPACE`` for Arrow, whose white space is that of ASCII alone.
@@ -307,24 +392,24 @@ class IdCutter:
 
     def _later(self, cuts: pa.Array) -> np.ndarray:
         """Numbers of distinct later cuts; those not known are learned."""
-        names = cuts.to_numpy(zero_copy_only=False).tolist()
-        numbers = self._known(names)
+        keys = _Keys(cuts)
+        numbers = self._known(keys)
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
             numbers[missing] = self._learn(cuts.take(pa.array(missing)))
-            self.kept[0].later.update(zip([names[i] for i in missing.tolist()], numbers[missing].tolist(), strict=True))
+            self.kept[0].later.add(keys.take(missing), numbers[missing])
         return numbers
 
-    def _known(self, names: list[str]) -> np.ndarray:
+    def _known(self, keys: _Keys) -> np.ndarray:
         """Numbers of cuts, -1 where neither half knows one; what the older half knows is taken over."""
         known, older = self.kept
-        numbers = np.fromiter(map(known.later.get, names, repeat(-1)), np.int64, len(names))
+        numbers = known.later.of(keys)
         missing = np.flatnonzero(numbers < 0)
-        if len(missing) and older.later:
-            past = np.fromiter(map(older.later.get, map(names.__getitem__, missing.tolist()), repeat(-1)), np.int64, len(missing))
+        if len(missing) and len(older.later):
+            past = older.later.of(keys.take(missing))
             missing, past = missing[past >= 0], past[past >= 0]
             numbers[missing] = known.add(*older.of(past))
-            known.later.update(zip([names[i] for i in missing.tolist()], numbers[missing].tolist(), strict=True))
+            known.later.add(keys.take(missing), numbers[missing])
         return numbers
 
     def _bare(self, text: str) -> int:
@@ -351,19 +436,21 @@ class IdCutter:
             numbers[~is_simple] = known.add(np.array([i for x in found for i in x], self.kind), np.array([len(x) for x in found], np.int64))
         coded = words.filter(simple).dictionary_encode()
         distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        names = distinct.to_numpy(zero_copy_only=False).tolist()
         trimmed = (pc.binary_length(cuts).to_numpy(zero_copy_only=False) - pc.binary_length(words).to_numpy(zero_copy_only=False))[is_simple]
         marked = np.flatnonzero(trimmed)
         # A cut that is its own word is not known, or it would not be learned.
-        of_word, behind = np.full(len(names), -1, np.int64), np.ones(len(names), bool)
+        of_word, behind = np.full(len(distinct), -1, np.int64), np.ones(len(distinct), bool)
         behind[codes[trimmed == 0]] = False
         behind = np.flatnonzero(behind)
-        of_word[behind] = self._known([names[i] for i in behind.tolist()])
+        keys = _Keys(distinct.take(pa.array(behind)))
+        of_word[behind] = self._known(keys)
+        new = np.flatnonzero(of_word[behind] < 0)
         newline = pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False)
-        size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-        for lead, rows in ((" ", np.flatnonzero((of_word < 0) & ~newline)), ("", np.flatnonzero((of_word < 0) & newline))):
+        for after_newline in (False, True):
+            rows = np.flatnonzero((of_word < 0) & (newline == after_newline))
             for some in np.split(rows, range(_AT_ONCE, len(rows), _AT_ONCE)) if len(rows) else []:
-                of_word[some] = known.add(*self._words([names[i] for i in some.tolist()], size[some], lead))
+                of_word[some] = known.add(*self._words(distinct.take(pa.array(some)), after_newline))
+        known.later.add(keys.take(new), of_word[behind[new]])
         mine = of_word[codes]
         if len(marked):
             ends = [c[-n:] for c, n in zip(cuts.filter(simple).take(pa.array(marked)).to_pylist(), trimmed[marked].tolist(), strict=True)]
@@ -374,15 +461,22 @@ class IdCutter:
         numbers[is_simple] = mine
         return numbers
 
-    def _words(self, words: list[str], size: np.ndarray, lead: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of letters only, of ``size`` bytes, and how many each has: the ids of all in a row are dealt out by
-        the bytes they stand for, as no id reaches over a word's end."""
-        lib, text = (self.words, spelled(words)) if lead and self.words else (self.lib, lead + lead.join(words))
-        ids = np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-        reach = np.cumsum(size + len(lead))
+    def _words(self, words: pa.Array, after_newline: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only, behind a space or the newline they begin with, and how many each has. Some words in a
+        row make one piece; the ids are dealt out by the bytes they stand for. No merge reaches over a word's end, or the
+        ids would not meet there: then each word goes to the library alone."""
+        lead = "" if after_newline else " "
+        rows = pa.ListArray.from_arrays(pa.array([*range(0, len(words), _IN_A_ROW), len(words)], pa.int32()), words)
+        texts = [lead + t for t in pc.binary_join(rows, lead).to_pylist()]
+        if self.words:
+            texts = [_lettered(t).replace(" ", _SPACE) for t in texts]
+        found = (self.words or self.lib).encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], self.kind)
+        reach = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + len(lead))
+        ends = np.concatenate([reach, np.concatenate(([0], reach[:-1])) + 1]) if after_newline else reach
         upto = np.cumsum(self.bytes_of[ids]) if len(ids) else np.zeros(1, np.int64)
-        if upto[-1] != reach[-1]:
-            found = [e.ids for e in self.lib.encode_batch_fast([lead + w for w in words], add_special_tokens=False)]
+        if upto[-1] != reach[-1] or (upto[np.searchsorted(upto, ends)] != ends).any():
+            found = [e.ids for e in self.lib.encode_batch_fast([lead + w for w in words.to_pylist()], add_special_tokens=False)]
             return np.array([i for x in found for i in x], self.kind), np.array([len(x) for x in found], np.int64)
         return ids, np.bincount(np.searchsorted(reach, upto), minlength=len(words))
 
