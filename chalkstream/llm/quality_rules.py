@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import params, wordhash
 from .lookups import lookup
@@ -47,6 +48,9 @@ def _salted(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     return h ^ wordhash.mix(text.astype(np.uint64) + np.uint64(1))
 
 
+_RUN_BYTES = wordhash.BATCH_BYTES // 2  # texts counted at once
+
+
 def _counts(texts: pa.Array, lo: int, hi: int) -> np.ndarray:
     w = wordhash.words(texts, lo, hi, fold_case=False)
     n = hi - lo
@@ -84,20 +88,29 @@ def _window_place(w: wordhash.Words) -> np.ndarray:
     return np.flatnonzero(text[:m] == text[2:])
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = wordhash.texts_of(batch.column(batch.num_columns - 1))
-        parts = [_counts(texts, lo, hi) for lo, hi in wordhash.runs(texts)]
-        found = np.concatenate(parts, axis=1) if parts else np.zeros((len(COUNTS), 0), np.int64)
-        kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], [*batch.schema.names[:-1], *COUNTS])
+class _Counts:
+    """Adds the counts of the texts in column ``at``, of which the first ``keep`` columns go on."""
+
+    def __init__(self, at: int, keep: int):
+        self.at, self.keep = at, keep
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = wordhash.texts_of(batch.column(self.at))
+            parts = [_counts(texts, lo, hi) for lo, hi in wordhash.runs(texts, _RUN_BYTES)]
+            found = np.concatenate(parts, axis=1) if parts else np.zeros((len(COUNTS), 0), np.int64)
+            kept = [batch.column(i) for i in range(self.keep)]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], [*batch.schema.names[: self.keep], *COUNTS])
 
 
 def count(docs: DataFrame, keep: dict[str, str], text: str = "text") -> DataFrame:
-    """The counts of every document beside the columns ``keep`` (new name to name)."""
-    chosen = docs.select(*[docs[old].alias(new) for new, old in keep.items()], docs[text].cast("string").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    return chosen.mapInArrow(_count_batches, ", ".join([*fields, *[f"{c} long" for c in COUNTS]]))
+    """The counts of every document beside the columns ``keep`` (new name to name). Texts that are kept are sent once."""
+    chosen = docs.select(*[docs[old].alias(new) for new, old in keep.items()])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields]
+    at = list(keep.values()).index(text) if text in keep.values() and docs.schema[text].dataType == T.StringType() else len(keep)
+    if at == len(keep):
+        chosen = docs.select(*[docs[old].alias(new) for new, old in keep.items()], docs[text].cast("string").alias("_text"))
+    return chosen.mapInArrow(_Counts(at, len(keep)), ", ".join([*fields, *[f"{c} long" for c in COUNTS]]))
 
 
 def base_failed() -> Column:

@@ -15,12 +15,12 @@ _BATCH_ROWS = 2000
 _BATCH_BYTES = 16 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = _BATCH_BYTES) -> None:
     """Documents are long rows: fewer of them at once between Spark and Python than Spark's default."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= _BATCH_ROWS:
         spark.conf.set(key, str(_BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

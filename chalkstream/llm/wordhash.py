@@ -99,12 +99,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about BATCH_BYTES together; a longer text is a run of its own."""
+def runs(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``most`` bytes together; a longer text is a run of its own."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     lo = 0
     while lo < len(texts):
-        hi = int(np.searchsorted(offsets, offsets[lo] + BATCH_BYTES, "right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1
         hi = min(max(hi, lo + 1), len(texts))
         yield lo, hi
         lo = hi

@@ -15,14 +15,17 @@ from chalkstream.llm import decontaminate, minhash, mixing, quality_rules, token
 from chalkstream.llm.staging import small_batches, stage
 from chalkstream.session import table
 
+#: Stages follow one another in the same executors, which keep the room that the largest took.
+_BATCH_BYTES = 4 << 20
+
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, _BATCH_BYTES)
     return quality_rules.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, _BATCH_BYTES)
     return minhash.keep_first(docs)
 
 
@@ -35,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, _BATCH_BYTES)
     return token_files.write_and_read(docs)
 
 
